@@ -70,12 +70,10 @@ def sample_stratified(
         combinations = reduce(mul, [F.countDistinct(F.nullif(F.col(k), F.lit("\0null"))) for k in keys])
     else:
         combinations = F.count("*")
-    whole = per_stratum.agg(combinations.alias("_combos"), F.sum("_size").alias("_rows"))
-    share = F.lit(per_combination) * F.col("_combos") / F.col("_rows")
-    # `whole` is one row.
-    quotas = per_stratum.join(F.broadcast(whole)).select(
-        *keys,
-        F.least(F.greatest(F.lit(1), F.floor(F.col("_size") * share)), F.col("_size")).alias("_quota"),
+    share = per_stratum.agg(F.lit(per_combination) * combinations / F.sum("_size")).scalar()
+    wanted = F.greatest(F.lit(1), F.floor(F.col("_size") * F.col("_share")))
+    quotas = per_stratum.withColumn("_share", share).select(
+        *keys, F.least(wanted, F.col("_size")).alias("_quota")
     )
 
     in_order = W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)

@@ -114,8 +114,7 @@ def get_or_create_thread(conversations: DataFrame, incoming: DataFrame) -> DataF
         asked.join(conversations, "conversation_id", "left_anti"), ["conversation_id"], "_n"
     )
     top = conversations.agg(F.coalesce(F.max("thread_id"), F.lit(0)).alias("_top"))
-    # `top` is one row.
-    allotted = new.join(F.broadcast(top)).select(
+    allotted = new.withColumn("_top", top.scalar()).select(
         "conversation_id",
         (F.col("_top") + F.col("_n")).alias("thread_id"),
         F.lit(0).cast("bigint").alias("parent_message_id"),
