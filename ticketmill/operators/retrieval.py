@@ -84,6 +84,8 @@ def _block_scores(
     corpus: pd.DataFrame, query_ids: np.ndarray, queries: np.ndarray, k: int
 ) -> pd.DataFrame:
     """Best k rows of one block of the corpus for each query, and how many rows were compared."""
+    if corpus.empty:
+        query_ids, queries = query_ids[:0], queries[:0]
     ids = corpus["corpus_id"].to_numpy()
     block = _matrix(corpus["embedding"])
     found = [_best(ids, block @ query, k) for query in queries]
