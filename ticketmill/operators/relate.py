@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
@@ -88,3 +89,17 @@ def union_tags(df: DataFrame, columns: list[str]) -> DataFrame:
     for part in rest:
         first = first.unionByName(part)
     return first.filter("tag is not null").distinct()
+
+
+def topk_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int | None) -> DataFrame:
+    """The k best rows of every group with their rank; a k of 0 or None means the default.
+
+    Spark keeps only k rows per group and task before the shuffle.
+    """
+    ranked = F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("bigint")
+    return df.withColumn("rank", ranked).filter(F.col("rank") <= (k or V.TOP_K))
+
+
+def tool_limit(asked: int | None) -> int:
+    """Number of results a search tool call may ask for."""
+    return min(asked or V.TOOL_TOP_K, V.TOOL_TOP_K_MAX)

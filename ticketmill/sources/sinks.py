@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,44 +74,40 @@ def create_table_as(spark: SparkSession, table: str, query: str, **frames: DataF
     spark.sql(f"CREATE TABLE {table} USING parquet AS {query.format(**names)}")
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Write an intermediate result once, for steps that read it several times."""
-    path = scratch_path(df.sparkSession, "staged")
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
+class ChangeLog:
+    """Changes of a keyed table, one folder of Parquet files per batch.
 
-class VersionedTable:
-    """A Parquet table whose updates write a new version folder.
-
-    Plain Parquet tables have no ``MERGE``. A merged result cannot overwrite the files it is read
-    from either, so each update goes to the next version, and readers take the newest complete one.
-    Writing the same version again replaces it, which makes a retried update harmless.
+    Plain Parquet has no ``MERGE``, and rewriting a large table for every small batch would cost
+    more than the batch. So batches are only added, and the table is the latest change per key; a
+    batch that is written again after a failure replaces its own folder.
     """
 
     def __init__(self, spark: SparkSession, root: str, schema: str):
         self.spark, self.root, self.schema = spark, root, schema
 
-    def _path(self, version: int) -> str:
-        return f"{self.root}/v{version:012d}"
-
-    def versions(self) -> list[int]:
-        """Complete versions: those whose write was committed."""
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
-        pattern = hadoop.Path(f"{self.root}/v*/_SUCCESS")
-        fs = pattern.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return sorted(int(s.getPath().getParent().getName()[1:]) for s in fs.globStatus(pattern))
+    def add(self, changes: DataFrame, batch: int) -> None:
+        changes.write.mode("overwrite").parquet(f"{self.root}/batch={batch}")
 
     def read(self, below: int | None = None) -> DataFrame:
-        found = [v for v in self.versions() if below is None or v < below]
-        if not found:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self._path(found[-1]))
-
-    def write(self, df: DataFrame, version: int | None = None) -> None:
-        if version is None:
-            version = max(self.versions(), default=-1) + 1
-        df.write.mode("overwrite").parquet(self._path(version))
+        """All changes with their batch number, optionally of earlier batches only."""
+        try:
+            log = self.spark.read.schema(f"{self.schema}, batch bigint").parquet(self.root)
+        except AnalysisException as exc:
+            if exc.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], f"{self.schema}, batch bigint")
+        return log if below is None else log.filter(F.col("batch") < below)
+
+
+def staged(df: DataFrame, name: str = "staged") -> DataFrame:
+    """Write a result to the shared folder once and read it from there.
+
+    For steps that read it several times, and for merged tables, which cannot overwrite the files
+    they are read from.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def agent_output_rows(

@@ -7,12 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.retrieval import refresh_index
-from ..operators.state import merge_by_key, upsert_conversations
-from ..sources.sinks import VersionedTable
+from ..operators.curate import text_digest
+from ..operators.retrieval import build_search_index
+from ..operators.state import latest_per_key
+from ..sources.sinks import ChangeLog
 
+CONVERSATION_COLUMNS = [
+    "conversation_id", "thread_id", "last_assistant_message_id", "origin_application",
+    "created_at", "updated_at",
+]
 
-def run_available(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
+
+def run_available(
+    stream: DataFrame,
+    handle: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    mode: str = "append",
+) -> None:
     """Feed everything the source has now to ``handle`` in micro-batches, then stop."""
     query = (
         stream.writeStream.outputMode(mode)
@@ -34,24 +45,30 @@ def dedup_messages(stream: DataFrame, keys: list[str], at: str, delay: str) -> D
 
 
 def keep_conversations(
-    stream: DataFrame, table: VersionedTable, order: list[str], checkpoint: str
+    stream: DataFrame, log: ChangeLog, order: list[str], checkpoint: str
 ) -> None:
-    """Upsert each micro-batch into the conversations.
+    """Add each micro-batch's last update per conversation to the log."""
 
-    The batch number is the version: a batch that is run again after a failure reads the version
-    before it and replaces its own.
-    """
+    def save(batch: DataFrame, batch_id: int) -> None:
+        first = batch.groupBy("conversation_id").agg(F.min("updated_at").alias("created_at"))
+        latest = latest_per_key(batch, "conversation_id", order)
+        log.add(latest.join(first, "conversation_id"), batch_id)
+
+    run_available(stream, save, checkpoint)
 
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        table.write(upsert_conversations(table.read(below=batch_id), batch, order), batch_id)
 
-    run_available(stream, upsert, checkpoint)
+def live_conversations(log: ChangeLog, order: list[str]) -> DataFrame:
+    """The conversations table: the last update by ``order``, created when first seen."""
+    changes = log.read()
+    first = changes.groupBy("conversation_id").agg(F.min("created_at").alias("created_at"))
+    latest = latest_per_key(changes.drop("created_at", "batch"), "conversation_id", order)
+    return latest.join(first, "conversation_id").select(*CONVERSATION_COLUMNS)
 
 
 def keep_last_message(
-    stream: DataFrame, key: str, value: Column, order: Column, table: VersionedTable, checkpoint: str
+    stream: DataFrame, key: str, value: Column, order: Column, log: ChangeLog, checkpoint: str
 ) -> None:
-    """Last non-null ``value`` per key as streaming state, written out as it changes.
+    """Last non-null ``value`` per key as streaming state, logged as it changes.
 
     ``max_by`` combines before the shuffle, so a busy key reaches its state store as one row per
     task and batch; a state function per key would get every row of it in one task.
@@ -60,32 +77,33 @@ def keep_last_message(
         F.max_by(value, F.when(value.isNotNull(), order)).alias("last_message_id"),
         F.count("*").alias("n_messages"),
     )
+    run_available(state, log.add, checkpoint, mode="update")
 
-    def save(batch: DataFrame, batch_id: int) -> None:
-        changed = {c: F.col(f"s.{c}") for c in ["last_message_id", "n_messages"]}
-        merged = merge_by_key(table.read(below=batch_id), batch, key, changed, changed)
-        table.write(merged, batch_id)
 
-    run_available(state, save, checkpoint, mode="update")
+def live_last_message(log: ChangeLog, key: str) -> DataFrame:
+    return latest_per_key(log.read(), key, ["batch"]).drop("batch")
 
 
 def keep_index_fresh(
     stream: DataFrame,
-    table: VersionedTable,
+    log: ChangeLog,
     id_column: str,
     text: str,
     attributes: list[str],
     checkpoint: str,
 ) -> None:
-    """Embed what a micro-batch brings and put it in place of the older entries of its ids."""
-    columns = [id_column, *attributes, "digest", "embedding"]
-
-    def refresh(batch: DataFrame, batch_id: int) -> None:
-        old = table.read(below=batch_id)
-        latest = batch.select(id_column, *attributes, text)
-        untouched = old.join(latest.select(id_column), id_column, "left_anti")
-        touched = old.join(latest.select(id_column), id_column, "left_semi")
-        fresh = refresh_index(touched, latest, id_column, text, attributes)
-        table.write(untouched.unionByName(fresh.select(*columns)), batch_id)
-
-    run_available(stream, refresh, checkpoint)
+    """Embed the texts of each micro-batch that are new or differ from their last entry."""
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        entries = log.read(below=batch_id).select(id_column, "digest", "batch")
+        current = latest_per_key(entries, id_column, ["batch"]).select(id_column, "digest")
+        changed = batch.withColumn("digest", text_digest(text)).join(
+            current, [id_column, "digest"], "left_anti"
+        )
+        log.add(build_search_index(changed, id_column, text, attributes), batch_id)
+
+    run_available(stream, save, checkpoint)
+
+
+def live_index(log: ChangeLog, id_column: str) -> DataFrame:
+    return latest_per_key(log.read(), id_column, ["batch"]).drop("batch")
