@@ -58,8 +58,12 @@ def messages(spark: SparkSession, tables: str) -> DataFrame:
 
 
 def conversation_updates(spark: SparkSession, tables: str) -> DataFrame:
+    return as_conversation_updates(scan(spark, tables, "events"))
+
+
+def as_conversation_updates(events: DataFrame) -> DataFrame:
     """Events as updates of a conversation per user; errors reset the last answer to null."""
-    return scan(spark, tables, "events").select(
+    return events.select(
         F.col("user_id").cast("string").alias("conversation_id"),
         (F.col("user_id") + 1000).alias("thread_id"),
         F.when(F.col("event_type") != "error", F.col("event_id")).alias(
