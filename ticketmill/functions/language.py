@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fixed_values import LETTER_PROFILES, LETTERS
+from .text import let
 
 
 def load_profiles(spark: SparkSession) -> DataFrame:
@@ -35,8 +36,15 @@ def letter_counts(text: Column) -> Column:
 
 def letter_frequency(counts: Column) -> Column:
     """Counts as shares of their sum; all zero when the text has no letter."""
-    total = F.aggregate(counts, F.lit(0).cast("bigint"), lambda acc, c: acc + c)
-    return F.transform(counts, lambda c: F.coalesce(F.try_divide(c, total), F.lit(0.0)))
+
+    def share(counted: Column) -> Column:
+        total = F.aggregate(counted, F.lit(0).cast("bigint"), lambda acc, c: acc + c)
+        return let(
+            total,
+            lambda n: F.transform(counted, lambda c: F.coalesce(F.try_divide(c, n), F.lit(0.0))),
+        )
+
+    return let(counts, share)
 
 
 def _sum(terms: list[Column]) -> Column:
@@ -45,23 +53,24 @@ def _sum(terms: list[Column]) -> Column:
 
 def cosine_similarity(vector: Column, fixed: list[float]) -> Column:
     """Cosine of an array column with fixed weights, 0 where either has no length."""
-    dot = _sum([F.get(vector, F.lit(i)) * F.lit(w) for i, w in enumerate(fixed)])
-    norm = F.sqrt(_sum([F.get(vector, F.lit(i)) * F.get(vector, F.lit(i)) for i in range(len(fixed))]))
-    fixed_norm = sum(w * w for w in fixed) ** 0.5
-    return F.coalesce(F.try_divide(dot, norm * F.lit(fixed_norm)), F.lit(0.0))
+
+    def cosine(v: Column) -> Column:
+        dot = _sum([F.get(v, F.lit(i)) * F.lit(w) for i, w in enumerate(fixed)])
+        norm = F.sqrt(_sum([F.get(v, F.lit(i)) * F.get(v, F.lit(i)) for i in range(len(fixed))]))
+        fixed_norm = sum(w * w for w in fixed) ** 0.5
+        return F.coalesce(F.try_divide(dot, norm * F.lit(fixed_norm)), F.lit(0.0))
+
+    return let(vector, cosine)
 
 
 def detect_language(df: DataFrame, text: str = "text", out: str = "language") -> DataFrame:
     """Add the guessed language: ``en`` if the text is nearer to English, else ``de``.
 
-    Ties and texts without letters are ``de``. The shares are laid down in a column of their own so
-    that the thirty scans of a text happen once.
+    Ties and texts without letters are ``de``.
     """
-    shares = df.withColumn("_shares", letter_frequency(letter_counts(F.col(text))))
-    sims = {
-        lang: cosine_similarity(F.col("_shares"), profile)
-        for lang, profile in LETTER_PROFILES.items()
-    }
-    return shares.withColumn(
-        out, F.when(sims["en"] > sims["de"], "en").otherwise("de")
-    ).drop("_shares")
+
+    def guess(shares: Column) -> Column:
+        english, german = (cosine_similarity(shares, LETTER_PROFILES[n]) for n in ["en", "de"])
+        return F.when(english > german, "en").otherwise("de")
+
+    return df.withColumn(out, let(letter_frequency(letter_counts(F.col(text))), guess))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as V
-from .text import clip_text, extract_json_object, strip
+from .text import clip_text, extract_json_object, let, strip
 
 STRICT = {"allowSingleQuotes": "false"}
 CONTENT_SCHEMA = "content array<struct<type string, text string>>"
@@ -26,42 +26,59 @@ def is_json_object(text: Column) -> Column:
     The end is tested because the JSON reader stops after the first value and would let
     ``{"a": 1} and more`` pass.
     """
-    trimmed = strip(text)
-    shaped = trimmed.startswith("{") & trimmed.endswith("}")
-    return F.coalesce(shaped & F.try_parse_json(trimmed).isNotNull(), F.lit(False))
+
+    def check(trimmed: Column) -> Column:
+        shaped = trimmed.startswith("{") & trimmed.endswith("}")
+        return F.coalesce(shaped & F.try_parse_json(trimmed).isNotNull(), F.lit(False))
+
+    return let(strip(text), check)
 
 
 def parse_topic_intent(text: Column) -> Column:
     """``struct<topic, intent>``; whatever is missing or unreadable takes the default."""
-    found = F.from_json(extract_json_object(text), "topic string, intent string", STRICT)
-    return F.struct(
-        F.coalesce(found["topic"], F.lit(V.DEFAULT_TOPIC)).alias("topic"),
-        F.coalesce(found["intent"], F.lit(V.DEFAULT_INTENT)).alias("intent"),
+    fields = "topic string, intent string"
+    return let(
+        F.from_json(extract_json_object(text), fields, STRICT),
+        lambda found: F.struct(
+            F.coalesce(found["topic"], F.lit(V.DEFAULT_TOPIC)).alias("topic"),
+            F.coalesce(found["intent"], F.lit(V.DEFAULT_INTENT)).alias("intent"),
+        ),
     )
 
 
 def parse_judge_response(text: Column) -> Column:
     """``struct<score, explanation, error, parse_ok>`` from the answer of a judging model."""
-    raw = strip(text)
-    fenced = F.when(
-        raw.contains("```json"), F.try_element_at(F.split(raw, "```json"), F.lit(2))
-    ).when(raw.contains("```"), F.try_element_at(F.split(raw, "```"), F.lit(2)))
-    inner = F.coalesce(strip(F.substring_index(fenced, "```", 1)), raw)
-    # A greedy {...} is the second try, as for answers wrapped in prose.
-    braces = F.regexp_extract(inner, r"(?s)\{.*\}", 0)
-    body = F.when(is_json_object(inner), inner).when(is_json_object(braces), braces)
-    found = F.from_json(body, "score string, explanation string", STRICT)
-    ok = body.isNotNull()
-    return F.struct(
-        F.when(ok, F.coalesce(found["score"].try_cast("double"), F.lit(0.0)))
-        .otherwise(F.lit(0.0))
-        .alias("score"),
-        F.when(text.isNull(), V.INVALID_RESPONSE)
-        .when(ok, F.coalesce(found["explanation"], F.lit("")))
-        .otherwise(V.PARSE_FAILED)
-        .alias("explanation"),
-        F.when(text.isNotNull() & ~ok, clip_text(inner)).alias("error"),
-        ok.alias("parse_ok"),
+
+    def unfence(raw: Column) -> Column:
+        fenced = F.when(
+            raw.contains("```json"), F.try_element_at(F.split(raw, "```json"), F.lit(2))
+        ).when(raw.contains("```"), F.try_element_at(F.split(raw, "```"), F.lit(2)))
+        return F.coalesce(strip(F.substring_index(fenced, "```", 1)), raw)
+
+    def readable(inner: Column) -> Column:
+        # A greedy {...} is the second try, as for answers wrapped in prose.
+        braces = F.regexp_extract(inner, r"(?s)\{.*\}", 0)
+        return F.when(is_json_object(inner), inner).when(is_json_object(braces), braces)
+
+    def judged(inner: Column, found: Column) -> Column:
+        ok = found.isNotNull()
+        score = F.coalesce(found["score"].try_cast("double"), F.lit(0.0))
+        return F.struct(
+            F.when(ok, score).otherwise(F.lit(0.0)).alias("score"),
+            F.when(inner.isNull(), V.INVALID_RESPONSE)
+            .when(ok, F.coalesce(found["explanation"], F.lit("")))
+            .otherwise(V.PARSE_FAILED)
+            .alias("explanation"),
+            F.when(inner.isNotNull() & ~ok, clip_text(inner)).alias("error"),
+            ok.alias("parse_ok"),
+        )
+
+    fields = "score string, explanation string"
+    return let(
+        let(strip(text), unfence),
+        lambda inner: let(
+            F.from_json(readable(inner), fields, STRICT), lambda found: judged(inner, found)
+        ),
     )
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,6 +11,15 @@ from pyspark.sql import functions as F
 from . import fixed_values as V
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    A column used at several places, or inside a lambda, may be put there as a whole expression and
+    computed each time. Inside a one-element ``transform`` it is a bound variable.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Cut white space at both ends, Unicode blanks included (plain ``trim`` cuts U+0020 only)."""
     return F.btrim(text, F.lit(V.STRIP_CHARS))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.payloads import parse_judge_response
-from ..functions.text import render_prompt, sentences, words
+from ..functions.text import let, render_prompt, sentences, words
 from . import prompts as P
 from .inference import Client, batch_complete
 from .profile import METRICS, average_score
@@ -27,56 +27,65 @@ JUDGE_TEMPLATES = {
 
 def _found_share(needles: Column, haystack: Column) -> Column:
     """Share of the distinct words on the left that occur on the right, 0 without words."""
-    wanted = F.array_distinct(needles)
-    return F.coalesce(
-        F.try_divide(F.size(F.array_intersect(wanted, haystack)), F.size(wanted)), F.lit(0.0)
+
+    def share(wanted: Column) -> Column:
+        found = F.size(F.array_intersect(wanted, haystack))
+        return F.coalesce(F.try_divide(found, F.size(wanted)), F.lit(0.0))
+
+    return let(F.array_distinct(needles), share)
+
+
+def _share_of(items: Column, keep: Callable[[Column], Column]) -> Column:
+    """Share of the word lists that pass the test; lists without words do not count."""
+    return let(
+        F.filter(items, lambda w: F.size(w) > 0),
+        lambda lists: F.coalesce(
+            F.try_divide(F.size(F.filter(lists, keep)), F.size(lists)), F.lit(0.0)
+        ),
     )
 
 
-def _backed_sentences(text: Column, source: str) -> Column:
-    """Share of the sentences with most of their words in the source."""
-    claims = F.filter(sentences(text), lambda s: F.size(words(s)) > 0)
-    backed = F.filter(
-        claims, lambda s: _found_share(words(s), F.col(source)) >= CLAIM_SHARE
+def _backed_sentences(text: str, source: str) -> Column:
+    """Share of a text's sentences with most of their words in the source."""
+    claims = F.transform(sentences(F.col(text)), words)
+    return let(
+        words(F.col(source)),
+        lambda known: _share_of(claims, lambda w: _found_share(w, known) >= CLAIM_SHARE),
     )
-    return F.coalesce(F.try_divide(F.size(backed), F.size(claims)), F.lit(0.0))
 
 
-def metric_faithfulness(answer: str, context_words: str) -> Column:
+def metric_faithfulness(answer: str = "agent_answer", context: str = "context") -> Column:
     """Supported claims of all claims."""
-    return _backed_sentences(F.col(answer), context_words)
+    return _backed_sentences(answer, context)
 
 
-def metric_context_recall(ground_truth: str, context_words: str) -> Column:
+def metric_context_recall(ground_truth: str = "ground_truth", context: str = "context") -> Column:
     """Points of the expected answer that the context holds, of all its points."""
-    return _backed_sentences(F.col(ground_truth), context_words)
+    return _backed_sentences(ground_truth, context)
 
 
-def metric_answer_relevancy(query: str, answer: str) -> Column:
+def metric_answer_relevancy(query: str = "query", answer: str = "agent_answer") -> Column:
     """Share of the query's words that the answer takes up."""
     return _found_share(words(F.col(query)), words(F.col(answer)))
 
 
-def metric_context_precision(query_words: str, context: str) -> Column:
+def metric_context_precision(query: str = "query", context: str = "context") -> Column:
     """Chunks that hold enough of the query's words, of all chunks."""
-    chunks = F.filter(F.split(context, CONTEXT_GAP), lambda c: F.size(words(c)) > 0)
-    useful = F.filter(
-        chunks, lambda c: _found_share(F.col(query_words), words(c)) >= CHUNK_SHARE
+    chunks = F.transform(F.split(context, CONTEXT_GAP), words)
+    return let(
+        words(F.col(query)),
+        lambda asked: _share_of(chunks, lambda w: _found_share(asked, w) >= CHUNK_SHARE),
     )
-    return F.coalesce(F.try_divide(F.size(useful), F.size(chunks)), F.lit(0.0))
 
 
 def rule_scores(df: DataFrame) -> DataFrame:
     """The four scores from word overlap, for rows of query, ground_truth, agent_answer, context."""
-    with_words = df.withColumn("_context_words", words(F.col("context"))).withColumn(
-        "_query_words", words(F.col("query"))
-    )
-    return with_words.select(
-        *df.columns,
-        metric_faithfulness("agent_answer", "_context_words").alias("faithfulness_score"),
-        metric_answer_relevancy("query", "agent_answer").alias("answer_relevancy_score"),
-        metric_context_precision("_query_words", "context").alias("context_precision_score"),
-        metric_context_recall("ground_truth", "_context_words").alias("context_recall_score"),
+    return df.select(
+        "*",
+        metric_faithfulness().alias("faithfulness_score"),
+        metric_answer_relevancy().alias("answer_relevancy_score"),
+        metric_context_precision().alias("context_precision_score"),
+        metric_context_recall().alias("context_recall_score"),
     ).withColumn("average_score", average_score())
 
 

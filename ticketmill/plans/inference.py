@@ -18,24 +18,24 @@ from .registry import query
 from .search import counts_sql, hits_sql
 
 
-def upper_client():
-    """A client without a model: the first word of the prompt's third line in upper case."""
+def lower_client():
+    """A client without a model: the first word of the prompt's third line in lower case."""
 
     def complete(prompts: list[str]) -> list[str]:
-        return [p.split("\n")[2].split(" ")[0].upper() for p in prompts]
+        return [p.split("\n")[2].split(" ")[0].lower() for p in prompts]
 
     return complete
 
 
 @query(
     "batch_complete",
-    """SELECT conv_id, turn, upper(split_part(split_part(text, chr(10), 1), ' ', 1)) AS answer,
+    """SELECT conv_id, turn, lower(split_part(split_part(text, chr(10), 1), ' ', 1)) AS answer,
            NULL::VARCHAR AS errors FROM conversations""",
 )
 def batch_complete(spark, tables):
     rows = T.scan(spark, tables, "conversations")
     prompt = F.concat(F.lit("Name the first word.\nText:\n"), "text")
-    answered = I.batch_complete(rows, {"answer": prompt}, upper_client)
+    answered = I.batch_complete(rows, {"answer": prompt}, lower_client)
     return answered.select("conv_id", "turn", "answer", "errors")
 
 

@@ -200,7 +200,7 @@ def retrieve_text_chunks(spark, tables):
 
 @query(
     "refresh_index",
-    """SELECT doc_id, lang AS language, l.doc_id IS NULL AS refreshed, 1.0 AS norm
+    """SELECT doc_id, lang AS language, l.doc_id IS NULL AS refreshed, 1.0::DOUBLE AS norm
     FROM documents LEFT JOIN labels l USING (doc_id) WHERE regexp_matches(text, '[A-Za-zÀ-ÿ0-9]')""",
 )
 def refresh_index(spark, tables):
