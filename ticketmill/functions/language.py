@@ -24,14 +24,16 @@ def load_profiles(spark: SparkSession) -> DataFrame:
 
 def letter_counts(text: Column) -> Column:
     """``array<bigint>`` with one count per letter, in the order of ``LETTERS``."""
-    low = F.lower(text)
-    full = F.length(low)
-    return F.array(
-        *[
-            (full - F.length(F.replace(low, F.lit(ch), F.lit("")))).cast("bigint")
-            for ch in LETTERS
-        ]
-    )
+
+    def count(low: Column) -> Column:
+        # Byte lengths are stored with a text, character counts have to be scanned for.
+        def one(ch: str) -> Column:
+            gone = F.octet_length(low) - F.octet_length(F.replace(low, F.lit(ch), F.lit("")))
+            return gone if ch.isascii() else F.shiftright(gone, 1)
+
+        return F.array(*[one(ch).cast("bigint") for ch in LETTERS])
+
+    return let(F.lower(text), count)
 
 
 def letter_frequency(counts: Column) -> Column:

@@ -6,13 +6,15 @@ Texts are compared through the shingles they share, never table against table:
    row however large it is.
 2. Prefix filter (Bayardo et al. 2007): with shingles ordered rarest first, two sets of cosine >= t
    must share one of the first ``n - ceil(t^2 n) + 1`` shingles of each. Only these are joined.
-3. In each shingle's posting list the lowest id is the leader. Every member is compared with the
-   leader. Members that match it are linked through it, so pairs among them are not formed at all:
-   a list of near copies gives a star with one edge per member. Only members that miss their leader
-   are compared with the rest of the list.
-
-The edges therefore connect exactly the documents that all pairs above the threshold connect, and
-their number grows with the documents.
+3. Inside the posting list of a shingle, documents are compared with the list's leader, its lowest
+   id, and not with each other. Those that match it are linked through it. Of the others, those
+   within twice the threshold's angle of the leader are compared with the ones that match it; the
+   angle between vectors obeys the triangle inequality, so no other one can be near any of those.
+   All that missed the leader form a new list with a leader of its own. A list of near copies thus
+   gives one edge per member, and one round per family of near copies.
+
+The edges therefore connect exactly the documents that all pairs above the threshold connect, while
+their number grows with the documents and not with the pairs.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from ..functions.text import words
 from ..session import cut_lineage
 
 SHINGLE_WORDS = 3
+SMALL_LIST = 32
+MAX_ROUNDS = 24
 
 
 def shingle_sets(df: DataFrame, id_column: str, text: str) -> DataFrame:
@@ -32,14 +36,17 @@ def shingle_sets(df: DataFrame, id_column: str, text: str) -> DataFrame:
 
     A text of fewer words is its own single run; a text without words has no set and drops out.
     """
-    tokens = df.select(F.col(id_column).alias("id"), words(F.col(text)).alias("_w"))
-    n = SHINGLE_WORDS
-    size = F.size("_w")
-    runs = F.transform(
-        F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))),
-        lambda i: F.xxhash64(F.array_join(F.slice("_w", i, n), " ")),
+    hashed = F.transform(words(F.col(text)), lambda w: F.xxhash64(w))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("_w") - SHINGLE_WORDS, F.lit(0)))
+
+    def run(i: Column) -> Column:
+        return F.xxhash64(*[F.get("_w", i + k) for k in range(SHINGLE_WORDS)])
+
+    return (
+        df.select(F.col(id_column).alias("id"), hashed.alias("_w"))
+        .filter(F.size("_w") > 0)
+        .select("id", F.array_sort(F.array_distinct(F.transform(starts, run))).alias("set"))
     )
-    return tokens.filter(size > 0).select("id", F.array_sort(F.array_distinct(runs)).alias("set"))
 
 
 def collapse_copies(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -94,10 +101,45 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def _size_fits(n_a: str, n_b: str, threshold: float) -> Column:
-    """Sets of cosine >= t differ in size by a factor of t^2 at most."""
-    low, high = F.least(n_a, n_b), F.greatest(n_a, n_b)
-    return low >= F.lit(threshold * threshold) * high - 1e-9
+def _bound(n_a: str, n_b: str) -> Column:
+    """The highest cosine that two sets of these sizes can have."""
+    return F.sqrt(F.least(n_a, n_b).cast("double") / F.greatest(n_a, n_b))
+
+
+def _ordered(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def _one_round(lists: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Edges found around the leaders of all lists, and the lists of what missed them."""
+    reachable = 2 * threshold * threshold - 1  # cosine of twice the threshold's angle
+    leaders = (
+        lists.groupBy("shingle")
+        .agg(F.min(F.struct("id", "n")).alias("leader"))
+        .select("shingle", F.col("leader.id").alias("a"), F.col("leader.n").alias("n_a"))
+    )
+    starred = lists.join(leaders, "shingle").filter("id <> a").withColumnRenamed("id", "b")
+    asked = starred.filter(_bound("n_a", "n") >= threshold - 1e-12).select("a", "b").distinct()
+    star = cut_lineage(_verified(asked, sets, threshold))
+    judged = cut_lineage(
+        starred.join(star, ["a", "b"], "left").select(
+            "shingle",
+            F.col("b").alias("id"),
+            "n",
+            F.coalesce("hit", F.lit(False)).alias("hit"),
+            (F.coalesce("cosine", _bound("n_a", "n")) >= reachable - 1e-12).alias("near"),
+        )
+    )
+    hits = judged.filter("hit").select("shingle", F.col("id").alias("y"), F.col("n").alias("n_y"))
+    between = (
+        judged.filter("near and not hit")
+        .join(hits, "shingle")
+        .filter(_bound("n", "n_y") >= threshold - 1e-12)
+        .select(*_ordered("id", "y"))
+        .distinct()
+    )
+    edges = star.unionByName(_verified(between, sets, threshold)).filter("hit").drop("hit")
+    return edges, judged.filter("not hit").select("shingle", "id", "n")
 
 
 def near_pairs(
@@ -107,36 +149,30 @@ def near_pairs(
     sets = cut_lineage(shingle_sets(df, id_column, text))
     unique, copies = collapse_copies(sets)
     unique = cut_lineage(unique)
-    postings = cut_lineage(prefix_postings(unique, threshold))
+    edges = copies.select(*_ordered("id", "copy_of"), F.lit(1.0).alias("cosine"))
 
-    leaders = postings.groupBy("shingle").agg(
-        F.min(F.struct("id", "n")).alias("leader"), F.count("*").alias("members")
-    ).filter("members > 1").select(
-        "shingle", F.col("leader.id").alias("a"), F.col("leader.n").alias("n_a")
-    )
-    starred = postings.join(leaders, "shingle").filter("id <> a").withColumnRenamed("id", "b")
-    to_leader = starred.filter(_size_fits("n_a", "n", threshold)).select("a", "b").distinct()
-    star = cut_lineage(_verified(to_leader, unique, threshold))
+    def several(lists: DataFrame) -> DataFrame:
+        counts = lists.groupBy("shingle").agg(F.count("*").alias("_members"))
+        return lists.join(counts.filter("_members > 1").select("shingle"), "shingle", "left_semi")
 
-    missed = starred.join(star.filter("hit").select("a", "b"), ["a", "b"], "left_anti").select(
-        "shingle", F.col("b").alias("x"), F.col("n").alias("n_x"), F.col("a").alias("leader")
-    )
-    rest = (
-        missed.join(postings.withColumnRenamed("id", "y"), "shingle")
-        .filter((F.col("x") != F.col("y")) & (F.col("y") != F.col("leader")))
-        .filter(_size_fits("n_x", "n", threshold))
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    lists = several(prefix_postings(unique, threshold))
+    for _ in range(MAX_ROUNDS):
+        lists = cut_lineage(lists)
+        longest = lists.groupBy("shingle").count().agg(F.max("count")).first()[0] or 0
+        if longest <= SMALL_LIST:
+            break
+        found, missed = _one_round(lists, unique, threshold)
+        edges, lists = edges.unionByName(found), several(missed)
+    # What is left: short lists, or families beyond the last round. All their pairs are compared.
+    other = lists.select("shingle", F.col("id").alias("y"), F.col("n").alias("n_y"))
+    pairs = (
+        lists.join(other, "shingle")
+        .filter((F.col("id") < F.col("y")) & (_bound("n", "n_y") >= threshold - 1e-12))
+        .select(F.col("id").alias("a"), F.col("y").alias("b"))
         .distinct()
-        .join(star.select("a", "b"), ["a", "b"], "left_anti")
-    )
-    edges = star.unionByName(_verified(rest, unique, threshold)).filter("hit").drop("hit")
-    return edges.unionByName(
-        copies.select(
-            F.least("id", "copy_of").alias("a"),
-            F.greatest("id", "copy_of").alias("b"),
-            F.lit(1.0).alias("cosine"),
-        )
     )
+    rest = _verified(pairs, unique, threshold).filter("hit").drop("hit")
+    return edges.unionByName(rest).dropDuplicates(["a", "b"])
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -151,7 +187,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             "u", F.least("u", "m").alias("m")
         )
 
-    links = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct()
+    links = cut_lineage(
+        edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct()
+    )
     previous = None
     while True:
         # large star: hang every larger neighbour on the smallest one

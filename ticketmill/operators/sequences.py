@@ -94,7 +94,7 @@ def number_rows(df: DataFrame, order: list[str | Column], out: str, start: int =
     """Consecutive row numbers over the whole table; ``order`` must be unique.
 
     A range shuffle puts the rows in order across partitions, each partition counts its own, and the
-    offsets (one row per partition) are joined back. The checkpoint fixes which row got which place.
+    offsets (one row per partition) are joined back. Writing the rows fixes which got which place.
     """
     placed = cut_lineage(
         df.repartitionByRange(*order)

@@ -12,14 +12,15 @@ from ..functions import fixed_values as V
 from ..functions.text import WORD_GAP, words
 from ..operators.relate import qa_pairs
 from ..operators.state import latest_per_key
-from ..sources.readers import scan_table
+from ..sources.readers import scan_table, spread
 
 RUN = "en"
 SPLIT_AT = "2024-01-16 00:00:00"
 
 
 def scan(spark: SparkSession, tables: str, name: str) -> DataFrame:
-    return scan_table(spark, f"{tables}/{name}.parquet")
+    df = scan_table(spark, f"{tables}/{name}.parquet")
+    return spread(df, "doc_id") if name == "documents" else df
 
 
 def tickets(spark: SparkSession, tables: str) -> DataFrame:

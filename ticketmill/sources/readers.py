@@ -32,6 +32,16 @@ def scan_table(spark: SparkSession, name_or_path: str) -> DataFrame:
     return lower_names(df)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a plain scan over all task slots, for heavy work on every row.
+
+    A table of many files has more splits than slots and is left as it is; only a table that comes
+    in one or a few files is shuffled.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots, key)
+
+
 def null_tokens(df: DataFrame) -> DataFrame:
     """Exactly ``NULL``, ``null`` and the empty text become null in text columns."""
 
