@@ -11,8 +11,16 @@ from .sequences import next_after
 
 
 def records_with_feedback(records: DataFrame, feedback: DataFrame, run: str) -> DataFrame:
-    """All records of a run, each with its feedback rows if it has any."""
-    return records.filter(F.col("tags") == run).join(feedback, "record_id", "left")
+    """All records of a run, each with its feedback rows if it has any.
+
+    A left join, written as the matches and the records without one: a record with very many
+    feedback rows can be split in an inner join, but not on the right side of an outer join.
+    """
+    of_run = records.filter(F.col("tags") == run)
+    rated = feedback.select("record_id").distinct()
+    return of_run.join(feedback, "record_id").unionByName(
+        of_run.join(rated, "record_id", "left_anti"), allowMissingColumns=True
+    )
 
 
 def feedback_of_run(feedback: DataFrame, records: DataFrame, run: str) -> DataFrame:

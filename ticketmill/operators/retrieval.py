@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
-from ..functions.text import words
+from ..functions.text import let, words
 from .curate import text_digest
 
 DIMS = 64
@@ -26,35 +26,35 @@ def word_bucket(word: Column, dims: int = DIMS) -> Column:
     return F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("bigint") % dims
 
 
-def embed(df: DataFrame, id_column: str, text: str, dims: int = DIMS) -> DataFrame:
-    """(id, embedding): hashed word counts scaled to length 1, the stand-in for a hosted model.
+def embed(df: DataFrame, text: str, out: str = "embedding", dims: int = DIMS) -> DataFrame:
+    """Add hashed word counts scaled to length 1, the stand-in for a hosted embedding model.
 
-    A text without words gets a zero vector. The rows are spread by id once; both counts and vectors
-    are then built inside that partitioning, so only the texts are shuffled.
+    A text without words gets a zero vector. All of it happens inside the row: nothing is exploded
+    or shuffled.
     """
-    exploded = (
-        df.select(F.col(id_column), F.col(text))
-        .repartition(id_column)
-        .select(id_column, F.explode_outer(words(F.col(text))).alias("_word"))
-        .withColumn("_bucket", word_bucket(F.col("_word"), dims))
-    )
-    counts = exploded.groupBy(id_column, "_bucket").agg(F.count("_word").alias("_n"))
-    entry = F.when(F.col("_bucket").isNotNull(), F.struct("_bucket", "_n"))
-    packed = counts.groupBy(id_column).agg(
-        F.map_from_entries(F.collect_list(entry)).alias("_counts"),
-        F.sqrt(F.sum(F.col("_n") * F.col("_n"))).alias("_norm"),
-    )
     axes = F.sequence(F.lit(0).cast("bigint"), F.lit(dims - 1).cast("bigint"))
-    value = lambda i: F.coalesce(
-        F.try_divide(F.try_element_at("_counts", i), F.col("_norm")), F.lit(0.0)
-    )
-    return packed.select(id_column, F.transform(axes, value).alias("embedding"))
+
+    def count(buckets: Column) -> Column:
+        return F.transform(
+            axes, lambda axis: F.size(F.filter(buckets, lambda b: b == axis)).cast("double")
+        )
+
+    def scale(counts: Column) -> Column:
+        squares = F.aggregate(counts, F.lit(0.0), lambda acc, c: acc + c * c)
+        return let(
+            F.sqrt(squares),
+            lambda norm: F.transform(counts, lambda c: F.coalesce(F.try_divide(c, norm), F.lit(0.0))),
+        )
+
+    buckets = F.transform(words(F.col(text)), lambda w: word_bucket(w, dims))
+    return df.withColumn(out, let(let(buckets, count), scale))
 
 
 def build_search_index(df: DataFrame, id_column: str, text: str, attributes: list[str]) -> DataFrame:
     """id, attributes, digest of the indexed text, embedding."""
-    rows = df.select(id_column, *attributes, text_digest(text).alias("digest"))
-    return rows.join(embed(df, id_column, text), id_column)
+    return embed(df.withColumn("digest", text_digest(text)), text).select(
+        id_column, *attributes, "digest", "embedding"
+    )
 
 
 def _matrix(column: pd.Series) -> np.ndarray:

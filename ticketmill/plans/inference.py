@@ -223,10 +223,8 @@ def answer_tickets(spark, tables):
     articles = T.scan(spark, tables, "documents").select(
         F.col("doc_id").alias("corpus_id"), "text"
     )
-    corpus = R.embed(articles, "corpus_id", "text")
-    queries = R.embed(asked, "ticket_id", "issue_description").withColumnRenamed(
-        "ticket_id", "query_id"
-    )
+    corpus = R.embed(articles, "text")
+    queries = R.embed(asked, "issue_description").withColumnRenamed("ticket_id", "query_id")
     hits = R.vector_topk(corpus, queries, V.TOP_K)
     chunks = R.retrieve_text_chunks(queries, hits, articles, "text")
     found = understood.join(

@@ -52,7 +52,7 @@ def documents_index(spark, tables):
 
 def benchmark_queries(spark, tables):
     items = T.scan(spark, tables, "benchmark")
-    return R.embed(items, "item_id", "text").withColumnRenamed("item_id", "query_id")
+    return R.embed(items, "text").select(F.col("item_id").alias("query_id"), "embedding")
 
 
 @query(
