@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
@@ -92,6 +92,27 @@ def batch_complete(
     )
 
 
+def register_agent_function(
+    spark: SparkSession, name: str, make_client: Callable[[], Client]
+) -> None:
+    """A table function for SQL: ``SELECT ... FROM tickets, LATERAL name(body)`` gives a response.
+
+    An empty answer gives no row. It asks for one text at a time, so whole tables are better served
+    by :func:`batch_complete`.
+    """
+
+    class Agent:
+        def __init__(self):
+            self.client = make_client()
+
+        def eval(self, message: str):
+            answer = self.client([message])[0] if message else None
+            if answer:
+                yield (answer,)
+
+    spark.udtf.register(name, F.udtf(Agent, returnType="response string"))
+
+
 def rewrite_tickets(
     df: DataFrame,
     make_client: Callable[[], Client] | None = None,

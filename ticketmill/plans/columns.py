@@ -316,7 +316,7 @@ def letter_frequency_query(spark, tables):
         .select("doc_id", letter_frequency(F.col("counts")).alias("shares"))
     )
     letters = F.array(*[F.lit(ch) for ch in V.LETTERS])
-    return shares.select("doc_id", F.explode(F.arrays_zip("shares", letters.alias("letters"))).alias("z")).select(
+    return shares.select("doc_id", F.explode_outer(F.arrays_zip("shares", letters.alias("letters"))).alias("z")).select(
         "doc_id", F.col("z.letters").alias("letter"), F.round("z.shares", 6).alias("share")
     )
 

@@ -39,6 +39,29 @@ def batch_complete(spark, tables):
     return answered.select("conv_id", "turn", "answer", "errors")
 
 
+def first_word_client():
+    """A client without a model: the first word of a text that starts with a capital, else nothing."""
+
+    def complete(texts: list[str]) -> list[str]:
+        words = [t.split("\n")[0].split(" ")[0] for t in texts]
+        return [w if "A" <= w[:1] <= "Z" else "" for w in words]
+
+    return complete
+
+
+@query(
+    "agent_table_function",
+    """SELECT conv_id, turn, split_part(split_part(text, chr(10), 1), ' ', 1) AS response
+    FROM conversations WHERE role = 'user' AND regexp_matches(text, '^[A-Z]')""",
+)
+def agent_table_function(spark, tables):
+    I.register_agent_function(spark, "ticket_agent", first_word_client)
+    asked = T.scan(spark, tables, "conversations").filter("role = 'user'")
+    return spark.sql(
+        "SELECT conv_id, turn, response FROM {asked}, LATERAL ticket_agent(text)", asked=asked
+    )
+
+
 def drop_lines_sql(text: str, pattern: str) -> str:
     kept = (
         f"list_filter(string_split({text}, chr(10)),"

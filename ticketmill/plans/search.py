@@ -67,7 +67,7 @@ def build_search_index(spark, tables):
     index = documents_index(spark, tables)
     flat = index.select(
         F.col("corpus_id").alias("doc_id"), "language", "source",
-        F.posexplode("embedding").alias("dim", "value"),
+        F.posexplode_outer("embedding").alias("dim", "value"),
     )
     return flat.filter("value > 0").select(
         "doc_id", "language", "source", F.col("dim").cast("bigint").alias("dim"),
@@ -137,7 +137,7 @@ def join_query_corpus(spark, tables):
 def label_centroids(spark, tables):
     """Mean vector per label of the given embeddings, as a query each."""
     vectors = T.scan(spark, tables, "embeddings")
-    dims = vectors.select("label", F.posexplode("embedding").alias("dim", "value"))
+    dims = vectors.select("label", F.posexplode_outer("embedding").alias("dim", "value"))
     means = dims.groupBy("label", "dim").agg(F.avg(F.col("value").cast("double")).alias("value"))
     ordered = F.sort_array(F.collect_list(F.struct("dim", "value")))
     return means.groupBy("label").agg(
