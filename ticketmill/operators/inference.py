@@ -20,6 +20,7 @@ from ..functions.text import (
 )
 from . import prompts as P
 from . import rules as R
+from .retrieval import embed, retrieve_text_chunks, vector_topk
 
 # A client takes a list of prompts and returns as many answers.
 Client = Callable[[list[str]], list[str]]
@@ -241,3 +242,25 @@ def respond(
             F.col("final_response"), F.col("priority_level"), F.size("retrieved_context") > 0
         ),
     )
+
+
+def answer_tickets(
+    tickets: DataFrame,
+    articles: DataFrame,
+    make_client: Callable[[], Client] | None = None,
+    k: int = V.TOP_K,
+    search: Callable[..., DataFrame] = vector_topk,
+) -> DataFrame:
+    """Understand, retrieve, draft and guard the replies to a whole table of tickets.
+
+    ``tickets`` is (ticket_id, issue_description), ``articles`` (corpus_id, text). The default
+    search is exact and compares every ticket with every article; for large tables on both sides
+    pass :func:`vector_topk_approx`, which compares within cells.
+    """
+    corpus = embed(articles, "text")
+    queries = embed(tickets, "issue_description").withColumnRenamed("ticket_id", "query_id")
+    hits = search(corpus, queries, k)
+    chunks = retrieve_text_chunks(queries, hits, articles, "text").select(
+        F.col("query_id").alias("ticket_id"), F.col("chunks").alias("retrieved_context")
+    )
+    return respond(understand_tickets(tickets, make_client).join(chunks, "ticket_id"), make_client)

@@ -125,7 +125,7 @@ def runs(spark: SparkSession, tables: str) -> DataFrame:
     """Answered tickets with the attributes and context an agent run leaves behind.
 
     The document with the conversation's number serves as context, one chunk per line. The agent's
-    answer is the first line of the expected answer and the first line of the context.
+    answer is the expected answer followed by the context.
     """
     found = F.col("text").isNotNull()
     context = F.when(found, F.replace("text", F.lit("\n"), F.lit("\n\n"))).otherwise(V.NO_CONTEXT)
@@ -147,11 +147,7 @@ def runs(spark: SparkSession, tables: str) -> DataFrame:
             "priority",
             F.col("body").alias("query"),
             F.col("answer").alias("ground_truth"),
-            F.concat_ws(
-                ". ",
-                F.substring_index("answer", "\n", 1),
-                F.substring_index("text", "\n", 1),
-            ).alias("agent_answer"),
+            F.concat_ws("\n", "answer", "text").alias("agent_answer"),
             context.alias("context"),
             found.alias("used_search"),
         )
@@ -242,8 +238,7 @@ answered AS (
     FROM (SELECT ticket_id, lang AS language, source AS queue,
                  lower(substr(o_orderpriority, 3)) AS priority,
                  body AS query, answer AS ground_truth,
-                 concat_ws('. ', split_part(answer, chr(10), 1), split_part(d.text, chr(10), 1))
-                     AS agent_answer,
+                 concat_ws(chr(10), answer, d.text) AS agent_answer,
                  coalesce(replace(d.text, chr(10), chr(10) || chr(10)), '{V.NO_CONTEXT}') AS context,
                  d.text IS NOT NULL AS used_search
           FROM answered LEFT JOIN documents d ON doc_id = conv_id

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
-from ..functions.language import detect_language
 from ..operators import inference as I
-from ..operators import retrieval as R
 from ..operators import rules as K
 from ..operators.sampling import sample_n
 from . import frames as T
@@ -18,44 +16,45 @@ from .registry import query
 from .search import counts_sql, hits_sql
 
 
+PROMPT_HEAD = "Give this text in small letters.\n\n"
+
+
 def lower_client():
-    """A client without a model: the first word of the prompt's third line in lower case."""
+    """A client without a model: the text after the head of the prompt, in lower case."""
 
     def complete(prompts: list[str]) -> list[str]:
-        return [p.split("\n")[2].split(" ")[0].lower() for p in prompts]
+        return [p[len(PROMPT_HEAD) :].lower() for p in prompts]
 
     return complete
 
 
 @query(
     "batch_complete",
-    """SELECT conv_id, turn, lower(split_part(split_part(text, chr(10), 1), ' ', 1)) AS answer,
-           NULL::VARCHAR AS errors FROM conversations""",
+    "SELECT conv_id, turn, lower(text) AS answer, NULL::VARCHAR AS errors FROM conversations",
 )
 def batch_complete(spark, tables):
     rows = T.scan(spark, tables, "conversations")
-    prompt = F.concat(F.lit("Name the first word.\nText:\n"), "text")
+    prompt = F.concat(F.lit(PROMPT_HEAD), "text")
     answered = I.batch_complete(rows, {"answer": prompt}, lower_client)
     return answered.select("conv_id", "turn", "answer", "errors")
 
 
-def first_word_client():
-    """A client without a model: the first word of a text that starts with a capital, else nothing."""
+def shouting_client():
+    """A client without a model that answers texts with a certain word only."""
 
     def complete(texts: list[str]) -> list[str]:
-        words = [t.split("\n")[0].split(" ")[0] for t in texts]
-        return [w if "A" <= w[:1] <= "Z" else "" for w in words]
+        return [t.replace("the", "THE") if "the" in t else "" for t in texts]
 
     return complete
 
 
 @query(
     "agent_table_function",
-    """SELECT conv_id, turn, split_part(split_part(text, chr(10), 1), ' ', 1) AS response
-    FROM conversations WHERE role = 'user' AND regexp_matches(text, '^[A-Z]')""",
+    """SELECT conv_id, turn, replace(text, 'the', 'THE') AS response
+    FROM conversations WHERE role = 'user' AND contains(text, 'the')""",
 )
 def agent_table_function(spark, tables):
-    I.register_agent_function(spark, "ticket_agent", first_word_client)
+    I.register_agent_function(spark, "ticket_agent", shouting_client)
     asked = T.scan(spark, tables, "conversations").filter("role = 'user'")
     return spark.sql(
         "SELECT conv_id, turn, response FROM {asked}, LATERAL ticket_agent(text)", asked=asked
@@ -236,27 +235,6 @@ def policy_guardrails(spark, tables):
     return rows.select("doc_id", response.alias("response"))
 
 
-def answer_tickets(spark, tables):
-    """Every user turn as a ticket: understood, searched for, answered, guarded."""
-    asked = T.messages(spark, tables).filter("role = 'user'").select(
-        (F.col("conv_id") * 1000000 + F.col("turn")).alias("ticket_id"),
-        F.col("text").alias("issue_description"),
-    )
-    understood = I.understand_tickets(asked)
-    articles = T.scan(spark, tables, "documents").select(
-        F.col("doc_id").alias("corpus_id"), "text"
-    )
-    corpus = R.embed(articles, "text")
-    queries = R.embed(asked, "issue_description").withColumnRenamed("ticket_id", "query_id")
-    hits = R.vector_topk(corpus, queries, V.TOP_K)
-    chunks = R.retrieve_text_chunks(queries, hits, articles, "text")
-    found = understood.join(
-        chunks.select(F.col("query_id").alias("ticket_id"), F.col("chunks").alias("retrieved_context")),
-        "ticket_id",
-    )
-    return I.respond(found)
-
-
 @query(
     "answer_tickets",
     "WITH asked AS (SELECT conv_id * 1000000 + turn AS ticket_id, text FROM conversations"
@@ -283,8 +261,16 @@ def answer_tickets(spark, tables):
            AS final_response
     FROM understood JOIN best ON query_id = ticket_id""",
 )
-def answer_tickets_query(spark, tables):
-    return answer_tickets(spark, tables).select(
+def answer_tickets(spark, tables):
+    """Every user turn as a ticket, every document as an article."""
+    asked = T.messages(spark, tables).filter("role = 'user'").select(
+        (F.col("conv_id") * 1000000 + F.col("turn")).alias("ticket_id"),
+        F.col("text").alias("issue_description"),
+    )
+    articles = T.scan(spark, tables, "documents").select(
+        F.col("doc_id").alias("corpus_id"), "text"
+    )
+    return I.answer_tickets(asked, articles).select(
         "ticket_id", "language", "topic", "intent", "priority_level",
         F.size("retrieved_context").cast("bigint").alias("n_chunks"), "final_response",
     )
