@@ -46,12 +46,27 @@ def _share_of(items: Column, keep: Callable[[Column], Column]) -> Column:
 
 
 def _backed_sentences(text: str, source: str) -> Column:
-    """Share of a text's sentences with most of their words in the source."""
+    """Share of a text's sentences with most of their words in the source.
+
+    The source is looked through once, for the text's words it lacks; each sentence is then held
+    against that short list instead of the whole source.
+    """
     claims = F.transform(sentences(F.col(text)), words)
-    return let(
-        words(F.col(source)),
-        lambda known: _share_of(claims, lambda w: _found_share(w, known) >= CLAIM_SHARE),
-    )
+
+    def backed(claim: Column, lacking: Column) -> Column:
+        def enough(wanted: Column) -> Column:
+            lost = F.size(F.array_intersect(wanted, lacking))
+            return (F.size(wanted) - lost) / F.size(wanted) >= CLAIM_SHARE
+
+        return let(F.array_distinct(claim), enough)
+
+    def share(claimed: Column) -> Column:
+        return let(
+            F.array_except(F.flatten(claimed), words(F.col(source))),
+            lambda lacking: _share_of(claimed, lambda claim: backed(claim, lacking)),
+        )
+
+    return let(claims, share)
 
 
 def metric_faithfulness(answer: str = "agent_answer", context: str = "context") -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,38 +63,9 @@ def append_table(df: DataFrame, table: str) -> None:
 
 
 def create_table_as(spark: SparkSession, table: str, query: str, **frames: DataFrame) -> None:
-    """Create or replace a table from a query over the given frames."""
-    names = {}
-    for name, frame in frames.items():
-        names[name] = f"{name}_{uuid.uuid4().hex[:8]}"
-        frame.createOrReplaceTempView(names[name])
+    """Create or replace a table from a query; ``{name}`` in it stands for the frame given."""
     spark.sql(f"DROP TABLE IF EXISTS {table}")
-    spark.sql(f"CREATE TABLE {table} USING parquet AS {query.format(**names)}")
-
-
-class ChangeLog:
-    """Changes of a keyed table, one folder of Parquet files per batch.
-
-    Plain Parquet has no ``MERGE``, and rewriting a large table for every small batch would cost
-    more than the batch. So batches are only added, and the table is the latest change per key; a
-    batch that is written again after a failure replaces its own folder.
-    """
-
-    def __init__(self, spark: SparkSession, root: str, schema: str):
-        self.spark, self.root, self.schema = spark, root, schema
-
-    def add(self, changes: DataFrame, batch: int) -> None:
-        changes.write.mode("overwrite").parquet(f"{self.root}/batch={batch}")
-
-    def read(self, below: int | None = None) -> DataFrame:
-        """All changes with their batch number, optionally of earlier batches only."""
-        try:
-            log = self.spark.read.schema(f"{self.schema}, batch bigint").parquet(self.root)
-        except AnalysisException as exc:
-            if exc.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], f"{self.schema}, batch bigint")
-        return log if below is None else log.filter(F.col("batch") < below)
+    spark.sql(f"CREATE TABLE {table} USING parquet AS {query}", **frames)
 
 
 def staged(df: DataFrame, name: str = "staged") -> DataFrame:
