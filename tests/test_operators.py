@@ -61,7 +61,8 @@ def test_csv_dialect(spark, tmp_path):
         "plain,x,y,Incident, IT ,high,de,oops\n",
         encoding="utf-8",
     )
-    schema = "subject string, body string, answer string, type string, queue string, priority string, language string, version bigint"
+    schema = """subject string, body string, answer string, type string, queue string,
+        priority string, language string, version bigint"""
     df = readers.scan_csv_tickets(spark, str(tmp_path), schema)
     assert rows(df, "subject") == [
         ("a, b", 'say "hi"\nagain', None, None, None, "Null", "en", 51),
@@ -189,7 +190,10 @@ def test_threads_are_reused_or_allotted(spark):
 
 
 def test_thread_descriptions_without_ids_are_left_out(spark):
-    good = '{"metadata": {"thread_id": 1, "created_on": 1000}, "messages": [{"message_id": 5, "parent_id": 0}, {"role": "user"}]}'
+    good = (
+        '{"metadata": {"thread_id": 1, "created_on": 1000},'
+        ' "messages": [{"message_id": 5, "parent_id": 0}, {"role": "user"}]}'
+    )
     df = spark.createDataFrame(
         [(good, at(1)), ('{"metadata": {}}', at(1)), ("broken", at(1))],
         "description string, ingested_at timestamp_ntz",
@@ -268,7 +272,8 @@ def test_folded_run(spark):
 
 
 def test_average_score_is_null_when_a_score_is(spark):
-    df = spark.createDataFrame([(1.0, 0.5, 0.5, 0.0), (1.0, None, 1.0, 1.0)], ", ".join(f"{m}_score double" for m in P.METRICS))
+    schema = ", ".join(f"{m}_score double" for m in P.METRICS)
+    df = spark.createDataFrame([(1.0, 0.5, 0.5, 0.0), (1.0, None, 1.0, 1.0)], schema)
     assert [r[0] for r in df.select(P.average_score()).collect()] == [0.5, None]
 
 

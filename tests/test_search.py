@@ -221,7 +221,8 @@ def test_model_labels(spark):
 # --- streams
 
 
-SCHEMA = "conversation_id string, thread_id bigint, last_assistant_message_id bigint, origin_application string, updated_at timestamp_ntz, event_id bigint"
+SCHEMA = """conversation_id string, thread_id bigint, last_assistant_message_id bigint,
+    origin_application string, updated_at timestamp_ntz, event_id bigint"""
 
 
 def test_stream_upsert_over_batches_with_a_late_update(spark):
@@ -263,3 +264,20 @@ def test_a_retried_batch_replaces_itself(spark):
         log.add(spark.range(3), 0)
     log.add(spark.range(2), 1)
     assert log.read().count() == 5 and log.read(below=1).count() == 3
+
+
+def test_index_stream_embeds_changes_only(spark):
+    stage, seen = scratch_path(spark, "stage"), scratch_path(spark, "seen")
+    log = ChangeLog(
+        spark, scratch_path(spark, "log"), "id bigint, digest string, embedding array<double>"
+    )
+    schema = "id bigint, text string"
+    for rows in [[(1, "a"), (2, "b")], [(1, "a"), (2, "changed"), (3, "new")]]:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(stage)
+        stream = stream_parquet(spark, stage, "*.parquet", schema)
+        L.keep_index_fresh(stream, log, "id", "text", [], seen)
+    assert sorted(r["id"] for r in log.read().collect()) == [1, 2, 2, 3]
+    live = {r["id"]: r["digest"] for r in L.live_index(log, "id").collect()}
+    want = spark.createDataFrame([(1, "a"), (2, "changed"), (3, "new")], schema)
+    built = R.build_search_index(want, "id", "text", [])
+    assert live == {r["id"]: r["digest"] for r in built.collect()}

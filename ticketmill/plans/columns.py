@@ -15,7 +15,7 @@ from ..functions.language import (
     load_profiles,
 )
 from . import frames as T
-from .frames import sql_strip, sql_text, with_sql
+from .frames import sql_text, with_sql
 from .registry import query
 
 QUESTION = "Question: {query}\nAnswer: {answer}\nReply as {{json}}."
@@ -128,7 +128,9 @@ def parse_topic_intent(spark, tables):
         .otherwise("no idea")
     )
     found = J.parse_topic_intent(raw)
-    return T.scan(spark, tables, "events").select("event_id", found["topic"].alias("topic"), found["intent"].alias("intent"))
+    return T.scan(spark, tables, "events").select(
+        "event_id", found["topic"].alias("topic"), found["intent"].alias("intent")
+    )
 
 
 @query(

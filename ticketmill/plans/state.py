@@ -176,6 +176,16 @@ def stateless_history(spark, tables):
     return S.stateless_history(T.messages(spark, tables))
 
 
+@query(
+    "history_chunks",
+    f"""SELECT conv_id, turn // {S.HISTORY_CHUNK} AS chunk_no, count(*) AS n_messages,
+           '[' || string_agg({payload_sql('m')}, ',' ORDER BY turn) || ']' AS messages
+    FROM conversations m GROUP BY ALL""",
+)
+def history_chunks(spark, tables):
+    return S.history_chunks(T.messages(spark, tables))
+
+
 # --- recorded responses ---------------------------------------------------------------------------
 
 

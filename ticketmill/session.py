@@ -58,12 +58,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/ticketmill/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
     """Write the rows below the shared folder and go on from the files.
 
     The files survive the loss of any executor, later steps read only the columns they need, and
     joins are planned on the sizes the files really have.
     """
-    path = scratch_path(df.sparkSession, "step")
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,4 +1,4 @@
-"""Sinks: catalog layers, overwrite, append, versioned upsert, agent outputs."""
+"""Sinks: catalog layers, overwrite, append, change log, agent outputs."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.curate import upper_names
-from ..session import scratch_path
+from ..session import cut_lineage
 from .readers import TICKET_SCHEMA
 
 LAYERS = {
@@ -68,15 +68,39 @@ def create_table_as(spark: SparkSession, table: str, query: str, **frames: DataF
     spark.sql(f"CREATE TABLE {table} USING parquet AS {query}", **frames)
 
 
+class ChangeLog:
+    """Changes of a keyed table, one folder of Parquet files per batch.
+
+    Plain Parquet has no ``MERGE``, and rewriting a large table for every small batch would cost
+    more than the batch. So batches are only added, and the table is the latest change per key; a
+    batch that is written again after a failure replaces its own folder. When a log has grown long,
+    a new one starts with the live table as its first batch.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, schema: str):
+        self.spark, self.root, self.schema = spark, root, schema
+
+    def add(self, changes: DataFrame, batch: int) -> None:
+        changes.write.mode("overwrite").parquet(f"{self.root}/batch={batch}")
+
+    def read(self, below: int | None = None) -> DataFrame:
+        """All changes with their batch number, optionally of earlier batches only."""
+        try:
+            log = self.spark.read.schema(f"{self.schema}, batch bigint").parquet(self.root)
+        except AnalysisException as exc:
+            if exc.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], f"{self.schema}, batch bigint")
+        return log if below is None else log.filter(F.col("batch") < below)
+
+
 def staged(df: DataFrame, name: str = "staged") -> DataFrame:
     """Write a result to the shared folder once and read it from there.
 
     For steps that read it several times, and for merged tables, which cannot overwrite the files
     they are read from.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return cut_lineage(df, name)
 
 
 def agent_output_rows(

@@ -95,8 +95,10 @@ def keep_index_fresh(
     """Embed the texts of each micro-batch that are new or differ from their last entry."""
 
     def save(batch: DataFrame, batch_id: int) -> None:
+        # Only entries of the batch's own ids are looked at, before anything is shuffled by id.
         entries = log.read(below=batch_id).select(id_column, "digest", "batch")
-        current = latest_per_key(entries, id_column, ["batch"]).select(id_column, "digest")
+        touched = entries.join(batch.select(id_column).distinct(), id_column, "left_semi")
+        current = latest_per_key(touched, id_column, ["batch"]).select(id_column, "digest")
         changed = batch.withColumn("digest", text_digest(text)).join(
             current, [id_column, "digest"], "left_anti"
         )
