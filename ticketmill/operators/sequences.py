@@ -17,7 +17,7 @@ BLOCK_ROWS = 4096
 
 
 def _blocked(df: DataFrame, order: str, size: int) -> DataFrame:
-    return df.withColumn("_block", F.floor(F.col(order) / size))
+    return df.withColumn("_block", F.expr(f"`{order}` div {size}"))
 
 
 def _carry(

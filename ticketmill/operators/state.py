@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.payloads import THREAD_SCHEMA
+from ..functions.payloads import THREAD_SCHEMA, extract_message_text
 from ..functions.text import epoch_ms_to_ts, null_zero_parent
 from .curate import keep_latest_snapshot
 from .sequences import last_before, number_rows
@@ -136,6 +136,15 @@ def list_conversations(conversations: DataFrame, limit: int = 50) -> DataFrame:
     return conversations.orderBy(F.desc("updated_at"), "conversation_id").limit(limit)
 
 
+def conversation_messages(messages: DataFrame) -> DataFrame:
+    """The user and assistant messages of threads as plain text; empty ones are left out."""
+    return (
+        messages.filter(F.col("role").isin("user", "assistant"))
+        .withColumn("content", extract_message_text(F.col("message_payload")))
+        .filter("content <> ''")
+    )
+
+
 def exchange_count(messages: DataFrame) -> DataFrame:
     """Exchanges per conversation: half of its user and assistant messages, rounded down."""
     return (

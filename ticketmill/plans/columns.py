@@ -313,7 +313,7 @@ SIMS = (
 )
 def letter_frequency_query(spark, tables):
     shares = (
-        T.scan(spark, tables, "documents")
+        T.texts(spark, tables)
         .select("doc_id", letter_counts(F.col("text")).alias("counts"))
         .select("doc_id", letter_frequency(F.col("counts")).alias("shares"))
     )
@@ -329,7 +329,7 @@ def letter_frequency_query(spark, tables):
 )
 def cosine_similarity_query(spark, tables):
     shares = (
-        T.scan(spark, tables, "documents")
+        T.texts(spark, tables)
         .select("doc_id", letter_counts(F.col("text")).alias("counts"))
         .select("doc_id", letter_frequency(F.col("counts")).alias("shares"))
     )
@@ -346,7 +346,7 @@ DETECTED = SIMS + """, detected AS (
 
 @query("detect_language", DETECTED + " SELECT * FROM detected")
 def detect_language_query(spark, tables):
-    return detect_language(T.scan(spark, tables, "documents")).select("doc_id", "language")
+    return detect_language(T.texts(spark, tables)).select("doc_id", "language")
 
 
 @query(
@@ -368,7 +368,7 @@ def detect_language_query(spark, tables):
 )
 def load_profiles_query(spark, tables):
     """The profile next to the letter shares of the documents of its language."""
-    counted = T.scan(spark, tables, "documents").select(
+    counted = T.texts(spark, tables).select(
         F.col("lang").alias("language"), letter_counts(F.col("text")).alias("counts")
     )
     sums = counted.groupBy("language").agg(

@@ -52,11 +52,11 @@ def filter_length_band(spark, tables):
 
 @query(
     "rename_case",
-    """SELECT n_nationkey AS "N_NATIONKEY", n_name AS "N_NAME", n_regionkey AS "N_REGIONKEY"
-    FROM nation""",
+    """SELECT c_custkey AS "C_CUSTKEY", c_name AS "C_NAME", c_nationkey AS "C_NATIONKEY",
+           c_acctbal AS "C_ACCTBAL", c_mktsegment AS "C_MKTSEGMENT" FROM customer""",
 )
 def rename_case(spark, tables):
-    return C.upper_names(T.scan(spark, tables, "nation"))
+    return C.upper_names(T.scan(spark, tables, "customer"))
 
 
 @query("drop_intermediate", "SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem")

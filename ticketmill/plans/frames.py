@@ -19,8 +19,12 @@ SPLIT_AT = "2024-01-16 00:00:00"
 
 
 def scan(spark: SparkSession, tables: str, name: str) -> DataFrame:
-    df = scan_table(spark, f"{tables}/{name}.parquet")
-    return spread(df, "doc_id") if name == "documents" else df
+    return scan_table(spark, f"{tables}/{name}.parquet")
+
+
+def texts(spark: SparkSession, tables: str) -> DataFrame:
+    """The documents for heavy work on every text."""
+    return spread(scan(spark, tables, "documents"), "doc_id")
 
 
 def tickets(spark: SparkSession, tables: str) -> DataFrame:

@@ -160,7 +160,7 @@ PRIORITY = keyword_sql("text", K.PRIORITY_KEYWORDS, "LOW")
 
 
 def issues(spark, tables):
-    return T.scan(spark, tables, "documents").select(
+    return T.texts(spark, tables).select(
         F.col("doc_id").alias("ticket_id"), F.col("text").alias("issue_description")
     )
 
@@ -207,7 +207,7 @@ def classify_answer_type(spark, tables):
 )
 def draft_response(spark, tables):
     """Documents as issues and their lines as context; French ones have none."""
-    rows = T.scan(spark, tables, "documents").select(
+    rows = T.texts(spark, tables).select(
         F.col("doc_id").alias("ticket_id"),
         F.col("text").alias("issue_description"),
         K.rule_topic(F.col("text")).alias("topic"),
@@ -267,7 +267,7 @@ def answer_tickets(spark, tables):
         (F.col("conv_id") * 1000000 + F.col("turn")).alias("ticket_id"),
         F.col("text").alias("issue_description"),
     )
-    articles = T.scan(spark, tables, "documents").select(
+    articles = T.texts(spark, tables).select(
         F.col("doc_id").alias("corpus_id"), "text"
     )
     return I.answer_tickets(asked, articles).select(

@@ -44,7 +44,7 @@ def hits_sql(k: int, same: str = "") -> str:
 
 
 def documents_index(spark, tables):
-    docs = T.scan(spark, tables, "documents").withColumnRenamed("lang", "language")
+    docs = T.texts(spark, tables).withColumnRenamed("lang", "language")
     return R.build_search_index(docs, "doc_id", "text", ["language", "source"]).withColumnRenamed(
         "doc_id", "corpus_id"
     )
@@ -189,7 +189,7 @@ def vector_topk_approx(spark, tables):
 def retrieve_text_chunks(spark, tables):
     corpus = documents_index(spark, tables).select("corpus_id", "embedding")
     queries = benchmark_queries(spark, tables)
-    texts = T.scan(spark, tables, "documents").select(F.col("doc_id").alias("corpus_id"), "text")
+    texts = T.texts(spark, tables).select(F.col("doc_id").alias("corpus_id"), "text")
     lists = R.retrieve_text_chunks(queries, R.vector_topk(corpus, queries), texts, "text")
     return lists.select(
         "query_id",
@@ -205,7 +205,7 @@ def retrieve_text_chunks(spark, tables):
 )
 def refresh_index(spark, tables):
     """An index of the labelled documents brought up to all documents."""
-    docs = T.scan(spark, tables, "documents").withColumnRenamed("lang", "language")
+    docs = T.texts(spark, tables).withColumnRenamed("lang", "language")
     labels = T.scan(spark, tables, "labels")
     known = R.build_search_index(
         docs.join(labels, "doc_id", "left_semi"), "doc_id", "text", ["language"]
@@ -276,20 +276,20 @@ KEPT = CLUSTERS + """, member AS (
 @query("dedup_near_pairs")
 def dedup_near_pairs(spark, tables):
     """Edges that link all near duplicates; which edges link a group is up to the algorithm."""
-    pairs = N.near_pairs(T.scan(spark, tables, "documents"), "doc_id", "text")
+    pairs = N.near_pairs(T.texts(spark, tables), "doc_id", "text")
     return pairs.withColumn("cosine", F.round("cosine", 6))
 
 
 @query("dedup_near_clusters", CLUSTERS + " SELECT * FROM clusters")
 def dedup_near_clusters(spark, tables):
-    return N.near_clusters(T.scan(spark, tables, "documents"), "doc_id", "text").withColumnRenamed(
+    return N.near_clusters(T.texts(spark, tables), "doc_id", "text").withColumnRenamed(
         "id", "doc_id"
     )
 
 
 @query("dedup_near_keep_best", KEPT + " SELECT doc_id, cluster, size FROM kept")
 def dedup_near_keep_best(spark, tables):
-    docs = T.scan(spark, tables, "documents")
+    docs = T.texts(spark, tables)
     best = N.keep_best(docs, N.near_clusters(docs, "doc_id", "text"), "doc_id", "text")
     return best.select("doc_id", "cluster", F.length("text").cast("bigint").alias("size"))
 
@@ -303,6 +303,6 @@ def dedup_near_keep_best(spark, tables):
            round((documents - kept) / documents * 100, 6) AS removed_percentage FROM n""",
 )
 def dedup_near_report(spark, tables):
-    docs = T.scan(spark, tables, "documents").select("doc_id", "text")
+    docs = T.texts(spark, tables).select("doc_id", "text")
     best = N.keep_best(docs, N.near_clusters(docs, "doc_id", "text"), "doc_id", "text")
     return N.removal_report(docs, best)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.payloads import extract_message_text
 from ..operators import responses as P
 from ..operators import state as S
 from . import frames as T
@@ -252,14 +251,13 @@ def fold_agent_run(spark, tables):
 
 @query(
     "extract_message_text",
-    "SELECT conv_id, turn, trim(text) AS text FROM conversations",
+    """SELECT conv_id, turn, role, trim(text) AS content FROM conversations
+    WHERE role IN ('user', 'assistant') AND trim(text) <> ''""",
 )
-def extract_message_text_query(spark, tables):
-    """Payloads as JSON for user and assistant turns, as plain text for system turns."""
-    rows = T.messages(spark, tables).withColumn(
-        "payload",
-        F.when(F.col("role") == "system", F.col("text")).otherwise(
-            F.to_json(S.message_struct("role", "text"))
-        ),
-    )
-    return rows.select("conv_id", "turn", extract_message_text(F.col("payload")).alias("text"))
+def extract_message_text(spark, tables):
+    """Payloads as JSON for assistant turns, as plain text for the others."""
+    payload = F.when(
+        F.col("role") == "assistant", F.to_json(S.message_struct("role", "text"))
+    ).otherwise(F.concat("text", F.lit("\n")))
+    rows = T.messages(spark, tables).withColumn("message_payload", payload)
+    return S.conversation_messages(rows).select("conv_id", "turn", "role", "content")
