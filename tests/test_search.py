@@ -201,6 +201,23 @@ def test_one_bad_prompt_costs_its_own_row(spark):
     assert found[2] == (None, None, "ValueError: no") and found[3] == (None, None, None)
 
 
+def test_equal_prompts_are_asked_once(spark):
+    def counting_client():
+        asked = []
+
+        def complete(prompts):
+            asked.extend(prompts)
+            return [f"{p}:{asked.count(p)}" for p in prompts]
+
+        return complete
+
+    rows = [(i, p) for i, p in enumerate(["same"] * 50 + ["other", None, ""])]
+    df = spark.createDataFrame(rows, "id int, p string")
+    done = I.batch_complete(df, {"a": F.col("p")}, counting_client, share_answers=True)
+    found = {r["id"]: r["a"] for r in done.collect()}
+    assert len(found) == 53 and set(found.values()) == {"same:1", "other:1", ":1", None}
+
+
 def test_model_answers_are_cleaned(spark):
     def client():
         return lambda prompts: ["Cleaned: fixed" for _ in prompts]

@@ -7,9 +7,16 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.payloads import parse_judge_response
+from ..functions.payloads import (
+    extract_context,
+    extract_message_text,
+    extract_tool_steps,
+    extract_usage,
+    parse_judge_response,
+)
 from ..functions.text import let, render_prompt, sentences, words
 from . import prompts as P
+from .curate import default_missing_column
 from .inference import Client, batch_complete
 from .profile import METRICS, average_score
 
@@ -141,6 +148,37 @@ def score_batch(
     )
 
 
+def run_batch_evaluation(
+    testset: DataFrame, make_agent: Callable[[], Client], make_judge: Callable[[], Client]
+) -> DataFrame:
+    """The results table: the agent's answer to every ticket of the test set, and its scores.
+
+    ``testset`` has ticket_id, rewritten_body and cleaned_answer; attributes it lacks become N/A.
+    The agent returns its response as JSON, with the steps it took and the tokens it used.
+    """
+    for attribute in ["language", "priority", "type"]:
+        testset = default_missing_column(testset, attribute)
+    answered = batch_complete(testset, {"_response": F.col("rewritten_body")}, make_agent)
+    read = answered.withColumn("_steps", extract_tool_steps(F.col("_response"))).withColumn(
+        "_usage", extract_usage(F.col("_response"))
+    )
+    results = read.select(
+        "ticket_id",
+        "language",
+        "priority",
+        "type",
+        F.col("rewritten_body").alias("query"),
+        F.col("cleaned_answer").alias("ground_truth"),
+        extract_message_text(F.col("_response")).alias("agent_answer"),
+        extract_context(F.col("_steps.tool_results")).alias("context"),
+        F.col("_steps.used_search").alias("used_search"),
+        "_usage.agent_model",
+        "_usage.total_input_tokens",
+        "_usage.total_output_tokens",
+    )
+    return score_batch(results, make_judge)
+
+
 def priority_accuracy(df: DataFrame, label: str, predicted: str) -> DataFrame:
     """Confusion counts with the accuracy over all rows."""
     counts = df.groupBy(label, predicted).agg(F.count("*").alias("n"))

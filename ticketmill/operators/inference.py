@@ -20,7 +20,9 @@ from ..functions.text import (
 )
 from . import prompts as P
 from . import rules as R
+from .curate import dedup_exact, filter_min_length, select_columns_by_rule
 from .retrieval import embed, retrieve_text_chunks, vector_topk
+from .sampling import sample_n
 
 # A client takes a list of prompts and returns as many answers.
 Client = Callable[[list[str]], list[str]]
@@ -33,6 +35,7 @@ def batch_complete(
     batch_size: int = 64,
     retries: int = 2,
     tasks: int | None = None,
+    share_answers: bool = False,
 ) -> DataFrame:
     """Add one answer column per prompt, and ``errors`` with the last failure of the row.
 
@@ -40,8 +43,17 @@ def batch_complete(
     in one stage. A failing batch is tried again, then prompt by prompt, so that one bad prompt
     costs its own row only. A null prompt gets a null answer. ``tasks`` spreads a small table over
     more tasks than it has partitions, since a model call takes longer than reading its row.
+    ``share_answers`` asks once for equal prompts and joins the answers back, which pays when a
+    large part of the table are copies and the model answers equal prompts equally.
     """
     names = list(prompts)
+    if share_answers:
+        bundle = F.struct(*[prompts[n].alias(n) for n in names])
+        keyed = df.withColumn("_key", F.sha2(F.to_json(bundle), 256)).withColumn("_prompts", bundle)
+        once = keyed.groupBy("_key").agg(F.any_value("_prompts").alias("_prompts"))
+        asked = {n: F.col(f"_prompts.{n}") for n in names}
+        answers = batch_complete(once, asked, make_client, batch_size, retries, tasks)
+        return keyed.drop("_prompts").join(answers.drop("_prompts"), "_key").drop("_key")
     fields = ", ".join(f"`{n}` string" for n in names) + ", `errors` string"
 
     def ask(client: Client, asked: list[str]) -> tuple[list[str | None], list[str | None]]:
@@ -134,6 +146,19 @@ def rewrite_tickets(
     )
 
 
+def curate_tickets(
+    raw: DataFrame,
+    id_column: str,
+    n_limit: int | None = V.CURATED_SAMPLE,
+    make_client: Callable[[], Client] | None = None,
+) -> DataFrame:
+    """The curated table from the raw one: columns, lengths, copies, sample, rewritten texts."""
+    cleaned = filter_min_length(select_columns_by_rule(raw), ["body", "answer"])
+    unique = dedup_exact(cleaned, ["body", "answer"], [id_column])
+    chosen = sample_n(unique, n_limit, id_column) if n_limit else unique
+    return rewrite_tickets(chosen, make_client)
+
+
 def by_language(templates: Mapping[str, str], holes: Mapping[str, Column]) -> Column:
     """The English template for ``en``, the German one for every other language."""
     return F.when(

@@ -129,6 +129,56 @@ def score_batch(spark, tables):
     return scored.select(*out, F.round("average_score", 6).alias("average_score"))
 
 
+def echo_agent():
+    """An agent without a model: it finds the query itself and answers it in small letters."""
+
+    def answer(queries: list[str]) -> list[str]:
+        responses = []
+        for text in queries:
+            found = {"name": V.SEARCH_TOOL, "status": "success", "content": text}
+            tokens = {
+                "model_name": "echo",
+                "input_tokens": {"total": len(text)},
+                "output_tokens": {"total": len(text) * 2},
+            }
+            steps = [
+                {"type": "tool_use", "tool_use": {"name": V.SEARCH_TOOL, "input": "q"}},
+                {"type": "tool_result", "tool_result": found},
+                {"type": "text", "text": text.lower()},
+            ]
+            usage = {"usage": {"tokens_consumed": [tokens]}}
+            responses.append(json.dumps({"content": steps, "metadata": usage}))
+        return responses
+
+    return answer
+
+
+@query(
+    "run_batch_evaluation",
+    with_sql("pairs")
+    + """, runs AS (
+        SELECT ticket_id, body AS query, answer AS ground_truth, trim(lower(body)) AS agent_answer,
+               body AS context FROM answered), judged AS (SELECT *, """
+    + ", ".join(
+        f"(length({_judge_prompt_sql(m)}) % 101)::DOUBLE / 100 AS {m}_score" for m in METRICS
+    )
+    + """ FROM runs) SELECT ticket_id, 'N/A' AS language, query, agent_answer, context,
+           true AS used_search, 'echo' AS agent_model, length(query) AS total_input_tokens,
+           length(query) * 2 AS total_output_tokens, round(("""
+    + " + ".join(f"{m}_score" for m in METRICS)
+    + ") / 4, 6) AS average_score FROM judged",
+)
+def run_batch_evaluation(spark, tables):
+    testset = T.answered_tickets(spark, tables).select(
+        "ticket_id", F.col("body").alias("rewritten_body"), F.col("answer").alias("cleaned_answer")
+    )
+    return E.run_batch_evaluation(testset, echo_agent, length_judge).select(
+        "ticket_id", "language", "query", "agent_answer", "context", "used_search", "agent_model",
+        "total_input_tokens", "total_output_tokens",
+        F.round("average_score", 6).alias("average_score"),
+    )
+
+
 @query(
     "split_label_output",
     with_sql("pairs", "runs")

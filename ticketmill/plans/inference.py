@@ -139,6 +139,24 @@ def rewrite_review(spark, tables):
     )
 
 
+@query(
+    "curate_tickets",
+    with_sql("tickets")
+    + f""", firsts AS (
+        SELECT *, row_number() OVER (PARTITION BY body, answer ORDER BY ticket_id) AS copy
+        FROM tickets WHERE length(body) >= {V.MIN_TEXT_LENGTH} AND length(answer) >= {V.MIN_TEXT_LENGTH}),
+    chosen AS (
+        SELECT * FROM firsts WHERE copy = 1
+        ORDER BY md5('{V.SEED}|' || ticket_id), ticket_id LIMIT {V.CURATED_SAMPLE}),
+    half AS (SELECT *, {_rewritten_answer_sql('answer')} AS half FROM chosen)
+    SELECT ticket_id, subject, body, answer, queue, language, tag_1, tag_2,
+           {_rewritten_body_sql('body')} AS rewritten_body,
+           {strip_prefixes_sql('half')} AS cleaned_answer FROM half""",
+)
+def curate_tickets(spark, tables):
+    return I.curate_tickets(T.tickets(spark, tables), "ticket_id")
+
+
 @query(
     "project_search_columns",
     with_sql("tickets", "labelled_tickets")
