@@ -246,6 +246,35 @@ def test_event_lines(spark):
     ]
 
 
+def events_of(lines):
+    """The same rules, written as a loop over the lines of one response."""
+    out, kind, parts, number = [], "message", [], 0
+    for line in lines + [""]:
+        line = line.rstrip("\r")
+        if line == "":
+            if parts:
+                out.append((number, kind, "\n".join(parts)))
+            kind, parts, number = "message", [], number + 1
+        elif line.startswith("event:"):
+            kind = line[6:].strip() or "message"
+        elif line.startswith("data:"):
+            parts.append(line[5:].lstrip())
+    return out
+
+
+def test_random_event_lines(spark, monkeypatch):
+    monkeypatch.setattr(Q, "BLOCK_ROWS", 5)
+    rng = random.Random(11)
+    choices = ["", "", "\r", ": c", "event: a", "event:", "event: b ", "data: x", "data:  y\r", "data:", "id: 7"]
+    lines = {k: [rng.choice(choices) for _ in range(rng.randrange(1, 120))] for k in "pqrs"}
+    data = [(k, i, line) for k, ls in lines.items() for i, line in enumerate(ls)]
+    df = spark.createDataFrame(data, "response_id string, line_no bigint, line string")
+    found = E.parse_sse_events(df).collect()
+    for k, ls in lines.items():
+        got = sorted((r["event_no"], r["event_type"], r["data"]) for r in found if r["response_id"] == k)
+        assert got == events_of(ls)
+
+
 def test_folded_run(spark):
     def run(name, *events):
         return [(name, i, kind, data) for i, (kind, data) in enumerate(events)]

@@ -251,7 +251,7 @@ def test_stream_upsert_over_batches_with_a_late_update(spark):
     def deliver(*rows):
         spark.createDataFrame(list(rows), SCHEMA).coalesce(1).write.mode("append").parquet(stage)
         L.keep_conversations(
-            stream_parquet(spark, stage, "*.parquet", SCHEMA), log, ["updated_at", "event_id"], seen
+            stream_parquet(spark, stage, SCHEMA), log, ["updated_at", "event_id"], seen
         )
 
     day = lambda d: dt.datetime(2024, 1, d)
@@ -270,7 +270,7 @@ def test_files_are_loaded_once(spark):
     for _ in range(2):
         spark.range(10).write.mode("append").parquet(stage)
         for _ in range(2):
-            load_new_files(stream_parquet(spark, stage, "*.parquet", "id bigint"), table, seen)
+            load_new_files(stream_parquet(spark, stage, "id bigint"), table, seen)
     assert spark.read.parquet(table).count() == 20
 
 
@@ -291,7 +291,7 @@ def test_index_stream_embeds_changes_only(spark):
     schema = "id bigint, text string"
     for rows in [[(1, "a"), (2, "b")], [(1, "a"), (2, "changed"), (3, "new")]]:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(stage)
-        stream = stream_parquet(spark, stage, "*.parquet", schema)
+        stream = stream_parquet(spark, stage, schema)
         L.keep_index_fresh(stream, log, "id", "text", [], seen)
     assert sorted(r["id"] for r in log.read().collect()) == [1, 2, 2, 3]
     live = {r["id"]: r["digest"] for r in L.live_index(log, "id").collect()}

@@ -16,8 +16,8 @@ from ..session import cut_lineage
 BLOCK_ROWS = 4096
 
 
-def _blocked(df: DataFrame, order: str, size: int) -> DataFrame:
-    return df.withColumn("_block", F.expr(f"`{order}` div {size}"))
+def _blocked(df: DataFrame, order: str, size: int | None) -> DataFrame:
+    return df.withColumn("_block", F.expr(f"`{order}` div {size or BLOCK_ROWS}"))
 
 
 def _carry(
@@ -39,7 +39,7 @@ def _carry(
 
 
 def last_before(
-    df: DataFrame, keys: list[str], order: str, value: Column, out: str, size: int = BLOCK_ROWS
+    df: DataFrame, keys: list[str], order: str, value: Column, out: str, size: int | None = None
 ) -> DataFrame:
     """Last non-null ``value`` strictly before each row of its key."""
     inside = W.partitionBy(*keys, "_block").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
@@ -56,7 +56,7 @@ def last_before(
 
 
 def next_after(
-    df: DataFrame, keys: list[str], order: str, value: Column, out: str, size: int = BLOCK_ROWS
+    df: DataFrame, keys: list[str], order: str, value: Column, out: str, size: int | None = None
 ) -> DataFrame:
     """First non-null ``value`` strictly after each row of its key."""
     inside = W.partitionBy(*keys, "_block").orderBy(order).rowsBetween(1, W.unboundedFollowing)
@@ -73,7 +73,7 @@ def next_after(
 
 
 def running_sum(
-    df: DataFrame, keys: list[str], order: str, value: Column, out: str, size: int = BLOCK_ROWS
+    df: DataFrame, keys: list[str], order: str, value: Column, out: str, size: int | None = None
 ) -> DataFrame:
     """Sum of ``value`` over the rows of the key strictly before each row."""
     inside = W.partitionBy(*keys, "_block").orderBy(order).rowsBetween(W.unboundedPreceding, -1)

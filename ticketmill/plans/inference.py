@@ -255,7 +255,7 @@ def policy_guardrails(spark, tables):
 
 @query(
     "answer_tickets",
-    "WITH asked AS (SELECT conv_id * 1000000 + turn AS ticket_id, text FROM conversations"
+    "WITH asked AS (SELECT conv_id * 4294967296 + turn AS ticket_id, text FROM conversations"
     + " WHERE role = 'user'), counted AS (SELECT *, ["
     + ", ".join(_letter_sql(ch) for ch in V.LETTERS)
     + "]::BIGINT[] AS counts FROM asked), shared AS (SELECT *, list_transform(counts,"
@@ -282,7 +282,7 @@ def policy_guardrails(spark, tables):
 def answer_tickets(spark, tables):
     """Every user turn as a ticket, every document as an article."""
     asked = T.messages(spark, tables).filter("role = 'user'").select(
-        (F.col("conv_id") * 1000000 + F.col("turn")).alias("ticket_id"),
+        (F.col("conv_id") * 4294967296 + F.col("turn")).alias("ticket_id"),
         F.col("text").alias("issue_description"),
     )
     articles = T.texts(spark, tables).select(

@@ -19,7 +19,8 @@ DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars big
 
 
 def stream(spark, tables, name: str, schema: str):
-    return stream_parquet(spark, tables, f"{name}.parquet", schema)
+    # The pattern fits a table that is one file as well as one that is a folder of files.
+    return stream_parquet(spark, f"{tables}/{name}.parquet*", schema)
 
 
 @query("stream_ingest", "SELECT * FROM documents")

@@ -66,14 +66,9 @@ def stream_csv_tickets(spark: SparkSession, path: str, schema: str | StructType
     return null_tokens(spark.readStream.schema(schema).options(**CSV_DIALECT).csv(path))
 
 
-def stream_parquet(spark: SparkSession, folder: str, glob: str, schema: str | StructType) -> DataFrame:
-    """New Parquet files of a folder as a stream; ``glob`` picks files in a mixed folder."""
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", glob)
-        .option("maxFilesPerTrigger", 1000)
-        .parquet(folder)
-    )
+def stream_parquet(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """New Parquet files as a stream; the path is a folder or a pattern of files and folders."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(path)
 
 
 def load_new_files(stream: DataFrame, table: str, checkpoint: str) -> None:
