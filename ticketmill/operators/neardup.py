@@ -13,21 +13,29 @@ Texts are compared through the shingles they share, never table against table:
    All that missed the leader form a new list with a leader of its own. A list of near copies thus
    gives one edge per member, and one round per family of near copies.
 
+4. Postings carry a small bitmap of their set. Bits of one bitmap that the other lacks are shingles
+   the other set lacks, which bounds the cosine from above; only pairs that the bound leaves open
+   are looked up and compared in full.
+
 The edges therefore connect exactly the documents that all pairs above the threshold connect, while
 their number grows with the documents and not with the pairs.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
-from ..functions.text import words
+from ..functions.text import let, words
 from ..session import cut_lineage
 
 SHINGLE_WORDS = 3
 SMALL_LIST = 32
+SKETCH_WORDS = 8
 MAX_ROUNDS = 24
 
 
@@ -52,35 +60,53 @@ def shingle_sets(df: DataFrame, id_column: str, text: str) -> DataFrame:
 def collapse_copies(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct sets under their lowest id, and (id, copy_of) for all other ids."""
     keyed = sets.withColumn("_digest", F.sha2(F.array_join("set", ","), 256))
-    heads = keyed.groupBy("_digest").agg(F.min("id").alias("head"))
-    tagged = keyed.select("id", "_digest").join(heads, "_digest")
+    # Copies collapse before the shuffle already.
+    heads = keyed.groupBy("_digest").agg(F.min("id").alias("head"), F.any_value("set").alias("set"))
+    tagged = keyed.select("id", "_digest").join(heads.select("_digest", "head"), "_digest")
     copies = tagged.filter("id <> head").select("id", F.col("head").alias("copy_of"))
-    unique = sets.join(heads.select(F.col("head").alias("id")), "id", "left_semi")
-    return unique, copies
+    return heads.select(F.col("head").alias("id"), "set"), copies
+
+
+def sketch(hashes: Column) -> Column:
+    """Bitmap of a set of hashes: ``SKETCH_WORDS`` words of 64 bits."""
+    one = F.lit(1).cast("bigint")
+
+    def bit(h: Column) -> Column:
+        return F.call_function("shiftleft", one, h.bitwiseAND(F.lit(63)).cast("int"))
+
+    def word(i: int) -> Column:
+        own = F.filter(hashes, lambda h: F.pmod(F.shiftright(h, 6), F.lit(SKETCH_WORDS)) == i)
+        return F.aggregate(own, F.lit(0).cast("bigint"), lambda acc, h: acc.bitwiseOR(bit(h)))
+
+    return F.array(*[word(i) for i in range(SKETCH_WORDS)])
 
 
 def prefix_postings(sets: DataFrame, threshold: float) -> DataFrame:
-    """(shingle, id, n): the prefix of each set, rarest shingles first.
+    """(shingle, id, n, sketch): the prefix of each set, rarest shingles first.
 
     A shingle that occurs in one set only cannot be shared, but it still takes its place in the
     prefix, because the order has to be the same for all sets.
     """
-    flat = sets.select("id", F.size("set").alias("n"), F.explode("set").alias("shingle"))
+    flat = sets.select("id", F.explode("set").alias("shingle"))
     shared = flat.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
-    ranked = flat.join(shared, "shingle", "left").groupBy("id").agg(
-        F.first("n").alias("n"),
-        # one document's own shingles
-        F.sort_array(
-            F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "shingle"))
-        ).alias("ranked"),
+    # The list holds one document's own shingles.
+    ranked = (
+        flat.join(shared, "shingle", "left")
+        .groupBy("id")
+        .agg(
+            F.sort_array(
+                F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "shingle"))
+            ).alias("ranked")
+        )
+        .withColumn("n", F.size("ranked"))
+        .withColumn("sketch", let(F.transform("ranked", lambda r: r["shingle"]), sketch))
     )
     kept = F.col("n") - F.ceil(F.lit(threshold * threshold) * F.col("n") - 1e-9) + 1
+    prefix = F.explode_outer(F.slice("ranked", F.lit(1), kept.cast("int")))
     return (
-        ranked.select(
-            "id", "n", F.explode(F.slice("ranked", F.lit(1), kept.cast("int"))).alias("p")
-        )
+        ranked.select("id", "n", "sketch", prefix.alias("p"))
         .filter("p.df > 1")
-        .select("p.shingle", "id", "n")
+        .select("p.shingle", "id", "n", "sketch")
     )
 
 
@@ -101,45 +127,79 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def _bound(n_a: str, n_b: str) -> Column:
-    """The highest cosine that two sets of these sizes can have."""
-    return F.sqrt(F.least(n_a, n_b).cast("double") / F.greatest(n_a, n_b))
+def _bound(n_a: str, sketch_a: str, n_b: str, sketch_b: str) -> Column:
+    """The highest cosine that two sets of these sizes and bitmaps can have."""
+
+    def lacking(x: str, y: str) -> Column:
+        """Shingles of x that y is sure not to have."""
+        words = [
+            F.bit_count(F.get(x, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(i)))))
+            for i in range(SKETCH_WORDS)
+        ]
+        return reduce(add, words)
+
+    shared = F.least(
+        F.col(n_a) - lacking(sketch_a, sketch_b), F.col(n_b) - lacking(sketch_b, sketch_a)
+    )
+    return shared / F.sqrt(F.col(n_a).cast("double") * F.col(n_b))
 
 
 def _ordered(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _as_other(lists: DataFrame) -> DataFrame:
+    """The same postings under the names of a partner."""
+    return lists.select(
+        "shingle",
+        F.col("id").alias("y"),
+        F.col("n").alias("n_y"),
+        F.col("sketch").alias("sketch_y"),
+    )
+
+
 def _one_round(lists: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Edges found around the leaders of all lists, and the lists of what missed them."""
     reachable = 2 * threshold * threshold - 1  # cosine of twice the threshold's angle
     leaders = (
         lists.groupBy("shingle")
-        .agg(F.min(F.struct("id", "n")).alias("leader"))
-        .select("shingle", F.col("leader.id").alias("a"), F.col("leader.n").alias("n_a"))
+        .agg(F.min(F.struct("id", "n", "sketch")).alias("leader"))
+        .select(
+            "shingle",
+            F.col("leader.id").alias("a"),
+            F.col("leader.n").alias("n_a"),
+            F.col("leader.sketch").alias("sketch_a"),
+        )
+    )
+    starred = (
+        lists.join(leaders, "shingle")
+        .filter("id <> a")
+        .withColumnRenamed("id", "b")
+        .withColumn("bound", _bound("n_a", "sketch_a", "n", "sketch"))
+        .drop("n_a", "sketch_a")
     )
-    starred = lists.join(leaders, "shingle").filter("id <> a").withColumnRenamed("id", "b")
-    asked = starred.filter(_bound("n_a", "n") >= threshold - 1e-12).select("a", "b").distinct()
+    asked = starred.filter(F.col("bound") >= threshold - 1e-12).select("a", "b").distinct()
     star = cut_lineage(_verified(asked, sets, threshold))
     judged = cut_lineage(
         starred.join(star, ["a", "b"], "left").select(
             "shingle",
             F.col("b").alias("id"),
             "n",
+            "sketch",
             F.coalesce("hit", F.lit(False)).alias("hit"),
-            (F.coalesce("cosine", _bound("n_a", "n")) >= reachable - 1e-12).alias("near"),
+            (F.coalesce("cosine", "bound") >= reachable - 1e-12).alias("near"),
         )
     )
-    hits = judged.filter("hit").select("shingle", F.col("id").alias("y"), F.col("n").alias("n_y"))
+    hits = _as_other(judged.filter("hit"))
     between = (
         judged.filter("near and not hit")
         .join(hits, "shingle")
-        .filter(_bound("n", "n_y") >= threshold - 1e-12)
+        .filter(_bound("n", "sketch", "n_y", "sketch_y") >= threshold - 1e-12)
         .select(*_ordered("id", "y"))
         .distinct()
     )
     edges = star.unionByName(_verified(between, sets, threshold)).filter("hit").drop("hit")
-    return edges, judged.filter("not hit").select("shingle", "id", "n")
+    return edges, judged.filter("not hit").select("shingle", "id", "n", "sketch")
 
 
 def near_pairs(
@@ -164,10 +224,10 @@ def near_pairs(
         found, missed = _one_round(lists, unique, threshold)
         edges, lists = edges.unionByName(found), several(missed)
     # What is left: short lists, or families beyond the last round. All their pairs are compared.
-    other = lists.select("shingle", F.col("id").alias("y"), F.col("n").alias("n_y"))
+    open_pair = _bound("n", "sketch", "n_y", "sketch_y") >= threshold - 1e-12
     pairs = (
-        lists.join(other, "shingle")
-        .filter((F.col("id") < F.col("y")) & (_bound("n", "n_y") >= threshold - 1e-12))
+        lists.join(_as_other(lists), "shingle")
+        .filter((F.col("id") < F.col("y")) & open_pair)
         .select(F.col("id").alias("a"), F.col("y").alias("b"))
         .distinct()
     )
