@@ -298,3 +298,22 @@ def test_index_stream_embeds_changes_only(spark):
     want = spark.createDataFrame([(1, "a"), (2, "changed"), (3, "new")], schema)
     built = R.build_search_index(want, "id", "text", [])
     assert live == {r["id"]: r["digest"] for r in built.collect()}
+
+
+def test_messages_seen_before_are_dropped_across_batches(spark):
+    import datetime as dt
+
+    stage, table, seen = (scratch_path(spark, n) for n in ["stage", "table", "seen"])
+    schema = "thread_id bigint, message_id bigint, ts timestamp_ntz"
+    noon = dt.datetime(2024, 1, 1, 12)
+    deliveries = [
+        [(1, 1, noon), (1, 1, noon), (1, 2, noon)],
+        [(1, 1, noon + dt.timedelta(minutes=5)), (2, 1, noon + dt.timedelta(minutes=5))],
+    ]
+    for rows in deliveries:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(stage)
+        stream = stream_parquet(spark, stage, schema)
+        kept = L.dedup_messages(stream, ["thread_id", "message_id"], "ts", "1 hour")
+        load_new_files(kept, table, seen)
+    found = spark.read.schema(schema).parquet(table).collect()
+    assert sorted(map(tuple, found)) == [(1, 1, noon), (1, 2, noon), (2, 1, noon + dt.timedelta(minutes=5))]

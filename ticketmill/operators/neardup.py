@@ -84,28 +84,25 @@ def sketch(hashes: Column) -> Column:
 def prefix_postings(sets: DataFrame, threshold: float) -> DataFrame:
     """(shingle, id, n, sketch): the prefix of each set, rarest shingles first.
 
-    A shingle that occurs in one set only cannot be shared, but it still takes its place in the
-    prefix, because the order has to be the same for all sets.
+    A shingle that occurs in one set only cannot be shared, so it is not followed further. It still
+    takes its place at the front of the prefix, because the order has to be the same for all sets.
     """
     flat = sets.select("id", F.explode("set").alias("shingle"))
     shared = flat.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
     # The list holds one document's own shingles.
     ranked = (
-        flat.join(shared, "shingle", "left")
+        flat.join(shared, "shingle")
         .groupBy("id")
-        .agg(
-            F.sort_array(
-                F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "shingle"))
-            ).alias("ranked")
-        )
-        .withColumn("n", F.size("ranked"))
-        .withColumn("sketch", let(F.transform("ranked", lambda r: r["shingle"]), sketch))
+        .agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("ranked"))
     )
-    kept = F.col("n") - F.ceil(F.lit(threshold * threshold) * F.col("n") - 1e-9) + 1
-    prefix = F.explode_outer(F.slice("ranked", F.lit(1), kept.cast("int")))
+    sized = sets.select("id", F.size("set").alias("n"), let(F.col("set"), sketch).alias("sketch"))
+    prefix = F.col("n") - F.ceil(F.lit(threshold * threshold) * F.col("n") - 1e-9) + 1
+    left = (prefix - (F.col("n") - F.size("ranked"))).cast("int")
     return (
-        ranked.select("id", "n", "sketch", prefix.alias("p"))
-        .filter("p.df > 1")
+        ranked.join(sized, "id")
+        .withColumn("left", left)
+        .filter("left > 0")
+        .select("id", "n", "sketch", F.explode(F.slice("ranked", F.lit(1), "left")).alias("p"))
         .select("p.shingle", "id", "n", "sketch")
     )
 

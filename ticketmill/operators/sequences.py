@@ -2,7 +2,8 @@
 
 A window partitioned by the key alone would sort a whole conversation in one task, however long it
 is. Here a key is cut into blocks of its order column: each block is a window of bounded size, and
-only one summary row per block is put in order across the key.
+only one summary row per block is put in order across the key. The order column is a whole number,
+unique inside its key.
 """
 
 from __future__ import annotations

@@ -190,8 +190,8 @@ def eval_breakdown(spark, tables):
 
 @query(
     "usage_summary",
-    SCORED.replace("), scored AS (", "), scored0 AS (", 1)
-    + """, scored AS (SELECT *, used_search::INTEGER AS used_search_share FROM scored0) """
+    with_sql("pairs", "runs")
+    + ", scored AS (SELECT *, used_search::INTEGER AS used_search_share FROM runs) "
     + _breakdown_sql(
         ["language", "priority"],
         ["total_input_tokens", "total_output_tokens", "used_search_share"],
