@@ -3,10 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry_module
+import __spark_entry__  # noqa: F401  registers the queries
+from ticketmill.plans import registry
 
 TABLES = "/root/testdata/sf0.001"
-QUERIES = entry_module.queries()
+QUERIES = registry.QUERIES
 
 
 def plan(df) -> str:

@@ -4,10 +4,11 @@ import pytest
 from compare import differences, duck
 
 import __spark_entry__ as entry_module
+from ticketmill.plans import registry
 
 TABLES = "/root/testdata/sf0.001"
-QUERIES = entry_module.queries()
-CHECKS = entry_module.oracle_sql()
+QUERIES = registry.QUERIES
+CHECKS = registry.CHECKS
 
 
 @pytest.fixture(scope="module")
@@ -29,4 +30,4 @@ def test_entry(spark):
 
 
 def test_checks_belong_to_queries():
-    assert set(CHECKS) <= set(QUERIES)
+    assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
