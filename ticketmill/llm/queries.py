@@ -5,11 +5,13 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import configure
-from . import minhash
-from .common import table
+from . import langid, minhash, packing, pieces, quality
+from .common import staged, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,3 +36,56 @@ def query(key: str, sql: str | None = None) -> Callable[[Query], Query]:
 @query("op1_minhash_near_dedup")
 def op1(spark: SparkSession, tables: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, tables, "documents"))
+
+
+def remainder(modulus: int) -> Column:
+    """crc32 of the id as text, modulo a number: who is held out from training."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus, F.lit(-1))
+
+
+@query("op3_rule_ensemble_quality")
+def op3(spark: SparkSession, tables: str) -> DataFrame:
+    docs = table(spark, tables, "documents").select("doc_id", "text")
+    described = staged(quality.with_statistics(docs).drop("text"), "statistics")
+    labels = table(spark, tables, "labels").filter(remainder(5) != 0)
+    score = quality.train(described, labels).score()
+    return described.select(
+        "doc_id", (remainder(5) == 0).alias("held_out"), score.alias("score")
+    ).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@query("op8_dominance_best_fit_packing")
+def op8(spark: SparkSession, tables: str) -> DataFrame:
+    docs = table(spark, tables, "documents").select("doc_id", "text")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    pieces_ = packing.tokenize(docs, path).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    placed = packing.pack(staged(pieces_, "pieces"), ["doc_id", "piece", "ids_crc32"])
+    return placed.select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
+
+
+@query("op9_bitmask_language_id")
+def op9(spark: SparkSession, tables: str) -> DataFrame:
+    docs = table(spark, tables, "documents")
+    filters = langid.learn(docs.filter(remainder(4) != 2).select("text", "lang"))
+    return langid.identify(docs.select("doc_id", "text"), filters).select(
+        "doc_id",
+        (remainder(4) == 2).alias("held_out"),
+        "lang_pred",
+        F.col("lang_score").alias("score"),
+    )
+
+
+@query("op10_sentencepiece_rounds")
+def op10(spark: SparkSession, tables: str) -> DataFrame:
+    docs = table(spark, tables, "documents").select("doc_id", "text")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    decoded = pieces.decode(pieces.encode(docs, path), path)
+    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(joined, 256).alias("ids_sha256"),
+        F.sha2(F.col("text"), 256).alias("decoded_sha256"),
+    )
