@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import langid, minhash, packing, pieces, quality
+from . import langid, minhash, packing, pieces, pivots, quality, sharding, vptree
 from .common import staged, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,19 @@ def remainder(modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus, F.lit(-1))
 
 
+@query("op2_minimax_sharding")
+def op2(spark: SparkSession, tables: str) -> DataFrame:
+    return sharding.shard_by_bytes(table(spark, tables, "documents")).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 @query("op3_rule_ensemble_quality")
 def op3(spark: SparkSession, tables: str) -> DataFrame:
     docs = table(spark, tables, "documents").select("doc_id", "text")
@@ -54,6 +67,33 @@ def op3(spark: SparkSession, tables: str) -> DataFrame:
     ).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+@query("op6_pivot_permutation_near_dedup")
+def op6(spark: SparkSession, tables: str) -> DataFrame:
+    return pivots.near_duplicates(table(spark, tables, "embeddings"))
+
+
+OP7 = """
+    WITH usable AS (
+        SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+        WHERE len(embedding) > 0
+          AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+          AND len(list_filter(embedding, x -> x <> 0)) > 0),
+    scored AS (
+        SELECT q.vec_id AS query_id, p.vec_id, list_inner_product(q.v, p.v) AS score
+        FROM usable q JOIN usable p ON q.vec_id % 20 = 0 AND q.vec_id <> p.vec_id),
+    ranked AS (
+        SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER)
+               AS rank FROM scored)
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+@query("op7_vantage_point_search", OP7)
+def op7(spark: SparkSession, tables: str) -> DataFrame:
+    vectors = table(spark, tables, "embeddings").select("vec_id", "embedding")
+    return vptree.nearest(vectors, vectors.filter("vec_id % 20 = 0"), k=20, factor=1.0)
+
+
 @query("op8_dominance_best_fit_packing")
 def op8(spark: SparkSession, tables: str) -> DataFrame:
     docs = table(spark, tables, "documents").select("doc_id", "text")
