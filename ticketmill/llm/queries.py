@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import langid, minhash, packing, pieces, pivots, quality, sharding, vptree
+from . import langid, minhash, packing, pieces, pivots, quality, quotes, sharding, urls, vptree
 from .common import staged, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,75 @@ def op3(spark: SparkSession, tables: str) -> DataFrame:
     ).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+@query("op4_boosted_url_filter")
+def op4(spark: SparkSession, tables: str) -> DataFrame:
+    pages = table(spark, tables, "pages").select("page_id", "url")
+    return urls.judge(pages).select("page_id", "host", "path", "rule", "verdict", "block_chance")
+
+
+OP5 = r"""
+    WITH RECURSIVE lines AS (
+        SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line,
+               generate_subscripts(string_split(text, chr(10)), 1) AS pos
+        FROM conversations),
+    marked AS (SELECT *, regexp_extract(line, '^((?:[ \t]*>)+)', 1) AS mark FROM lines),
+    levels AS (
+        SELECT conv_id, turn, pos, line, length(regexp_replace(mark, '[^>]', '', 'g')) AS level,
+               trim(regexp_replace(lower(substr(line, length(mark) + 1)), '[^\p{L}\p{N}]+', ' ', 'g'))
+                   AS norm
+        FROM marked),
+    runs AS (
+        SELECT *, pos - row_number() OVER (PARTITION BY conv_id, turn, level ORDER BY pos) AS run
+        FROM levels),
+    keys AS (
+        SELECT conv_id, turn, level, norm AS key FROM runs WHERE norm <> ''
+        UNION
+        SELECT conv_id, turn, level, string_agg(norm, ' ' ORDER BY pos) FROM runs WHERE norm <> ''
+        GROUP BY conv_id, turn, level, run
+        UNION
+        SELECT conv_id, turn, level, string_agg(norm, ' ' ORDER BY pos) FROM runs
+        WHERE norm <> '' AND level = 0 GROUP BY conv_id, turn, level),
+    origins AS (
+        SELECT q.conv_id, q.turn, q.level, q.key, max(o.turn) AS origin
+        FROM keys q JOIN keys o
+          ON q.conv_id = o.conv_id AND q.key = o.key AND q.level > 0 AND o.level = 0 AND o.turn < q.turn
+        GROUP BY ALL),
+    links AS (
+        SELECT conv_id, turn, level, origin, sum(length(key)) AS weight FROM origins GROUP BY ALL),
+    parents AS (
+        SELECT conv_id, turn,
+               first(origin ORDER BY level, weight DESC, origin DESC) AS parent_turn,
+               count(DISTINCT origin) AS n_links
+        FROM links GROUP BY ALL),
+    threads AS (
+        SELECT c.conv_id, c.turn, c.turn AS thread_turn, 0 AS depth
+        FROM conversations c ANTI JOIN parents p ON c.conv_id = p.conv_id AND c.turn = p.turn
+        UNION ALL
+        SELECT p.conv_id, p.turn, t.thread_turn, t.depth + 1
+        FROM threads t JOIN parents p ON p.conv_id = t.conv_id AND p.parent_turn = t.turn),
+    own AS (
+        SELECT conv_id, turn,
+               coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE level = 0), '') AS own_text,
+               count(*) FILTER (WHERE level > 0 AND norm <> '') AS n_quoted
+        FROM levels GROUP BY ALL)
+    SELECT c.conv_id, c.turn, c.role, own.own_text, p.parent_turn, t.thread_turn,
+           CAST(t.depth AS BIGINT) AS depth, coalesce(own.n_quoted, 0) AS n_quoted,
+           coalesce(p.n_links, 0) AS n_links,
+           row_number() OVER (PARTITION BY c.conv_id
+                              ORDER BY t.thread_turn, t.depth, p.parent_turn NULLS FIRST, c.turn) - 1
+               AS place
+    FROM conversations c
+    LEFT JOIN own ON c.conv_id = own.conv_id AND c.turn = own.turn
+    LEFT JOIN parents p ON c.conv_id = p.conv_id AND c.turn = p.turn
+    JOIN threads t ON c.conv_id = t.conv_id AND c.turn = t.turn
+"""
+
+
+@query("op5_quote_linking", OP5)
+def op5(spark: SparkSession, tables: str) -> DataFrame:
+    return quotes.link_quotes(table(spark, tables, "conversations"))
+
+
 @query("op6_pivot_permutation_near_dedup")
 def op6(spark: SparkSession, tables: str) -> DataFrame:
     return pivots.near_duplicates(table(spark, tables, "embeddings"))
@@ -76,8 +145,8 @@ OP7 = """
     WITH usable AS (
         SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
         WHERE len(embedding) > 0
-          AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-          AND len(list_filter(embedding, x -> x <> 0)) > 0),
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+          AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
     scored AS (
         SELECT q.vec_id AS query_id, p.vec_id, list_inner_product(q.v, p.v) AS score
         FROM usable q JOIN usable p ON q.vec_id % 20 = 0 AND q.vec_id <> p.vec_id),
