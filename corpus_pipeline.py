@@ -4,13 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketmill.llm import minhash
-from ticketmill.llm.common import staged
+from ticketmill.llm import langid, minhash, packing, quality
+from ticketmill.llm.common import prepare, staged, table
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+#: Documents whose chance of good quality is below this are rejected.
+LEAST_QUALITY = 0.3
+
+
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language go: texts that are null or have no letter."""
+    filters = langid.learn(docs.select("text", "lang"))
+    found = langid.identify(docs, filters)
+    return found.filter(F.col("lang_pred") != langid.UNDETERMINED).select(*docs.columns)
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules judge to be poor go."""
+    described = quality.with_statistics(docs.select("doc_id", "text")).drop("text")
+    model = quality.train(staged(described, "statistics"), table(spark, sf_dir, "labels"))
+    scored = quality.with_statistics(docs).filter(model.score() >= LEAST_QUALITY)
+    return scored.select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,16 +38,27 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where every piece of every document goes: doc_id, piece, start, length, sequence_id, offset."""
+    pieces = packing.tokenize(docs, public_tokenizers.path("word_bpe_49k.json"))
+    pieces = staged(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
+    placed = packing.pack(pieces, ["doc_id", "piece", "ids_crc32"])
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", identified),
+    ("quality_classifier", good),
     ("minhash_near_dedup", near_dedup),
+    ("best_fit_packing", packed),
 ]
 
-#: Fitted models, hashes and packing are not SQL; tests hold every stage against a plain version.
+#: Fitted models, hashes and packing are not SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    docs = prepare(spark).read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):

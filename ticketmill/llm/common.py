@@ -129,7 +129,7 @@ def shingles(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     weights = random_words(SHINGLE_WORDS + 1, 5) | U64(1)
     runs = np.zeros(n, U64)
     for k in range(SHINGLE_WORDS):
-        runs[: n - k] += words[k:] * weights[k]
+        runs[: max(n - k, 0)] += words[k:] * weights[k]
     counts = np.diff(at)
     valid = np.ones(n, bool)
     # The last four starts of a text would reach into the next one.
@@ -170,3 +170,22 @@ def matrix(column: pa.Array, dtype, width: int) -> np.ndarray:
     """Rows of a binary column with values of one length as a matrix."""
     data = b"".join(column.to_pylist())
     return np.frombuffer(data, dtype).reshape(-1, width)
+
+
+def sorted_blocks(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
+    """Tables with the rows of one key each, from batches that are sorted by it."""
+    rest: list[pa.Table] = []
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if rest:
+            table = pa.concat_tables([*rest, table])
+        codes = [table.column(c).to_numpy(zero_copy_only=False) for c in key]
+        change = np.zeros(len(table), bool)
+        for c in codes:
+            change[1:] |= c[1:] != c[:-1]
+        edges = [0, *np.flatnonzero(change).tolist()]
+        for a, b in zip(edges[:-1], edges[1:]):
+            yield table.slice(a, b - a)
+        rest = [table.slice(edges[-1])]
+    if rest and len(rest[0]):
+        yield rest[0]

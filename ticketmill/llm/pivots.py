@@ -23,24 +23,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.neardup import connected_components
-from .common import list_column, prepare, staged
+from .common import list_column, prepare, sorted_blocks, staged
 from .vectors import as_matrix, usable
 
 THRESHOLD = 0.98
-NEAREST, LISTED, SHARED = 8, 5, 3
+NEAREST, LISTED, SHARED = 8, 6, 3
 LEAST_PIVOTS, MOST_PIVOTS = 64, 2048
 PART_ROWS = 256
+#: The highest cosine of two pivots.
+APART = 0.8
 
 
 def choose_pivots(nodes: DataFrame) -> np.ndarray:
-    """Reference points: MOST_PIVOTS vectors at most, the first by a hash of their components."""
+    """Reference points: at most MOST_PIVOTS vectors of a sample four times as large.
+
+    The sample is taken by a hash of the components. Vectors close to one already chosen are passed
+    over: pivots that lie together would be ordered by chance, and a large family would fill the
+    sample with its members.
+    """
     wanted = int(np.clip(np.sqrt(nodes.count()), LEAST_PIVOTS, MOST_PIVOTS))
-    rows = nodes.orderBy(F.xxhash64("embedding"), "node").select("embedding").limit(wanted).collect()
+    rows = nodes.orderBy(F.xxhash64("embedding"), "node").select("embedding").limit(4 * wanted).collect()
     width = max((len(r.embedding) for r in rows), default=1)
-    out = np.zeros((len(rows), width))
-    for line, r in zip(out, rows):
-        line[: len(r.embedding)] = np.array(r.embedding) / np.linalg.norm(r.embedding)
-    return out
+    out = np.zeros((wanted, width))
+    n = 0
+    for r in rows:
+        v = np.zeros(width)
+        v[: len(r.embedding)] = np.array(r.embedding) / np.linalg.norm(r.embedding)
+        if n < wanted and (out[:n] @ v).max(initial=-1.0) < APART:
+            out[n] = v
+            n += 1
+    return out[:n]
 
 
 def _describe(shared):
@@ -81,25 +93,6 @@ def _describe(shared):
     return run
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
-    """Tables with the rows of one key each, from batches that are sorted by it."""
-    rest: list[pa.Table] = []
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        if rest:
-            table = pa.concat_tables([*rest, table])
-        codes = [table.column(c).to_numpy(zero_copy_only=False) for c in key]
-        change = np.zeros(len(table), bool)
-        for c in codes:
-            change[1:] |= c[1:] != c[:-1]
-        edges = [0, *np.flatnonzero(change).tolist()]
-        for a, b in zip(edges[:-1], edges[1:]):
-            yield table.slice(a, b - a)
-        rest = [table.slice(edges[-1])]
-    if rest and len(rest[0]):
-        yield rest[0]
-
-
 def _families(linked: np.ndarray) -> np.ndarray:
     """Per row of a symmetric matrix of links, the first row of its family."""
     label = np.arange(len(linked))
@@ -116,7 +109,7 @@ def _verify(threshold: float):
     """Links inside blocks: (node, links, root) per linked node of every block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches, ["label", "dim", "key", "part_a", "part_b"]):
+        for block in sorted_blocks(batches, ["label", "dim", "key", "part_a", "part_b"]):
             if len(block) < 2:
                 continue
             key, same = block["key"][0].as_py(), block["part_a"][0].as_py() == block["part_b"][0].as_py()

@@ -162,7 +162,8 @@ def _even_cuts(cells: Cells, capacity: int, shards: int) -> list[int]:
     cuts, start = [], 0
     for j in range(shards - 1):
         share = cells.sums[start] + (cells.total - cells.sums[start]) / (shards - j)
-        first = max(earliest[j], start)
+        # While there are cells, no shard stays empty.
+        first = max(earliest[j], min(start + 1, n))
         last = max(first, min(latest[j], cells.whole_end(start, capacity)))
         i = min(max(bisect_right(cells.sums, share) - 1, first), last)
         if i < last and cells.sums[i + 1] - share < share - cells.sums[i]:
