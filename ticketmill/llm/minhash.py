@@ -6,10 +6,11 @@
    in a bucket. A pair of similarity 0.75 misses all 40 bands with probability 4e-4, one of 0.8
    with 5e-6.
 3. First every member of a bucket is held against the bucket's smallest node only. What that links
-   is merged into components. A second pass compares, per bucket, the members outside the component
-   of the smallest node with all members of other components. So every two nodes of a bucket are
-   either compared or already known to be connected, while a large family of near copies costs a
-   few rows per member and not one per pair.
+   is merged into families. A second pass compares, per bucket, the members outside the family of
+   the smallest node with all members of other families. So every two nodes of a bucket are either
+   compared or already known to be connected. The second pass works on blocks of nodes, bounded by
+   the shingles on either side. A pair is compared in the first band it shares, and a block gives at
+   most one link per node and family, so no row is made for a pair that does not link.
 4. A candidate's signatures are read in batches of 30 hashes. With m of n hashes equal and a uniform
    prior, the similarity's posterior is Beta(m + 1, n - m + 1); a pair is dropped as soon as the
    chance that it reaches the threshold falls below ``miss``.
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from ..operators.neardup import connected_components
 from .common import (
     U64, Words, distinct_per_text, fixed_binary, list_column, matrix, mix, prepare, random_words,
-    shingles, staged, text_chunks,
+    shingles, sorted_blocks, staged, text_chunks,
 )
 
 BANDS = 40
@@ -42,7 +43,9 @@ HASHES = BANDS * BAND_HASHES
 BATCH_HASHES = 30
 THRESHOLD_PERCENT = 75
 #: Chance per batch that a pair at or above the threshold is dropped on its signature.
-MISS = 1e-5
+MISS = 5e-4
+#: Shingles of a bucket's nodes on either side of a block; a larger node is a side of its own.
+PART_SHINGLES = 500_000
 
 
 def _sets(data, offsets, words: Words):
@@ -150,48 +153,105 @@ def _survivors(threshold: float):
     return run
 
 
+def _are_near(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets of distinct shingles have the similarity."""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    if 100 * len(small) < percent * len(large):
+        return False
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    shared = int((large[at] == small).sum())
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for i, (x, y) in enumerate(zip(batch.column("set_a"), batch.column("set_b"))):
-                x, y = (np.frombuffer(v.as_buffer(), "<u8") for v in (x, y))
-                small, large = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                shared = int((large[at] == small).sum())
-                if 100 * shared >= percent * (len(x) + len(y) - shared):
-                    good.append(i)
+            sets = [
+                [np.frombuffer(v.as_buffer(), "<u8") for v in batch.column(c)] for c in ("set_a", "set_b")
+            ]
+            good = [i for i, (x, y) in enumerate(zip(*sets)) if _are_near(x, y, percent)]
             yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
     return run
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Of candidate pairs (a, b) of nodes, those that are near duplicates."""
+def _block_links(percent: int):
+    """Links (a, b) between a block's x and y rows: at most one per x and family of y."""
+    bounds = least_matches(percent / 100)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in sorted_blocks(batches, ["key", "part_x", "part_y"]):
+            names = block["node"].to_pylist()
+            family = block["family"].combine_chunks().dictionary_encode().indices.to_numpy()
+            apart = block["apart"].to_numpy(zero_copy_only=False)
+            is_x = block["is_x"].to_numpy(zero_copy_only=False)
+            sig = matrix(block["sig"], np.uint8, HASHES)
+            keys = np.stack(block["keys"].to_numpy(zero_copy_only=False))
+            sets = [np.frombuffer(v, "<u8") for v in block["shingles"].to_pylist()]
+            key = block["key"][0].as_py()
+            xs, ys = np.flatnonzero(is_x), np.flatnonzero(~is_x)
+            step = max(1, (8 << 20) // (BATCH_HASHES * max(len(ys), 1)))
+            links: dict[tuple[int, int], int] = {}
+            for first in range(0, len(xs), step):
+                x = xs[first : first + step]
+                equal = (sig[x, None, :BATCH_HASHES] == sig[None, ys, :BATCH_HASHES]).sum(axis=2)
+                a, b = np.nonzero((equal >= bounds[0]) & (family[x][:, None] != family[ys]))
+                equal, a, b = equal[a, b], x[a], ys[b]
+                for i, least in enumerate(bounds[1:], 1):
+                    part = slice(i * BATCH_HASHES, (i + 1) * BATCH_HASHES)
+                    equal = equal + (sig[a, part] == sig[b, part]).sum(axis=1)
+                    live = equal >= least
+                    equal, a, b = equal[live], a[live], b[live]
+                band = (keys[a] == keys[b]).argmax(axis=1)
+                live = keys[a, band] == key
+                equal, a, b = equal[live], a[live], b[live]
+                order = np.argsort(-equal, kind="stable")  # the likeliest first
+                for i, j in zip(a[order].tolist(), b[order].tolist()):
+                    # Two nodes that are both x meet twice.
+                    if (i, int(family[j])) in links or apart[j] and names[i] > names[j]:
+                        continue
+                    if _are_near(sets[i], sets[j], percent):
+                        links[i, int(family[j])] = j
+            if links:
+                pairs = [sorted((names[i], names[j])) for (i, _), j in links.items()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(side), pa.binary()) for side in zip(*pairs)], ["a", "b"]
+                )
+
+    return run
+
+
+def _surviving_star(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a bucket's smallest node and another one that survive on their signatures."""
 
     def sig(name: str) -> DataFrame:
         return nodes.select(F.col("node").alias(name), F.col("sig").alias(f"sig_{name}"))
 
-    kept = staged(
-        pairs.join(sig("a"), "a")
+    return (
+        members.select(F.col("first").alias("a"), F.col("node").alias("b"))
+        .distinct()
+        .join(sig("a"), "a")
         .join(sig("b"), "b")
         .select("a", "b", "sig_a", "sig_b")
-        .mapInArrow(_survivors(percent / 100), "a binary, b binary"),
-        "survivors",
-    )
-    taking_part = kept.select(F.col("a").alias("node")).union(kept.select("b")).distinct()
-    # Full sets are made anew for the nodes that need them, each from the text of one document.
-    heads = nodes.select("node", "head").join(taking_part, "node").select("head").distinct()
-    texts = docs.select("doc_id", "text").join(
-        heads, F.col("doc_id").eqNullSafe(F.col("head")), "left_semi"
-    )
-    sets = staged(
-        texts.select("text")
-        .mapInArrow(_set_rows, "node binary, shingles binary")
-        .join(taking_part, "node", "left_semi"),
-        "sets",
+        .mapInArrow(_survivors(percent / 100), "a binary, b binary")
     )
 
+
+def _full_sets(of: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, shingles) of the nodes asked for, made anew from the text of one document each."""
+    asked = of.select("node").distinct()
+    heads = nodes.select("node", "head").join(asked, "node").select("head").distinct()
+    texts = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("head")), "left_semi")
+    made = texts.select("text").mapInArrow(_set_rows, "node binary, shingles binary")
+    # An id that two texts share brings a second set, which nobody asked for.
+    return staged(made.join(asked, "node", "left_semi").dropDuplicates(["node"]), "sets")
+
+
+def _star_links(members: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links between a bucket's smallest node and its other members."""
+    kept = staged(_surviving_star(members, nodes, percent), "survivors")
+    sets = _full_sets(kept.select(F.col("a").alias("node")).union(kept.select("b")), nodes, docs)
+
     def full(name: str) -> DataFrame:
         return sets.select(F.col("node").alias(name), F.col("shingles").alias(f"set_{name}"))
 
@@ -204,6 +264,53 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int
     )
 
 
+def _rest_links(
+    members: DataFrame, nodes: DataFrame, found: DataFrame, docs: DataFrame, percent: int
+) -> DataFrame:
+    """Links inside buckets between nodes that are not yet of one family."""
+
+    def family(name: str, out: str) -> DataFrame:
+        return found.select(F.col("id").alias(name), F.col("cluster").alias(out))
+
+    placed = (
+        members.join(family("node", "f"), "node", "left")
+        .join(family("first", "g"), "first", "left")
+        .select("key", "node", F.coalesce("f", "node").alias("family"), F.coalesce("g", "first").alias("main"))
+        .withColumn("apart", F.col("family") != F.col("main"))
+        .drop("main")
+        .join(nodes.select("node", "n_shingles"), "node")
+    )
+    placed = staged(placed, "placed")
+    size = F.col("n_shingles")
+    parts = placed.groupBy("key").agg(
+        F.ceil(F.sum(F.when(F.col("apart"), size)) / PART_SHINGLES).cast("int").alias("parts_x"),
+        F.ceil(F.sum(size) / PART_SHINGLES).cast("int").alias("parts_y"),
+    )
+    parted = placed.join(parts.filter("parts_x > 0"), "key").withColumns(
+        {f"part_{s}": F.pmod(F.xxhash64("node"), F.col(f"parts_{s}")).cast("int") for s in "xy"}
+    )
+    parted = staged(parted, "parted")
+    sets = _full_sets(parted, nodes, docs)
+
+    def side(rows: DataFrame, is_x: bool, other: str) -> DataFrame:
+        """Every row once for each part of the other side."""
+        spread = F.explode(F.sequence(F.lit(0), F.col(f"parts_{other}") - 1))
+        return rows.withColumn(f"part_{other}", spread).select(
+            "key", "part_x", "part_y", "node", "family", "apart", F.lit(is_x).alias("is_x")
+        )
+
+    sides = side(parted.filter("apart"), True, "y").unionByName(side(parted, False, "x"))
+    block = ["key", "part_x", "part_y"]
+    return staged(
+        sides.join(nodes.select("node", "sig", "keys"), "node")
+        .join(sets, "node")
+        .repartition(*block)
+        .sortWithinPartitions(*block)
+        .mapInArrow(_block_links(percent), "a binary, b binary"),
+        "links",
+    )
+
+
 def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text, ...).
 
@@ -223,7 +330,12 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFr
     nodes = staged(
         described.filter("n_shingles > 0")
         .groupBy("node")
-        .agg(F.min("doc_id").alias("head"), F.first("sig").alias("sig"), F.first("keys").alias("keys")),
+        .agg(
+            F.min("doc_id").alias("head"),
+            F.first("n_shingles").alias("n_shingles"),
+            F.first("sig").alias("sig"),
+            F.first("keys").alias("keys"),
+        ),
         "nodes",
     )
     bands = nodes.select("node", F.explode("keys").alias("key"))
@@ -234,36 +346,9 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFr
         .select("key", "first")
     )
     members = staged(bands.join(shared, "key").filter("node <> first"), "members")
-    star = members.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    links = _confirmed(star, nodes, docs, percent)
+    links = _star_links(members, nodes, docs, percent)
     found = staged(connected_components(links), "families")
-
-    # What is left: members whose family is not that of their bucket's smallest node.
-    def family(name: str, out: str) -> DataFrame:
-        return found.select(F.col("id").alias(name), F.col("cluster").alias(out))
-
-    placed = (
-        members.join(family("node", "f"), "node", "left")
-        .join(family("first", "g"), "first", "left")
-        .select(
-            "key", "node", "first",
-            F.coalesce("f", "node").alias("family"), F.coalesce("g", "first").alias("main"),
-        )
-    )
-    placed = staged(placed, "placed")
-    apart = placed.filter("family <> main").select(
-        "key", F.col("node").alias("x"), F.col("family").alias("x_family"), F.col("main")
-    )
-    others = placed.select("key", F.col("node").alias("y"), F.col("family").alias("y_family"))
-    # Two members outside the main family would meet twice; the smaller one is the x of that pair.
-    rest = (
-        apart.join(others, "key")
-        .filter("x_family <> y_family and (y_family = main or x < y)")
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
-        .join(star, ["a", "b"], "left_anti")
-    )
-    more = _confirmed(rest, nodes, docs, percent)
+    more = _rest_links(members, nodes, found, docs, percent)
     families = staged(connected_components(links.unionByName(more)), "families")
     heads = nodes.select("node", "head").join(
         families.select(F.col("id").alias("node"), "cluster"), "node", "left"
