@@ -8,7 +8,7 @@ from itertools import chain
 import numpy as np
 
 #: Words a Python worker remembers; once full, it keeps what it has and encodes others as they come.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 
 def ramp(lengths: np.ndarray) -> np.ndarray:

@@ -218,11 +218,14 @@ def cut(model: dict):
     return lambda text: find(" " + text) if text else []
 
 
-def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(
+    docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "text", decoded: bool = False
+) -> DataFrame:
     """(id, ids array<int>) of every row: what the model's library returns, without begin and end.
 
-    A null text counts as an empty one and has no ids. Repeated rows give repeated rows; other
-    columns are not looked at.
+    With ``decoded`` there is a third column ``text`` with what ``decode`` makes of the ids, in the
+    same pass. A null text counts as an empty one and has no ids. Repeated rows give repeated rows;
+    other columns are not looked at.
     """
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(load(path))  # as large as the vocabulary
@@ -236,17 +239,20 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "t
         words = cut(model)
         for rows, data, offsets in text_chunks(batches):
             raw = data.tobytes()
-            texts = [
-                words(raw[a:b].decode("utf-8", "replace"))
-                for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())
-            ]
-            ids, at = memory.encode(texts)
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("id").cast(pa.int64()), list_column(ids, at, pa.int32())], ["id", "ids"]
+            ids, at = memory.encode(
+                [
+                    words(raw[a:b].decode("utf-8", "replace"))
+                    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())
+                ]
             )
+            out = {"id": rows.column("id").cast(pa.int64()), "ids": list_column(ids, at, pa.int32())}
+            if decoded:
+                out["text"] = pa.array(decode_ids(model, ids, at), pa.string())
+            yield pa.RecordBatch.from_pydict(out)
 
+    schema = "id bigint, ids array<int>" + ", text string" * decoded
     return docs.selectExpr(f"`{id_column}` AS id", f"`{text}` AS text").mapInArrow(
-        run, "id bigint, ids array<int>"
+        run, schema
     ).withColumnRenamed("id", id_column)
 
 

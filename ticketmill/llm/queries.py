@@ -190,7 +190,7 @@ def op9(spark: SparkSession, tables: str) -> DataFrame:
 def op10(spark: SparkSession, tables: str) -> DataFrame:
     docs = table(spark, tables, "documents").select("doc_id", "text")
     path = public_tokenizers.path("piece_bpe_32k.model")
-    decoded = pieces.decode(pieces.encode(docs, path), path)
+    decoded = pieces.encode(docs, path, decoded=True)
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
     return decoded.select(
         "doc_id",
