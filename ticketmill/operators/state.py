@@ -9,18 +9,29 @@ from pyspark.sql import functions as F
 from ..functions.payloads import THREAD_SCHEMA, extract_message_text
 from ..functions.text import epoch_ms_to_ts, null_zero_parent
 from .curate import keep_latest_snapshot
-from .sequences import last_before, number_rows
+from .sequences import last_before, number_rows, running_sum
 
-HISTORY_CHUNK = 64
+HISTORY_PART = 64
 
 
-def latest_per_key(updates: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The last update of every key. ``max_by`` combines on the map side, so hot keys stay cheap."""
-    columns = [c for c in updates.columns if c != key]
+def latest_per_key(
+    updates: DataFrame, key: str | list[str], order: list[str], first: dict[str, str] | None = None
+) -> DataFrame:
+    """The last update of every key, in one aggregate.
+
+    ``first`` adds columns with the smallest value of another one over all updates of the key.
+    ``max_by`` and ``min`` combine on the map side, so hot keys stay cheap.
+    """
+    keys = [key] if isinstance(key, str) else key
+    first = first or {}
+    columns = [c for c in updates.columns if c not in keys and c not in first]
     return (
-        updates.groupBy(key)
-        .agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("_u"))
-        .select(key, *[F.col(f"_u.{c}").alias(c) for c in columns])
+        updates.groupBy(*keys)
+        .agg(
+            F.max_by(F.struct(*columns), F.struct(*order)).alias("_u"),
+            *[F.min(source).alias(out) for out, source in first.items()],
+        )
+        .select(*keys, *[F.col(f"_u.{c}").alias(c) for c in columns], *first)
     )
 
 
@@ -61,16 +72,15 @@ def upsert_conversations(conversations: DataFrame, updates: DataFrame, order: li
     ``created_at`` stays from the first insert, everything else is replaced, nulls included. Of
     several updates of a key the last by ``order`` counts.
     """
-    latest = latest_per_key(updates, "conversation_id", order)
+    # The first update of a new key sets created_at.
+    latest = latest_per_key(updates, "conversation_id", order, {"created_at": "updated_at"})
     replaced = {
         c: F.col(f"s.{c}")
         for c in ["thread_id", "last_assistant_message_id", "origin_application", "updated_at"]
     }
-    # The first update of a new key sets created_at.
-    first = updates.groupBy("conversation_id").agg(F.min("updated_at").alias("created_at"))
     return merge_by_key(
         conversations,
-        latest.join(first, "conversation_id"),
+        latest,
         "conversation_id",
         on_match=replaced,
         on_insert={**replaced, "created_at": F.col("s.created_at")},
@@ -204,46 +214,51 @@ def message_struct(role: str, text: str) -> Column:
     return F.struct(F.col(role).alias("role"), F.array(item).alias("content"))
 
 
-def stateless_history(messages: DataFrame, chunk: int = HISTORY_CHUNK) -> DataFrame:
-    """The message array to send with each user turn, as JSON.
-
-    ``messages`` holds the turns from ``first_turn`` up to the user turn. ``first_turn`` is 0 until
-    a conversation outgrows the chunk size; beyond it, the earlier chunks (see
-    :func:`history_chunks`) go in front, so that no array and no window grows without bound.
-    """
-    w = (
-        W.partitionBy("conv_id", "_chunk")
-        .orderBy("turn")
-        .rowsBetween(W.unboundedPreceding, W.currentRow)
-    )
+def _in_parts(numbered: DataFrame, keys: list[str]) -> DataFrame:
+    """Messages of the keys in parts of at most ``HISTORY_PART``, each a JSON array in order."""
+    turns = F.sort_array(F.collect_list(F.struct("turn", message_struct("role", "text").alias("m"))))
     return (
-        messages.withColumn("_chunk", F.floor(F.col("turn") / chunk))
-        .withColumn("messages", F.collect_list(message_struct("role", "text")).over(w))
-        .filter("role = 'user'")
+        numbered.withColumn("part_no", F.expr(f"_before div {HISTORY_PART}"))
+        .groupBy(*keys, "part_no")
+        .agg(turns.alias("_turns"))
         .select(
-            "conv_id",
-            "turn",
-            (F.col("_chunk") * chunk).alias("first_turn"),
-            F.size("messages").cast("bigint").alias("n_messages"),
-            F.to_json("messages").alias("messages"),
+            *keys,
+            "part_no",
+            F.size("_turns").cast("bigint").alias("n_messages"),
+            F.to_json(F.transform("_turns", lambda t: t["m"])).alias("messages"),
         )
     )
 
 
-def history_chunks(messages: DataFrame, chunk: int = HISTORY_CHUNK) -> DataFrame:
-    """The whole history of each conversation in pieces of at most ``chunk`` messages."""
-    return (
-        messages.withColumn("chunk_no", F.floor(F.col("turn") / chunk))
-        .groupBy("conv_id", "chunk_no")
-        .agg(
-            F.sort_array(
-                F.collect_list(F.struct("turn", message_struct("role", "text").alias("m")))
-            ).alias("_turns")
-        )
-        .select(
-            "conv_id",
-            "chunk_no",
-            F.size("_turns").cast("bigint").alias("n_messages"),
-            F.to_json(F.transform("_turns", lambda t: t["m"])).alias("messages"),
-        )
+def _numbered(messages: DataFrame) -> DataFrame:
+    """``_before``: how many messages of the conversation come earlier."""
+    one = F.lit(1).cast("bigint")
+    return running_sum(messages, ["conv_id"], "turn", one, "_before")
+
+
+def stateless_history(messages: DataFrame) -> DataFrame:
+    """The messages to send with each user turn: (conv_id, turn, part_no, n_messages, messages).
+
+    The last user turn of a conversation gets its whole history as JSON arrays of at most
+    ``HISTORY_PART`` messages, numbered from 0; put end to end they are the array to send. An
+    earlier user turn gets one row without part and messages: its history is the first
+    ``n_messages`` of the same array. So the rows grow with the turns, and nothing is left out.
+    """
+    numbered = _numbered(messages)
+    users = numbered.filter("role = 'user'")
+    last = users.groupBy("conv_id").agg(F.max("turn").alias("_last"))
+    open_ = numbered.join(last, "conv_id").filter(F.col("turn") <= F.col("_last"))
+    whole = _in_parts(open_, ["conv_id", "_last"]).withColumnRenamed("_last", "turn")
+    earlier = users.join(last, "conv_id").filter(F.col("turn") < F.col("_last")).select(
+        "conv_id",
+        "turn",
+        F.lit(None).cast("bigint").alias("part_no"),
+        (F.col("_before") + 1).alias("n_messages"),
+        F.lit(None).cast("string").alias("messages"),
     )
+    return whole.select(*earlier.columns).unionByName(earlier)
+
+
+def history_chunks(messages: DataFrame) -> DataFrame:
+    """The whole history of each conversation in parts of at most ``HISTORY_PART`` messages."""
+    return _in_parts(_numbered(messages), ["conv_id"])

@@ -12,7 +12,7 @@ from ..functions import fixed_values as V
 from ..functions.text import WORD_GAP, words
 from ..operators.relate import qa_pairs
 from ..operators.state import latest_per_key
-from ..sources.readers import scan_table, spread
+from ..sources.readers import scan_table
 
 RUN = "en"
 SPLIT_AT = "2024-01-16 00:00:00"
@@ -22,11 +22,6 @@ def scan(spark: SparkSession, tables: str, name: str) -> DataFrame:
     return scan_table(spark, f"{tables}/{name}.parquet")
 
 
-def texts(spark: SparkSession, tables: str) -> DataFrame:
-    """The documents for heavy work on every text."""
-    return spread(scan(spark, tables, "documents"), "doc_id")
-
-
 def tickets(spark: SparkSession, tables: str) -> DataFrame:
     """Documents as tickets: the first line is the body, all further lines are the answer."""
     at = F.instr("text", "\n")
@@ -82,12 +77,9 @@ def as_conversation_updates(events: DataFrame) -> DataFrame:
 
 def conversations(updates: DataFrame) -> DataFrame:
     """The conversations table that the given updates lead to."""
-    first = updates.groupBy("conversation_id").agg(F.min("updated_at").alias("created_at"))
-    return (
-        latest_per_key(updates, "conversation_id", ["updated_at", "event_id"])
-        .drop("event_id")
-        .join(first, "conversation_id")
-    )
+    order = ["updated_at", "event_id"]
+    latest = latest_per_key(updates, "conversation_id", order, {"created_at": "updated_at"})
+    return latest.drop("event_id")
 
 
 def snapshots(spark: SparkSession, tables: str) -> DataFrame:

@@ -19,8 +19,22 @@ DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars big
 
 
 def stream(spark, tables, name: str, schema: str):
-    # The pattern fits a table that is one file as well as one that is a folder of files.
-    return stream_parquet(spark, f"{tables}/{name}.parquet*", schema)
+    # A source takes a single file by a pattern only; this one fits the file or folder of the name.
+    return stream_parquet(spark, f"{tables}/{name}.parque[t]", schema)
+
+
+def deliveries(spark, rows: list, schema: str):
+    """Frames written as deliveries, one folder each, and the stream that reads them in turn."""
+    root = scratch_path(spark, "deliveries")
+    for number, frame in enumerate(rows):
+        frame.coalesce(1).write.parquet(f"{root}/delivery={number}")
+    return stream_parquet(spark, f"{root}/*", schema, files=1)
+
+
+def in_three(frame, time: str):
+    """Rows of the newer days, then the late ones, then all of the newer ones again."""
+    new = F.col(time) >= F.to_timestamp_ntz(F.lit(T.SPLIT_AT))
+    return [frame.filter(new), frame.filter(~new), frame.filter(new)]
 
 
 @query("stream_ingest", "SELECT * FROM documents")
@@ -31,31 +45,41 @@ def stream_ingest(spark, tables):
     return spark.read.schema(DOCUMENTS).parquet(table)
 
 
-@query("stream_dedup_messages", "SELECT event_id, ts, user_id, event_type FROM events")
+@query(
+    "stream_dedup_messages",
+    f"""SELECT event_id, ts, user_id,
+           CASE WHEN ts >= TIMESTAMP '{T.SPLIT_AT}' THEN 2 ELSE 1 END AS snapshot, event_type
+    FROM events""",
+)
 def stream_dedup_messages(spark, tables):
-    """Every event is delivered twice and kept once."""
-    table, seen = scratch_path(spark, "messages"), scratch_path(spark, "seen")
-    once = stream(spark, tables, "events", EVENTS)
-    twice = once.unionByName(stream(spark, tables, "events", EVENTS))
-    kept = L.dedup_messages(twice, ["user_id", "event_id"], "ts", "1 hour")
-    load_new_files(kept.select("event_id", "ts", "user_id", "event_type"), table, seen)
-    return spark.read.parquet(table)
+    """Three deliveries, the second one late and the third one a newer snapshot of the first."""
+    rows = T.scan(spark, tables, "events").select("event_id", "ts", "user_id", "event_type")
+    parts = [
+        part.withColumn("snapshot", F.lit(number))
+        for part, number in zip(in_three(rows, "ts"), [0, 1, 2])
+    ]
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, snapshot int"
+    keys = ["user_id", "event_id"]
+    log = ChangeLog(spark, scratch_path(spark, "messages"), schema, L.newest(keys, ["snapshot"]), 2)
+    source = deliveries(spark, parts, schema)
+    seen = scratch_path(spark, "seen")
+    L.keep_messages(source, keys, ["snapshot"], log, seen)
+    return log.live()
 
 
 @query("stream_upsert_conversations", STATE)
 def stream_upsert_conversations(spark, tables):
-    log = ChangeLog(
-        spark,
-        scratch_path(spark, "conversations"),
-        """conversation_id string, thread_id bigint, last_assistant_message_id bigint,
+    """Updates in three deliveries, late ones and repeated ones among them."""
+    schema = """conversation_id string, thread_id bigint, last_assistant_message_id bigint,
         origin_application string, updated_at timestamp_ntz, event_id bigint,
-        created_at timestamp_ntz""",
+        created_at timestamp_ntz"""
+    log = ChangeLog(
+        spark, scratch_path(spark, "conversations"), schema, L.conversations_merge(ORDER), 2
     )
-    seen = scratch_path(spark, "seen")
-    updates = T.as_conversation_updates(stream(spark, tables, "events", EVENTS))
-    for _ in range(2):
-        L.keep_conversations(updates, log, ORDER, seen)
-    return L.live_conversations(log, ORDER)
+    events = deliveries(spark, in_three(T.scan(spark, tables, "events"), "ts"), EVENTS)
+    updates = T.as_conversation_updates(events)
+    L.keep_conversations(updates, log, ORDER, scratch_path(spark, "seen"))
+    return log.live().drop("event_id")
 
 
 @query(
@@ -64,16 +88,20 @@ def stream_upsert_conversations(spark, tables):
            count(*) AS n_messages FROM conversations GROUP BY conv_id""",
 )
 def stream_conversation_state(spark, tables):
-    """Last assistant message per conversation."""
+    """Last assistant message per conversation; the turns come in three deliveries, newest first."""
+    rows = T.scan(spark, tables, "conversations")
+    parts = [rows.filter(c) for c in ("turn >= 4", "turn < 2", "turn >= 2 and turn < 4")]
     log = ChangeLog(
         spark,
         scratch_path(spark, "state"),
-        "conv_id bigint, last_message_id bigint, n_messages bigint",
+        "conv_id bigint, last_message_id bigint, at bigint, n_messages bigint",
+        L.last_message_merge("conv_id"),
+        2,
     )
-    rows = stream(spark, tables, "conversations", MESSAGES)
     answer = F.when(F.col("role") == "assistant", F.col("turn") + 1)
-    L.keep_last_message(rows, "conv_id", answer, F.col("turn"), log, scratch_path(spark, "seen"))
-    return L.live_last_message(log, "conv_id")
+    source = deliveries(spark, parts, MESSAGES)
+    L.keep_last_message(source, "conv_id", answer, F.col("turn"), log, scratch_path(spark, "seen"))
+    return log.live().drop("at")
 
 
 @query(
@@ -82,16 +110,26 @@ def stream_conversation_state(spark, tables):
     WHERE regexp_matches(text, '[A-Za-zÀ-ÿ0-9]')""",
 )
 def stream_index_refresh(spark, tables):
+    """Documents in three deliveries; the first one brings older texts of some, twice in a batch."""
+    docs = T.scan(spark, tables, "documents")
+    some = docs.filter("doc_id % 3 = 0")
+
+    def earlier(word: str, order: int):
+        text = F.concat(F.lit(f"{word} "), "text")
+        return some.withColumns({"text": text, "n_chars": F.lit(order).cast("bigint")})
+
+    parts = [earlier("older", 0).unionByName(earlier("oldest", -1)), docs, some]
     log = ChangeLog(
         spark,
         scratch_path(spark, "index"),
         "doc_id bigint, language string, digest string, embedding array<double>",
+        L.newest(["doc_id"], []),
+        2,
     )
-    rows = stream(spark, tables, "documents", DOCUMENTS).withColumnRenamed("lang", "language")
+    rows = deliveries(spark, parts, DOCUMENTS).withColumnRenamed("lang", "language")
     seen = scratch_path(spark, "seen")
-    for _ in range(2):
-        L.keep_index_fresh(rows, log, "doc_id", "text", ["language"], seen)
+    L.keep_index_fresh(rows, log, "doc_id", "text", ["language"], ["n_chars"], seen)
     norm = F.aggregate("embedding", F.lit(0.0), lambda acc, v: acc + v * v)
-    return L.live_index(log, "doc_id").select(
+    return log.live().select(
         "doc_id", "language", (F.abs(norm - 1) < 1e-9).alias("unit_length")
     )

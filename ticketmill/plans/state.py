@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import responses as P
 from ..operators import state as S
+from ..operators.curate import keep_latest_snapshot
+from ..session import scratch_path
+from ..sources import sinks as K
 from . import frames as T
 from .frames import with_sql
 from .registry import query
@@ -154,22 +157,43 @@ def described_threads(spark, tables, ingested_at: str):
     FROM messages""",
 )
 def cache_thread_describe(spark, tables):
-    first = described_threads(spark, tables, "2024-02-01 00:00:00")
-    second = described_threads(spark, tables, "2024-02-02 00:00:00")
-    threads, messages = S.cache_thread_describe(*S.flatten_threads(first), second)
+    """Both tables after two deliveries; the second one replaces the snapshots of the first."""
+    path = scratch_path(spark, "app")
+    database = f"app_{path.rsplit('-', 1)[1]}"
+    K.ensure_database(spark, database, path)
+    keys = {"threads": ["thread_id"], "thread_messages": ["thread_id", "message_id"]}
+    first, second = (
+        S.flatten_threads(described_threads(spark, tables, f"2024-02-0{n} 00:00:00")) for n in (1, 2)
+    )
+    for (name, key), rows, newer in zip(keys.items(), first, second):
+        K.create_keyed_table(rows, f"{database}.{name}", key, 8)
+        K.replace_keys(
+            f"{database}.{name}",
+            newer,
+            key,
+            lambda old, new, key=key: keep_latest_snapshot(old.unionByName(new), key),
+            8,
+        )
+    threads, messages = (K.keyed_table(spark, f"{database}.{name}") for name in keys)
     created = threads.select("thread_id", F.col("created_on").alias("thread_created_on")).distinct()
     return messages.join(created, "thread_id")
 
 
+PARTS = f"""numbered AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS before,
+               max(turn) FILTER (role = 'user') OVER (PARTITION BY conv_id) AS last_turn
+        FROM conversations)"""
+
+
 @query(
     "stateless_history",
-    f"""SELECT u.conv_id, u.turn, (u.turn // {S.HISTORY_CHUNK}) * {S.HISTORY_CHUNK} AS first_turn,
-           count(*) AS n_messages,
-           '[' || string_agg({payload_sql('m')}, ',' ORDER BY m.turn) || ']' AS messages
-    FROM conversations u JOIN conversations m
-      ON m.conv_id = u.conv_id AND m.turn <= u.turn
-     AND m.turn // {S.HISTORY_CHUNK} = u.turn // {S.HISTORY_CHUNK}
-    WHERE u.role = 'user' GROUP BY u.conv_id, u.turn""",
+    f"""WITH {PARTS}
+    SELECT conv_id, last_turn AS turn, before // {S.HISTORY_PART} AS part_no, count(*) AS n_messages,
+           '[' || string_agg({payload_sql('m')}, ',' ORDER BY turn) || ']' AS messages
+    FROM numbered m WHERE turn <= last_turn GROUP BY conv_id, last_turn, part_no
+    UNION ALL
+    SELECT conv_id, turn, NULL, before + 1, NULL FROM numbered
+    WHERE role = 'user' AND turn < last_turn""",
 )
 def stateless_history(spark, tables):
     return S.stateless_history(T.messages(spark, tables))
@@ -177,9 +201,10 @@ def stateless_history(spark, tables):
 
 @query(
     "history_chunks",
-    f"""SELECT conv_id, turn // {S.HISTORY_CHUNK} AS chunk_no, count(*) AS n_messages,
+    f"""WITH {PARTS}
+    SELECT conv_id, before // {S.HISTORY_PART} AS part_no, count(*) AS n_messages,
            '[' || string_agg({payload_sql('m')}, ',' ORDER BY turn) || ']' AS messages
-    FROM conversations m GROUP BY ALL""",
+    FROM numbered m GROUP BY ALL""",
 )
 def history_chunks(spark, tables):
     return S.history_chunks(T.messages(spark, tables))

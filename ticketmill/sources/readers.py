@@ -18,9 +18,6 @@ CSV_DIALECT = {
     "sep": ",",
     "quote": '"',
     "escape": '"',
-    # Line breaks inside quotes belong to the value. Such files are not split, so a large load
-    # should come as many files.
-    "multiLine": "true",
     "ignoreLeadingWhiteSpace": "true",
     "ignoreTrailingWhiteSpace": "true",
 }
@@ -32,16 +29,6 @@ def scan_table(spark: SparkSession, name_or_path: str) -> DataFrame:
     return lower_names(df)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows of a plain scan over all task slots, for heavy work on every row.
-
-    A table of many files has more splits than slots and is left as it is; only a table that comes
-    in one or a few files is shuffled.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots, key)
-
-
 def null_tokens(df: DataFrame) -> DataFrame:
     """Exactly ``NULL``, ``null`` and the empty text become null in text columns."""
 
@@ -52,23 +39,35 @@ def null_tokens(df: DataFrame) -> DataFrame:
     return df.select(*[cell(c) if c in texts else F.col(c) for c in df.columns])
 
 
-def scan_csv_tickets(spark: SparkSession, path: str, schema: str | StructType = TICKET_SCHEMA) -> DataFrame:
+def csv_options(line_breaks: bool) -> dict[str, str]:
+    """``line_breaks``: values may hold line breaks. Spark cannot split such a file, so a file is a
+    task; without them a large file is read in as many splits as its size asks for."""
+    return {**CSV_DIALECT, "multiLine": str(line_breaks).lower()}
+
+
+def scan_csv_tickets(
+    spark: SparkSession, path: str, schema: str | StructType = TICKET_SCHEMA, line_breaks: bool = True
+) -> DataFrame:
     """Ticket files with a declared schema: a wrong value is null, a wrong row does not shift."""
-    return null_tokens(spark.read.schema(schema).options(**CSV_DIALECT).csv(path))
+    return null_tokens(spark.read.schema(schema).options(**csv_options(line_breaks)).csv(path))
 
 
-def scan_csv_infer(spark: SparkSession, path: str) -> DataFrame:
+def scan_csv_infer(spark: SparkSession, path: str, line_breaks: bool = False) -> DataFrame:
     """An ad-hoc read with types taken from the data, which costs a second pass."""
-    return spark.read.options(**CSV_DIALECT, inferSchema="true").csv(path)
+    return spark.read.options(**csv_options(line_breaks), inferSchema="true").csv(path)
 
 
-def stream_csv_tickets(spark: SparkSession, path: str, schema: str | StructType = TICKET_SCHEMA) -> DataFrame:
-    return null_tokens(spark.readStream.schema(schema).options(**CSV_DIALECT).csv(path))
+def stream_csv_tickets(
+    spark: SparkSession, path: str, schema: str | StructType = TICKET_SCHEMA, line_breaks: bool = True
+) -> DataFrame:
+    return null_tokens(spark.readStream.schema(schema).options(**csv_options(line_breaks)).csv(path))
 
 
-def stream_parquet(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
-    """New Parquet files as a stream; the path is a folder or a pattern of files and folders."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(path)
+def stream_parquet(
+    spark: SparkSession, path: str, schema: str | StructType, files: int = 1000
+) -> DataFrame:
+    """New Parquet files as a stream, ``files`` at a time; a folder or a pattern of folders."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def load_new_files(stream: DataFrame, table: str, checkpoint: str) -> None:

@@ -1,4 +1,4 @@
-"""Live tables: messages without repeats, conversations, conversation state, search index."""
+"""Live tables as change logs: messages, conversations, conversation state, search index."""
 
 from __future__ import annotations
 
@@ -12,11 +12,6 @@ from ..operators.retrieval import build_search_index
 from ..operators.state import latest_per_key
 from ..sources.sinks import ChangeLog
 
-CONVERSATION_COLUMNS = [
-    "conversation_id", "thread_id", "last_assistant_message_id", "origin_application",
-    "created_at", "updated_at",
-]
-
 
 def run_available(
     stream: DataFrame,
@@ -35,53 +30,76 @@ def run_available(
     query.awaitTermination()
 
 
-def dedup_messages(stream: DataFrame, keys: list[str], at: str, delay: str) -> DataFrame:
-    """First snapshot of every key; a key is remembered until the watermark has passed it.
+def newest(keys: list[str], order: list[str], first: dict[str, str] | None = None):
+    """A merge for a change log: the last row per key by ``order``; of equal ones the later batch."""
+    return lambda rows: latest_per_key(rows, keys, [*order, "batch"], first)
+
+
+def keep_messages(
+    stream: DataFrame, keys: list[str], order: list[str], log: ChangeLog, checkpoint: str
+) -> None:
+    """Add each micro-batch's newest snapshot per message to the log, whatever the time in it.
 
-    Watermarks need a time with zone, so the column is read as UTC first.
+    Nothing is too late: a message that comes long after its neighbours is kept, and one that comes
+    again counts only if its snapshot is newer. ``log`` merges by :func:`newest`.
     """
-    timed = stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, delay)
-    return timed.dropDuplicatesWithinWatermark(keys).withColumn(at, F.col(at).cast("timestamp_ntz"))
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        log.add(latest_per_key(batch, keys, order), batch_id)
+
+    run_available(stream, save, checkpoint)
 
 
 def keep_conversations(
     stream: DataFrame, log: ChangeLog, order: list[str], checkpoint: str
 ) -> None:
-    """Add each micro-batch's last update per conversation to the log."""
+    """Add each micro-batch's last update per conversation to the log.
+
+    ``created_at`` is the first time a conversation was seen in the batch; ``log`` merges by
+    :func:`conversations_merge`.
+    """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        first = batch.groupBy("conversation_id").agg(F.min("updated_at").alias("created_at"))
-        latest = latest_per_key(batch, "conversation_id", order)
-        log.add(latest.join(first, "conversation_id"), batch_id)
+        latest = latest_per_key(batch, "conversation_id", order, {"created_at": "updated_at"})
+        log.add(latest, batch_id)
 
     run_available(stream, save, checkpoint)
 
 
-def live_conversations(log: ChangeLog, order: list[str]) -> DataFrame:
-    """The conversations table: the last update by ``order``, created when first seen."""
-    changes = log.read()
-    first = changes.groupBy("conversation_id").agg(F.min("created_at").alias("created_at"))
-    latest = latest_per_key(changes.drop("created_at", "batch"), "conversation_id", order)
-    return latest.join(first, "conversation_id").select(*CONVERSATION_COLUMNS)
+def conversations_merge(order: list[str]) -> Callable[[DataFrame], DataFrame]:
+    """The last update by ``order``, created when first seen."""
+    return newest(["conversation_id"], order, {"created_at": "created_at"})
 
 
 def keep_last_message(
     stream: DataFrame, key: str, value: Column, order: Column, log: ChangeLog, checkpoint: str
 ) -> None:
-    """Last non-null ``value`` per key as streaming state, logged as it changes.
+    """Last non-null ``value`` per key and the number of rows, batch by batch, in the log.
 
-    ``max_by`` combines before the shuffle, so a busy key reaches its state store as one row per
-    task and batch; a state function per key would get every row of it in one task.
+    The log takes the place of streaming state, which would remember every key for ever in the
+    memory of the executors. Aggregates combine before the shuffle, so a busy key arrives as one row
+    per task. ``log`` merges by :func:`last_message_merge`.
     """
-    state = stream.groupBy(key).agg(
-        F.max_by(value, F.when(value.isNotNull(), order)).alias("last_message_id"),
-        F.count("*").alias("n_messages"),
-    )
-    run_available(state, log.add, checkpoint, mode="update")
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        at = F.when(value.isNotNull(), order)
+        state = batch.groupBy(key).agg(
+            F.max_by(value, at).alias("last_message_id"),
+            F.max(at).alias("at"),
+            F.count("*").alias("n_messages"),
+        )
+        log.add(state, batch_id)
+
+    run_available(stream, save, checkpoint)
 
 
-def live_last_message(log: ChangeLog, key: str) -> DataFrame:
-    return latest_per_key(log.read(), key, ["batch"]).drop("batch")
+def last_message_merge(key: str) -> Callable[[DataFrame], DataFrame]:
+    return lambda rows: rows.groupBy(key).agg(
+        F.max_by("last_message_id", "at").alias("last_message_id"),
+        F.max("at").alias("at"),
+        F.sum("n_messages").alias("n_messages"),
+        F.max("batch").alias("batch"),
+    )
 
 
 def keep_index_fresh(
@@ -90,22 +108,24 @@ def keep_index_fresh(
     id_column: str,
     text: str,
     attributes: list[str],
+    order: list[str],
     checkpoint: str,
 ) -> None:
-    """Embed the texts of each micro-batch that are new or differ from their last entry."""
+    """Embed the texts of each micro-batch that are new or differ from their last entry.
+
+    Of several rows of an id in a batch the last by ``order`` counts; across batches the later
+    batch does. ``log`` merges by :func:`newest` without an order of its own.
+    """
 
     def save(batch: DataFrame, batch_id: int) -> None:
+        latest = latest_per_key(batch, id_column, order)
         # Only entries of the batch's own ids are looked at, before anything is shuffled by id.
         entries = log.read(below=batch_id).select(id_column, "digest", "batch")
-        touched = entries.join(batch.select(id_column).distinct(), id_column, "left_semi")
+        touched = entries.join(latest.select(id_column), id_column, "left_semi")
         current = latest_per_key(touched, id_column, ["batch"]).select(id_column, "digest")
-        changed = batch.withColumn("digest", text_digest(text)).join(
+        changed = latest.withColumn("digest", text_digest(text)).join(
             current, [id_column, "digest"], "left_anti"
         )
         log.add(build_search_index(changed, id_column, text, attributes), batch_id)
 
     run_available(stream, save, checkpoint)
-
-
-def live_index(log: ChangeLog, id_column: str) -> DataFrame:
-    return latest_per_key(log.read(), id_column, ["batch"]).drop("batch")
