@@ -6,19 +6,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
-from ..functions.text import let, words
+from ..functions.text import words
+from ..session import cut_lineage
 from .curate import text_digest
 
 DIMS = 64
-MAX_BATCH_QUERIES = 1024
-BLOCK_CORPUS_ROWS = 200_000
-BLOCK_QUERIES = 1024
+#: Bytes of vectors on either side of a block, whatever their length.
+BLOCK_BYTES = 32 << 20
 SCORE_DIGITS = 9
+#: Vectors that the cells of the approximate search are fitted on at most.
+SAMPLE_ROWS = 20_000
 
 
 def word_bucket(word: Column, dims: int = DIMS) -> Column:
@@ -29,25 +31,21 @@ def word_bucket(word: Column, dims: int = DIMS) -> Column:
 def embed(df: DataFrame, text: str, out: str = "embedding", dims: int = DIMS) -> DataFrame:
     """Add hashed word counts scaled to length 1, the stand-in for a hosted embedding model.
 
-    A text without words gets a zero vector. All of it happens inside the row: nothing is exploded
-    or shuffled.
+    A text without words gets a zero vector. Words are hashed in the JVM; one pass over their
+    buckets counts them, and nothing is exploded or shuffled.
     """
-    axes = F.sequence(F.lit(0).cast("bigint"), F.lit(dims - 1).cast("bigint"))
 
-    def count(buckets: Column) -> Column:
-        return F.transform(
-            axes, lambda axis: F.size(F.filter(buckets, lambda b: b == axis)).cast("double")
-        )
-
-    def scale(counts: Column) -> Column:
-        squares = F.aggregate(counts, F.lit(0.0), lambda acc, c: acc + c * c)
-        return let(
-            F.sqrt(squares),
-            lambda norm: F.transform(counts, lambda c: F.coalesce(F.try_divide(c, norm), F.lit(0.0))),
-        )
+    @F.pandas_udf("array<double>")
+    def counts(buckets: pd.Series) -> pd.Series:
+        sizes = buckets.map(len).to_numpy(dtype="int64")
+        rows = np.repeat(np.arange(len(buckets)), sizes)
+        flat = np.concatenate([*buckets, np.zeros(0)]).astype("int64")
+        counted = np.bincount(rows * dims + flat, minlength=dims * len(buckets)).reshape(-1, dims)
+        norms = np.sqrt((counted**2).sum(axis=1, keepdims=True))
+        return pd.Series(list(counted / np.maximum(norms, 1)))
 
-    buckets = F.transform(words(F.col(text)), lambda w: word_bucket(w, dims))
-    return df.withColumn(out, let(let(buckets, count), scale))
+    found = F.coalesce(words(F.col(text)), F.array().cast("array<string>"))
+    return df.withColumn(out, counts(F.transform(found, lambda w: word_bucket(w, dims))))
 
 
 def build_search_index(df: DataFrame, id_column: str, text: str, attributes: list[str]) -> DataFrame:
@@ -99,30 +97,18 @@ def _block_scores(
     )
 
 
-def _scores_small_batch(corpus: DataFrame, queries: list, k: int) -> DataFrame:
-    """Each corpus batch against a query batch that was checked to be small; no shuffle."""
-    ids = np.array([r["query_id"] for r in queries], dtype="int64")
-    vectors = _matrix(pd.Series([r["embedding"] for r in queries], dtype=object))
-    shipped = corpus.sparkSession.sparkContext.broadcast((ids, vectors))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        query_ids, matrix = shipped.value
-        for batch in batches:
-            yield _block_scores(batch, query_ids, matrix, k)
-
-    return corpus.mapInPandas(score, SCORES_SCHEMA)
-
-
 def _scores_by_cell(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Rows and queries of the same ``_cell`` against each other, in blocks of bounded size.
 
-    A cell is cut into a grid: corpus shards by query stripes, as many as its counts ask for. Each
-    task holds one shard and one stripe, so a cell may hold any part of either table.
+    A cell is cut into a grid: corpus shards by query stripes, as many as the bytes of its vectors
+    ask for. Each task holds one shard and one stripe, so a cell may hold any part of either table.
     """
-    rows = corpus.groupBy("_cell").agg(F.ceil(F.count("*") / BLOCK_CORPUS_ROWS).alias("_shards"))
-    asked = queries.groupBy("_cell").agg(F.ceil(F.count("*") / BLOCK_QUERIES).alias("_stripes"))
-    # One row per cell, and the number of cells is a parameter of the search.
-    grid = F.broadcast(rows.join(asked, "_cell"))
+
+    def cut(side: DataFrame, out: str) -> DataFrame:
+        size = F.sum(F.size("embedding") * F.lit(8).cast("bigint"))
+        return side.groupBy("_cell").agg(F.ceil(size / BLOCK_BYTES).alias(out))
+
+    grid = cut(corpus, "_shards").join(cut(queries, "_stripes"), "_cell")
     zero = F.lit(0).cast("bigint")
     left = corpus.join(grid, "_cell").select(
         "corpus_id",
@@ -147,24 +133,35 @@ def _scores_by_cell(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, SCORES_SCHEMA)
 
 
+def _asking(queries: DataFrame, *keep: str) -> DataFrame:
+    """Queries that say something: a zero vector is near to nothing and has no hits."""
+    return queries.filter(F.exists("embedding", lambda x: x != 0)).select(
+        F.col("query_id").cast("bigint"), "embedding", *keep
+    )
+
+
 def block_scores(
-    corpus: DataFrame, queries: DataFrame, k: int, max_batch: int = MAX_BATCH_QUERIES
+    corpus: DataFrame, queries: DataFrame, k: int, attributes: list[str] | None = None
 ) -> DataFrame:
     """Partial top-k of every corpus block for every query.
 
-    ``corpus`` is (corpus_id, embedding), ``queries`` (query_id, embedding). A batch of up to
-    ``max_batch`` queries is sent to the corpus; a larger one is spread over a grid of blocks. No
-    query-document pair outside a block's top k leaves its task.
+    ``corpus`` is (corpus_id, embedding), ``queries`` (query_id, embedding). With ``attributes`` both
+    have these columns too, and a query meets the rows that equal it in all of them; a null equals
+    nothing. No pair outside a block's top k leaves its task.
     """
-    corpus = corpus.select(F.col("corpus_id").cast("bigint"), "embedding")
-    queries = queries.select(F.col("query_id").cast("bigint"), "embedding")
-    batch = queries.limit(max_batch + 1).collect()
-    if len(batch) <= max_batch:
-        return _scores_small_batch(corpus, batch, k)
-    one_cell = F.lit(0)
-    return _scores_by_cell(
-        corpus.withColumn("_cell", one_cell), queries.withColumn("_cell", one_cell), k
+    names = attributes or []
+    known = F.lit(True)
+    for name in names:
+        known = known & F.col(name).isNotNull()
+
+    def cell(id_column: str) -> Column:
+        # Without attributes all rows are one cell; a literal would turn the join into a product.
+        return F.xxhash64(F.col(id_column).isNull(), *names).alias("_cell")
+
+    rows = corpus.filter(known).select(
+        F.col("corpus_id").cast("bigint"), "embedding", cell("corpus_id")
     )
+    return _scores_by_cell(rows, _asking(queries.filter(known), cell("query_id")), k)
 
 
 def _ranked(partial: DataFrame, k: int) -> DataFrame:
@@ -177,20 +174,27 @@ def _ranked(partial: DataFrame, k: int) -> DataFrame:
     )
 
 
-def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = V.TOP_K, **options) -> DataFrame:
+def vector_topk(
+    corpus: DataFrame,
+    queries: DataFrame,
+    k: int = V.TOP_K,
+    attributes: list[str] | None = None,
+) -> DataFrame:
     """(query_id, rank, corpus_id, score): the k nearest rows by cosine, exact.
 
-    ``k`` of 0 or None means the default. Equal scores rank by id.
+    ``k`` of 0 or None means the default. Equal scores rank by id. A query without words has no
+    hits. With ``attributes`` only rows that share the query's values are searched, all values in
+    one pass over the index.
     """
     k = k or V.TOP_K
-    return _ranked(block_scores(corpus, queries, k, **options), k)
+    return _ranked(block_scores(corpus, queries, k, attributes), k)
 
 
-def compared_with_corpus(corpus: DataFrame, queries: DataFrame, **options) -> DataFrame:
+def compared_with_corpus(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     """Every query against every corpus row: rows compared and the best match."""
     best = F.max_by(F.col("corpus_id"), F.struct("score", (-F.col("corpus_id")).alias("neg")))
     return (
-        block_scores(corpus, queries, 1, **options)
+        block_scores(corpus, queries, 1)
         .groupBy("query_id")
         .agg(
             F.sum("compared").alias("n_compared"),
@@ -207,22 +211,15 @@ def filter_attributes(index: DataFrame, **wanted) -> DataFrame:
     return index
 
 
-def vector_topk_by_attribute(
-    index: DataFrame, queries: DataFrame, attribute: str, values: list[str], k: int = V.TOP_K
-) -> DataFrame:
-    """Top k among the rows that share the query's attribute, for a fixed set of values."""
-    parts = [
-        vector_topk(
-            filter_attributes(index, **{attribute: value}),
-            filter_attributes(queries, **{attribute: value}),
-            k,
-        )
-        for value in values
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+def write_index(index: DataFrame, path: str) -> None:
+    """Store an index; later searches read the columns they need instead of embedding anew."""
+    index.write.mode("overwrite").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """A stored index, or some of its columns."""
+    index = spark.read.parquet(path)
+    return index.select(*columns) if columns else index
 
 
 def retrieve_text_chunks(
@@ -294,14 +291,16 @@ def vector_topk_approx(
     corpus: DataFrame,
     queries: DataFrame,
     k: int = V.TOP_K,
-    cells: int = 16,
-    probes: int = 4,
+    share: float = 0.5,
+    cells: int | None = None,
+    sample: int = SAMPLE_ROWS,
     seed: int = V.SEED,
 ) -> DataFrame:
-    """Top k among the rows in the ``probes`` cells nearest to the query.
+    """Top k among the rows in the cells nearest to the query, a ``share`` of all cells.
 
-    The cells come from k-means over the vectors. Rows and queries meet by an equi-join on the cell
-    instead of row by row; a cell that holds much of the corpus is cut into blocks.
+    The cells come from k-means over at most ``sample`` vectors, as many cells as the square root of
+    the rows unless told otherwise. Rows and queries meet by an equi-join on the cell instead of row
+    by row; a cell that holds much of the corpus is cut into blocks.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -309,7 +308,16 @@ def vector_topk_approx(
     rows = corpus.select(F.col("corpus_id").cast("bigint"), "embedding").withColumn(
         "features", array_to_vector(F.col("embedding").cast("array<double>"))
     )
-    model = KMeans(k=cells, seed=seed, distanceMeasure="cosine", featuresCol="features").fit(rows)
+    # Cosine needs a length; rows without words keep to a cell of their own that nobody probes last.
+    spoken = rows.filter(F.exists("embedding", lambda x: x != 0))
+    n = spoken.count()
+    if not n:
+        return _ranked(block_scores(corpus, queries, k), k)
+    cells = cells or max(4, int(n**0.5))
+    probes = max(1, -int(-cells * share // 1))
+    place = F.pmod(F.xxhash64("corpus_id"), F.lit(1 << 20)) / float(1 << 20)
+    fitted_on = spoken.filter(place < sample / n).limit(sample) if n > sample else spoken
+    model = KMeans(k=cells, seed=seed, distanceMeasure="cosine", featuresCol="features").fit(fitted_on)
     centers = _matrix(pd.Series(model.clusterCenters()))
 
     @F.pandas_udf("array<int>")
@@ -317,15 +325,27 @@ def vector_topk_approx(
         near = np.argsort(-(_matrix(vectors) @ centers.T), axis=1, kind="stable")
         return pd.Series(list(near[:, :probes].astype("int32")))
 
-    placed = model.transform(rows).select(
-        "corpus_id", "embedding", F.col("prediction").alias("_cell")
-    )
-    asked = queries.select(
-        F.col("query_id").cast("bigint"),
-        "embedding",
-        F.explode(nearest_cells("embedding")).alias("_cell"),
+    # Counted and scored below: placed once.
+    placed = cut_lineage(
+        model.transform(spoken).select("corpus_id", "embedding", F.col("prediction").alias("_cell")),
+        "cells",
     )
-    return _ranked(_scores_by_cell(placed, asked, k), k)
+    asked = _asking(queries).withColumn("_cell", F.explode(nearest_cells("embedding")))
+    return _ranked(_scores_by_cell(placed, cut_lineage(asked, "probes"), k), k)
+
+
+def with_cosine(hits: DataFrame, corpus: DataFrame, queries: DataFrame) -> DataFrame:
+    """Hits with the cosine of their own two vectors, computed anew."""
+
+    def dot(a: str, b: str) -> Column:
+        products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
+        return F.aggregate(products, F.lit(0.0), lambda total, v: total + v)
+
+    c = corpus.select(F.col("corpus_id").cast("bigint"), F.col("embedding").alias("_c"))
+    q = queries.select(F.col("query_id").cast("bigint"), F.col("embedding").alias("_q"))
+    joined = hits.join(c, "corpus_id").join(q, "query_id")
+    cosine = dot("_c", "_q") / F.sqrt(dot("_c", "_c") * dot("_q", "_q"))
+    return joined.withColumn("cosine", cosine).drop("_c", "_q")
 
 
 def recall(approx: DataFrame, exact: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions.language import detect_language
 from ..operators import neardup as N
 from ..operators import retrieval as R
 from ..operators.relate import tool_limit
+from ..session import cut_lineage, scratch_path
 from . import frames as T
 from .columns import _cosine_sql, _letter_sql
 from .frames import sql_words, with_sql
@@ -26,16 +27,19 @@ def counts_sql(name: str, source: str, key: str, text: str) -> str:
 
 
 def hits_sql(k: int, same: str = "") -> str:
-    """Top k of corpus ``c`` for queries ``q`` by cosine; pairs without a shared word score 0."""
+    """Top k of corpus ``c`` for queries ``q`` by cosine; pairs without a shared word score 0.
+
+    Queries without words have no norm and no hits.
+    """
     return f"""dots AS (
         SELECT q.id AS qid, c.id AS cid, sum(q.n * c.n) AS dot
         FROM q JOIN c ON q.bucket = c.bucket GROUP BY ALL),
     scored AS (
         SELECT qs.id AS query_id, cs.id AS corpus_id,
                coalesce(round(dot / (qn.norm * cn.norm), {R.SCORE_DIGITS}), 0) AS score
-        FROM qs CROSS JOIN cs
+        FROM qs JOIN q_norm qn ON qn.id = qs.id CROSS JOIN cs
         LEFT JOIN dots ON qid = qs.id AND cid = cs.id
-        LEFT JOIN q_norm qn ON qn.id = qs.id LEFT JOIN c_norm cn ON cn.id = cs.id {same}),
+        LEFT JOIN c_norm cn ON cn.id = cs.id {same}),
     ranked AS (
         SELECT *, row_number() OVER (PARTITION BY query_id
                                      ORDER BY score DESC, corpus_id) AS rank FROM scored),
@@ -44,7 +48,7 @@ def hits_sql(k: int, same: str = "") -> str:
 
 
 def documents_index(spark, tables):
-    docs = T.texts(spark, tables).withColumnRenamed("lang", "language")
+    docs = T.scan(spark, tables, "documents").withColumnRenamed("lang", "language")
     return R.build_search_index(docs, "doc_id", "text", ["language", "source"]).withColumnRenamed(
         "doc_id", "corpus_id"
     )
@@ -103,23 +107,23 @@ def vector_topk(spark, tables):
     + counts_sql("q", "benchmark", "item_id", "text")
     + ", "
     + counts_sql("c", "documents", "doc_id", "text")
-    + """, qs AS (SELECT item_id AS id, language FROM asked),
-    cs AS (SELECT doc_id AS id, lang AS language FROM documents), """
-    + hits_sql(V.TOOL_TOP_K, "WHERE qs.language = cs.language")
+    + """, qs AS (SELECT item_id AS id, language, 'src' || item_id % 4 AS source FROM asked),
+    cs AS (SELECT doc_id AS id, lang AS language, source FROM documents), """
+    + hits_sql(V.TOOL_TOP_K, "WHERE qs.language = cs.language AND qs.source = cs.source")
     + " SELECT * FROM hits",
 )
 def vector_topk_filtered(spark, tables):
-    """Search among the documents in the guessed language of the query."""
-    asked = detect_language(T.scan(spark, tables, "benchmark"))
-    queries = benchmark_queries(spark, tables).join(
-        asked.select(F.col("item_id").alias("query_id"), "language"), "query_id"
-    )
-    index = documents_index(spark, tables)
-    return R.vector_topk_by_attribute(
-        index, queries, "language", ["en", "de"], tool_limit(None)
+    """Search among the documents in the guessed language and of the source of each query."""
+    asked = detect_language(T.scan(spark, tables, "benchmark")).select(
+        F.col("item_id").alias("query_id"),
+        "language",
+        F.concat(F.lit("src"), F.col("item_id") % 4).alias("source"),
     )
-
-
+    queries = benchmark_queries(spark, tables).join(asked, "query_id")
+    path = scratch_path(spark, "index")
+    R.write_index(documents_index(spark, tables), path)
+    index = R.read_index(spark, path, ["corpus_id", "embedding", "language", "source"])
+    return R.vector_topk(index, queries, tool_limit(None), ["language", "source"])
 
 
 @query(
@@ -171,25 +175,53 @@ def vector_topk_external(spark, tables):
     return R.vector_topk(given_vectors(spark, tables), label_centroids(spark, tables))
 
 
-@query("vector_topk_approx")
+@query(
+    "vector_topk_approx",
+    f"""SELECT DISTINCT label::BIGINT AS query_id,
+           least({V.TOP_K}, (SELECT count(*) FROM embeddings)) AS n_hits,
+           true AS exact_scores, true AS found_enough
+    FROM embeddings""",
+)
 def vector_topk_approx(spark, tables):
-    """Recall of the approximate search against the exact one, by query."""
+    """Per query: hits, whether all scores are the cosines of their pairs, and recall of 0.7."""
     corpus, queries = given_vectors(spark, tables), label_centroids(spark, tables)
-    return R.recall(R.vector_topk_approx(corpus, queries), R.vector_topk(corpus, queries))
+    hits = cut_lineage(R.vector_topk_approx(corpus, queries), "hits")
+    right = F.abs(F.col("score") - F.col("cosine")) < 2e-6
+    checked = R.with_cosine(hits, corpus, queries).groupBy("query_id").agg(
+        F.count("*").alias("n_hits"), F.min(right).alias("exact_scores")
+    )
+    recalled = R.recall(hits, R.vector_topk(corpus, queries))
+    return checked.join(recalled, "query_id").select(
+        "query_id", "n_hits", "exact_scores", (F.col("recall") >= 0.7).alias("found_enough")
+    )
 
 
 @query(
     "retrieve_text_chunks",
-    BENCHMARK_HITS
+    "WITH asked AS (SELECT item_id, text FROM benchmark UNION ALL"
+    " SELECT -1 - item_id, CASE WHEN item_id % 2 = 0 THEN '' ELSE '!! ?' END FROM benchmark), "
+    + counts_sql("q", "asked", "item_id", "text")
+    + ", "
+    + counts_sql("c", "documents", "doc_id", "text")
+    + ", qs AS (SELECT item_id AS id FROM asked), cs AS (SELECT doc_id AS id FROM documents), "
     + hits_sql(V.TOP_K)
-    + f""" SELECT query_id, count(*) AS n_chunks,
-           string_agg(text, '{chr(10)}' ORDER BY rank) AS chunks
-    FROM hits JOIN documents ON doc_id = corpus_id WHERE length(text) > 0 GROUP BY query_id""",
+    + f""" SELECT item_id AS query_id, count(text) AS n_chunks,
+           coalesce(string_agg(text, '{chr(10)}' ORDER BY rank), '') AS chunks
+    FROM (SELECT item_id FROM asked) LEFT JOIN hits ON query_id = item_id
+    LEFT JOIN (SELECT * FROM documents WHERE length(text) > 0) ON doc_id = corpus_id
+    GROUP BY item_id""",
 )
 def retrieve_text_chunks(spark, tables):
+    """Every item asks twice, once without a word; those queries get no text."""
     corpus = documents_index(spark, tables).select("corpus_id", "embedding")
-    queries = benchmark_queries(spark, tables)
-    texts = T.texts(spark, tables).select(F.col("doc_id").alias("corpus_id"), "text")
+    items = T.scan(spark, tables, "benchmark")
+    silent = items.select(
+        (-1 - F.col("item_id")).alias("item_id"),
+        F.when(F.col("item_id") % 2 == 0, "").otherwise("!! ?").alias("text"),
+    )
+    both = items.select("item_id", "text").unionByName(silent)
+    queries = R.embed(both, "text").select(F.col("item_id").alias("query_id"), "embedding")
+    texts = T.scan(spark, tables, "documents").select(F.col("doc_id").alias("corpus_id"), "text")
     lists = R.retrieve_text_chunks(queries, R.vector_topk(corpus, queries), texts, "text")
     return lists.select(
         "query_id",
@@ -205,7 +237,7 @@ def retrieve_text_chunks(spark, tables):
 )
 def refresh_index(spark, tables):
     """An index of the labelled documents brought up to all documents."""
-    docs = T.texts(spark, tables).withColumnRenamed("lang", "language")
+    docs = T.scan(spark, tables, "documents").withColumnRenamed("lang", "language")
     labels = T.scan(spark, tables, "labels")
     known = R.build_search_index(
         docs.join(labels, "doc_id", "left_semi"), "doc_id", "text", ["language"]
@@ -273,23 +305,46 @@ KEPT = CLUSTERS + """, member AS (
         WHERE rn = 1)"""
 
 
-@query("dedup_near_pairs")
+@query(
+    "dedup_near_pairs",
+    CLUSTERS
+    + """, sets AS (SELECT id, string_agg(s, '|' ORDER BY s) AS own FROM shingles GROUP BY id),
+    copied AS (SELECT own, count(*) > 1 AS copied FROM sets GROUP BY own)
+    SELECT doc_id, cluster, copied AS has_copy, count(*) OVER (PARTITION BY cluster) AS members
+    FROM clusters JOIN sets ON id = doc_id JOIN copied USING (own)""",
+)
 def dedup_near_pairs(spark, tables):
-    """Edges that link all near duplicates; which edges link a group is up to the algorithm."""
-    pairs = N.near_pairs(T.texts(spark, tables), "doc_id", "text")
-    return pairs.withColumn("cosine", F.round("cosine", 6))
+    """Per document with a near duplicate: its cluster, whether it has a copy, the cluster's size.
+
+    Which edges link a group is up to the algorithm; what they lead to is not.
+    """
+    edges = cut_lineage(
+        N.near_pairs(T.scan(spark, tables, "documents"), "doc_id", "text"), "edges"
+    )
+    clusters = N.connected_components(edges)
+    same = edges.filter("cosine > 1 - 1e-12")
+    copies = same.select(F.col("a").alias("id")).union(same.select("b")).distinct()
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("members"))
+    return (
+        clusters.join(copies.withColumn("has_copy", F.lit(True)), "id", "left")
+        .join(sizes, "cluster")
+        .select(
+            F.col("id").alias("doc_id"), "cluster",
+            F.coalesce("has_copy", F.lit(False)).alias("has_copy"), "members",
+        )
+    )
 
 
 @query("dedup_near_clusters", CLUSTERS + " SELECT * FROM clusters")
 def dedup_near_clusters(spark, tables):
-    return N.near_clusters(T.texts(spark, tables), "doc_id", "text").withColumnRenamed(
+    return N.near_clusters(T.scan(spark, tables, "documents"), "doc_id", "text").withColumnRenamed(
         "id", "doc_id"
     )
 
 
 @query("dedup_near_keep_best", KEPT + " SELECT doc_id, cluster, size FROM kept")
 def dedup_near_keep_best(spark, tables):
-    docs = T.texts(spark, tables)
+    docs = T.scan(spark, tables, "documents")
     best = N.keep_best(docs, N.near_clusters(docs, "doc_id", "text"), "doc_id", "text")
     return best.select("doc_id", "cluster", F.length("text").cast("bigint").alias("size"))
 
@@ -303,6 +358,6 @@ def dedup_near_keep_best(spark, tables):
            round((documents - kept) / documents * 100, 6) AS removed_percentage FROM n""",
 )
 def dedup_near_report(spark, tables):
-    docs = T.texts(spark, tables).select("doc_id", "text")
+    docs = T.scan(spark, tables, "documents").select("doc_id", "text")
     best = N.keep_best(docs, N.near_clusters(docs, "doc_id", "text"), "doc_id", "text")
     return N.removal_report(docs, best)
