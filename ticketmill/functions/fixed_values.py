@@ -44,7 +44,7 @@ NO_CONTEXT_MARK = "NO_CONTEXT_FOUND"
 CHUNK_SEPARATOR = "\n\n---\n\n"
 INVALID_RESPONSE = "Invalid response"
 PARSE_FAILED = "Failed to parse"
-SEARCH_TOOL = "cortex_search"
+SEARCH_TOOL = "article_search"
 MISSING_COLUMN = "N/A"
 DEFAULT_PRIORITY = "UNKNOWN"
 DEFAULT_TOPIC = "other"

@@ -99,7 +99,7 @@ def _steps(response: Column) -> Column:
     return F.from_json(response, STEP_SCHEMA, STRICT)["content"]
 
 
-def extract_tool_steps(response: Column) -> Column:
+def extract_tool_steps(response: Column, search_tool: str = V.SEARCH_TOOL) -> Column:
     """``struct<used_search, tool_uses, tool_results>`` of one agent response."""
     steps = _steps(response)
     uses = F.transform(
@@ -109,7 +109,7 @@ def extract_tool_steps(response: Column) -> Column:
         F.filter(steps, lambda s: s["type"] == "tool_result"), lambda s: s["tool_result"]
     )
     return F.struct(
-        F.coalesce(F.exists(uses, lambda u: u["name"] == V.SEARCH_TOOL), F.lit(False)).alias(
+        F.coalesce(F.exists(uses, lambda u: u["name"] == search_tool), F.lit(False)).alias(
             "used_search"
         ),
         uses.alias("tool_uses"),
@@ -117,10 +117,10 @@ def extract_tool_steps(response: Column) -> Column:
     )
 
 
-def extract_context(tool_results: Column) -> Column:
+def extract_context(tool_results: Column, search_tool: str = V.SEARCH_TOOL) -> Column:
     """Contents of the successful searches, or the text that says there were none."""
     hits = F.filter(
-        tool_results, lambda r: (r["name"] == V.SEARCH_TOOL) & (r["status"] == "success")
+        tool_results, lambda r: (r["name"] == search_tool) & (r["status"] == "success")
     )
     joined = F.array_join(F.transform(hits, lambda r: r["content"]), "\n\n")
     return F.when(F.size(hits) > 0, joined).otherwise(V.NO_CONTEXT)

@@ -25,12 +25,19 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(V.STRIP_CHARS))
 
 
+def _cut_prefix(prefix: str) -> Callable[[Column], Column]:
+    def cut(text: Column) -> Column:
+        rest = strip(F.substring(text, len(prefix) + 1, 2147483647))
+        return F.when(text.startswith(prefix), rest).otherwise(text)
+
+    return cut
+
+
 def strip_prefixes(text: Column, prefixes: list[str] | None = None) -> Column:
     """Strip, then cut each known prefix in turn and strip again; several can go."""
     out = strip(text)
     for prefix in prefixes or V.ANSWER_PREFIXES:
-        rest = strip(F.substring(out, len(prefix) + 1, 2147483647))
-        out = F.when(out.startswith(prefix), rest).otherwise(out)
+        out = let(out, _cut_prefix(prefix))
     return out
 
 

@@ -132,7 +132,8 @@ def score_batch(
 ) -> DataFrame:
     """Score and explanation per metric from a judging model, and the row's average score.
 
-    All four prompts of a row go through one Python stage; working columns are dropped at the end.
+    ``<metric>_parse_ok`` tells whether there was a readable answer and ``<metric>_error`` shows an
+    unreadable one; ``judge_error`` is the last failed call of the row. All four prompts of a row go through one Python stage; working columns are dropped at the end.
     """
     answered = batch_complete(df, judge_prompts(templates), make_client)
     for metric in METRICS:
@@ -142,10 +143,16 @@ def score_batch(
     for metric in METRICS:
         answered = answered.withColumn(
             f"{metric}_score", F.col(f"_{metric}.score")
-        ).withColumn(f"{metric}_explanation", F.col(f"_{metric}.explanation"))
+        ).withColumns(
+            {
+                f"{metric}_explanation": F.col(f"_{metric}.explanation"),
+                f"{metric}_parse_ok": F.col(f"_{metric}.parse_ok"),
+                f"{metric}_error": F.col(f"_{metric}.error"),
+            }
+        )
     return answered.withColumn("average_score", average_score()).drop(
-        *[f"{m}_response" for m in METRICS], *[f"_{m}" for m in METRICS], "errors"
-    )
+        *[f"{m}_response" for m in METRICS], *[f"_{m}" for m in METRICS]
+    ).withColumnRenamed("errors", "judge_error")
 
 
 def run_batch_evaluation(
@@ -175,6 +182,7 @@ def run_batch_evaluation(
         "_usage.agent_model",
         "_usage.total_input_tokens",
         "_usage.total_output_tokens",
+        F.col("errors").alias("agent_error"),
     )
     return score_batch(results, make_judge)
 

@@ -18,10 +18,11 @@ from ..functions.text import (
     render_prompt_format,
     strip_prefixes,
 )
+from ..session import cut_lineage
 from . import prompts as P
 from . import rules as R
 from .curate import dedup_exact, filter_min_length, select_columns_by_rule
-from .retrieval import embed, retrieve_text_chunks, vector_topk
+from .retrieval import embed, retrieve_text_chunks, vector_topk_approx
 from .sampling import sample_n
 
 # A client takes a list of prompts and returns as many answers.
@@ -39,7 +40,8 @@ def batch_complete(
 ) -> DataFrame:
     """Add one answer column per prompt, and ``errors`` with the last failure of the row.
 
-    ``make_client`` runs once per task. Only the prompts travel to the Python workers, all of them
+    The answers are written before they are handed on, so a prompt is sent once, however often and
+    under whatever filter they are read; only a task that is run again asks again. ``make_client`` runs once per task. Only the prompts travel to the Python workers, all of them
     in one stage. A failing batch is tried again, then prompt by prompt, so that one bad prompt
     costs its own row only. A null prompt gets a null answer. ``tasks`` spreads a small table over
     more tasks than it has partitions, since a model call takes longer than reading its row.
@@ -54,6 +56,19 @@ def batch_complete(
         asked = {n: F.col(f"_prompts.{n}") for n in names}
         answers = batch_complete(once, asked, make_client, batch_size, retries, tasks)
         return keyed.drop("_prompts").join(answers.drop("_prompts"), "_key").drop("_key")
+    return cut_lineage(_answered(df, prompts, make_client, batch_size, retries, tasks), "answers")
+
+
+def _answered(
+    df: DataFrame,
+    prompts: Mapping[str, Column],
+    make_client: Callable[[], Client],
+    batch_size: int = 64,
+    retries: int = 2,
+    tasks: int | None = None,
+) -> DataFrame:
+    """The plan behind :func:`batch_complete`: one Python stage, not yet run."""
+    names = list(prompts)
     fields = ", ".join(f"`{n}` string" for n in names) + ", `errors` string"
 
     def ask(client: Client, asked: list[str]) -> tuple[list[str | None], list[str | None]]:
@@ -99,19 +114,21 @@ def batch_complete(
     if tasks:
         df = df.repartition(tasks)
     packed = F.struct(*[prompts[n].alias(n) for n in names])
-    answered = df.withColumn("_answers", run(packed))
+    # Not deterministic: Spark may not run it again for a filter on an answer.
+    answered = df.withColumn("_answers", run.asNondeterministic()(packed))
     return answered.select(
         *df.columns, *[F.col(f"_answers.{n}").alias(n) for n in [*names, "errors"]]
     )
 
 
 def register_agent_function(
-    spark: SparkSession, name: str, make_client: Callable[[], Client]
+    spark: SparkSession, name: str, make_client: Callable[[], Client], retries: int = 2
 ) -> None:
     """A table function for SQL: ``SELECT ... FROM tickets, LATERAL name(body)`` gives a response.
 
-    An empty answer gives no row. It asks for one text at a time, so whole tables are better served
-    by :func:`batch_complete`.
+    An empty answer gives no row, and neither does a text whose call fails ``retries`` times. Spark
+    hands a lateral table function one row at a time, so whole tables are better served by
+    :func:`batch_complete`, which also tells why a call failed.
     """
 
     class Agent:
@@ -119,9 +136,14 @@ def register_agent_function(
             self.client = make_client()
 
         def eval(self, message: str):
-            answer = self.client([message])[0] if message else None
-            if answer:
-                yield (answer,)
+            for _ in range(retries if message else 0):
+                try:
+                    answer = self.client([message])[0]
+                except Exception:
+                    continue
+                if answer:
+                    yield (answer,)
+                return
 
     spark.udtf.register(name, F.udtf(Agent, returnType="response string"))
 
@@ -159,101 +181,160 @@ def curate_tickets(
     return rewrite_tickets(chosen, make_client)
 
 
-def by_language(templates: Mapping[str, str], holes: Mapping[str, Column]) -> Column:
+def by_language(
+    templates: Mapping[str, str],
+    holes: Mapping[str, Column],
+    defaults: Mapping[str, str] | None = None,
+) -> Column:
     """The English template for ``en``, the German one for every other language."""
     return F.when(
-        F.col("language") == "en", render_prompt_format(templates["en"], holes)
-    ).otherwise(render_prompt_format(templates["de"], holes))
+        F.col("language") == "en", render_prompt_format(templates["en"], holes, defaults)
+    ).otherwise(render_prompt_format(templates["de"], holes, defaults))
+
+
+def _classify_prompt(text: str) -> Column:
+    return by_language(P.CLASSIFY, {"issue_description": F.col(text)})
+
+
+def _priority_prompt(text: str) -> Column:
+    return by_language(P.PRIORITY, {"issue_description": F.col(text)})
 
 
 def classify_topic_intent(
     df: DataFrame, make_client: Callable[[], Client] | None = None, text: str = "issue_description"
 ) -> DataFrame:
-    """Add topic and intent; unreadable model answers give the defaults."""
+    """Add topic, intent and ``topic_error``; unreadable model answers give the defaults.
+
+    ``topic_error`` says why a row has no answer of the model.
+    """
     if make_client is None:
-        return df.withColumn("topic", R.rule_topic(F.col(text))).withColumn(
-            "intent", R.rule_intent(F.col(text))
+        return df.withColumns(
+            {
+                "topic": R.rule_topic(F.col(text)),
+                "intent": R.rule_intent(F.col(text)),
+                "topic_error": F.lit(None).cast("string"),
+            }
         )
-    prompt = by_language(P.CLASSIFY, {"issue_description": F.col(text)})
     found = parse_topic_intent(F.col("_raw"))
     return (
-        batch_complete(df, {"_raw": prompt}, make_client)
-        .withColumn("topic", found["topic"])
-        .withColumn("intent", found["intent"])
-        .drop("_raw", "errors")
+        batch_complete(df, {"_raw": _classify_prompt(text)}, make_client)
+        .withColumns({"topic": found["topic"], "intent": found["intent"]})
+        .withColumnRenamed("errors", "topic_error")
+        .drop("_raw")
     )
 
 
 def evaluate_priority(
     df: DataFrame, make_client: Callable[[], Client] | None = None, text: str = "issue_description"
 ) -> DataFrame:
-    """Add priority_level, one of the four labels."""
+    """Add priority_level, one of the four labels, and ``priority_error``."""
     if make_client is None:
-        return df.withColumn("priority_level", R.rule_priority(F.col(text)))
-    prompt = by_language(P.PRIORITY, {"issue_description": F.col(text)})
+        return df.withColumns(
+            {
+                "priority_level": R.rule_priority(F.col(text)),
+                "priority_error": F.lit(None).cast("string"),
+            }
+        )
     return (
-        batch_complete(df, {"_raw": prompt}, make_client)
+        batch_complete(df, {"_raw": _priority_prompt(text)}, make_client)
         .withColumn("priority_level", normalize_priority(F.col("_raw")))
-        .drop("_raw", "errors")
+        .withColumnRenamed("errors", "priority_error")
+        .drop("_raw")
     )
 
 
 def classify_answer_type(
     df: DataFrame, make_client: Callable[[], Client] | None = None
 ) -> DataFrame:
-    """Add answer_type and whether it is one of the known words; other words are kept."""
+    """Add answer_type, whether it is one of the known words, and ``answer_type_error``."""
     if make_client is None:
-        out = df.withColumn("answer_type", R.rule_answer_type(F.col("answer")))
+        out = df.withColumns(
+            {
+                "answer_type": R.rule_answer_type(F.col("answer")),
+                "answer_type_error": F.lit(None).cast("string"),
+            }
+        )
     else:
         prompt = render_prompt(
             P.ANSWER_TYPE, {"body": F.col("body"), "answer": F.col("answer")}
         )
-        out = batch_complete(df, {"_raw": prompt}, make_client).withColumn(
-            "answer_type", normalize_label(F.col("_raw"))
-        ).drop("_raw", "errors")
+        out = (
+            batch_complete(df, {"_raw": prompt}, make_client)
+            .withColumn("answer_type", normalize_label(F.col("_raw")))
+            .withColumnRenamed("errors", "answer_type_error")
+            .drop("_raw")
+        )
     return out.withColumn("valid", F.col("answer_type").isin(V.ANSWER_TYPES))
 
 
-def response_prompt(template: str = P.RESPONSE) -> Column:
-    """The reply prompt of a ticket row, with defaults for what is missing."""
-    return render_prompt_format(
-        template,
-        {
-            "priority_level": F.col("priority_level"),
-            "topic": F.col("topic"),
-            "intent": F.col("intent"),
-            "issue_description": F.col("issue_description"),
-            "context": join_context(F.col("retrieved_context")),
-        },
-        {
-            "priority_level": V.DEFAULT_PRIORITY,
-            "topic": V.DEFAULT_TOPIC,
-            "intent": V.DEFAULT_INTENT,
-        },
-    )
+def response_prompt(templates: Mapping[str, str] | None = None) -> Column:
+    """The reply prompt of a ticket row in its language, with defaults for what is missing."""
+    templates = templates or P.RESPONSE
+    holes = {
+        "priority_level": F.col("priority_level"),
+        "topic": F.col("topic"),
+        "intent": F.col("intent"),
+        "issue_description": F.col("issue_description"),
+        "context": join_context(F.col("retrieved_context")),
+    }
+    defaults = {
+        "priority_level": V.DEFAULT_PRIORITY,
+        "topic": V.DEFAULT_TOPIC,
+        "intent": V.DEFAULT_INTENT,
+    }
+    return by_language(templates, holes, defaults)
 
 
 def draft_response(
-    df: DataFrame, make_client: Callable[[], Client] | None = None, template: str = P.RESPONSE
+    df: DataFrame,
+    make_client: Callable[[], Client] | None = None,
+    templates: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Add ``prompt`` and ``final_response``; the rule answer is the best retrieved text."""
-    with_prompt = df.withColumn("prompt", response_prompt(template))
+    """Add ``prompt``, ``final_response`` and ``response_error``.
+
+    The rule answer is the best retrieved text. A failed call leaves an empty response.
+    """
+    with_prompt = df.withColumn("prompt", response_prompt(templates))
     if make_client is None:
         best = F.get("retrieved_context", F.lit(0))
-        return with_prompt.withColumn(
-            "final_response", F.coalesce(F.trim(best), F.lit(V.NO_CONTEXT_MARK))
+        return with_prompt.withColumns(
+            {
+                "final_response": F.coalesce(F.trim(best), F.lit(V.NO_CONTEXT_MARK)),
+                "response_error": F.lit(None).cast("string"),
+            }
         )
-    return batch_complete(with_prompt, {"_raw": F.col("prompt")}, make_client).withColumn(
-        "final_response", F.trim(F.coalesce("_raw", F.lit("")))
-    ).drop("_raw", "errors")
+    return (
+        batch_complete(with_prompt, {"_raw": F.col("prompt")}, make_client)
+        .withColumn("final_response", F.trim(F.coalesce("_raw", F.lit(""))))
+        .withColumnRenamed("errors", "response_error")
+        .drop("_raw")
+    )
 
 
 def understand_tickets(
     tickets: DataFrame, make_client: Callable[[], Client] | None = None
 ) -> DataFrame:
-    """Language, topic, intent and priority of each ticket; row by row, no shuffle."""
+    """Language, topic, intent and priority of each ticket; with a model, one stage for both."""
     out = detect_language(tickets, "issue_description")
-    return evaluate_priority(classify_topic_intent(out, make_client), make_client)
+    if make_client is None:
+        return evaluate_priority(classify_topic_intent(out))
+    text = "issue_description"
+    prompts = {"_topic": _classify_prompt(text), "_priority": _priority_prompt(text)}
+    found = parse_topic_intent(F.col("_topic"))
+    failed = F.col("errors")
+    return (
+        batch_complete(out, prompts, make_client)
+        .withColumns(
+            {
+                "topic": found["topic"],
+                "intent": found["intent"],
+                "topic_error": F.when(F.col("_topic").isNull(), failed),
+                "priority_level": normalize_priority(F.col("_priority")),
+                "priority_error": F.when(F.col("_priority").isNull(), failed),
+            }
+        )
+        .drop("_topic", "_priority", "errors")
+    )
 
 
 def respond(
@@ -272,17 +353,20 @@ def respond(
 def answer_tickets(
     tickets: DataFrame,
     articles: DataFrame,
+    index: DataFrame | None = None,
     make_client: Callable[[], Client] | None = None,
     k: int = V.TOP_K,
-    search: Callable[..., DataFrame] = vector_topk,
+    search: Callable[..., DataFrame] = vector_topk_approx,
 ) -> DataFrame:
     """Understand, retrieve, draft and guard the replies to a whole table of tickets.
 
-    ``tickets`` is (ticket_id, issue_description), ``articles`` (corpus_id, text). The default
-    search is exact and compares every ticket with every article; for large tables on both sides
-    pass :func:`vector_topk_approx`, which compares within cells.
+    ``tickets`` is (ticket_id, issue_description), ``articles`` (corpus_id, text). ``index`` is a
+    stored index of the articles (corpus_id, embedding); without one they are embedded here. The
+    default search compares a ticket with the articles of near cells; ``vector_topk`` compares it
+    with all of them and is for small tables on either side. The rows go to the table of agent
+    outputs through ``sinks.agent_output_rows``.
     """
-    corpus = embed(articles, "text")
+    corpus = embed(articles, "text") if index is None else index
     queries = embed(tickets, "issue_description").withColumnRenamed("ticket_id", "query_id")
     hits = search(corpus, queries, k)
     chunks = retrieve_text_chunks(queries, hits, articles, "text").select(

@@ -77,7 +77,8 @@ Ticket:
 {issue_description}""",
 }
 
-RESPONSE = """Priority {priority_level}, topic {topic}, intent {intent}.
+RESPONSE = {
+    "en": """Priority {priority_level}, topic {topic}, intent {intent}.
 
 Issue:
 {issue_description}
@@ -85,7 +86,17 @@ Issue:
 Known articles:
 {context}
 
-Reply:"""
+Reply:""",
+    "de": """Priorität {priority_level}, Thema {topic}, Absicht {intent}.
+
+Anliegen:
+{issue_description}
+
+Bekannte Artikel:
+{context}
+
+Antwort:""",
+}
 
 ANSWER_TYPE = """Answer with one of RESOLUTION, CLARIFICATION, ESCALATION, PARTIAL.
 

@@ -14,10 +14,10 @@ from ..functions.text import strip, strip_prefixes
 
 # First matching row wins; a keyword counts anywhere in the lower-case text.
 TOPIC_KEYWORDS = [
-    ("login", ["login", "log in", "password", "anmeld", "passwort", "2fa"]),
+    ("login", ["login", "log in", "password", "anmeld", "passwort", "sign in"]),
     ("billing", ["invoice", "billing", "payment", "refund", "rechnung", "zahlung"]),
     ("bug", ["error", "crash", "broken", "bug", "fehler", "absturz"]),
-    ("feature_request", ["feature", "would be great", "funktionswunsch", "dark mode"]),
+    ("feature_request", ["feature", "would be great", "funktionswunsch", "could you add"]),
     ("how_to", ["how to", "how do i", "how can i", "wie kann ich", "anleitung"]),
     ("account", ["account", "profile", "konto", "profil"]),
 ]

@@ -13,7 +13,6 @@ from ..functions import fixed_values as V
 from ..session import cut_lineage
 from .sequences import number_rows
 
-ORDERED_LIMIT = 100_000
 CELL_DIGITS = 4
 
 
@@ -22,18 +21,38 @@ def shuffle_key(id_column: str, seed: int = V.SEED) -> Column:
 
 
 def sample_n(df: DataFrame, n: int, id_column: str, seed: int = V.SEED) -> DataFrame:
-    """n rows without replacement; all rows when there are fewer."""
-    order = [shuffle_key(id_column, seed), F.col(id_column)]
-    if n <= ORDERED_LIMIT:
-        return df.orderBy(*order).limit(n)
-    return number_rows(df, order, "_row").filter(F.col("_row") <= n).drop("_row")
+    """n rows without replacement; all rows when there are fewer. The id is unique.
+
+    The order of the hashes is cut into cells; counts tell which are taken whole, and only the one
+    that holds the n-th row is ranked. Neither rows nor texts are sorted or pass through one task.
+    """
+    keyed = df.withColumn("_hash", shuffle_key(id_column, seed)).withColumn(
+        "_cell", F.substring("_hash", 1, CELL_DIGITS)
+    )
+    # At most 16^4 rows.
+    cells = cut_lineage(keyed.groupBy("_cell").agg(F.count("*").alias("_n")), "cells")
+    earlier = W.orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
+    left = F.lit(n) - F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+    taken = cells.withColumn("_left", left).filter("_left > 0")
+    return _take(keyed, taken, ["_cell"], id_column).drop("_hash", "_cell")
+
+
+def _take(keyed: DataFrame, taken: DataFrame, keys: list[str], id_column: str) -> DataFrame:
+    """All rows of the cells that are taken whole, and the first ``_left`` of the others."""
+    whole = taken.filter("_n <= _left").select(*keys)
+    edge = taken.filter("_n > _left").select(*keys, "_left")
+    in_cell = W.partitionBy(*keys).orderBy("_hash", id_column)
+    cut = (
+        keyed.join(edge, keys)
+        .withColumn("_rn", F.row_number().over(in_cell))
+        .filter("_rn <= _left")
+        .drop("_rn", "_left")
+    )
+    return keyed.join(whole, keys, "left_semi").select(*keyed.columns).unionByName(cut.select(*keyed.columns))
 
 
 def slice_rows(df: DataFrame, start: int, stop: int, order: list[str], out: str = "row_id") -> DataFrame:
     """Rows at positions [start, stop) of the order, numbered from 0 again."""
-    if stop <= ORDERED_LIMIT:
-        part = df.orderBy(*order).limit(stop).orderBy(*order).offset(start)
-        return part.withColumn(out, F.row_number().over(W.orderBy(*order)).cast("bigint") - 1)
     rows = number_rows(df, order, out, start=0)
     return rows.filter((F.col(out) >= start) & (F.col(out) < stop)).withColumn(
         out, F.col(out) - start
@@ -83,15 +102,9 @@ def sample_stratified(
         cells.withColumn("_before", F.coalesce(F.sum("_n").over(in_order), F.lit(0)))
         .join(quotas, keys)
         .filter("_before < _quota")
-        .select(*keys, "_cell", (F.col("_quota") - F.col("_before")).alias("_left"))
-    )
-    in_cell = W.partitionBy(*keys, "_cell").orderBy("_hash", id_column)
-    return (
-        keyed.join(taken, [*keys, "_cell"])
-        .withColumn("_rn", F.row_number().over(in_cell))
-        .filter("_rn <= _left")
-        .drop(*keys, "_hash", "_cell", "_left", "_rn")
+        .select(*keys, "_cell", "_n", (F.col("_quota") - F.col("_before")).alias("_left"))
     )
+    return _take(keyed, taken, [*keys, "_cell"], id_column).drop(*keys, "_hash", "_cell")
 
 
 def build_eval_set(

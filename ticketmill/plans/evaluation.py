@@ -112,8 +112,10 @@ def _judge_prompt_sql(metric: str) -> str:
     )
     + " FROM runs) SELECT ticket_id, "
     + ", ".join(
-        f"round({m}_score, 6) AS {m}_score, 'by length' AS {m}_explanation" for m in METRICS
+        f"round({m}_score, 6) AS {m}_score, 'by length' AS {m}_explanation, true AS {m}_parse_ok"
+        for m in METRICS
     )
+    + ", NULL::VARCHAR AS judge_error"
     + ", round(("
     + " + ".join(f"{m}_score" for m in METRICS)
     + ") / 4, 6) AS average_score FROM judged",
@@ -125,8 +127,41 @@ def score_batch(spark, tables):
     scored = E.score_batch(rows, length_judge)
     out = [F.col("ticket_id")]
     for m in METRICS:
-        out += [F.round(f"{m}_score", 6).alias(f"{m}_score"), F.col(f"{m}_explanation")]
-    return scored.select(*out, F.round("average_score", 6).alias("average_score"))
+        out += [F.round(f"{m}_score", 6).alias(f"{m}_score"), f"{m}_explanation", f"{m}_parse_ok"]
+    return scored.select(*out, F.round("average_score", 6).alias("average_score"), "judge_error")
+
+
+def tired_judge():
+    """Fails on prompts with two exclamation marks and gives no JSON for those with a bar."""
+
+    def judge(prompts: list[str]) -> list[str]:
+        if any("!!" in p for p in prompts):
+            raise TimeoutError("no answer")
+        return ["unsure" if "|" in p else '{"score": 1, "explanation": ""}' for p in prompts]
+
+    return judge
+
+
+@query(
+    "score_failures",
+    with_sql("pairs", "runs")
+    + f""", judged AS (SELECT ticket_id, {_judge_prompt_sql("faithfulness")} AS prompt FROM runs)
+    SELECT ticket_id, contains(prompt, '!!') AS failed,
+           NOT contains(prompt, '!!') AND NOT contains(prompt, '|') AS faithfulness_parse_ok,
+           CASE WHEN NOT contains(prompt, '!!') AND contains(prompt, '|') THEN 'unsure' END
+               AS faithfulness_error
+    FROM judged""",
+)
+def score_failures(spark, tables):
+    """What is left of rows whose judge fails or answers in prose: the score's error, per row."""
+    rows = T.runs(spark, tables).select(
+        "ticket_id", "query", "ground_truth", "agent_answer", "context"
+    )
+    scored = E.score_batch(rows, tired_judge)
+    lost = F.col("faithfulness_explanation") == V.INVALID_RESPONSE
+    return scored.select(
+        "ticket_id", lost.alias("failed"), "faithfulness_parse_ok", "faithfulness_error"
+    )
 
 
 def echo_agent():

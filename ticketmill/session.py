@@ -43,6 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if configured:
+        if configured.startswith("file:") and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is a folder of one machine")
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(configured)
         return configured.rstrip("/")
