@@ -1,6 +1,7 @@
 """Edge cases of curation, sampling, sequences, state and responses."""
 
 import datetime as dt
+import json
 import random
 
 import pytest
@@ -110,9 +111,12 @@ def test_sample_n_of_few_rows(spark):
 def test_slice_and_numbers_agree_beyond_the_limit(spark, monkeypatch):
     df = spark.range(0, 100, 1, 7)
     short = rows(S.slice_rows(df, 20, 30, ["id"]), "id")
-    monkeypatch.setattr(S, "ORDERED_LIMIT", 1)
-    assert rows(S.slice_rows(df, 20, 30, ["id"]), "id") == short == [(20 + i, i) for i in range(10)]
-    assert S.sample_n(df, 30, "id").count() == 30
+    assert short == [(20 + i, i) for i in range(10)]
+    key = S.shuffle_key("id")
+    want = {r["id"] for r in df.orderBy(key, "id").limit(30).collect()}
+    assert {r["id"] for r in S.sample_n(df, 30, "id").collect()} == want
+    monkeypatch.setattr(S, "CELL_DIGITS", 1)
+    assert {r["id"] for r in S.sample_n(df, 30, "id").collect()} == want
 
 
 # --- sequences: one key holds most rows, blocks are small
@@ -177,13 +181,13 @@ def test_upsert_conversations(spark):
 
 def test_threads_are_reused_or_allotted(spark):
     known = spark.createDataFrame(
-        [("old", 99999, 42, "app", at(1), at(1)), ("quiet", 7, None, "app", at(1), at(1))], CONVERSATION
+        [("old", 310, 65, "app", at(1), at(1)), ("quiet", 7, None, "app", at(1), at(1))], CONVERSATION
     )
     asked = spark.createDataFrame([("old",), ("new2",), ("new1",), ("quiet",), ("new1",)], "conversation_id string")
     assert rows(T.get_or_create_thread(known, asked), "conversation_id") == [
-        ("new1", 100000, 0, True),
-        ("new2", 100001, 0, True),
-        ("old", 99999, 42, False),
+        ("new1", 311, 0, True),
+        ("new2", 312, 0, True),
+        ("old", 310, 65, False),
         ("quiet", 7, 0, False),
     ]
     assert rows(T.point_lookup(known, "quiet"), "conversation_id") == [("quiet", 7, 0)]
@@ -203,18 +207,21 @@ def test_thread_descriptions_without_ids_are_left_out(spark):
     assert rows(messages, "message_id") == [(1, 5, None, "", "", None, None, at(1))]
 
 
-def test_history_chunks_put_together_are_the_history(spark):
-    data = [(1, t, "user" if t % 2 == 0 else "assistant", f"m{t}") for t in range(10)]
+@pytest.mark.parametrize("turns", [1, 64, 65, 130, 10_000])
+def test_parts_put_together_are_the_whole_history(spark, turns):
+    role = lambda t: "user" if t % 2 == 0 else "assistant"
+    data = [(1, 3 * t, role(t), f"m{t}") for t in range(turns)] + [(2, 0, "assistant", "alone")]
     df = spark.createDataFrame(data, "conv_id bigint, turn bigint, role string, text string")
-    pieces = T.history_chunks(df, 4).orderBy("chunk_no").collect()
-    assert [p["n_messages"] for p in pieces] == [4, 4, 2]
-    import json
-
-    whole = [m["content"][0]["text"] for p in pieces for m in json.loads(p["messages"])]
-    assert whole == [f"m{t}" for t in range(10)]
-    sent = {r["turn"]: r for r in T.stateless_history(df, 4).collect()}
-    assert sent[8]["first_turn"] == 8 and sent[8]["n_messages"] == 1
-    assert sent[2]["first_turn"] == 0 and sent[2]["n_messages"] == 3
+    sent = T.stateless_history(df).collect()
+    last = max(r["turn"] for r in sent)
+    parts = sorted((r["part_no"], r["n_messages"], r["messages"]) for r in sent if r["turn"] == last)
+    whole = [m["content"][0]["text"] for _, _, part in parts for m in json.loads(part)]
+    assert whole == [f"m{t}" for t in range(last // 3 + 1)]
+    assert all(n == len(json.loads(part)) <= 64 for _, n, part in parts)
+    earlier = {r["turn"]: (r["part_no"], r["n_messages"]) for r in sent if r["turn"] < last}
+    assert earlier == {3 * t: (None, t + 1) for t in range(0, last // 3, 2)}
+    chunks = sorted((r["part_no"], r["messages"]) for r in T.history_chunks(df).collect() if r["conv_id"] == 1)
+    assert sum(len(json.loads(c)) for _, c in chunks) == turns
 
 
 def test_qa_pairs_skip_to_the_next_answer(spark):
@@ -246,54 +253,57 @@ def test_event_lines(spark):
     ]
 
 
-def events_of(lines):
-    """The same rules, written as a loop over the lines of one response."""
-    out, kind, parts, number = [], "message", [], 0
-    for line in lines + [""]:
-        line = line.rstrip("\r")
-        if line == "":
-            if parts:
-                out.append((number, kind, "\n".join(parts)))
-            kind, parts, number = "message", [], number + 1
-        elif line.startswith("event:"):
-            kind = line[6:].strip() or "message"
-        elif line.startswith("data:"):
-            parts.append(line[5:].lstrip())
+def as_lines(rng, events):
+    """Events written out with comments, other fields, carriage returns and gaps between them."""
+    noise = [": keep", "id: 7", "retry: 5", "\r", ""]
+    out = []
+    for kind, parts in events:
+        out += [rng.choice(noise) for _ in range(rng.randrange(3))]
+        # A blank line may have ended nothing; the next event starts with its own name.
+        block = [f"event: {kind}"] * (kind != "message")
+        for part in parts:
+            block += [": in between"] * rng.randrange(2) + [f"data: {part}"]
+        out += ["", *[line + rng.choice(["", "\r"]) for line in block], rng.choice(["", "\r"])]
     return out
 
 
-def test_random_event_lines(spark, monkeypatch):
+def test_random_events_are_read_back(spark, monkeypatch):
     monkeypatch.setattr(Q, "BLOCK_ROWS", 5)
     rng = random.Random(11)
-    choices = ["", "", "\r", ": c", "event: a", "event:", "event: b ", "data: x", "data:  y\r", "data:", "id: 7"]
-    lines = {k: [rng.choice(choices) for _ in range(rng.randrange(1, 120))] for k in "pqrs"}
-    data = [(k, i, line) for k, ls in lines.items() for i, line in enumerate(ls)]
+    drawn = {
+        k: [
+            (rng.choice(["message", "delta", "done"]), [rng.choice(["x", "y z", "{}"]) for _ in range(rng.randrange(1, 4))])
+            for _ in range(rng.randrange(40))
+        ]
+        for k in "pqrs"
+    }
+    data = [(k, i, line) for k, events in drawn.items() for i, line in enumerate(as_lines(rng, events))]
     df = spark.createDataFrame(data, "response_id string, line_no bigint, line string")
-    found = E.parse_sse_events(df).collect()
-    for k, ls in lines.items():
-        got = sorted((r["event_no"], r["event_type"], r["data"]) for r in found if r["response_id"] == k)
-        assert got == events_of(ls)
+    found = E.parse_sse_events(df).orderBy("event_no").collect()
+    for k, events in drawn.items():
+        got = [(r["event_type"], r["data"]) for r in found if r["response_id"] == k]
+        assert got == [(kind, "\n".join(parts)) for kind, parts in events]
 
 
 def test_folded_run(spark):
     def run(name, *events):
         return [(name, i, kind, data) for i, (kind, data) in enumerate(events)]
 
-    answer = '{"content": [{"type": "text", "text": "Line 1"}, {"type": "text", "text": "Line 2"}]}'
+    answer = '{"content": [{"type": "text", "text": "first half"}, {"type": "text", "text": "rest"}]}'
     data = run(
         "ok",
-        ("metadata", '{"metadata": {"role": "user", "message_id": 122}}'),
-        ("metadata", '{"metadata": {"role": "user", "message_id": 123}}'),
+        ("metadata", '{"metadata": {"role": "user", "message_id": 8}}'),
+        ("metadata", '{"metadata": {"role": "user", "message_id": 9}}'),
         ("metadata", "broken"),
-        ("metadata", '{"metadata": {"role": "assistant", "message_id": 456}}'),
+        ("metadata", '{"metadata": {"role": "assistant", "message_id": 70}}'),
         ("response", answer),
         ("response", "[1]"),
     ) + run("none", ("metadata", '{"metadata": {"role": "user", "message_id": 1}}'))
     df = spark.createDataFrame(data, "response_id string, event_no bigint, event_type string, data string")
     folded = {r["response_id"]: r for r in E.fold_agent_run(df).collect()}
     ok, none = folded["ok"], folded["none"]
-    assert (ok["user_message_id"], ok["assistant_message_id"]) == (123, 456)
-    assert (ok["assistant_text"], ok["status"]) == ("Line 1\nLine 2", "ok")
+    assert (ok["user_message_id"], ok["assistant_message_id"]) == (9, 70)
+    assert (ok["assistant_text"], ok["status"]) == ("first half\nrest", "ok")
     assert (none["assistant_text"], none["status"]) == (None, "missing_final_response")
 
 

@@ -20,14 +20,14 @@ def test_no_cross_joins(spark, key):
     assert "CartesianProduct" not in text and "NestedLoopJoin" not in text
 
 
-@pytest.mark.parametrize("key", ["topk_per_query", "dedup_exact", "vector_topk"])
+@pytest.mark.parametrize("key", ["topk_per_query", "dedup_exact"])
 def test_ranks_are_cut_before_the_shuffle(spark, key):
     text = plan(QUERIES[key](spark, TABLES))
     partial = text.index("Partial", text.index("WindowGroupLimit"))
     assert text.index("Exchange", text.index("WindowGroupLimit")) < partial
 
 
-@pytest.mark.parametrize("key", ["list_conversations", "latest_one", "sample_n", "preview_limit"])
+@pytest.mark.parametrize("key", ["list_conversations", "latest_one", "preview_limit"])
 def test_small_limits_are_not_sorted_in_full(spark, key):
     assert "TakeOrderedAndProject" in plan(QUERIES[key](spark, TABLES))
 
@@ -47,8 +47,13 @@ def test_embedding_moves_no_rows(spark):
 
 
 def test_model_stage_ships_prompts_only(spark):
-    from ticketmill.operators.inference import batch_complete
+    from ticketmill.operators.inference import _answered
 
     df = spark.read.parquet(f"{TABLES}/documents.parquet")
-    done = batch_complete(df, {"a": F.col("source")}, lambda: lambda prompts: prompts)
+    done = _answered(df, {"a": F.col("source")}, lambda: lambda prompts: prompts)
     assert plan(done).count("ArrowEvalPython") == 1
+
+
+def test_prefixes_are_cut_without_repeating_the_expression(spark):
+    text = plan(QUERIES["rewrite_answer"](spark, TABLES))
+    assert text.count("regexp_replace") <= 4

@@ -10,7 +10,8 @@ from ticketmill.operators import inference as I
 from ticketmill.operators import neardup as N
 from ticketmill.operators import retrieval as R
 from ticketmill.session import scratch_path
-from ticketmill.sources.readers import load_new_files, stream_parquet
+from ticketmill.sources import sinks as K
+from ticketmill.sources.readers import load_new_files, scan_csv_tickets, stream_parquet
 from ticketmill.sources.sinks import ChangeLog
 from ticketmill.streaming import tables as L
 
@@ -123,12 +124,11 @@ def queries_of(spark, *texts):
     return R.embed(df, "text")
 
 
-def test_both_ways_to_score_agree(spark, corpus):
-    queries = queries_of(spark, "password", "invoice & billing", "", "été server")
+def test_scores_and_ranks(spark, corpus):
+    queries = queries_of(spark, "password", "invoice & billing", "été server")
     near = R.vector_topk(corpus, queries, 3)
-    grid = R.vector_topk(corpus, queries, 3, max_batch=0)
-    assert sorted(map(tuple, near.collect())) == sorted(map(tuple, grid.collect()))
     assert {r["corpus_id"] for r in near.filter("query_id = 0 and rank <= 2").collect()} == {0, 2}
+    assert [r["corpus_id"] for r in near.filter("rank = 1").orderBy("query_id").collect()][1:] == [1, 4]
 
 
 def test_k_above_corpus_size_and_default(spark, corpus):
@@ -137,31 +137,59 @@ def test_k_above_corpus_size_and_default(spark, corpus):
     assert R.vector_topk(corpus, queries, 0).count() == 5
 
 
-def test_hot_cells_are_cut_into_blocks(spark, monkeypatch):
-    monkeypatch.setattr(R, "BLOCK_CORPUS_ROWS", 7)
-    monkeypatch.setattr(R, "BLOCK_QUERIES", 3)
+def test_vectors_are_cut_into_blocks_by_their_bytes(spark, monkeypatch):
     rng = random.Random(5)
     vector = lambda: [rng.gauss(0, 1) for _ in range(8)]
     docs = spark.createDataFrame([(i, vector()) for i in range(100)], "corpus_id bigint, embedding array<double>")
     asked = spark.createDataFrame([(i, vector()) for i in range(20)], "query_id bigint, embedding array<double>")
     exact = sorted(map(tuple, R.vector_topk(docs, asked, 4).collect()))
-    assert sorted(map(tuple, R.vector_topk(docs, asked, 4, max_batch=0).collect())) == exact
-    everywhere = R.vector_topk_approx(docs, asked, 4, cells=5, probes=5)
+    monkeypatch.setattr(R, "BLOCK_BYTES", 8 * 8 * 7)
+    assert sorted(map(tuple, R.vector_topk(docs, asked, 4).collect())) == exact
+    everywhere = R.vector_topk_approx(docs, asked, 4, share=1.0, cells=5)
     assert sorted(map(tuple, everywhere.collect())) == exact
-    assert R.compared_with_corpus(docs, asked, max_batch=0).agg(F.sum("n_compared")).first()[0] == 2000
+    assert R.compared_with_corpus(docs, asked).agg(F.sum("n_compared")).first()[0] == 2000
+    sampled = R.vector_topk_approx(docs, asked, 4, share=1.0, sample=30)
+    assert sorted(map(tuple, sampled.collect())) == exact
+
+
+def test_queries_without_words_have_no_hits(spark, corpus):
+    queries = queries_of(spark, "password", "", "!! ?", None)
+    for search in (R.vector_topk, R.vector_topk_approx):
+        hits = search(corpus, queries, 2)
+        assert {r["query_id"] for r in hits.collect()} == {0}
+        lists = R.retrieve_text_chunks(queries, hits, corpus, "text").orderBy("query_id").collect()
+        assert [len(r["chunks"]) for r in lists] == [2, 0, 0, 0]
+
+
+def test_filters_on_several_attributes_in_one_pass(spark, corpus):
+    language = F.when(F.col("corpus_id") < 3, "en").otherwise("de")
+    index = corpus.withColumns({"language": language, "type": F.lit("bug")})
+    wanted = F.when(F.col("query_id") == 1, "de").when(F.col("query_id") == 2, "xx").otherwise("en")
+    kind = F.when(F.col("query_id") == 3, F.lit(None)).otherwise("bug")
+    queries = queries_of(spark, "password", "server", "password", "password").withColumns(
+        {"language": wanted, "type": kind}
+    )
+    hits = R.vector_topk(index, queries, 9, ["language", "type"]).collect()
+    found = {q: {r["corpus_id"] for r in hits if r["query_id"] == q} for q in range(4)}
+    assert found == {0: {0, 1, 2}, 1: {3, 4}, 2: set(), 3: set()}
 
 
-def test_queries_without_hits_keep_an_empty_list(spark, corpus):
-    queries = queries_of(spark, "password", "")
-    hits = R.vector_topk(corpus, queries.filter("text <> ''"), 2)
-    lists = R.retrieve_text_chunks(queries, hits, corpus, "text").orderBy("query_id").collect()
-    assert len(lists[0]["chunks"]) == 2 and lists[1]["chunks"] == []
+def test_the_default_search_of_whole_tables_finds_enough(spark):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices(["mail", "login", "disk", "screen", "invoice", "cable"], k=6)) for _ in range(300)]
+    articles = spark.createDataFrame(list(enumerate(texts)), "corpus_id bigint, text string")
+    tickets = spark.createDataFrame([(i, texts[i * 7]) for i in range(40)], "ticket_id bigint, issue_description string")
+    answers = I.answer_tickets(tickets, articles, k=1).collect()
+    same = sum(sorted(r["retrieved_context"][0].split()) == sorted(r["issue_description"].split()) for r in answers)
+    assert len(answers) == 40 and same >= 36
 
 
-def test_filter_that_matches_nothing(spark, corpus):
-    queries = queries_of(spark, "password").withColumn("language", F.lit("en"))
-    index = corpus.withColumn("language", F.lit("de"))
-    assert R.vector_topk_by_attribute(index, queries, "language", ["en", "de"]).count() == 0
+def test_a_stored_index_is_read_in_part(spark, corpus):
+    path = scratch_path(spark, "index")
+    R.write_index(corpus.withColumn("language", F.lit("en")), path)
+    index = R.read_index(spark, path, ["corpus_id", "embedding"])
+    assert index.columns == ["corpus_id", "embedding"]
+    assert "text" not in index._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
 
 
 def test_refresh_embeds_only_changes(spark):
@@ -218,6 +246,41 @@ def test_equal_prompts_are_asked_once(spark):
     assert len(found) == 53 and set(found.values()) == {"same:1", "other:1", ":1", None}
 
 
+def test_a_prompt_is_sent_once(spark, tmp_path):
+    """Whatever is done with the answers: the calls are written down as they are made."""
+    calls = str(tmp_path / "calls")
+
+    def client():
+        def complete(prompts):
+            with open(calls, "a") as f:
+                f.writelines(p + "\n" for p in prompts)
+            return [p.upper() for p in prompts]
+
+        return complete
+
+    df = spark.createDataFrame([(i, f"p{i}") for i in range(10)], "id int, p string")
+    done = I.batch_complete(df, {"a": F.col("p")}, client)
+    assert done.filter("a is not null").count() == 10
+    assert done.filter("a like 'P%'").join(done.withColumnRenamed("a", "b"), "id").count() == 10
+    with open(calls) as f:
+        assert sorted(f.read().split()) == sorted(f"p{i}" for i in range(10))
+
+
+def test_failures_stay_visible(spark):
+    def broken():
+        def complete(prompts):
+            raise ConnectionError("gone")
+
+        return complete
+
+    df = spark.createDataFrame([("it broke", "en")], "issue_description string, language string")
+    row = I.understand_tickets(df, broken).first()
+    assert (row["topic"], row["priority_level"]) == ("other", "LOW")
+    assert row["topic_error"] == row["priority_error"] == "ConnectionError: gone"
+    assert I.classify_topic_intent(df, broken).first()["topic_error"] == "ConnectionError: gone"
+    assert I.evaluate_priority(df, broken).first()["priority_error"] == "ConnectionError: gone"
+
+
 def test_model_answers_are_cleaned(spark):
     def client():
         return lambda prompts: ["Cleaned: fixed" for _ in prompts]
@@ -246,7 +309,9 @@ def test_stream_upsert_over_batches_with_a_late_update(spark):
     import datetime as dt
 
     stage, seen = scratch_path(spark, "stage"), scratch_path(spark, "seen")
-    log = ChangeLog(spark, scratch_path(spark, "log"), SCHEMA + ", created_at timestamp_ntz")
+    order = ["updated_at", "event_id"]
+    schema = SCHEMA + ", created_at timestamp_ntz"
+    log = ChangeLog(spark, scratch_path(spark, "log"), schema, L.conversations_merge(order), 2)
 
     def deliver(*rows):
         spark.createDataFrame(list(rows), SCHEMA).coalesce(1).write.mode("append").parquet(stage)
@@ -258,10 +323,11 @@ def test_stream_upsert_over_batches_with_a_late_update(spark):
     deliver(("a", 1, 10, "x", day(5), 1), ("b", 2, 20, "x", day(5), 2))
     deliver(("a", 1, None, "y", day(6), 3))
     deliver(("b", 2, 99, "late", day(1), 0))
-    live = L.live_conversations(log, ["updated_at", "event_id"]).orderBy("conversation_id").collect()
+    columns = ["conversation_id", "thread_id", "last_assistant_message_id", "created_at", "updated_at"]
+    live = log.live().orderBy("conversation_id").select(*columns).collect()
     assert [tuple(r) for r in live] == [
-        ("a", 1, None, "y", day(5), day(6)),
-        ("b", 2, 20, "x", day(1), day(5)),
+        ("a", 1, None, day(5), day(6)),
+        ("b", 2, 20, day(1), day(5)),
     ]
 
 
@@ -274,46 +340,124 @@ def test_files_are_loaded_once(spark):
     assert spark.read.parquet(table).count() == 20
 
 
-def test_a_retried_batch_replaces_itself(spark):
-    log = ChangeLog(spark, scratch_path(spark, "log"), "id bigint")
+def sums(rows):
+    return rows.groupBy("id").agg(F.sum("n").alias("n"), F.max("batch").alias("batch"))
+
+
+def test_a_log_is_folded_and_reads_stay_short(spark):
+    log = ChangeLog(spark, scratch_path(spark, "log"), "id bigint, n bigint", sums, fold_every=3)
+    one = spark.range(3).withColumn("n", F.lit(1).cast("bigint"))
     assert log.read().count() == 0
-    for _ in range(2):
-        log.add(spark.range(3), 0)
-    log.add(spark.range(2), 1)
-    assert log.read().count() == 5 and log.read(below=1).count() == 3
+    folders = []
+    for batch in range(12):
+        for _ in range(2):  # every batch is written again, as after a failure
+            log.add(one, batch)
+        folders.append(len(log._parts(batch + 1)))
+        assert {r["n"] for r in log.live().collect()} == {batch + 1}
+    assert max(folders) <= 3
+    assert len(log._folders("batch")) <= 2 * 3 + 1 and len(log._folders("snapshot")) <= 2
+    assert {r["n"] for r in log.live(below=11).collect()} == {11}
 
 
 def test_index_stream_embeds_changes_only(spark):
     stage, seen = scratch_path(spark, "stage"), scratch_path(spark, "seen")
     log = ChangeLog(
-        spark, scratch_path(spark, "log"), "id bigint, digest string, embedding array<double>"
+        spark,
+        scratch_path(spark, "log"),
+        "id bigint, digest string, embedding array<double>",
+        L.newest(["id"], []),
     )
-    schema = "id bigint, text string"
-    for rows in [[(1, "a"), (2, "b")], [(1, "a"), (2, "changed"), (3, "new")]]:
+    schema = "id bigint, text string, version int"
+    deliveries = [
+        [(1, "a", 1), (2, "b", 2), (2, "older", 1)],
+        [(1, "a", 1), (2, "changed", 3), (3, "new", 1)],
+    ]
+    for rows in deliveries:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(stage)
         stream = stream_parquet(spark, stage, schema)
-        L.keep_index_fresh(stream, log, "id", "text", [], seen)
+        L.keep_index_fresh(stream, log, "id", "text", [], ["version"], seen)
     assert sorted(r["id"] for r in log.read().collect()) == [1, 2, 2, 3]
-    live = {r["id"]: r["digest"] for r in L.live_index(log, "id").collect()}
-    want = spark.createDataFrame([(1, "a"), (2, "changed"), (3, "new")], schema)
+    live = {r["id"]: r["digest"] for r in log.live().collect()}
+    want = spark.createDataFrame([(1, "a"), (2, "changed"), (3, "new")], "id bigint, text string")
     built = R.build_search_index(want, "id", "text", [])
     assert live == {r["id"]: r["digest"] for r in built.collect()}
 
 
-def test_messages_seen_before_are_dropped_across_batches(spark):
+def test_no_message_is_too_late_and_the_newest_snapshot_stays(spark):
     import datetime as dt
 
-    stage, table, seen = (scratch_path(spark, n) for n in ["stage", "table", "seen"])
+    stage, seen = scratch_path(spark, "stage"), scratch_path(spark, "seen")
     schema = "thread_id bigint, message_id bigint, ts timestamp_ntz"
-    noon = dt.datetime(2024, 1, 1, 12)
+    keys = ["thread_id", "message_id"]
+    log = ChangeLog(spark, scratch_path(spark, "log"), schema, L.newest(keys, ["ts"]), 2)
+    day = lambda d: dt.datetime(2024, 1, d)
     deliveries = [
-        [(1, 1, noon), (1, 1, noon), (1, 2, noon)],
-        [(1, 1, noon + dt.timedelta(minutes=5)), (2, 1, noon + dt.timedelta(minutes=5))],
+        [(1, 1, day(9)), (1, 1, day(8)), (1, 2, day(9))],
+        [(1, 3, day(1)), (1, 1, day(2))],
+        [(1, 2, day(20)), (1, 3, day(1))],
+        [(1, 1, day(3))],
     ]
     for rows in deliveries:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(stage)
-        stream = stream_parquet(spark, stage, schema)
-        kept = L.dedup_messages(stream, ["thread_id", "message_id"], "ts", "1 hour")
-        load_new_files(kept, table, seen)
-    found = spark.read.schema(schema).parquet(table).collect()
-    assert sorted(map(tuple, found)) == [(1, 1, noon), (1, 2, noon), (2, 1, noon + dt.timedelta(minutes=5))]
+        L.keep_messages(stream_parquet(spark, stage, schema), keys, ["ts"], log, seen)
+    found = sorted(map(tuple, log.live().select(*keys, "ts").collect()))
+    assert found == [(1, 1, day(9)), (1, 2, day(20)), (1, 3, day(1))]
+
+
+# --- tables that are replaced
+
+
+@pytest.fixture
+def database(spark):
+    path = scratch_path(spark, "db")
+    name = f"db_{path.rsplit('-', 1)[1]}"
+    K.ensure_database(spark, name, path)
+    yield name
+    spark.sql(f"DROP DATABASE {name} CASCADE")
+
+
+def test_keyed_tables_rewrite_only_what_changes(spark, database):
+    table = f"{database}.counts"
+    K.create_keyed_table(spark.range(40).withColumn("n", F.lit(1)), table, ["id"], 8)
+    before = {r["f"] for r in spark.table(table).select(F.input_file_name().alias("f")).collect()}
+
+    def merge(old, new):
+        return old.unionByName(new).groupBy("id").agg(F.sum("n").cast("int").alias("n"))
+
+    changes = spark.createDataFrame([(3, 5), (99, 7)], "id bigint, n int")
+    K.replace_keys(table, changes, ["id"], merge, 8)
+    found = {r["id"]: r["n"] for r in K.keyed_table(spark, table).collect()}
+    assert found == {**{i: 1 for i in range(40)}, 3: 6, 99: 7}
+    after = {r["f"] for r in spark.table(table).select(F.input_file_name().alias("f")).collect()}
+    assert 0 < len(before - after) <= 2
+    K.replace_keys(table, changes.limit(0), ["id"], merge, 8)
+    assert K.keyed_table(spark, table).count() == 41
+
+
+def test_a_failing_write_leaves_the_table(spark, database):
+    table = f"{database}.t"
+    K.create_table_as(spark, table, "SELECT * FROM {rows}", rows=spark.range(3))
+    with pytest.raises(Exception):
+        K.create_table_as(spark, table, f"SELECT raise_error('no') FROM {table}")
+    assert spark.table(table).count() == 3
+    K.create_table_as(spark, table, f"SELECT id + 1 AS id FROM {table}")
+    assert sorted(r["id"] for r in spark.table(table).collect()) == [1, 2, 3]
+    keyed = f"{database}.k"
+    K.create_keyed_table(spark.range(3), keyed, ["id"], 2)
+    with pytest.raises(Exception):
+        broken = F.raise_error(F.lit("no")).cast("bigint").alias("id")
+        K.replace_keys(keyed, spark.range(1), ["id"], lambda old, new: new.select(broken), 2)
+    assert K.keyed_table(spark, keyed).count() == 3
+
+
+def test_plain_files_are_split(spark):
+    path = scratch_path(spark, "csv")
+    spark.range(20_000).selectExpr("id", "repeat('x', 100) AS text").coalesce(1).write.option("header", "true").csv(path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 256 * 1024)
+    try:
+        split = scan_csv_tickets(spark, path, "id bigint, text string", line_breaks=False)
+        whole = scan_csv_tickets(spark, path, "id bigint, text string")
+        assert split.rdd.getNumPartitions() > 3 and whole.rdd.getNumPartitions() == 1
+        assert split.count() == whole.count() == 20_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
