@@ -33,9 +33,14 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest id."""
+    """One document of each group of near duplicates stays: the one with the smallest id.
+
+    Rows that repeat an id go or stay together; documents without an id cannot be named by one and
+    stay.
+    """
     kept = minhash.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    named = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return named.unionByName(docs.filter("doc_id IS NULL"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

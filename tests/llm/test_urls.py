@@ -66,7 +66,7 @@ def test_trees_learn_what_rules_say(spark):
         kind = "bad" if i % 2 else "good"
         tail = "?" + "&".join(f"k{j}={i}{j}77" for j in range(6)) if i % 2 else ""
         rows.append((i, f"http://a.example/{kind}/{i}{tail}", kind))
-        rows.append((1000 + i, f"http://b.test/{i}{tail}", kind))
+        rows.append((1000 + i, f"http://b.example/{kind}/{i}{tail}", kind))
     pages = spark.createDataFrame(rows, "page_id int, url string, kind string")
     got = urls.judge(pages, rules=rules).toPandas()
     free = got[got.rule.isna()]
