@@ -91,7 +91,7 @@ def test_large_instances_are_close_to_the_bound():
     counts = {n: rng.randrange(3_000_000) for n in range(1, 2049)}
     plan = packing.make_plan(counts)
     bound = -(-sum(n * c for n, c in counts.items()) // 2048)
-    assert bound <= plan.sequences <= 1.001 * bound and len(plan.entries) < 100_000
+    assert bound <= plan.sequences <= 1.02 * bound and len(plan.entries) < 100_000
 
 
 def check(texts, rows):
