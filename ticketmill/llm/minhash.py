@@ -43,7 +43,7 @@ HASHES = BANDS * BAND_HASHES
 BATCH_HASHES = 30
 THRESHOLD_PERCENT = 75
 #: Chance per batch that a pair at or above the threshold is dropped on its signature.
-MISS = 5e-4
+MISS = 1e-5
 #: Shingles of a bucket's nodes on either side of a block; a larger node is a side of its own.
 PART_SHINGLES = 500_000
 
