@@ -30,6 +30,18 @@ def test_words_apart_give_the_ids_of_the_whole_text():
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == library(texts)
 
 
+def test_added_tokens_are_told_by_case(spark):
+    rng = random.Random(5)
+    texts = ["<|ENDOFTEXT|>", "<|EndOfText|> Hello", "A<|StartOfText|>B", "It's <|endoftext|>IT'S <|x|> Ab"]
+    for _ in range(1000):
+        parts = rng.choices(["<|endoftext|>", "<|startoftext|>", "<|", "|>", *ALPHABET, "Q", "'S"], k=12)
+        texts.append("".join(p.swapcase() if rng.random() < 0.3 else p for p in parts))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = packing.tokenize(df, PATH).toPandas().set_index("doc_id").ids
+    found = [np.frombuffer(rows[i], "<u4").tolist() for i in range(len(texts))]
+    assert found == [[*ids, 0] for ids in library(texts)]
+
+
 def test_a_full_memory_changes_nothing(monkeypatch):
     import ticketmill.llm.memory as module
 

@@ -41,10 +41,19 @@ BLANKS = re.compile("[^ \\n\\t\\r]+")
 
 
 def cut(text: str) -> list[str]:
-    """Words of an ASCII-lowered text that can be encoded apart."""
+    """Words of a text that can be encoded apart; ASCII-lowered, unless it has "<|"."""
     return (BLANKS if "<|" in text else WORDS).findall(text)
 
 
+def words_of(raw: bytes) -> list[str]:
+    """Words of a UTF-8 text that can be encoded apart.
+
+    ASCII is lowered, so that more words are met again; the tokenizer lowers the rest. It looks for
+    its added tokens first and with case, so a text that may have one stays as it is.
+    """
+    return cut((raw if b"<|" in raw else raw.lower()).decode("utf-8", "replace"))
+
+
 def word_encoder(path: str):
     """words -> (ids, offsets), by the tokenizers library."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for every core
@@ -78,11 +87,8 @@ def tokenize(
             shared.value["memory"] = Memory(word_encoder(path))
         memory = shared.value["memory"]
         for rows, data, offsets in text_chunks(batches):
-            raw = data.tobytes().lower()  # ASCII only; the tokenizer lowers the rest
-            texts = [
-                cut(raw[a:b].decode("utf-8", "replace"))
-                for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())
-            ]
+            raw = data.tobytes()
+            texts = [words_of(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
             ids, at = memory.encode(texts)
             ids = np.insert(ids, at[1:], end).astype("<u4")
             sizes = np.diff(at) + 1
