@@ -98,6 +98,12 @@ def test_reduction_keeps_an_optimum():
         assert sorted(n for s in sequences(whole, capacity) for n in s) == sorted(items)
 
 
+def test_reduction_goes_on_after_a_length_without_a_dominating_set():
+    plan = packing.Plan({60: 1, 55: 1, 45: 1, 5: 4})
+    packing.reduce_dominated(plan, 100)
+    assert plan.counts == {60: 1, 5: 4} and sequences(plan, 100) == [[55, 45]]
+
+
 def test_large_instances_are_close_to_the_bound():
     rng = random.Random(4)
     counts = {n: rng.randrange(3_000_000) for n in range(1, 2049)}

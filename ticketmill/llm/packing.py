@@ -195,7 +195,7 @@ def _dominating(counts: dict[int, int], order: list[int], longest: int, capacity
 
 
 def reduce_dominated(plan: Plan, capacity: int) -> None:
-    """Fix dominating sets, longest pieces first, until the longest has none."""
+    """Fix dominating sets, longest pieces first, until no length has one."""
     while plan.counts:
         order = sorted(plan.counts)
         progress = False
@@ -209,7 +209,7 @@ def reduce_dominated(plan: Plan, capacity: int) -> None:
             ):
                 lengths = None
             if lengths is None:
-                break
+                continue
             plan.fix(lengths)
             progress = True
         if not progress:
