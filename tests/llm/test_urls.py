@@ -74,6 +74,32 @@ def test_trees_learn_what_rules_say(spark):
     assert ((free.verdict == "block") == (free.kind == "bad")).mean() > 0.95
 
 
+def test_trees_go_by_form_on_other_suffixes_and_paths(spark):
+    """The same, where suffix, depth and path of the other host are unlike those of any label."""
+    rules = [("a.example", "/bad/", "block"), ("a.example", "/good/", "allow")]
+    rows = []
+    for i in range(400):
+        kind = "bad" if i % 2 else "good"
+        tail = "?" + "&".join(f"k{j}={i}{j}77" for j in range(6)) if i % 2 else ""
+        rows.append((i, f"http://a.example/{kind}/{i}{tail}", kind))
+        rows.append((1000 + i, f"http://b.test/{i}{tail}", kind))
+    pages = spark.createDataFrame(rows, "page_id int, url string, kind string")
+    got = urls.judge(pages, rules=rules).toPandas()
+    free = got[got.rule.isna()]
+    assert len(free) == 400
+    assert ((free.verdict == "block") == (free.kind == "bad")).mean() > 0.95
+
+
+def test_a_url_has_no_say_in_the_shares_it_is_trained_with(spark):
+    rows = [(f"h{i}.d{i}.org", f"/{i}", "org", f"d{i}.org", "", i % 2) for i in range(40)]
+    labelled = spark.createDataFrame(
+        rows, "host string, path string, suffix string, domain string, ending string, block int"
+    )
+    got = urls._out_of_fold(labelled, 0.5).toPandas()
+    assert len(got) == 40 and (got.domain_share == 0.5).all()
+    assert (got.suffix_share - 0.5).abs().max() < 0.2 and got.suffix_share.nunique() <= urls.FOLDS
+
+
 def test_one_label_only(spark):
     pages = spark.createDataFrame([(1, "http://x.org/"), (2, "http://y.net/")], "page_id int, url string")
     assert set(urls.judge(pages).toPandas().verdict) == {"allow"}

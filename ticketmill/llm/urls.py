@@ -28,6 +28,8 @@ RULES = [
 #: Labelled URLs that the trees are trained on at most.
 SAMPLE_ROWS = 20_000
 TREES, DEPTH, BINS = 10, 3, 24
+#: Parts of the labelled URLs; a URL's own part has no say in the shares it is trained with.
+FOLDS = 5
 SHRINKAGE, RIDGE = 0.4, 1.0
 
 FEATURES = [
@@ -150,6 +152,41 @@ class UrlModel:
         return df
 
 
+def _out_of_fold(chosen: DataFrame, rate: float) -> DataFrame:
+    """``chosen`` with the shares of its endings among the rows of all other folds."""
+    chosen = chosen.withColumn("_fold", F.pmod(F.xxhash64("path", "host"), F.lit(FOLDS)))
+    for name, ending in SHARES.items():
+        own = chosen.groupBy(ending, "_fold").agg(F.sum("block").alias("_s"), F.count("*").alias("_n"))
+        every = own.groupBy(ending).agg(F.sum("_s").alias("_all_s"), F.sum("_n").alias("_all_n"))
+        shares = own.join(every, ending).select(
+            ending,
+            "_fold",
+            ((F.col("_all_s") - F.col("_s") + rate) / (F.col("_all_n") - F.col("_n") + 1.0)).alias(name),
+        )
+        chosen = chosen.join(shares, [ending, "_fold"])
+    return chosen.drop("_fold")
+
+
+def _middles(binned: DataFrame, cuts: dict[str, list[float]]) -> dict[str, list[float]]:
+    """Cuts halfway between the values on either side, so that a split leans to neither."""
+    at = F.explode(
+        F.array(
+            *[
+                F.struct(F.lit(f).alias("f"), F.col(f"bin_{f}").alias("b"), F.col(f).alias("v"))
+                for f in FEATURES
+            ]
+        )
+    ).alias("at")
+    ends = binned.select(at).groupBy("at.f", "at.b").agg(F.min("at.v").alias("least"), F.max("at.v").alias("most"))
+    rows = sorted((r.f, r.b, r.least, r.most) for r in ends.collect())
+    out = {f: list(c) for f, c in cuts.items()}
+    for (f, b, _, most), (g, _, least, _) in zip(rows, rows[1:]):
+        middle = (most + least) / 2
+        if f == g and most <= middle < least:
+            out[f][b] = middle
+    return out
+
+
 def _best_splits(sample: DataFrame, leaf: Column, model: UrlModel, cuts: dict[str, list[float]]):
     """{leaf: (gain, feature, cut, left value, right value, own value)} from one aggregation."""
     p = 1 / (1 + F.exp(-model.log_odds()))
@@ -231,7 +268,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE_ROWS) -> UrlModel:
             chosen.groupBy(ending).agg(((F.sum("block") + rate) / (F.count("*") + 1.0)).alias(name)),
             "shares",
         )
-    chosen = staged(model.with_shares(chosen), "urls")
+    chosen = staged(_out_of_fold(chosen, rate), "urls")
     points = [i / BINS for i in range(1, BINS)]
     edges = chosen.agg(*[F.percentile(f, F.lit(points)).alias(f) for f in FEATURES]).first()
     cuts = {f: sorted(set(edges[f])) for f in FEATURES}
@@ -243,6 +280,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE_ROWS) -> UrlModel:
         for f in FEATURES
     }
     chosen = staged(chosen.withColumns(binned), "bins")
+    cuts = _middles(chosen, cuts)
     for _ in range(TREES):
         model.trees.append(_grow(chosen, model, cuts))
     return model
