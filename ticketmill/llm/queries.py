@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import langid, minhash, packing, pieces, pivots, quality, quotes, sharding, urls, vptree
+from . import (
+    langid, minhash, negatives, packing, parsing, pieces, pivots, quality, quotes, sharding, spelling,
+    urls, vptree,
+)
 from .common import staged, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -198,3 +201,46 @@ def op10(spark: SparkSession, tables: str) -> DataFrame:
         F.sha2(joined, 256).alias("ids_sha256"),
         F.sha2(F.col("text"), 256).alias("decoded_sha256"),
     )
+
+
+@query("op11_parsing_fingerprints")
+def op11(spark: SparkSession, tables: str) -> DataFrame:
+    return parsing.fingerprints(table(spark, tables, "documents"))
+
+
+OP12 = """
+    WITH usable AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+        FROM embeddings
+        WHERE label IS NOT NULL AND len(embedding) > 0
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (
+        SELECT a.vec_id AS anchor_id, a.label = r.label AS same, r.vec_id,
+               list_inner_product(a.v, r.v)::BIGINT AS score
+        FROM usable a JOIN usable r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id),
+    positives AS (
+        SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+        FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place
+              FROM scored WHERE same) WHERE place <= 5),
+    inside AS (
+        SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+               CAST(row_number() OVER (PARTITION BY anchor_id, positive_id
+                                       ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+        FROM positives p JOIN scored s USING (anchor_id)
+        WHERE NOT s.same AND 100 * s.score BETWEEN 30 * positive_score AND 90 * positive_score)
+    SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score
+    FROM inside WHERE rank <= 10
+"""
+
+
+@query("op12_interval_hard_negatives", OP12)
+def op12(spark: SparkSession, tables: str) -> DataFrame:
+    vectors = table(spark, tables, "embeddings").select("vec_id", "label", "embedding")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+@query("op13_kd_spelling_variants")
+def op13(spark: SparkSession, tables: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, tables, "documents")))
