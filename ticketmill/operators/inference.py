@@ -22,7 +22,7 @@ from ..session import cut_lineage
 from . import prompts as P
 from . import rules as R
 from .curate import dedup_exact, filter_min_length, select_columns_by_rule
-from .retrieval import embed, retrieve_text_chunks, vector_topk_approx
+from .retrieval import CellIndex, build_cells, embed, retrieve_text_chunks
 from .sampling import sample_n
 
 # A client takes a list of prompts and returns as many answers.
@@ -353,22 +353,26 @@ def respond(
 def answer_tickets(
     tickets: DataFrame,
     articles: DataFrame,
-    index: DataFrame | None = None,
+    index: CellIndex | DataFrame | None = None,
     make_client: Callable[[], Client] | None = None,
     k: int = V.TOP_K,
-    search: Callable[..., DataFrame] = vector_topk_approx,
+    attributes: list[str] | None = None,
+    recall: float = 0.95,
 ) -> DataFrame:
     """Understand, retrieve, draft and guard the replies to a whole table of tickets.
 
-    ``tickets`` is (ticket_id, issue_description), ``articles`` (corpus_id, text). ``index`` is a
-    stored index of the articles (corpus_id, embedding); without one they are embedded here. The
-    default search compares a ticket with the articles of near cells; ``vector_topk`` compares it
-    with all of them and is for small tables on either side. The rows go to the table of agent
-    outputs through ``sinks.agent_output_rows``.
+    ``tickets`` is (ticket_id, issue_description), ``articles`` (corpus_id, text). ``index`` is a cell
+    index of the articles, or a stored index (corpus_id, embedding) to build one from; without one the
+    articles are embedded here. With ``attributes`` the index has these columns, and a ticket meets the
+    articles that equal it in all of them; ``language`` is the guessed one. A search finds at least
+    ``recall`` of the k nearest articles of every ticket and compares the cells it has to. The rows go to
+    the table of agent outputs through ``sinks.agent_output_rows``.
     """
-    corpus = embed(articles, "text") if index is None else index
-    queries = embed(tickets, "issue_description").withColumnRenamed("ticket_id", "query_id")
-    hits = search(corpus, queries, k)
+    if not isinstance(index, CellIndex):
+        index = build_cells(embed(articles, "text") if index is None else index, attributes)
+    queries = embed(detect_language(tickets, "issue_description"), "issue_description")
+    queries = queries.withColumnRenamed("ticket_id", "query_id")
+    hits = index.search(queries, k, recall)
     chunks = retrieve_text_chunks(queries, hits, articles, "text").select(
         F.col("query_id").alias("ticket_id"), F.col("chunks").alias("retrieved_context")
     )

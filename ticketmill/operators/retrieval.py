@@ -1,11 +1,13 @@
-"""Search over an embedded text column: index, exact and approximate top-k, refresh, chunks."""
+"""Search over an embedded text column: index, exact and bounded top-k, refresh, chunks."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,33 +21,54 @@ DIMS = 64
 #: Bytes of vectors on either side of a block, whatever their length.
 BLOCK_BYTES = 32 << 20
 SCORE_DIGITS = 9
-#: Vectors that the cells of the approximate search are fitted on at most.
+#: Vectors that cells are fitted on at most; a cell should have some of them, so cells are bounded too.
 SAMPLE_ROWS = 20_000
+SAMPLE_PER_CELL = 16
+#: Bins of the angle between a vector and the centre of its cell.
+ANGLES = 64
+#: What rounding may add to an angle.
+SLACK = 1e-7
+#: Words whose buckets a worker remembers.
+REMEMBERED = 200_000
 
 
-def word_bucket(word: Column, dims: int = DIMS) -> Column:
+def word_bucket(word: str, dims: int = DIMS) -> int:
     """First 32 bits of the word's md5, modulo the number of dimensions."""
-    return F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("bigint") % dims
+    return int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big") % dims
+
+
+def _list_column(rows: np.ndarray) -> pa.Array:
+    """Rows of a matrix as a column of lists."""
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.ravel()))
 
 
 def embed(df: DataFrame, text: str, out: str = "embedding", dims: int = DIMS) -> DataFrame:
     """Add hashed word counts scaled to length 1, the stand-in for a hosted embedding model.
 
-    A text without words gets a zero vector. Words are hashed in the JVM; one pass over their
-    buckets counts them, and nothing is exploded or shuffled.
+    A text without words gets a zero vector. Lists of words are read as flat Arrow values, a distinct
+    word of a batch is hashed once, and nothing is exploded or shuffled.
     """
-
-    @F.pandas_udf("array<double>")
-    def counts(buckets: pd.Series) -> pd.Series:
-        sizes = buckets.map(len).to_numpy(dtype="int64")
-        rows = np.repeat(np.arange(len(buckets)), sizes)
-        flat = np.concatenate([*buckets, np.zeros(0)]).astype("int64")
-        counted = np.bincount(rows * dims + flat, minlength=dims * len(buckets)).reshape(-1, dims)
+    known: dict[str, int] = {}
+
+    @F.arrow_udf("array<double>")
+    def counts(texts: pa.Array) -> pa.Array:
+        flat = texts.flatten().dictionary_encode()
+        own = flat.dictionary.to_pylist()
+        buckets = np.array([known.get(w, -1) for w in own], np.int64)
+        for i in np.flatnonzero(buckets < 0).tolist():
+            buckets[i] = word_bucket(own[i], dims)
+            if len(known) < REMEMBERED:
+                known[own[i]] = int(buckets[i])
+        sizes = np.diff(texts.offsets.to_numpy())
+        rows = np.repeat(np.arange(len(texts)), sizes)
+        at = buckets[flat.indices.to_numpy()] if len(own) else np.zeros(0, np.int64)
+        counted = np.bincount(rows * dims + at, minlength=dims * len(texts)).reshape(-1, dims)
         norms = np.sqrt((counted**2).sum(axis=1, keepdims=True))
-        return pd.Series(list(counted / np.maximum(norms, 1)))
+        return _list_column(counted / np.maximum(norms, 1))
 
     found = F.coalesce(words(F.col(text)), F.array().cast("array<string>"))
-    return df.withColumn(out, counts(F.transform(found, lambda w: word_bucket(w, dims))))
+    return df.withColumn(out, counts(found))
 
 
 def build_search_index(df: DataFrame, id_column: str, text: str, attributes: list[str]) -> DataFrame:
@@ -55,11 +78,14 @@ def build_search_index(df: DataFrame, id_column: str, text: str, attributes: lis
     )
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    """Rows scaled to length 1, zero rows stay zero."""
-    m = np.array(column.tolist(), dtype="float64")
-    if m.size == 0:
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Rows of a list column scaled to length 1, zero rows stay zero."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
         return np.zeros((0, 1))
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype("float64", copy=False)
+    m = flat.reshape(len(column), -1)
     norms = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
 
@@ -78,68 +104,88 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 SCORES_SCHEMA = "query_id bigint, corpus_id bigint, score double, compared bigint"
 
 
-def _block_scores(
-    corpus: pd.DataFrame, query_ids: np.ndarray, queries: np.ndarray, k: int
-) -> pd.DataFrame:
-    """Best k rows of one block of the corpus for each query, and how many rows were compared."""
-    if corpus.empty:
-        query_ids, queries = query_ids[:0], queries[:0]
-    ids = corpus["corpus_id"].to_numpy()
-    block = _matrix(corpus["embedding"])
-    found = [_best(ids, block @ query, k) for query in queries]
-    return pd.DataFrame(
+def _score_rows(queries: np.ndarray, found: list[tuple], compared: list[int]) -> pa.Table:
+    """Hits of each query in a block. The first row of a query says how many rows were compared; a
+    query without hits has one row without an id."""
+    sizes = np.array([max(len(f[0]), 1) for f in found], np.int64)
+    first = np.cumsum(sizes) - sizes
+    n = int(sizes.sum())
+    ids, scores, counts = np.zeros(n, np.int64), np.zeros(n), np.zeros(n, np.int64)
+    real = np.ones(n, bool)
+    for at, (own, score), many in zip(first.tolist(), found, compared):
+        ids[at : at + len(own)], scores[at : at + len(own)] = own, score
+        counts[at] = many
+        real[at] = len(own) > 0
+    return pa.table(
         {
-            "query_id": np.repeat(query_ids, [len(f[0]) for f in found]),
-            "corpus_id": np.concatenate([f[0] for f in found] or [[]]).astype("int64"),
-            "score": np.concatenate([f[1] for f in found] or [[]]).astype("float64"),
-            "compared": len(ids),
+            "query_id": pa.array(np.repeat(queries, sizes), pa.int64()),
+            "corpus_id": pa.array(ids, pa.int64(), mask=~real),
+            "score": pa.array(scores, pa.float64()),
+            "compared": pa.array(counts, pa.int64()),
         }
     )
 
 
-def _scores_by_cell(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Rows and queries of the same ``_cell`` against each other, in blocks of bounded size.
+def _block_scores(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Best k rows of one block of the corpus for each query."""
 
-    A cell is cut into a grid: corpus shards by query stripes, as many as the bytes of its vectors
-    ask for. Each task holds one shard and one stripe, so a cell may hold any part of either table.
-    """
+    def score(corpus: pa.Table, queries: pa.Table) -> pa.Table:
+        ids, block = corpus.column("corpus_id").to_numpy(), _matrix(corpus.column("embedding"))
+        asked = queries.column("query_id").to_numpy()
+        if not len(ids):
+            asked = asked[:0]
+        found = [_best(ids, block @ q, k) for q in _matrix(queries.column("embedding"))[: len(asked)]]
+        return _score_rows(asked, found, [len(ids)] * len(asked))
+
+    return score
+
+
+def _blocks(n: Column, width: int) -> Column:
+    """Blocks that so many vectors of ``width`` components fill."""
+    return F.greatest(F.ceil(n * (8 * width) / BLOCK_BYTES), F.lit(1).cast("bigint"))
 
-    def cut(side: DataFrame, out: str) -> DataFrame:
-        size = F.sum(F.size("embedding") * F.lit(8).cast("bigint"))
-        return side.groupBy("_cell").agg(F.ceil(size / BLOCK_BYTES).alias(out))
 
-    grid = cut(corpus, "_shards").join(cut(queries, "_stripes"), "_cell")
+def _width(df: DataFrame) -> int:
+    """Components of the vectors of a table; all have the same."""
+    row = df.select(F.size("embedding")).filter("embedding IS NOT NULL").first()
+    return max(row[0], 1) if row else 1
+
+
+def _in_grid(corpus: DataFrame, queries: DataFrame, grid: DataFrame, key: list[str]):
+    """Both sides cut into blocks that meet: the rows by shard, the queries by stripe.
+
+    ``grid`` has the number of shards and stripes of each key. A key may hold any part of either table;
+    a task gets one shard and one stripe.
+    """
     zero = F.lit(0).cast("bigint")
-    left = corpus.join(grid, "_cell").select(
-        "corpus_id",
-        "embedding",
-        "_cell",
+    left = corpus.join(grid, key).select(
+        *corpus.columns,
         F.pmod(F.xxhash64("corpus_id"), F.col("_shards")).alias("_shard"),
         F.explode(F.sequence(zero, F.col("_stripes") - 1)).alias("_stripe"),
     )
-    right = queries.join(grid, "_cell").select(
-        "query_id",
-        "embedding",
-        "_cell",
+    right = queries.join(grid, key).select(
+        *queries.columns,
         F.explode(F.sequence(zero, F.col("_shards") - 1)).alias("_shard"),
         F.pmod(F.xxhash64("query_id"), F.col("_stripes")).alias("_stripe"),
     )
-
-    def score(block: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
-        ids = batch["query_id"].to_numpy()
-        return _block_scores(block, ids, _matrix(batch["embedding"]), k)
-
-    keys = ["_cell", "_shard", "_stripe"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, SCORES_SCHEMA)
+    block = [*key, "_shard", "_stripe"]
+    return left.groupBy(*block).cogroup(right.groupBy(*block))
 
 
-def _asking(queries: DataFrame, *keep: str) -> DataFrame:
+def _asking(queries: DataFrame, *keep: str | Column) -> DataFrame:
     """Queries that say something: a zero vector is near to nothing and has no hits."""
     return queries.filter(F.exists("embedding", lambda x: x != 0)).select(
         F.col("query_id").cast("bigint"), "embedding", *keep
     )
 
 
+def _known(names: list[str]) -> Column:
+    out = F.lit(True)
+    for name in names:
+        out = out & F.col(name).isNotNull()
+    return out
+
+
 def block_scores(
     corpus: DataFrame, queries: DataFrame, k: int, attributes: list[str] | None = None
 ) -> DataFrame:
@@ -150,25 +196,29 @@ def block_scores(
     nothing. No pair outside a block's top k leaves its task.
     """
     names = attributes or []
-    known = F.lit(True)
-    for name in names:
-        known = known & F.col(name).isNotNull()
 
     def cell(id_column: str) -> Column:
         # Without attributes all rows are one cell; a literal would turn the join into a product.
         return F.xxhash64(F.col(id_column).isNull(), *names).alias("_cell")
 
-    rows = corpus.filter(known).select(
+    rows = corpus.filter(_known(names)).select(
         F.col("corpus_id").cast("bigint"), "embedding", cell("corpus_id")
     )
-    return _scores_by_cell(rows, _asking(queries.filter(known), cell("query_id")), k)
+    # Read three times; counting the rows needs no vectors, so the corpus is embedded once only.
+    asked = cut_lineage(_asking(queries.filter(_known(names)), cell("query_id")), "asked")
+    width = _width(asked)
+    many = F.count("*")
+    shards = rows.groupBy("_cell").agg(_blocks(many, width).alias("_shards"))
+    stripes = asked.groupBy("_cell").agg(_blocks(many, width).alias("_stripes"))
+    met = _in_grid(rows, asked, shards.join(stripes, "_cell"), ["_cell"])
+    return met.applyInArrow(_block_scores(k), SCORES_SCHEMA)
 
 
 def _ranked(partial: DataFrame, k: int) -> DataFrame:
     """The k best of the partial results of each query: one row per block and place at most."""
     in_query = W.partitionBy("query_id").orderBy(F.desc("score"), "corpus_id")
     return (
-        partial.withColumn("rank", F.row_number().over(in_query).cast("bigint"))
+        partial.filter("corpus_id IS NOT NULL").withColumn("rank", F.row_number().over(in_query).cast("bigint"))
         .filter(F.col("rank") <= k)
         .select("query_id", "rank", "corpus_id", F.round("score", 6).alias("score"))
     )
@@ -287,51 +337,226 @@ def build_kb_articles(pairs: DataFrame) -> DataFrame:
     )
 
 
-def vector_topk_approx(
+def _fit_centres(vectors: np.ndarray, cells: int, seed: int, rounds: int = 8) -> np.ndarray:
+    """Directions that a sample of unit vectors gathers around (spherical k-means)."""
+    rng = np.random.default_rng(seed)
+    centres = vectors[rng.choice(len(vectors), cells, replace=False)]
+    for _ in range(rounds):
+        own = (vectors @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, vectors)
+        norms = np.linalg.norm(sums, axis=1, keepdims=True)
+        # A centre that nobody is nearest to starts again at some vector.
+        lost = np.flatnonzero(norms[:, 0] == 0)
+        sums[lost] = vectors[rng.choice(len(vectors), len(lost))]
+        centres = sums / np.where(norms > 0, norms, 1)
+    return centres
+
+
+def _angle(cosines: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(cosines, -1.0, 1.0))
+
+
+@dataclass
+class CellIndex:
+    """Vectors by the cell of the nearest centre, and how far from it they lie.
+
+    A vector at angle ``a`` from its centre is at least ``|t - a|`` away from a query that is ``t`` away
+    from the centre. So once a query has k hits, a cell can only hold a better one among the rows whose
+    angle is nearer to ``t`` than the worst hit is to the query; ``counts`` tells how many those are.
+    """
+
+    rows: DataFrame  # corpus_id, embedding, _cell, _angle, attributes
+    centres: np.ndarray
+    counts: np.ndarray  # rows per cell and bin of the angle
+    attributes: list[str]
+
+    def _probes(self, k: int, missed: int) -> tuple[Callable, Callable]:
+        """Functions for the cells that a query should look into, and its angle to their centres.
+
+        Without hits so far these are the nearest cells that hold k rows. With them, the cells where
+        rows could be better than the worst hit, but for those looked into before and for cells that hold
+        no more than ``missed`` of such rows together.
+        """
+        centres, counts = self.centres, self.counts
+        held = counts.sum(axis=1)
+        edges = np.linspace(0, np.pi, ANGLES + 1)
+        below = np.concatenate([np.zeros((len(counts), 1), np.int64), np.cumsum(counts, axis=1)], axis=1)
+
+        def first(angles: np.ndarray) -> np.ndarray:
+            order = np.argsort(angles, kind="stable")
+            enough = np.searchsorted(np.cumsum(held[order]), k) + 1
+            return order[:enough]
+
+        def rest(angles: np.ndarray, score: float, had: np.ndarray) -> np.ndarray:
+            reach = _angle(np.array(score - 10.0**-SCORE_DIGITS)) + SLACK
+            low = np.searchsorted(edges, np.clip(angles - reach, 0, np.pi), "right") - 1
+            high = np.searchsorted(edges, np.clip(angles + reach, 0, np.pi), "left")
+            at = np.arange(len(counts))
+            inside = below[at, np.maximum(high, low)] - below[at, low]
+            inside[had] = 0
+            order = np.argsort(inside, kind="stable")
+            return order[np.cumsum(inside[order]) > missed]
+
+        def pairs(angles: np.ndarray, chosen: list[np.ndarray]) -> pa.Array:
+            flat = np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
+            sizes = [len(c) for c in chosen]
+            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            own = angles[np.repeat(np.arange(len(angles)), sizes), flat]
+            both = [pa.array(flat.astype(np.int32)), pa.array(own)]
+            return pa.ListArray.from_arrays(
+                pa.array(offsets), pa.StructArray.from_arrays(both, ["cell", "angle"])
+            )
+
+        @F.arrow_udf("array<struct<cell: int, angle: double>>")
+        def nearest(vectors: pa.Array) -> pa.Array:
+            angles = _angle(_matrix(vectors) @ centres.T)
+            return pairs(angles, [first(row) for row in angles])
+
+        @F.arrow_udf("array<struct<cell: int, angle: double>>")
+        def others(vectors: pa.Array, scores: pa.Array, had: pa.Array) -> pa.Array:
+            angles = _angle(_matrix(vectors) @ centres.T)
+            seen = np.split(had.flatten().to_numpy(), np.cumsum(np.diff(had.offsets.to_numpy()))[:-1])
+            asked = zip(angles, scores.to_numpy(zero_copy_only=False).tolist(), seen)
+            return pairs(angles, [rest(*row) for row in asked])
+
+        return nearest, others
+
+    def _partial(self, asked: DataFrame, k: int) -> DataFrame:
+        """Best k rows of the cells asked for: ``asked`` is (query_id, embedding, floor, _cell, _theta)."""
+        asked = cut_lineage(asked, "probes")
+        width = self.centres.shape[1]
+        key = ["_cell", *self.attributes]
+        stripes = asked.groupBy(*key).agg(_blocks(F.count("*"), width).alias("_stripes"))
+        shards = self.rows.groupBy(*key).agg(_blocks(F.count("*"), width).alias("_shards"))
+
+        def score(corpus: pa.Table, queries: pa.Table) -> pa.Table:
+            asked = queries.column("query_id").to_numpy()
+            if not len(corpus):
+                return _score_rows(asked[:0], [], [])
+            angles = corpus.column("_angle").to_numpy()
+            order = np.argsort(angles, kind="stable")
+            angles, ids = angles[order], corpus.column("corpus_id").to_numpy()[order]
+            block = _matrix(corpus.column("embedding"))[order]
+            vectors = _matrix(queries.column("embedding"))
+            floors, thetas = queries.column("floor").to_numpy(), queries.column("_theta").to_numpy()
+            reach = _angle(floors - 10.0**-SCORE_DIGITS) + SLACK
+            low = np.searchsorted(angles, thetas - reach, "left")
+            high = np.searchsorted(angles, thetas + reach, "right")
+            found = []
+            for q, a, b, floor in zip(vectors, low, high, floors):
+                own, scores = _best(ids[a:b], block[a:b] @ q, k)
+                better = scores >= floor - 10.0**-SCORE_DIGITS
+                found.append((own[better], scores[better]))
+            return _score_rows(asked, found, (high - low).tolist())
+
+        met = _in_grid(self.rows, asked, shards.join(stripes, key), key)
+        return met.applyInArrow(score, SCORES_SCHEMA)
+
+    def compare(self, queries: DataFrame, k: int = V.TOP_K, recall: float = 0.95) -> DataFrame:
+        """Partial hits of every block looked into, and how many rows were compared there."""
+        missed = int((1 - recall) * k + 1e-9)
+        names = self.attributes
+        asked = _asking(queries.filter(_known(names)), *names)
+        if not len(self.centres):
+            return asked.sparkSession.createDataFrame([], SCORES_SCHEMA)
+
+        nearest, others = self._probes(k, missed)
+        asked = cut_lineage(asked.withColumn("_first", nearest("embedding")), "asked")
+
+        def sent(to: DataFrame, floor: Column, cells: Column) -> DataFrame:
+            exploded = to.select("query_id", "embedding", *names, floor.alias("floor"), F.explode(cells).alias("_probe"))
+            return exploded.select(
+                "query_id", "embedding", "floor", *names,
+                F.col("_probe.cell").alias("_cell"), F.col("_probe.angle").alias("_theta"),
+            )
+
+        # -2 is below every cosine: all rows of the first cells are compared.
+        none = F.lit(-2.0)
+        first = cut_lineage(self._partial(sent(asked, none, F.col("_first")), k), "first")
+        in_query = W.partitionBy("query_id").orderBy(F.desc("score"), "corpus_id")
+        floors = (
+            first.filter("corpus_id IS NOT NULL")
+            .withColumn("_place", F.row_number().over(in_query))
+            .filter(F.col("_place") == k)
+            .select("query_id", F.col("score").alias("floor"))
+        )
+        left = asked.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", none))
+        more = others("embedding", "floor", F.col("_first.cell"))
+        return first.unionByName(self._partial(sent(left, F.col("floor"), more), k))
+
+    def search(self, queries: DataFrame, k: int = V.TOP_K, recall: float = 0.95) -> DataFrame:
+        """(query_id, rank, corpus_id, score): at least ``recall`` of the k nearest rows of each query.
+
+        The share is certain, not expected: cells are left out only as long as all rows in them that could
+        be better are fewer than the misses allowed. Where no bound helps, every cell is looked into.
+        """
+        return _ranked(self.compare(queries, k or V.TOP_K, recall), k or V.TOP_K)
+
+
+def build_cells(
     corpus: DataFrame,
-    queries: DataFrame,
-    k: int = V.TOP_K,
-    share: float = 0.5,
+    attributes: list[str] | None = None,
     cells: int | None = None,
     sample: int = SAMPLE_ROWS,
     seed: int = V.SEED,
-) -> DataFrame:
-    """Top k among the rows in the cells nearest to the query, a ``share`` of all cells.
+) -> CellIndex:
+    """Rows (corpus_id, embedding, attributes) placed into cells and stored.
 
-    The cells come from k-means over at most ``sample`` vectors, as many cells as the square root of
-    the rows unless told otherwise. Rows and queries meet by an equi-join on the cell instead of row
-    by row; a cell that holds much of the corpus is cut into blocks.
+    Centres come from at most ``sample`` vectors, as many as the square root of the rows as long as the
+    sample has some vectors for each. Rows without words are near to nothing; they lie in the first cell,
+    a right angle away. With ``attributes`` a query meets rows that equal it in all of them.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    rows = corpus.select(F.col("corpus_id").cast("bigint"), "embedding").withColumn(
-        "features", array_to_vector(F.col("embedding").cast("array<double>"))
+    names = attributes or []
+    rows = corpus.filter(_known(names) & F.col("embedding").isNotNull()).select(
+        F.col("corpus_id").cast("bigint"), "embedding", *names
     )
-    # Cosine needs a length; rows without words keep to a cell of their own that nobody probes last.
+    rows = cut_lineage(rows, "vectors")
     spoken = rows.filter(F.exists("embedding", lambda x: x != 0))
-    n = spoken.count()
-    if not n:
-        return _ranked(block_scores(corpus, queries, k), k)
-    cells = cells or max(4, int(n**0.5))
-    probes = max(1, -int(-cells * share // 1))
-    place = F.pmod(F.xxhash64("corpus_id"), F.lit(1 << 20)) / float(1 << 20)
-    fitted_on = spoken.filter(place < sample / n).limit(sample) if n > sample else spoken
-    model = KMeans(k=cells, seed=seed, distanceMeasure="cosine", featuresCol="features").fit(fitted_on)
-    centers = _matrix(pd.Series(model.clusterCenters()))
-
-    @F.pandas_udf("array<int>")
-    def nearest_cells(vectors: pd.Series) -> pd.Series:
-        near = np.argsort(-(_matrix(vectors) @ centers.T), axis=1, kind="stable")
-        return pd.Series(list(near[:, :probes].astype("int32")))
-
-    # Counted and scored below: placed once.
-    placed = cut_lineage(
-        model.transform(spoken).select("corpus_id", "embedding", F.col("prediction").alias("_cell")),
-        "cells",
-    )
-    asked = _asking(queries).withColumn("_cell", F.explode(nearest_cells("embedding")))
-    return _ranked(_scores_by_cell(placed, cut_lineage(asked, "probes"), k), k)
+    n = rows.count()
+    # More than half of the share wanted pass by any hash; the rest is cut off in the order of the hash.
+    share = F.pmod(F.xxhash64(F.lit(seed), "corpus_id"), F.lit(1 << 30))
+    some = spoken if n <= sample else spoken.filter(share < int(2 * sample / n * (1 << 30)))
+    drawn = some.select("embedding", share.alias("h")).orderBy("h").limit(sample).toArrow()
+    vectors = _matrix(drawn.column("embedding")) if len(drawn) else np.zeros((0, 1))
+    wanted = cells or max(1, int(n**0.5))
+    centres = vectors
+    if len(vectors):
+        centres = _fit_centres(vectors, max(1, min(wanted, -(-len(vectors) // SAMPLE_PER_CELL))), seed)
+    elif n:  # no row says anything
+        centres = np.zeros((1, _width(rows)))
+
+    @F.arrow_udf("struct<_cell: int, _angle: double>")
+    def place(column: pa.Array) -> pa.Array:
+        cosines = _matrix(column) @ centres.T
+        cell = cosines.argmax(axis=1)
+        angle = _angle(cosines[np.arange(len(cell)), cell])
+        return pa.StructArray.from_arrays(
+            [pa.array(cell.astype(np.int32)), pa.array(angle)], ["_cell", "_angle"]
+        )
+
+    placed = cut_lineage(rows.withColumn("_at", place("embedding")).select("*", "_at.*").drop("_at"), "cells")
+    counts = np.zeros((len(centres), ANGLES), np.int64)
+    edge = F.least(F.floor(F.col("_angle") / (np.pi / ANGLES)), F.lit(ANGLES - 1)).alias("edge")
+    # One row per cell and bin.
+    for r in placed.groupBy("_cell", edge).agg(F.count("*").alias("n")).collect():
+        counts[r["_cell"], r["edge"]] = r["n"]
+    return CellIndex(placed, centres, counts, names)
+
+
+def vector_topk_approx(
+    corpus: DataFrame,
+    queries: DataFrame,
+    k: int = V.TOP_K,
+    attributes: list[str] | None = None,
+    recall: float = 0.95,
+    cells: int | None = None,
+) -> DataFrame:
+    """Top k with at least ``recall`` of the true hits of every query, without comparing all rows.
+
+    See :class:`CellIndex`; keep one where several searches go to the same corpus.
+    """
+    return build_cells(corpus, attributes, cells).search(queries, k, recall)
 
 
 def with_cosine(hits: DataFrame, corpus: DataFrame, queries: DataFrame) -> DataFrame:

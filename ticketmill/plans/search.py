@@ -183,7 +183,7 @@ def vector_topk_external(spark, tables):
     FROM embeddings""",
 )
 def vector_topk_approx(spark, tables):
-    """Per query: hits, whether all scores are the cosines of their pairs, and recall of 0.7."""
+    """Per query: hits, whether all scores are the cosines of their pairs, and recall of 0.95."""
     corpus, queries = given_vectors(spark, tables), label_centroids(spark, tables)
     hits = cut_lineage(R.vector_topk_approx(corpus, queries), "hits")
     right = F.abs(F.col("score") - F.col("cosine")) < 2e-6
@@ -192,7 +192,7 @@ def vector_topk_approx(spark, tables):
     )
     recalled = R.recall(hits, R.vector_topk(corpus, queries))
     return checked.join(recalled, "query_id").select(
-        "query_id", "n_hits", "exact_scores", (F.col("recall") >= 0.7).alias("found_enough")
+        "query_id", "n_hits", "exact_scores", (F.col("recall") >= 0.95).alias("found_enough")
     )
 
 

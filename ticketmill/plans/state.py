@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import responses as P
 from ..operators import state as S
-from ..operators.curate import keep_latest_snapshot
 from ..session import scratch_path
 from ..sources import sinks as K
+from ..sources.keyed import create_keyed_table, keyed_table, newer, replace_keys
 from . import frames as T
 from .frames import with_sql
 from .registry import query
@@ -165,17 +165,12 @@ def cache_thread_describe(spark, tables):
     first, second = (
         S.flatten_threads(described_threads(spark, tables, f"2024-02-0{n} 00:00:00")) for n in (1, 2)
     )
-    for (name, key), rows, newer in zip(keys.items(), first, second):
-        K.create_keyed_table(rows, f"{database}.{name}", key, 8)
-        K.replace_keys(
-            f"{database}.{name}",
-            newer,
-            key,
-            lambda old, new, key=key: keep_latest_snapshot(old.unionByName(new), key),
-            8,
-        )
-    threads, messages = (K.keyed_table(spark, f"{database}.{name}") for name in keys)
-    created = threads.select("thread_id", F.col("created_on").alias("thread_created_on")).distinct()
+    for (name, key), rows, later in zip(keys.items(), first, second):
+        # Pages of a thread repeat its row.
+        create_keyed_table(rows.dropDuplicates(key), f"{database}.{name}", key)
+        replace_keys(f"{database}.{name}", later.dropDuplicates(key), newer(key, ["ingested_at"]))
+    threads, messages = (keyed_table(spark, f"{database}.{name}") for name in keys)
+    created = threads.select("thread_id", F.col("created_on").alias("thread_created_on"))
     return messages.join(created, "thread_id")
 
 

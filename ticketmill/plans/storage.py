@@ -14,6 +14,7 @@ from ..operators.rules import ANSWER_TYPE_KEYWORDS
 from ..session import scratch_path
 from ..sources import readers as R
 from ..sources import sinks as K
+from ..sources.keyed import create_keyed_table, keyed_table, replace_keys
 from . import frames as T
 from .evaluation import keyword_sql
 from .frames import with_sql
@@ -160,15 +161,15 @@ def sink_upsert(spark, tables):
     table = f"{fresh_database(spark, 'app')}.conversations"
     key = ["conversation_id"]
     known, updates = halves(spark, tables)
-    K.create_keyed_table(known, table, key, 8)
+    create_keyed_table(known, table, key)
 
     def merge(old, changes):
         return S.upsert_conversations(old, changes, ORDER)
 
     earlier = F.col("updated_at") < F.to_timestamp_ntz(F.lit("2024-01-24 00:00:00"))
     for part in (updates.filter(earlier), updates.filter(~earlier)):
-        K.replace_keys(table, part, key, merge, 8)
-    return K.keyed_table(spark, table)
+        replace_keys(table, part, merge)
+    return keyed_table(spark, table)
 
 
 @query(

@@ -14,6 +14,10 @@ SESSION_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot key even where the split costs a further shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # State of streams lies in files beside the executor, not in its heap.
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
 }
 
 

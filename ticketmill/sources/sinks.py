@@ -1,8 +1,8 @@
-"""Sinks: catalog layers, overwrite, append, change log, agent outputs."""
+"""Sinks: catalog layers, overwrite, append, tables from queries, agent outputs."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,149 +67,31 @@ def create_table_as(spark: SparkSession, table: str, query: str, **frames: DataF
     """Create or replace a table from a query; ``{name}`` in it stands for the frame given.
 
     The rows are written to a place of their own first. Only then is the name pointed there, so a
-    query that fails leaves the old table, and a query may read the table it replaces.
+    query that fails leaves the old table, and a query may read the table it replaces. An existing table
+    with the same columns gets its new place in one step. One with other columns is put aside under
+    another name until the new one has its name, so no moment loses both.
     """
     path = scratch_path(spark, "table")
     spark.sql(query, **frames).write.parquet(path)
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
-    spark.sql(f"CREATE TABLE {table} USING parquet LOCATION '{path}'")
-
-
-BUCKET = "_bucket"
-
-
-def create_keyed_table(rows: DataFrame, table: str, keys: list[str], buckets: int = 64) -> None:
-    """A table in folders by a hash of its keys, so that an upsert rewrites a part of it."""
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-    rows.withColumn(BUCKET, bucket).repartition(BUCKET).write.mode("overwrite").format(
-        "parquet"
-    ).partitionBy(BUCKET).option("path", scratch_path(rows.sparkSession, "table")).saveAsTable(table)
-
-
-def replace_keys(
-    table: str,
-    changes: DataFrame,
-    keys: list[str],
-    merge: Callable[[DataFrame, DataFrame], DataFrame],
-    buckets: int = 64,
-) -> None:
-    """Bring ``merge(old rows, changes)`` into a keyed table, in the folders the changes touch.
-
-    The merged rows are complete before the first folder is replaced, and Spark swaps folders when
-    the write is committed; a failing merge or write leaves the table as it was. ``merge`` may not
-    change a key.
-    """
-    spark = changes.sparkSession
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias(BUCKET)
-    changes = staged(changes, "changes")
-    # At most one row per folder.
-    touched = [r[0] for r in changes.select(bucket).distinct().collect()]
-    if not touched:
-        return
-    old = spark.table(table).filter(F.col(BUCKET).isin(touched)).drop(BUCKET)
-    columns = [c for c in spark.table(table).columns if c != BUCKET]
-    merged = staged(merge(old, changes).select(*columns, bucket), "merged")
-    mode = "spark.sql.sources.partitionOverwriteMode"
-    before = spark.conf.get(mode, "static")
-    spark.conf.set(mode, "dynamic")  # a table takes it from the session only
-    try:
-        merged.repartition(BUCKET).write.mode("overwrite").insertInto(table)
-    finally:
-        spark.conf.set(mode, before)
-
-
-def keyed_table(spark: SparkSession, table: str) -> DataFrame:
-    return spark.table(table).drop(BUCKET)
-
-
-class ChangeLog:
-    """Changes of a keyed table, one folder of Parquet files per batch, and snapshots of the table.
-
-    Plain Parquet has no ``MERGE``, and rewriting a large table for every small batch would cost
-    more than the batch. So batches are only added, and the table is ``merge`` of all changes. Every
-    ``fold_every`` batches that merge is written as a snapshot; a read needs the last snapshot and
-    the batches after it, however long the log has run. A batch that is written again after a
-    failure replaces its own folder and is folded anew from the snapshot before it. Files that no
-    read needs any more are removed with the next snapshot.
-
-    ``merge`` takes changes with their ``batch`` and gives rows of the same columns, ``batch``
-    included; merging merged rows again with later ones must equal merging all of them.
-    """
-
-    def __init__(
-        self,
-        spark: SparkSession,
-        root: str,
-        schema: str,
-        merge: Callable[[DataFrame], DataFrame],
-        fold_every: int = 16,
-    ):
-        self.spark, self.root, self.schema = spark, root, f"{schema}, batch bigint"
-        self.merge, self.fold_every = merge, fold_every
-
-    def _files(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
-
-    def _folders(self, kind: str) -> list[int]:
-        """Numbers of the finished folders of a kind."""
-        fs, root = self._files()
-        if not fs.exists(root):
-            return []
-        found = []
-        for entry in fs.listStatus(root):
-            name = entry.getPath().getName()
-            done = self.spark._jvm.org.apache.hadoop.fs.Path(entry.getPath(), "_SUCCESS")
-            if name.startswith(f"{kind}-") and fs.exists(done):
-                found.append(int(name.rsplit("-", 1)[1]))
-        return sorted(found)
-
-    def _parts(self, below: int) -> list[str]:
-        """The last snapshot before a batch, and the batches between the two."""
-        last = max((n for n in self._folders("snapshot") if n < below), default=-1)
-        batches = [n for n in self._folders("batch") if last < n < below]
-        return [f"snapshot-{last}"] * (last >= 0) + [f"batch-{n}" for n in batches]
-
-    def add(self, changes: DataFrame, batch: int) -> None:
-        changes.withColumn("batch", F.lit(batch).cast("bigint")).write.mode("overwrite").parquet(
-            f"{self.root}/batch-{batch}"
-        )
-        if len(self._parts(batch + 1)) > self.fold_every:
-            rows = self.merge(self._read(self._parts(batch) + [f"batch-{batch}"]))
-            rows.write.mode("overwrite").parquet(f"{self.root}/snapshot-{batch}")
-            self._remove_unread(batch)
-
-    def _remove_unread(self, batch: int) -> None:
-        """Keep the last two snapshots, for readers and for a repeated batch, and what follows."""
-        snapshots = [n for n in self._folders("snapshot") if n <= batch]
-        if len(snapshots) < 2:
-            return
-        oldest = snapshots[-2]
-        fs, root = self._files()
-        for kind, last in (("batch", oldest), ("snapshot", oldest - 1)):
-            for n in self._folders(kind):
-                if n <= last:
-                    fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(root, f"{kind}-{n}"), True)
-
-    def _read(self, parts: list[str]) -> DataFrame:
-        if not parts:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*[f"{self.root}/{p}" for p in parts])
-
-    def read(self, below: int | None = None) -> DataFrame:
-        """Changes that lead to the table, optionally as of an earlier batch."""
-        return self._read(self._parts(1 << 62 if below is None else below))
-
-    def live(self, below: int | None = None) -> DataFrame:
-        """The table."""
-        return self.merge(self.read(below)).drop("batch")
+    rows = spark.read.parquet(path)
+    if not spark.catalog.tableExists(table):
+        spark.sql(f"CREATE TABLE {table} USING parquet LOCATION '{path}'")
+    elif spark.table(table).dtypes == rows.dtypes:
+        spark.sql(f"ALTER TABLE {table} SET LOCATION '{path}'")
+        spark.catalog.refreshTable(table)
+    else:
+        database, _, name = table.rpartition(".")
+        new, old = (f"{database}.{name}_{kind}_{uuid.uuid4().hex[:8]}".lstrip(".") for kind in ("new", "old"))
+        spark.sql(f"CREATE TABLE {new} USING parquet LOCATION '{path}'")
+        spark.sql(f"ALTER TABLE {table} RENAME TO {old}")
+        spark.sql(f"ALTER TABLE {new} RENAME TO {table}")
+        spark.sql(f"DROP TABLE {old}")
 
 
 def staged(df: DataFrame, name: str = "staged") -> DataFrame:
     """Write a result to the shared folder once and read it from there.
 
-    For steps that read it several times, and for merged tables, which cannot overwrite the files
-    they are read from.
+    For steps that read it several times.
     """
     return cut_lineage(df, name)
 

@@ -1,16 +1,18 @@
-"""Live tables as change logs: messages, conversations, conversation state, search index."""
+"""Live tables: messages, conversations, conversation state, search index, windows and sessions."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.curate import text_digest
 from ..operators.retrieval import build_search_index
 from ..operators.state import latest_per_key
-from ..sources.sinks import ChangeLog
+from ..sources.keyed import keyed_table, newer, replace_keys
 
 
 def run_available(
@@ -30,102 +32,224 @@ def run_available(
     query.awaitTermination()
 
 
-def newest(keys: list[str], order: list[str], first: dict[str, str] | None = None):
-    """A merge for a change log: the last row per key by ``order``; of equal ones the later batch."""
-    return lambda rows: latest_per_key(rows, keys, [*order, "batch"], first)
-
-
 def keep_messages(
-    stream: DataFrame, keys: list[str], order: list[str], log: ChangeLog, checkpoint: str
+    stream: DataFrame, keys: list[str], order: list[str], table: str, checkpoint: str, delay: str = "1 hour"
 ) -> None:
-    """Add each micro-batch's newest snapshot per message to the log, whatever the time in it.
+    """The newest snapshot of every message in a keyed table, whatever the time in it.
 
-    Nothing is too late: a message that comes long after its neighbours is kept, and one that comes
-    again counts only if its snapshot is newer. ``log`` merges by :func:`newest`.
+    What comes again within ``delay`` of its arrival is dropped by streaming state, which forgets it
+    after that; what comes again later meets the table, where the newer snapshot stays. The watermark is
+    on the time of arrival, so nothing is too late.
     """
+    arriving = stream.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", delay)
+    fresh = arriving.dropDuplicatesWithinWatermark([*keys, *order]).drop("_arrived")
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        log.add(latest_per_key(batch, keys, order), batch_id)
+        replace_keys(table, latest_per_key(batch, keys, order), newer(keys, order))
 
-    run_available(stream, save, checkpoint)
+    run_available(fresh, save, checkpoint)
 
 
-def keep_conversations(
-    stream: DataFrame, log: ChangeLog, order: list[str], checkpoint: str
-) -> None:
-    """Add each micro-batch's last update per conversation to the log.
+def keep_conversations(stream: DataFrame, table: str, order: list[str], checkpoint: str) -> None:
+    """The last update of every conversation by ``order`` in a keyed table.
 
-    ``created_at`` is the first time a conversation was seen in the batch; ``log`` merges by
-    :func:`conversations_merge`.
+    ``created_at`` is the first time that a conversation was seen.
     """
+    merge = newer(["conversation_id"], order, ["created_at"])
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        latest = latest_per_key(batch, "conversation_id", order, {"created_at": "updated_at"})
-        log.add(latest, batch_id)
+        replace_keys(
+            table, latest_per_key(batch, "conversation_id", order, {"created_at": "updated_at"}), merge
+        )
 
     run_available(stream, save, checkpoint)
 
 
-def conversations_merge(order: list[str]) -> Callable[[DataFrame], DataFrame]:
-    """The last update by ``order``, created when first seen."""
-    return newest(["conversation_id"], order, {"created_at": "created_at"})
+STATE = "since bigint, last_message_id bigint, at bigint, n_messages bigint"
+
+
+class _LastMessage(StatefulProcessor):
+    """Last message and number of rows of a key since it was last idle, until it is idle again."""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", STATE)
+
+    def _row(self, key: tuple, state: tuple, expired: bool) -> pd.DataFrame:
+        since, last, at, n = state
+        columns = {"key": [key[0]], "since": [since], "last_message_id": [last], "at": [at], "n_messages": [n]}
+        out = pd.DataFrame({**columns, "expired": [expired]})
+        return out.astype({"last_message_id": "Int64", "at": "Int64"})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        old = self.state.get() if self.state.exists() else None
+        since, last, at, n = old or (None, None, None, 0)
+        seen = 0
+        for part in rows:
+            n += len(part)
+            seen = max(seen, int(part["arrived"].max()))
+            since = int(part["arrived"].min()) if since is None else since
+            said = part[part["value"].notna() & part["place"].notna()]
+            if len(said):
+                best = said.loc[said["place"].astype("int64").idxmax()]
+                if at is None or best["place"] > at:
+                    last, at = int(best["value"]), int(best["place"])
+        self.state.update((since, last, at, n))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(seen + self.idle_ms)
+        yield self._row(key, (since, last, at, n), False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state = self.state.get()
+        self.state.clear()
+        yield self._row(key, state, True)
+
+    def close(self) -> None:
+        pass
+
+
+def conversation_state(
+    stream: DataFrame, key: str, value: Column, place: Column, arrived: str, idle: str
+) -> DataFrame:
+    """(key, since, last_message_id, at, n_messages, expired) as a stream of state changes.
+
+    ``last_message_id`` is the non-null ``value`` at the highest ``place``. A key that has been idle for
+    ``idle``, by the watermark on ``arrived``, gives a last row that says so, and its state is dropped;
+    rows that come later begin a new state with another ``since``. So the state holds only the keys that
+    are being talked about.
+    """
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    rows = stream.withWatermark(arrived, "0 seconds").select(
+        F.col(key).cast("bigint").alias("key"),
+        value.cast("bigint").alias("value"),
+        place.cast("bigint").alias("place"),
+        F.unix_millis(arrived).alias("arrived"),
+        F.col(arrived).alias("_time"),
+    )
+    return rows.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=_LastMessage(idle_ms),
+        outputStructType=f"key bigint, {STATE}, expired boolean",
+        outputMode="Update",
+        timeMode="EventTime",
+    )
 
 
 def keep_last_message(
-    stream: DataFrame, key: str, value: Column, order: Column, log: ChangeLog, checkpoint: str
-) -> None:
-    """Last non-null ``value`` per key and the number of rows, batch by batch, in the log.
+    stream: DataFrame, key: str, value: Column, place: Column, table: str, checkpoint: str,
+    arrived: str | None = None, idle: str = "1 day",
+) -> None:
+    """The states of :func:`conversation_state` in a table keyed by (key, since).
 
-    The log takes the place of streaming state, which would remember every key for ever in the
-    memory of the executors. Aggregates combine before the shuffle, so a busy key arrives as one row
-    per task. ``log`` merges by :func:`last_message_merge`.
+    ``arrived`` is a time column that never goes back; without one it is the time of the batch.
+    :func:`last_messages` adds up the states of a key.
     """
+    if arrived is None:
+        arrived, stream = "_arrived", stream.withColumn("_arrived", F.current_timestamp())
+    states = conversation_state(stream, key, value, place, arrived, idle)
+    merge = newer(["key", "since"], ["n_messages", "expired"])
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        at = F.when(value.isNotNull(), order)
-        state = batch.groupBy(key).agg(
-            F.max_by(value, at).alias("last_message_id"),
-            F.max(at).alias("at"),
-            F.count("*").alias("n_messages"),
-        )
-        log.add(state, batch_id)
+        replace_keys(table, latest_per_key(batch, ["key", "since"], ["n_messages", "expired"]), merge)
 
-    run_available(stream, save, checkpoint)
+    run_available(states, save, checkpoint, "update")
 
 
-def last_message_merge(key: str) -> Callable[[DataFrame], DataFrame]:
-    return lambda rows: rows.groupBy(key).agg(
+def last_messages(spark: SparkSession, table: str) -> DataFrame:
+    """Last message and number of rows per key, over all its states."""
+    return keyed_table(spark, table).groupBy("key").agg(
         F.max_by("last_message_id", "at").alias("last_message_id"),
-        F.max("at").alias("at"),
         F.sum("n_messages").alias("n_messages"),
-        F.max("batch").alias("batch"),
     )
 
 
 def keep_index_fresh(
     stream: DataFrame,
-    log: ChangeLog,
+    table: str,
     id_column: str,
     text: str,
     attributes: list[str],
     order: list[str],
     checkpoint: str,
 ) -> None:
-    """Embed the texts of each micro-batch that are new or differ from their last entry.
+    """Embed the texts of each micro-batch that are new or differ from their entry in a keyed table.
 
     Of several rows of an id in a batch the last by ``order`` counts; across batches the later
-    batch does. ``log`` merges by :func:`newest` without an order of its own.
+    batch does.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        latest = latest_per_key(batch, id_column, order)
-        # Only entries of the batch's own ids are looked at, before anything is shuffled by id.
-        entries = log.read(below=batch_id).select(id_column, "digest", "batch")
-        touched = entries.join(latest.select(id_column), id_column, "left_semi")
-        current = latest_per_key(touched, id_column, ["batch"]).select(id_column, "digest")
-        changed = latest.withColumn("digest", text_digest(text)).join(
-            current, [id_column, "digest"], "left_anti"
+        latest = latest_per_key(batch, id_column, order).withColumn("digest", text_digest(text))
+        entries = keyed_table(batch.sparkSession, table).select(id_column, F.col("digest").alias("_old"))
+        # The table is bucketed by the id: only the batch is moved.
+        joined = latest.join(entries, id_column, "left")
+        changed = joined.filter(~F.col("digest").eqNullSafe(F.col("_old"))).drop("_old", "digest")
+        replace_keys(
+            table, build_search_index(changed, id_column, text, attributes), newer([id_column], [])
         )
-        log.add(build_search_index(changed, id_column, text, attributes), batch_id)
 
     run_available(stream, save, checkpoint)
+
+
+def activity_windows(
+    stream: DataFrame, time: str, delay: str, by: list[str], length: str, slide: str | None = None
+) -> DataFrame:
+    """(window_start, window_end, by, n): rows per window of event time, sliding ones with ``slide``.
+
+    A window is given once, when the watermark (the highest time of the batches before, less ``delay``)
+    has passed its end. Rows that come for it later are not in it; see :func:`keep_late`.
+    """
+    window = F.window(time, length, slide or length)
+    counted = stream.withWatermark(time, delay).groupBy(window.alias("w"), *by).agg(F.count("*").alias("n"))
+    return counted.select(
+        F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *by, "n"
+    )
+
+
+def activity_sessions(stream: DataFrame, time: str, delay: str, by: list[str], gap: str) -> DataFrame:
+    """(by, session_start, session_end, n): rows of a key that follow one another within ``gap``.
+
+    Sessions in the state merge when a row comes that lies between them. One is given once, when the
+    watermark has passed its end, which is ``gap`` after its last row.
+    """
+    counted = (
+        stream.withWatermark(time, delay)
+        .groupBy(*by, F.session_window(time, gap).alias("s"))
+        .agg(F.count("*").alias("n"))
+    )
+    return counted.select(*by, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "n")
+
+
+def keep_late(
+    stream: DataFrame, time: str, delay: str, ends: Callable[[DataFrame], DataFrame], path: str, checkpoint: str
+) -> None:
+    """Rows that came too late for their window, in a table of their own at ``path``.
+
+    ``ends(rows)`` gives the rows with the ``window_end`` of each window they belong to; a row is late
+    for those that the watermark of the batches before had passed. The highest time so far is kept beside
+    the rows, per batch. This query sees the deliveries that the one with the windows sees if both are
+    run for each of them.
+    """
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        top = batch.agg(F.max(time).alias("top")).first()[0]
+        if batch_id:
+            mark = spark.read.parquet(f"{path}/marks/batch={batch_id - 1}")
+            passed = mark.select((F.date_trunc("millisecond", "top") - F.expr(f"INTERVAL {delay}")).alias("passed"))
+            late = ends(batch).filter(F.col("window_end") <= passed.scalar())
+        else:
+            mark = spark.createDataFrame([(None,)], "top timestamp")
+            late = ends(batch).limit(0)
+        late.write.mode("overwrite").parquet(f"{path}/late/batch={batch_id}")
+        highest = F.greatest("top", F.lit(top).cast("timestamp")).alias("top")
+        mark.select(highest).write.mode("overwrite").parquet(f"{path}/marks/batch={batch_id}")
+
+    run_available(stream, save, checkpoint)
+
+
+def late_rows(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/late").drop("batch")
