@@ -230,8 +230,7 @@ def test_no_message_is_too_late_and_the_newest_snapshot_stays(spark, database):
 
 def state_rows(spark, path):
     """Keys in the state of the last batch."""
-    options = spark.read.format("statestore").option("stateVarName", "state")
-    return options.load(path).count()
+    return spark.read.format("statestore").load(path).count()
 
 
 def test_idle_conversations_leave_the_state_and_are_counted_whole(spark, database):
@@ -252,11 +251,12 @@ def test_idle_conversations_leave_the_state_and_are_counted_whole(spark, databas
             source.add(rows), "conv", answer, F.col("turn"), table, source.seen, "arrived", "12 hours"
         )
         held.append(state_rows(spark, source.seen))
-    assert max(held) <= 11
+    # Those of the day, and of the day before: what is idle leaves with the next delivery.
+    assert max(held) <= 22
     found = {r["key"]: (r["last_message_id"], r["n_messages"]) for r in L.last_messages(spark, table).collect()}
     assert found == expected
     states = D.keyed_table(spark, table)
-    assert states.filter("key = 7777").count() == 3 and states.filter("NOT expired").count() <= 11
+    assert states.filter("key = 7777").count() == 3 and states.filter("NOT expired").count() <= 22
 
 
 EVENTS = "id bigint, ts timestamp, kind string"

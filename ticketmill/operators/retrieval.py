@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,9 @@ SCORE_DIGITS = 9
 #: Vectors that cells are fitted on at most; a cell should have some of them, so cells are bounded too.
 SAMPLE_ROWS = 20_000
 SAMPLE_PER_CELL = 16
+#: A query that would have to look at more of the rows than this share is compared with all of them.
+MOST_SHARE = 0.25
+EVERYWHERE = -1
 #: Bins of the angle between a vector and the centre of its cell.
 ANGLES = 64
 #: What rounding may add to an angle.
@@ -343,8 +347,10 @@ def _fit_centres(vectors: np.ndarray, cells: int, seed: int, rounds: int = 8) ->
     centres = vectors[rng.choice(len(vectors), cells, replace=False)]
     for _ in range(rounds):
         own = (vectors @ centres.T).argmax(axis=1)
+        order = np.argsort(own, kind="stable")
+        first = np.flatnonzero(np.diff(own[order], prepend=-1))
         sums = np.zeros_like(centres)
-        np.add.at(sums, own, vectors)
+        sums[own[order][first]] = np.add.reduceat(vectors[order], first)
         norms = np.linalg.norm(sums, axis=1, keepdims=True)
         # A centre that nobody is nearest to starts again at some vector.
         lost = np.flatnonzero(norms[:, 0] == 0)
@@ -396,13 +402,16 @@ class CellIndex:
             inside = below[at, np.maximum(high, low)] - below[at, low]
             inside[had] = 0
             order = np.argsort(inside, kind="stable")
-            return order[np.cumsum(inside[order]) > missed]
+            chosen = order[np.cumsum(inside[order]) > missed]
+            if inside[chosen].sum() > MOST_SHARE * held.sum():
+                return np.array([EVERYWHERE])
+            return chosen
 
         def pairs(angles: np.ndarray, chosen: list[np.ndarray]) -> pa.Array:
             flat = np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
             sizes = [len(c) for c in chosen]
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            own = angles[np.repeat(np.arange(len(angles)), sizes), flat]
+            own = angles[np.repeat(np.arange(len(angles)), sizes), flat]  # of no use for EVERYWHERE
             both = [pa.array(flat.astype(np.int32)), pa.array(own)]
             return pa.ListArray.from_arrays(
                 pa.array(offsets), pa.StructArray.from_arrays(both, ["cell", "angle"])
@@ -424,7 +433,6 @@ class CellIndex:
 
     def _partial(self, asked: DataFrame, k: int) -> DataFrame:
         """Best k rows of the cells asked for: ``asked`` is (query_id, embedding, floor, _cell, _theta)."""
-        asked = cut_lineage(asked, "probes")
         width = self.centres.shape[1]
         key = ["_cell", *self.attributes]
         stripes = asked.groupBy(*key).agg(_blocks(F.count("*"), width).alias("_stripes"))
@@ -473,7 +481,8 @@ class CellIndex:
 
         # -2 is below every cosine: all rows of the first cells are compared.
         none = F.lit(-2.0)
-        first = cut_lineage(self._partial(sent(asked, none, F.col("_first")), k), "first")
+        probes = cut_lineage(sent(asked, none, F.col("_first")), "probes")
+        first = cut_lineage(self._partial(probes, k), "first")
         in_query = W.partitionBy("query_id").orderBy(F.desc("score"), "corpus_id")
         floors = (
             first.filter("corpus_id IS NOT NULL")
@@ -483,13 +492,23 @@ class CellIndex:
         )
         left = asked.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", none))
         more = others("embedding", "floor", F.col("_first.cell"))
-        return first.unionByName(self._partial(sent(left, F.col("floor"), more), k))
+        probes = cut_lineage(sent(left, F.col("floor"), more), "probes")
+        everywhere = F.col("_cell") == EVERYWHERE
+        parts = [first]
+        if probes.filter(~everywhere).limit(1).count():
+            parts.append(self._partial(probes.filter(~everywhere), k))
+        if probes.filter(everywhere).limit(1).count():
+            # Their first cells come again here; the hits found before only say that this is needed.
+            asked = probes.filter(everywhere).select("query_id", "embedding", *names)
+            parts[0] = first.join(asked.select("query_id"), "query_id", "left_anti")
+            parts.append(block_scores(self.rows, asked, k, names))
+        return reduce(DataFrame.unionByName, parts)
 
     def search(self, queries: DataFrame, k: int = V.TOP_K, recall: float = 0.95) -> DataFrame:
         """(query_id, rank, corpus_id, score): at least ``recall`` of the k nearest rows of each query.
 
         The share is certain, not expected: cells are left out only as long as all rows in them that could
-        be better are fewer than the misses allowed. Where no bound helps, every cell is looked into.
+        be better are fewer than the misses allowed. A query that no bound helps is compared with every row.
         """
         return _ranked(self.compare(queries, k or V.TOP_K, recall), k or V.TOP_K)
 

@@ -45,7 +45,7 @@ def empty_table(spark, name: str, schema: str, keys: list[str]) -> str:
     path = scratch_path(spark, "live")
     database = f"live_{path.rsplit('-', 1)[1]}"
     ensure_database(spark, database, path)
-    create_keyed_table(spark.createDataFrame([], schema), f"{database}.{name}", keys)
+    create_keyed_table(spark.createDataFrame([], schema), f"{database}.{name}", keys, n=0)
     return f"{database}.{name}"
 
 

@@ -70,11 +70,13 @@ def _facts(spark: SparkSession, table: str) -> dict[str, str]:
 
 
 def create_keyed_table(
-    rows: DataFrame, table: str, keys: list[str], file_rows: int = FILE_ROWS
+    rows: DataFrame, table: str, keys: list[str], file_rows: int = FILE_ROWS, n: int | None = None
 ) -> None:
-    """A table of rows that are unique by their keys, none of which may be null."""
-    rows = cut_lineage(rows, "rows")
-    _write(rows, table, keys, file_rows, rows.count())
+    """A table of rows that are unique by their keys, none of which may be null; ``n`` if it is known."""
+    if n is None:
+        rows = cut_lineage(rows, "rows")
+        n = rows.count()
+    _write(rows, table, keys, file_rows, n)
 
 
 def keyed_table(spark: SparkSession, table: str) -> DataFrame:
@@ -83,19 +85,19 @@ def keyed_table(spark: SparkSession, table: str) -> DataFrame:
     return spark.table(table)
 
 
-def _touched(base: str, changes: DataFrame) -> DataFrame:
-    """The table's rows in the folders of the changes."""
-    spark = changes.sparkSession
+def _merged(facts: dict[str, str], changes: DataFrame, merge: Merge) -> tuple[int, DataFrame]:
+    """How many changes there are, and what the folders that they touch will hold."""
+    placed = _placed(changes, facts["keys"].split(","), int(facts["folders"]))
     # At most one row per folder.
-    folders = [r[0] for r in changes.select(FOLDER).distinct().collect()]
-    return spark.table(base).filter(F.col(FOLDER).isin(folders)).drop(FOLDER)
+    touched = placed.groupBy(FOLDER).agg(F.count("*").alias("n")).collect()
+    folders = [r[FOLDER] for r in touched]
+    old = changes.sparkSession.table(facts["base"]).filter(F.col(FOLDER).isin(folders)).drop(FOLDER)
+    return sum(r["n"] for r in touched), merge(old, changes)
 
 
 def merged_rows(table: str, changes: DataFrame, merge: Merge) -> DataFrame:
     """What the folders that the changes touch will hold: ``merge(their rows, changes)``."""
-    facts = _facts(changes.sparkSession, table)
-    placed = _placed(changes, facts["keys"].split(","), int(facts["folders"]))
-    return merge(_touched(facts["base"], placed), changes)
+    return _merged(_facts(changes.sparkSession, table), changes, merge)[1]
 
 
 def replace_keys(table: str, changes: DataFrame, merge: Merge) -> None:
@@ -111,11 +113,9 @@ def replace_keys(table: str, changes: DataFrame, merge: Merge) -> None:
     base, keys, folders = facts["base"], facts["keys"].split(","), int(facts["folders"])
     spark.catalog.refreshTable(base)
     changes = cut_lineage(changes, "changes")
-    placed = _placed(changes, keys, folders)
-    n = placed.agg(F.count("*"), F.max(FOLDER)).first()[0]
+    n, merged = _merged(facts, changes, merge)
     if not n:
         return
-    merged = merge(_touched(base, placed), changes)
     columns = [c for c in spark.table(base).columns if c != FOLDER]
     mode = "spark.sql.sources.partitionOverwriteMode"
     before = spark.conf.get(mode, "static")

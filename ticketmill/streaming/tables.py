@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState
 
 from ..operators.curate import text_digest
 from ..operators.retrieval import build_search_index
@@ -20,15 +21,26 @@ def run_available(
     handle: Callable[[DataFrame, int], None],
     checkpoint: str,
     mode: str = "append",
+    closing: bool = True,
 ) -> None:
-    """Feed everything the source has now to ``handle`` in micro-batches, then stop."""
-    query = (
-        stream.writeStream.outputMode(mode)
-        .foreachBatch(handle)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    """Feed everything the source has now to ``handle`` in micro-batches, then stop.
+
+    Without ``closing`` there is no last batch without rows; state that has run out by then goes with the
+    next delivery.
+    """
+    conf, key = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(key)
+    conf.set(key, str(closing).lower())
+    try:
+        query = (
+            stream.writeStream.outputMode(mode)
+            .foreachBatch(handle)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        conf.set(key, before)
     query.awaitTermination()
 
 
@@ -47,7 +59,7 @@ def keep_messages(
     def save(batch: DataFrame, batch_id: int) -> None:
         replace_keys(table, latest_per_key(batch, keys, order), newer(keys, order))
 
-    run_available(fresh, save, checkpoint)
+    run_available(fresh, save, checkpoint, closing=False)
 
 
 def keep_conversations(stream: DataFrame, table: str, order: list[str], checkpoint: str) -> None:
@@ -68,48 +80,39 @@ def keep_conversations(stream: DataFrame, table: str, order: list[str], checkpoi
 STATE = "since bigint, last_message_id bigint, at bigint, n_messages bigint"
 
 
-class _LastMessage(StatefulProcessor):
-    """Last message and number of rows of a key since it was last idle, until it is idle again."""
+#: Stands for no message in the state, where all columns are whole numbers.
+NONE = -1
 
-    def __init__(self, idle_ms: int):
-        self.idle_ms = idle_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("state", STATE)
+def _last_message(idle_ms: int) -> Callable:
+    """Last message and number of rows of a key since it was last idle, until it is idle again."""
+    names = ["key", "since", "last_message_id", "at", "n_messages", "expired"]
 
-    def _row(self, key: tuple, state: tuple, expired: bool) -> pd.DataFrame:
-        since, last, at, n = state
-        columns = {"key": [key[0]], "since": [since], "last_message_id": [last], "at": [at], "n_messages": [n]}
-        out = pd.DataFrame({**columns, "expired": [expired]})
-        return out.astype({"last_message_id": "Int64", "at": "Int64"})
+    def row(key: tuple, state: tuple, expired: bool) -> pd.DataFrame:
+        return pd.DataFrame(np.array([[key[0], *state[:4], expired]], np.int64), columns=names)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        old = self.state.get() if self.state.exists() else None
-        since, last, at, n = old or (None, None, None, 0)
-        seen = 0
+    def update(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            yield row(key, state.get, True)
+            state.remove()
+            return
+        since, last, at, n, seen = state.get if state.exists else (None, NONE, NONE, 0, 0)
         for part in rows:
-            n += len(part)
-            seen = max(seen, int(part["arrived"].max()))
-            since = int(part["arrived"].min()) if since is None else since
-            said = part[part["value"].notna() & part["place"].notna()]
-            if len(said):
-                best = said.loc[said["place"].astype("int64").idxmax()]
-                if at is None or best["place"] > at:
-                    last, at = int(best["value"]), int(best["place"])
-        self.state.update((since, last, at, n))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(seen + self.idle_ms)
-        yield self._row(key, (since, last, at, n), False)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state = self.state.get()
-        self.state.clear()
-        yield self._row(key, state, True)
-
-    def close(self) -> None:
-        pass
+            arrived = part["arrived"].to_numpy()
+            if since is not None and arrived.min() >= seen + idle_ms:  # idle until now
+                yield row(key, (since, last, at, n), True)
+                since, last, at, n = None, NONE, NONE, 0
+            since = int(arrived.min()) if since is None else since
+            seen, n = max(seen, int(arrived.max())), n + len(part)
+            places = part["place"].to_numpy()
+            best = int(places.argmax())
+            if places[best] > at:
+                last, at = int(part["value"].to_numpy()[best]), int(places[best])
+        state.update((since, last, at, n, seen))
+        state.setTimeoutTimestamp(seen + idle_ms)
+        yield row(key, (since, last, at, n), False)
+
+    return update
 
 
 def conversation_state(
@@ -117,24 +120,28 @@ def conversation_state(
 ) -> DataFrame:
     """(key, since, last_message_id, at, n_messages, expired) as a stream of state changes.
 
-    ``last_message_id`` is the non-null ``value`` at the highest ``place``. A key that has been idle for
+    ``last_message_id`` is the non-null ``value`` at the highest ``place``, a number from 0. A key that has been idle for
     ``idle``, by the watermark on ``arrived``, gives a last row that says so, and its state is dropped;
     rows that come later begin a new state with another ``since``. So the state holds only the keys that
-    are being talked about.
+    are being talked about. It goes to Python and back in Arrow batches, with the rows.
     """
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    said = F.coalesce(F.when(value.isNotNull(), place), F.lit(NONE))
     rows = stream.withWatermark(arrived, "0 seconds").select(
         F.col(key).cast("bigint").alias("key"),
-        value.cast("bigint").alias("value"),
-        place.cast("bigint").alias("place"),
+        F.coalesce(value, F.lit(NONE)).cast("bigint").alias("value"),
+        said.cast("bigint").alias("place"),
         F.unix_millis(arrived).alias("arrived"),
         F.col(arrived).alias("_time"),
     )
-    return rows.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=_LastMessage(idle_ms),
-        outputStructType=f"key bigint, {STATE}, expired boolean",
-        outputMode="Update",
-        timeMode="EventTime",
+    states = rows.groupBy("key").applyInPandasWithState(
+        _last_message(idle_ms), f"key bigint, {STATE}, expired bigint", f"{STATE}, seen bigint",
+        "update", "EventTimeTimeout",
+    )
+    heard = F.col("at") != NONE
+    return states.select(
+        "key", "since", F.when(heard, F.col("last_message_id")).alias("last_message_id"),
+        F.when(heard, F.col("at")).alias("at"), "n_messages", (F.col("expired") > 0).alias("expired"),
     )
 
 
@@ -155,7 +162,7 @@ def keep_last_message(
     def save(batch: DataFrame, batch_id: int) -> None:
         replace_keys(table, latest_per_key(batch, ["key", "since"], ["n_messages", "expired"]), merge)
 
-    run_available(states, save, checkpoint, "update")
+    run_available(states, save, checkpoint, "update", closing=False)
 
 
 def last_messages(spark: SparkSession, table: str) -> DataFrame:
