@@ -69,9 +69,7 @@ def documents():
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("small_list", [2, 32])
-def test_near_clusters_equal_brute_force(spark, documents, monkeypatch, small_list):
-    monkeypatch.setattr(N, "SMALL_LIST", small_list)
+def test_near_clusters_equal_brute_force(spark, documents):
     worded = [(i, t) for i, t in documents if t != "..."]
     df = spark.createDataFrame(documents, "id int, text string")
     found = {r["id"]: r["cluster"] for r in N.near_clusters(df, "id", "text").collect()}
@@ -89,6 +87,46 @@ def test_edges_are_real_and_few(spark, documents):
     assert sum(e["a"] in copies for e in edges) == len(copies) - 1
 
 
+def candidates(spark, texts):
+    """How many pairs are looked up, with leaders and between clusters, and the clusters."""
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    unique, _ = N.collapse_copies(N.shingle_sets(df, "id", "text"))
+    lists = N.prefix_postings(unique, 0.92).persist()
+    led = N.leader_pairs(lists, 0.92).persist()
+    clusters = N.connected_components(N._verified(led, unique, 0.92))
+    return led.count(), N.cluster_pairs(lists, clusters, 0.92).count()
+
+
+def test_a_phrase_of_many_families_gives_no_pairs_between_them(spark):
+    rng = random.Random(11)
+    texts = []
+    for _ in range(200):
+        texts += family(rng, 25, 60, "we are happy to help you with any further question ")
+    led, between = candidates(spark, texts)
+    assert led <= 2 * len(texts) and between <= 20 * len(texts)
+
+
+def test_texts_of_one_template_are_not_compared_with_each_other(spark):
+    rng = random.Random(12)
+    template = " ".join(f"t{i}" for i in range(200))
+    texts = [template + " " + " ".join(f"own{rng.randrange(10**9)}" for _ in range(25)) for _ in range(3000)]
+    led, between = candidates(spark, texts)
+    assert led + between <= len(texts)
+
+
+def test_versions_that_change_step_by_step_are_one_cluster(spark):
+    rng = random.Random(13)
+    words, texts = [f"w{i}" for i in range(150)], []
+    for _ in range(120):
+        words[rng.randrange(150)] = f"n{rng.randrange(10**9)}"
+        texts.append(" ".join(words))
+    docs = list(enumerate(texts))
+    rng.shuffle(docs)
+    df = spark.createDataFrame(docs, "id int, text string")
+    found = {r["id"]: r["cluster"] for r in N.near_clusters(df, "id", "text").collect()}
+    assert found == brute_clusters(docs) and len(found) == 120
+
+
 def test_components_of_a_long_chain(spark):
     order = list(range(60))
     random.Random(3).shuffle(order)

@@ -6,86 +6,137 @@ Texts are compared through the shingles they share, never table against table:
    row however large it is.
 2. Prefix filter (Bayardo et al. 2007): with shingles ordered rarest first, two sets of cosine >= t
    must share one of the first ``n - ceil(t^2 n) + 1`` shingles of each. Only these are joined.
-3. Inside the posting list of a shingle, documents are compared with the list's leader, its lowest
-   id, and not with each other. Those that match it are linked through it. Of the others, those
-   within twice the threshold's angle of the leader are compared with the ones that match it; the
-   angle between vectors obeys the triangle inequality, so no other one can be near any of those.
-   All that missed the leader form a new list with a leader of its own. A list of near copies thus
-   gives one edge per member, and one round per family of near copies.
-
-4. Postings carry a small bitmap of their set. Bits of one bitmap that the other lacks are shingles
-   the other set lacks, which bounds the cosine from above; only pairs that the bound leaves open
-   are looked up and compared in full.
-
-The edges therefore connect exactly the documents that all pairs above the threshold connect, while
-their number grows with the documents and not with the pairs.
+3. Inside the posting list of a shingle every document is compared with the list's leader only: the
+   one with the largest share of shingles that others have too, which for a family of near copies is
+   the text they come from. What these links connect is one cluster from then on.
+4. A link that is still missing lies between two clusters. Lists whose members are all of one cluster
+   are done; in the others, members of different clusters are compared. The list of a family is gone by
+   then, and a member leaves a list where nobody is of a size that it could be near to.
+
+A pair is looked up only if all bounds leave it open: the sizes; the shingles that nobody else has (they
+bound the size of a partner); the shingles left from the shared one on (positional filter); and small
+bitmaps of the sets, whose bits that the other lacks are shingles that the other lacks.
+
+The edges connect exactly the documents that all pairs above the threshold connect, while their number
+grows with the documents and not with the pairs.
 """
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 from operator import add
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
-from ..functions.text import let, words
+from ..functions.text import words
 from ..session import cut_lineage
 
 SHINGLE_WORDS = 3
-SMALL_LIST = 32
 SKETCH_WORDS = 8
-MAX_ROUNDS = 24
+#: What rounding may take from a cosine.
+SLACK = 1e-12
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Every bit of a 64-bit value depends on all others (the finaliser of murmur3)."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+#: Weights of the words of a run, by their place in it; the last one is for the number of words.
+WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
+
+
+def _runs(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of three words, sorted and distinct per text, and the texts' offsets.
+
+    A text of fewer words is its own single run.
+    """
+    counts = np.diff(at)
+    hashes = np.zeros(len(words), np.uint64)
+    for k in range(SHINGLE_WORDS):
+        hashes[: max(len(words) - k, 0)] += words[k:] * WEIGHTS[k]
+    hashes += WEIGHTS[-1] * np.uint64(SHINGLE_WORDS)
+    valid = np.ones(len(words), bool)
+    long = counts >= SHINGLE_WORDS
+    for k in range(1, SHINGLE_WORDS):  # these runs would reach into the next text
+        valid[at[1:][long] - k] = False
+    for t in np.flatnonzero(~long & (counts > 0)).tolist():
+        a, b = at[t], at[t + 1]
+        valid[a + 1 : b] = False
+        hashes[a] = (np.append(words[a:b], np.uint64(b - a)) * WEIGHTS[[*range(b - a), -1]]).sum()
+    sizes = np.where(long, counts - SHINGLE_WORDS + 1, np.minimum(counts, 1))
+    out, ends = _mixed(hashes[valid]), np.cumsum(sizes)
+    starts = ends - sizes
+    for a, b in zip(starts.tolist(), ends.tolist()):
+        out[a:b].sort()
+    new = np.ones(len(out), bool)
+    new[1:] = out[1:] != out[:-1]
+    new[starts[sizes > 0]] = True
+    kept = np.concatenate([[0], np.cumsum(new)])
+    return out[new], np.concatenate([[0], kept[ends]])
 
 
 def shingle_sets(df: DataFrame, id_column: str, text: str) -> DataFrame:
-    """id and its set of 3-word runs, hashed to 64 bits.
+    """id, its set of 3-word runs hashed to 64 bits and sorted, the set's digest and its bitmap.
 
-    A text of fewer words is its own single run; a text without words has no set and drops out.
+    A text of fewer words is its own single run; a text without words has no set and drops out. The
+    bitmap has ``SKETCH_WORDS`` words of 64 bits.
     """
-    hashed = F.transform(words(F.col(text)), lambda w: F.xxhash64(w))
-    starts = F.sequence(F.lit(0), F.greatest(F.size("_w") - SHINGLE_WORDS, F.lit(0)))
 
-    def run(i: Column) -> Column:
-        return F.xxhash64(*[F.get("_w", i + k) for k in range(SHINGLE_WORDS)])
+    @F.arrow_udf("struct<set: array<bigint>, digest: binary, sketch: array<bigint>>")
+    def described(hashed: pa.Array) -> pa.Array:
+        at = hashed.offsets.to_numpy()
+        runs, ends = _runs(hashed.flatten().to_numpy().view(np.uint64), (at - at[0]).astype(np.int64))
+        raw = [runs[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        bits = np.zeros((len(hashed), SKETCH_WORDS * 64), np.uint8)
+        bits[np.repeat(np.arange(len(hashed)), np.diff(ends)), (runs % np.uint64(SKETCH_WORDS * 64)).astype(np.int64)] = 1
+        sketch = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+        return pa.StructArray.from_arrays(
+            [
+                pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(runs.view(np.int64))),
+                pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in raw], pa.binary()),
+                pa.ListArray.from_arrays(
+                    pa.array(np.arange(len(hashed) + 1, dtype=np.int32) * SKETCH_WORDS), pa.array(sketch.ravel())
+                ),
+            ],
+            ["set", "digest", "sketch"],
+        )
 
+    hashed = F.transform(words(F.col(text)), lambda w: F.xxhash64(w))
+    found = F.coalesce(hashed, F.array().cast("array<bigint>"))
+    # A filter on the words themselves would split the texts once more.
     return (
-        df.select(F.col(id_column).alias("id"), hashed.alias("_w"))
-        .filter(F.size("_w") > 0)
-        .select("id", F.array_sort(F.array_distinct(F.transform(starts, run))).alias("set"))
+        df.select(F.col(id_column).alias("id"), described(found).alias("d"))
+        .filter(F.size("d.set") > 0)
+        .select("id", "d.set", "d.digest", "d.sketch")
     )
 
 
 def collapse_copies(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct sets under their lowest id, and (id, copy_of) for all other ids."""
-    keyed = sets.withColumn("_digest", F.sha2(F.array_join("set", ","), 256))
     # Copies collapse before the shuffle already.
-    heads = keyed.groupBy("_digest").agg(F.min("id").alias("head"), F.any_value("set").alias("set"))
-    tagged = keyed.select("id", "_digest").join(heads.select("_digest", "head"), "_digest")
-    copies = tagged.filter("id <> head").select("id", F.col("head").alias("copy_of"))
-    return heads.select(F.col("head").alias("id"), "set"), copies
-
-
-def sketch(hashes: Column) -> Column:
-    """Bitmap of a set of hashes: ``SKETCH_WORDS`` words of 64 bits."""
-    one = F.lit(1).cast("bigint")
-
-    def bit(h: Column) -> Column:
-        return F.call_function("shiftleft", one, h.bitwiseAND(F.lit(63)).cast("int"))
-
-    def word(i: int) -> Column:
-        own = F.filter(hashes, lambda h: F.pmod(F.shiftright(h, 6), F.lit(SKETCH_WORDS)) == i)
-        return F.aggregate(own, F.lit(0).cast("bigint"), lambda acc, h: acc.bitwiseOR(bit(h)))
-
-    return F.array(*[word(i) for i in range(SKETCH_WORDS)])
+    heads = sets.groupBy("digest").agg(
+        F.min("id").alias("id"), F.any_value("set").alias("set"), F.any_value("sketch").alias("sketch")
+    )
+    heads = cut_lineage(heads, "unique")
+    named = sets.select("id", "digest").join(heads.select("digest", F.col("id").alias("copy_of")), "digest")
+    return heads.drop("digest"), named.filter("id <> copy_of").select("id", "copy_of")
 
 
 def prefix_postings(sets: DataFrame, threshold: float) -> DataFrame:
-    """(shingle, id, n, sketch): the prefix of each set, rarest shingles first.
+    """(shingle, id, n, sketch, own, most, rest): the prefix of each set, rarest shingles first.
 
     A shingle that occurs in one set only cannot be shared, so it is not followed further. It still
     takes its place at the front of the prefix, because the order has to be the same for all sets.
+    ``own`` is the number of such shingles, ``most`` the size of the largest set that can be near in
+    spite of them, ``rest`` the number of shingles from this one on.
     """
     flat = sets.select("id", F.explode("set").alias("shingle"))
     shared = flat.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
@@ -95,20 +146,25 @@ def prefix_postings(sets: DataFrame, threshold: float) -> DataFrame:
         .groupBy("id")
         .agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("ranked"))
     )
-    sized = sets.select("id", F.size("set").alias("n"), let(F.col("set"), sketch).alias("sketch"))
+    sized = sets.select("id", F.size("set").alias("n"), "sketch")
     prefix = F.col("n") - F.ceil(F.lit(threshold * threshold) * F.col("n") - 1e-9) + 1
-    left = (prefix - (F.col("n") - F.size("ranked"))).cast("int")
+    common = F.size("ranked").cast("double")
     return (
         ranked.join(sized, "id")
-        .withColumn("left", left)
+        .withColumn("own", F.col("n") - F.size("ranked"))
+        .withColumn("most", common * common / (F.col("n") * (threshold - SLACK) ** 2))
+        .withColumn("left", (prefix - F.col("own")).cast("int"))
         .filter("left > 0")
-        .select("id", "n", "sketch", F.explode(F.slice("ranked", F.lit(1), "left")).alias("p"))
-        .select("p.shingle", "id", "n", "sketch")
-    )
+        .select(
+            "id", "n", "sketch", "own", "most",
+            F.posexplode(F.slice("ranked", F.lit(1), "left")).alias("place", "p"),
+        )
+        .select("p.shingle", "id", "n", "sketch", "own", "most", (F.col("n") - F.col("own") - F.col("place")).alias("rest"))
+    )
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Add the cosine of each (a, b) and whether it reaches the threshold."""
+    """The pairs (a, b) whose cosine reaches the threshold, with the cosine."""
     a = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
     b = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
     shared = F.size(F.array_intersect("set_a", "set_b"))
@@ -120,7 +176,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             "b",
             (shared / F.sqrt(F.size("set_a").cast("double") * F.size("set_b"))).alias("cosine"),
         )
-        .withColumn("hit", F.col("cosine") >= threshold - 1e-12)
+        .filter(F.col("cosine") >= threshold - SLACK)
     )
 
 
@@ -145,91 +201,82 @@ def _ordered(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+OF_MEMBER = ["id", "n", "sketch", "most", "rest"]
+
+
 def _as_other(lists: DataFrame) -> DataFrame:
     """The same postings under the names of a partner."""
-    return lists.select(
-        "shingle",
-        F.col("id").alias("y"),
-        F.col("n").alias("n_y"),
-        F.col("sketch").alias("sketch_y"),
-    )
+    renamed = [F.col(c).alias(f"{c}_y") for c in lists.columns if c != "shingle"]
+    return lists.select("shingle", *renamed)
 
 
-def _one_round(lists: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Edges found around the leaders of all lists, and the lists of what missed them."""
-    reachable = 2 * threshold * threshold - 1  # cosine of twice the threshold's angle
-    leaders = (
-        lists.groupBy("shingle")
-        .agg(F.min(F.struct("id", "n", "sketch")).alias("leader"))
-        .select(
-            "shingle",
-            F.col("leader.id").alias("a"),
-            F.col("leader.n").alias("n_a"),
-            F.col("leader.sketch").alias("sketch_a"),
-        )
+def _open(threshold: float) -> Column:
+    """Whether the bounds leave open that two members of a list are near.
+
+    The positional bound holds for the rarest shingle that two sets share; in its list it passes.
+    """
+    least = (threshold - SLACK) * F.sqrt(F.col("n").cast("double") * F.col("n_y"))
+    return (
+        (F.col("n") <= F.col("most_y"))
+        & (F.col("n_y") <= F.col("most"))
+        & (F.least("rest", "rest_y") >= least)
+        & (_bound("n", "sketch", "n_y", "sketch_y") >= threshold - SLACK)
     )
-    starred = (
-        lists.join(leaders, "shingle")
-        .filter("id <> a")
-        .withColumnRenamed("id", "b")
-        .withColumn("bound", _bound("n_a", "sketch_a", "n", "sketch"))
-        .drop("n_a", "sketch_a")
+
+
+def leader_pairs(lists: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): members of a list with its leader, as far as they can be near."""
+    share = (F.col("own") / F.col("n")).alias("share")
+    leader = F.min(F.struct(share, "n", "id", "sketch", "most", "rest")).alias("l")
+    leaders = lists.groupBy("shingle").agg(leader).select(
+        "shingle", *[F.col(f"l.{c}").alias(f"{c}_y") for c in OF_MEMBER]
     )
-    asked = starred.filter(F.col("bound") >= threshold - 1e-12).select("a", "b").distinct()
-    star = cut_lineage(_verified(asked, sets, threshold))
-    judged = cut_lineage(
-        starred.join(star, ["a", "b"], "left").select(
-            "shingle",
-            F.col("b").alias("id"),
-            "n",
-            "sketch",
-            F.coalesce("hit", F.lit(False)).alias("hit"),
-            (F.coalesce("cosine", "bound") >= reachable - 1e-12).alias("near"),
-        )
+    met = lists.join(leaders, "shingle").filter((F.col("id") != F.col("id_y")) & _open(threshold))
+    return met.select(*_ordered("id", "id_y")).distinct()
+
+
+def cluster_pairs(lists: DataFrame, clusters: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): members of a list that are of different clusters, as far as they can be near.
+
+    Sizes that can be near differ by one step of a scale at most, so lists are cut by it as well.
+    """
+    named = lists.select("shingle", *OF_MEMBER).join(clusters, "id", "left").withColumn(
+        "cluster", F.coalesce("cluster", "id")
     )
-    hits = _as_other(judged.filter("hit"))
-    between = (
-        judged.filter("near and not hit")
-        .join(hits, "shingle")
-        .filter(_bound("n", "sketch", "n_y", "sketch_y") >= threshold - 1e-12)
-        .select(*_ordered("id", "y"))
-        .distinct()
+    several = named.groupBy("shingle").agg(
+        F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.min("n").alias("least")
+    ).filter("low < high").select("shingle", "least")
+    # Whoever is too small a part of everybody else in the list has no partner there.
+    members = named.join(several, "shingle").filter(F.col("most") >= F.col("least")).drop("least")
+    step = F.floor(F.log(F.col("n")) / F.log(F.lit(1 / threshold**2)) + 1e-9)
+    members = cut_lineage(members.withColumn("band", step), "members")
+    others = _as_other(members).withColumn("band", F.explode(F.array("band_y", F.col("band_y") - 1)))
+    met = members.join(others, ["shingle", "band"]).filter(
+        (F.col("cluster") != F.col("cluster_y"))
+        & ((F.col("n") < F.col("n_y")) | ((F.col("n") == F.col("n_y")) & (F.col("id") < F.col("id_y"))))
+        & _open(threshold)
     )
-    edges = star.unionByName(_verified(between, sets, threshold)).filter("hit").drop("hit")
-    return edges, judged.filter("not hit").select("shingle", "id", "n", "sketch")
+    return met.select(*_ordered("id", "id_y")).distinct()
+
+
+def _links(df: DataFrame, id_column: str, text: str, threshold: float):
+    """Edges between copies and with leaders, the clusters of the latter, and edges between clusters."""
+    sets = cut_lineage(shingle_sets(df, id_column, text), "sets")
+    unique, copies = collapse_copies(sets)
+    copied = cut_lineage(copies.select(*_ordered("id", "copy_of"), F.lit(1.0).alias("cosine")), "copies")
+    lists = cut_lineage(prefix_postings(unique, threshold), "lists")
+    led = cut_lineage(_verified(leader_pairs(lists, threshold), unique, threshold), "led")
+    clusters = cut_lineage(connected_components(led), "clusters")
+    between = _verified(cluster_pairs(lists, clusters, threshold), unique, threshold)
+    return copied, led, clusters, cut_lineage(between, "between")
 
 
 def near_pairs(
     df: DataFrame, id_column: str, text: str, threshold: float = V.NEAR_DUPLICATE_COSINE
 ) -> DataFrame:
     """Edges (a < b, cosine) that connect all near duplicates; copies have cosine 1."""
-    sets = cut_lineage(shingle_sets(df, id_column, text))
-    unique, copies = collapse_copies(sets)
-    unique = cut_lineage(unique)
-    edges = copies.select(*_ordered("id", "copy_of"), F.lit(1.0).alias("cosine"))
-
-    def several(lists: DataFrame) -> DataFrame:
-        counts = lists.groupBy("shingle").agg(F.count("*").alias("_members"))
-        return lists.join(counts.filter("_members > 1").select("shingle"), "shingle", "left_semi")
-
-    lists = several(prefix_postings(unique, threshold))
-    for _ in range(MAX_ROUNDS):
-        lists = cut_lineage(lists)
-        longest = lists.groupBy("shingle").count().agg(F.max("count")).first()[0] or 0
-        if longest <= SMALL_LIST:
-            break
-        found, missed = _one_round(lists, unique, threshold)
-        edges, lists = edges.unionByName(found), several(missed)
-    # What is left: short lists, or families beyond the last round. All their pairs are compared.
-    open_pair = _bound("n", "sketch", "n_y", "sketch_y") >= threshold - 1e-12
-    pairs = (
-        lists.join(_as_other(lists), "shingle")
-        .filter((F.col("id") < F.col("y")) & open_pair)
-        .select(F.col("id").alias("a"), F.col("y").alias("b"))
-        .distinct()
-    )
-    rest = _verified(pairs, unique, threshold).filter("hit").drop("hit")
-    return edges.unionByName(rest).dropDuplicates(["a", "b"])
+    copied, led, _, between = _links(df, id_column, text, threshold)
+    return copied.unionByName(led).unionByName(between)
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -284,7 +331,28 @@ def near_clusters(
     df: DataFrame, id_column: str, text: str, threshold: float = V.NEAR_DUPLICATE_COSINE
 ) -> DataFrame:
     """(id, cluster) for every document that has a near duplicate."""
-    return connected_components(near_pairs(df, id_column, text, threshold))
+    copied, _, clusters, between = _links(df, id_column, text, threshold)
+    if not between.isEmpty():
+        # What was found in between joins whole clusters, so only their names are followed.
+        named = clusters.select(F.col("id").alias("a"), F.col("cluster").alias("a_in"))
+        other = clusters.select(F.col("id").alias("b"), F.col("cluster").alias("b_in"))
+        joined = between.join(named, "a", "left").join(other, "b", "left").select(
+            F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b")
+        )
+        merged = connected_components(joined).withColumnRenamed("cluster", "_in")
+        old = clusters.withColumnRenamed("id", "_id").withColumnRenamed("cluster", "id")
+        renamed = old.join(merged, "id", "left").select(
+            F.col("_id").alias("id"), F.coalesce("_in", "id").alias("cluster")
+        )
+        alone = merged.join(clusters, "id", "left_anti").withColumnRenamed("_in", "cluster")
+        clusters = cut_lineage(renamed.unionByName(alone), "clusters")
+    # A copy is where its original is; originals have the lowest id of their copies.
+    copies = copied.select(F.col("a").alias("id"), "b")
+    placed = copies.join(clusters, "id", "left").select(
+        "id", "b", F.coalesce("cluster", "id").alias("cluster")
+    )
+    originals = placed.select("id", "cluster").distinct().join(clusters, "id", "left_anti")
+    return clusters.unionByName(originals).unionByName(placed.select(F.col("b").alias("id"), "cluster"))
 
 
 def keep_best(df: DataFrame, clusters: DataFrame, id_column: str, text: str) -> DataFrame:
