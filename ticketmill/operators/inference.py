@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from ..functions import fixed_values as V
 from ..functions.language import detect_language
@@ -59,6 +61,27 @@ def batch_complete(
     return cut_lineage(_answered(df, prompts, make_client, batch_size, retries, tasks), "answers")
 
 
+def _ask(client: Client, asked: list[str], retries: int) -> tuple[list[str | None], list[str | None]]:
+    """(answers, errors) of prompts: a batch that keeps failing is asked prompt by prompt."""
+    for _ in range(retries):
+        try:
+            answers = list(client(asked))
+            if len(answers) != len(asked):
+                raise ValueError(f"{len(asked)} prompts but {len(answers)} answers")
+            return answers, [None] * len(asked)
+        except Exception:
+            continue
+    answers, errors = [], []
+    for prompt in asked:
+        try:
+            answers.append(client([prompt])[0])
+            errors.append(None)
+        except Exception as exc:
+            answers.append(None)
+            errors.append(f"{type(exc).__name__}: {exc}")
+    return answers, errors
+
+
 def _answered(
     df: DataFrame,
     prompts: Mapping[str, Column],
@@ -71,32 +94,13 @@ def _answered(
     names = list(prompts)
     fields = ", ".join(f"`{n}` string" for n in names) + ", `errors` string"
 
-    def ask(client: Client, asked: list[str]) -> tuple[list[str | None], list[str | None]]:
-        for _ in range(retries):
-            try:
-                answers = list(client(asked))
-                if len(answers) != len(asked):
-                    raise ValueError(f"{len(asked)} prompts but {len(answers)} answers")
-                return answers, [None] * len(asked)
-            except Exception:
-                continue
-        answers, errors = [], []
-        for prompt in asked:
-            try:
-                answers.append(client([prompt])[0])
-                errors.append(None)
-            except Exception as exc:
-                answers.append(None)
-                errors.append(f"{type(exc).__name__}: {exc}")
-        return answers, errors
-
     def complete(client: Client, column: pd.Series) -> tuple[pd.Series, pd.Series]:
         answers = pd.Series([None] * len(column), dtype=object)
         errors = pd.Series([None] * len(column), dtype=object)
         rows = [i for i, prompt in enumerate(column) if prompt is not None]
         for start in range(0, len(rows), batch_size):
             part = rows[start : start + batch_size]
-            got, failed = ask(client, [column.iloc[i] for i in part])
+            got, failed = _ask(client, [column.iloc[i] for i in part], retries)
             for i, answer, error in zip(part, got, failed):
                 answers.iat[i], errors.iat[i] = answer, error
         return answers, errors
@@ -122,30 +126,50 @@ def _answered(
 
 
 def register_agent_function(
-    spark: SparkSession, name: str, make_client: Callable[[], Client], retries: int = 2
+    spark: SparkSession, name: str, make_client: Callable[[], Client], batch_size: int = 64, retries: int = 2
 ) -> None:
-    """A table function for SQL: ``SELECT ... FROM tickets, LATERAL name(body)`` gives a response.
-
-    An empty answer gives no row, and neither does a text whose call fails ``retries`` times. Spark
-    hands a lateral table function one row at a time, so whole tables are better served by
-    :func:`batch_complete`, which also tells why a call failed.
+    """A table function for SQL that answers the rows of a table.
+
+    ``SELECT * FROM name(TABLE(tickets) PARTITION BY (pmod(hash(id), 64)), 'body')`` gives every row of the
+    table with two more columns: ``response`` to the text in the named column, and ``error``. Rows are
+    kept until there are ``batch_size`` of them, or the partition ends, and asked for together. A text
+    whose call keeps failing keeps its row, with the error; a null text is not asked and has neither. A
+    partition is worked on by one task and has a client of its own, so there should be more of them than
+    tasks, and far fewer than rows.
     """
 
     class Agent:
         def __init__(self):
-            self.client = make_client()
-
-        def eval(self, message: str):
-            for _ in range(retries if message else 0):
-                try:
-                    answer = self.client([message])[0]
-                except Exception:
-                    continue
-                if answer:
-                    yield (answer,)
-                return
-
-    spark.udtf.register(name, F.udtf(Agent, returnType="response string"))
+            self.client, self.rows, self.texts = make_client(), [], []
+
+        @staticmethod
+        def analyze(rows: AnalyzeArgument, text: AnalyzeArgument) -> AnalyzeResult:
+            if not rows.isTable or text.value not in rows.dataType.names:
+                raise ValueError("the arguments are a table and the name of its text column")
+            added = StructType().add("response", "string").add("error", "string")
+            return AnalyzeResult(StructType(rows.dataType.fields + added.fields))
+
+        def _flush(self):
+            asked = [i for i, text in enumerate(self.texts) if text is not None]
+            got = [(None, None)] * len(self.rows)
+            if asked:
+                answers = _ask(self.client, [self.texts[i] for i in asked], retries)
+                for i, answer, error in zip(asked, *answers):
+                    got[i] = (answer, error)
+            rows, self.rows, self.texts = self.rows, [], []
+            for row, both in zip(rows, got):
+                yield (*row, *both)
+
+        def eval(self, row: Row, text: str):
+            self.rows.append(tuple(row))
+            self.texts.append(row[text])
+            if len(self.rows) == batch_size:
+                yield from self._flush()
+
+        def terminate(self):
+            yield from self._flush()
+
+    spark.udtf.register(name, F.udtf(Agent))
 
 
 def rewrite_tickets(

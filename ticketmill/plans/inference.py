@@ -53,14 +53,17 @@ def shouting_client():
 
 @query(
     "agent_table_function",
-    """SELECT conv_id, turn, replace(text, 'the', 'THE') AS response
-    FROM conversations WHERE role = 'user' AND contains(text, 'the')""",
+    """SELECT conv_id, turn, CASE WHEN contains(text, 'the') THEN replace(text, 'the', 'THE') ELSE '' END
+           AS response, NULL::VARCHAR AS error
+    FROM conversations WHERE role = 'user'""",
 )
 def agent_table_function(spark, tables):
     I.register_agent_function(spark, "ticket_agent", shouting_client)
     asked = T.scan(spark, tables, "conversations").filter("role = 'user'")
     return spark.sql(
-        "SELECT conv_id, turn, response FROM {asked}, LATERAL ticket_agent(text)", asked=asked
+        """SELECT conv_id, turn, response, error
+        FROM ticket_agent(TABLE({asked}) PARTITION BY (pmod(hash(conv_id, turn), 32)), 'text')""",
+        asked=asked,
     )
 
 
