@@ -177,10 +177,12 @@ def _in_grid(corpus: DataFrame, queries: DataFrame, grid: DataFrame, key: list[s
 
 
 def _asking(queries: DataFrame, *keep: str | Column) -> DataFrame:
-    """Queries that say something: a zero vector is near to nothing and has no hits."""
-    return queries.filter(F.exists("embedding", lambda x: x != 0)).select(
-        F.col("query_id").cast("bigint"), "embedding", *keep
-    )
+    """Queries that say something: a zero vector is near to nothing and has no hits.
+
+    They are stored before that is asked, because a filter on vectors would embed them once more.
+    """
+    kept = cut_lineage(queries.select(F.col("query_id").cast("bigint"), "embedding", *keep), "asked")
+    return kept.filter(F.exists("embedding", lambda x: x != 0))
 
 
 def _known(names: list[str]) -> Column:
@@ -208,8 +210,8 @@ def block_scores(
     rows = corpus.filter(_known(names)).select(
         F.col("corpus_id").cast("bigint"), "embedding", cell("corpus_id")
     )
-    # Read three times; counting the rows needs no vectors, so the corpus is embedded once only.
-    asked = cut_lineage(_asking(queries.filter(_known(names)), cell("query_id")), "asked")
+    # Counting the rows needs no vectors, so the corpus is embedded once only.
+    asked = _asking(queries.filter(_known(names)), cell("query_id"))
     width = _width(asked)
     many = F.count("*")
     shards = rows.groupBy("_cell").agg(_blocks(many, width).alias("_shards"))
@@ -527,10 +529,8 @@ def build_cells(
     a right angle away. With ``attributes`` a query meets rows that equal it in all of them.
     """
     names = attributes or []
-    rows = corpus.filter(_known(names) & F.col("embedding").isNotNull()).select(
-        F.col("corpus_id").cast("bigint"), "embedding", *names
-    )
-    rows = cut_lineage(rows, "vectors")
+    rows = corpus.filter(_known(names)).select(F.col("corpus_id").cast("bigint"), "embedding", *names)
+    rows = cut_lineage(rows, "vectors").filter("embedding IS NOT NULL")
     spoken = rows.filter(F.exists("embedding", lambda x: x != 0))
     n = rows.count()
     # More than half of the share wanted pass by any hash; the rest is cut off in the order of the hash.
