@@ -52,15 +52,17 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple]:
-    """(rows, bytes, offsets) for runs of rows with about ``CHUNK_BYTES`` of text."""
+def text_chunks(
+    batches: Iterator[pa.RecordBatch], text: str = "text", size: int = CHUNK_BYTES
+) -> Iterator[tuple]:
+    """(rows, bytes, offsets) for runs of rows with about ``size`` bytes of text."""
     for batch in batches:
         if not len(batch):
             continue
         data, offsets = text_buffers(batch.column(text))
         first = 0
         while first < len(batch):
-            last = int(np.searchsorted(offsets, offsets[first] + CHUNK_BYTES, "right")) - 1
+            last = int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1
             last = min(max(last, first + 1), len(batch))
             part = offsets[first : last + 1]
             yield batch.slice(first, last - first), data[part[0] : part[-1]], part - part[0]

@@ -32,6 +32,8 @@ from .memory import ramp
 SIZE = 64
 #: Names count from level 3 (some 30 bytes) on, in texts below the bytes given from level 2 or 1 on.
 SHORT, SHORTEST = 512, 64
+#: Bytes of text that are parsed at a time.
+RUN_BYTES = 1 << 19
 #: Bytes of text in a part of the ordered documents, parts at most, and keys that place their bounds.
 PART_BYTES = 8 << 20
 MOST_PARTS = 1 << 16
@@ -350,7 +352,7 @@ def _with_next(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     open_: tuple | None = None  # (part, id, bytes) of the row that still waits for its next
     ended = None  # the part whose guest has been seen
-    for rows, data, offsets in text_chunks(batches):
+    for rows, data, offsets in text_chunks(batches, size=RUN_BYTES):
         parts = rows.column("_part").to_numpy()
         guests = rows.column("_guest").to_numpy(zero_copy_only=False)
         ids = rows.column("doc_id").to_pylist()
@@ -384,7 +386,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     A null text counts as an empty one. Rows without an id come last; rows of one id are ordered by a
     hash of their texts. A table of one row is its own next. Columns other than doc_id and text are not
-    looked at. No rows, no result. Texts are compared as whole texts, a few megabytes at a time, so a
+    looked at. No rows, no result. Texts are compared as whole texts, half a megabyte at a time, so a
     task needs the memory of its longest text.
     """
     prepare(docs.sparkSession)
