@@ -113,19 +113,25 @@ def extract_json_object(spark, tables):
 @query(
     "parse_topic_intent",
     """SELECT event_id,
-           CASE event_type WHEN 'click' THEN 'billing' WHEN 'view' THEN 'login' ELSE 'other' END AS topic,
-           CASE event_type WHEN 'click' THEN 'request' WHEN 'purchase' THEN 'incident'
+           CASE event_type WHEN 'click' THEN 'topic ' || k WHEN 'view' THEN k ELSE 'other' END AS topic,
+           CASE event_type WHEN 'click' THEN 'intent {' || event_id || '}' WHEN 'purchase' THEN 'on "' || k || '"'
                 ELSE 'question' END AS intent
-    FROM events""",
+    FROM (SELECT *, props->>'k' AS k FROM events)""",
 )
 def parse_topic_intent(spark, tables):
-    """Wrapped in prose, one key only, null value, broken quotes, no JSON."""
+    """The number in a row's properties, wrapped in prose, as a number, quoted, in broken quotes, bare."""
+    k = F.get_json_object("props", "$.k")
+    intent = F.concat(F.lit("intent {"), "event_id", F.lit("}"))
+    whole = F.to_json(F.struct(F.concat(F.lit("topic "), k).alias("topic"), intent.alias("intent")))
     raw = (
-        F.when(F.col("event_type") == "click", 'Here: {"topic": "billing", "intent": "request"} ok')
-        .when(F.col("event_type") == "view", '{"topic": "login"}')
-        .when(F.col("event_type") == "purchase", '{"topic": null, "intent": "incident"}')
-        .when(F.col("event_type") == "signup", "{'topic': 'bug'}")
-        .otherwise("no idea")
+        F.when(F.col("event_type") == "click", F.concat(F.lit("Here: "), whole, F.lit(" ok")))
+        .when(F.col("event_type") == "view", F.concat(F.lit('{"topic": '), k, F.lit("}")))
+        .when(
+            F.col("event_type") == "purchase",
+            F.concat(F.lit('{"topic": null, "intent": "on \\"'), k, F.lit('\\""}')),
+        )
+        .when(F.col("event_type") == "signup", F.concat(F.lit("{'topic': '"), k, F.lit("'}")))
+        .otherwise(k)
     )
     found = J.parse_topic_intent(raw)
     return T.scan(spark, tables, "events").select(
