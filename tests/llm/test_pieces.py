@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -48,6 +49,39 @@ def test_long_words(model, library):
     assert ids == library.encode(texts) and decoded == library.decode(ids)
 
 
+@pytest.mark.parametrize("unit, times", [("th", 500_000), ("the", 300_000), ("ing", 300_000), (None, 1_000_000)])
+def test_words_of_a_megabyte_take_seconds(model, library, unit, times):
+    rng = random.Random(times)
+    text = unit * times if unit else "".join(rng.choice("ethainors") for _ in range(times))
+    begun = time.monotonic()
+    ids, decoded = both_ways(model, [text, "short", text[:70_001]])
+    assert time.monotonic() - begun < 15  # about one second each; the square of the length would be hours
+    texts = [text, "short", text[:70_001]]
+    assert ids == library.encode(texts) and decoded == texts
+
+
+@pytest.mark.parametrize("alphabet", ["eth", "ehtrnaios", "aaab", "▁ta", "inog"])
+def test_words_finished_by_the_queue(model, library, alphabet, monkeypatch):
+    monkeypatch.setattr(pieces, "ROUNDS", 2)
+    rng = random.Random(alphabet)
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(400))) for _ in range(500)]
+    assert both_ways(model, texts)[0] == library.encode(texts)
+
+
+def test_the_memory_keeps_no_long_words(model, library):
+    rng = random.Random(4)
+    memory, words = Memory(lambda fresh: pieces.encode_words(model, fresh)), pieces.cut(model)
+    for _ in range(30):
+        texts = [
+            " ".join("".join(rng.choice("etaoin") for _ in range(rng.choice((3, 5, 64, 5000)))) for _ in range(9))
+            for _ in range(20)
+        ]
+        ids, at = memory.encode([words(t) for t in texts])
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == library.encode(texts)
+    assert max(map(len, memory.index)) <= 64 and sorted(memory.index.values()) == list(range(len(memory.index)))
+    assert memory.used <= sum(map(len, memory.index))
+
+
 def test_any_ids_decode_like_the_library(model, library):
     rng = random.Random(6)
     rows = [

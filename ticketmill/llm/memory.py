@@ -9,6 +9,8 @@ import numpy as np
 
 #: Words a Python worker remembers; once full, it keeps what it has and encodes others as they come.
 REMEMBERED = 300_000
+#: Characters of the longest word remembered, so what a worker keeps is bounded in bytes as well.
+LONGEST = 64
 
 
 def ramp(lengths: np.ndarray) -> np.ndarray:
@@ -62,6 +64,33 @@ class Memory:
         self.lengths[n : n + len(words)] = np.diff(offsets)
         return words
 
+    def _forget(self, fresh: list[str]) -> None:
+        """Keep the new words while there is room, but no long ones."""
+        known = len(self.index) - len(fresh)
+        if len(self.index) > REMEMBERED:
+            for word in fresh:
+                del self.index[word]
+            return
+        if max(map(len, fresh)) > LONGEST:
+            # The others move up, so that numbers and ids stay without gaps.
+            kept = [i for i, word in enumerate(fresh) if len(word) <= LONGEST]
+            for word in fresh:
+                if len(word) > LONGEST:
+                    del self.index[word]
+            self.index.update((fresh[i], known + k) for k, i in enumerate(kept))
+            at = known + np.array(kept, np.int64)
+            starts, lengths = self.starts[at], self.lengths[at]
+            ids = gather(self.ids, starts, lengths)
+            now = slice(known, known + len(kept))
+            self.ids[self.used : self.used + len(ids)] = ids
+            self.starts[now], self.lengths[now] = self.used + np.cumsum(lengths) - lengths, lengths
+            self.used += len(ids)
+        else:
+            last = len(self.index) - 1
+            self.used = int(self.starts[last] + self.lengths[last])
+        if len(self.ids) > 2 * self.used + (1 << 20):
+            self.ids = self.ids[: self.used + (1 << 16)].copy()
+
     def encode(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of texts given as their words."""
         counts = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -70,11 +99,7 @@ class Memory:
         fresh = self._learn() if self.index.fresh else []
         lengths = self.lengths[at]
         ids = gather(self.ids, self.starts[at], lengths)
-        if len(self.index) > REMEMBERED:
-            for word in fresh:
-                del self.index[word]
-        elif fresh:
-            last = len(self.index) - 1
-            self.used = int(self.starts[last] + self.lengths[last])
+        if fresh:
+            self._forget(fresh)
         sums = np.concatenate([[0], np.cumsum(lengths)])
         return ids, sums[np.concatenate([[0], np.cumsum(counts)])]

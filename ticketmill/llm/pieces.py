@@ -5,15 +5,18 @@ encoded once: all words lie in one flat array of symbols, and a round finds ever
 by a segmented minimum, merges its occurrences from the left and closes the gaps, until no pair is
 left anywhere.
 
-A round merges all occurrences of a word's best pair together. That equals the library's one-by-one
-order unless the merged piece could at once form a better pair with its neighbour; pieces of which
-the vocabulary allows that are merged one occurrence a round.
+A round merges all occurrences of a word's best pair together, from the left up to the first one whose
+merged piece forms a pair with a neighbour that is at least as good: the library would take that pair
+next, and so does the next round. Words that are not ready after ``ROUNDS`` rounds, very long ones of
+many different pieces, go on from where they are with a queue of pairs of their own, so a word's time
+grows with its length times its logarithm.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +27,8 @@ from .memory import Memory, gather, ramp
 
 SPACE = "▁"
 NEVER = np.int32(2**31 - 1)
+#: Rounds over all words of a run; words that need more are finished one by one.
+ROUNDS = 96
 
 
 def load(path: str) -> dict:
@@ -48,7 +53,7 @@ def load(path: str) -> dict:
         rank[i] = place[-model.pieces[i].score]
     chars = np.full(0x110000, -1, np.int32)
     pairs, bigrams = {}, set()
-    one_by_one = np.zeros(len(names) + 1, bool)
+    may_rise = np.zeros(len(names) + 1, bool)
     for name, i in ids.items():
         if len(name) == 1:
             chars[ord(name)] = i
@@ -58,7 +63,7 @@ def load(path: str) -> dict:
             if a is not None and b is not None:
                 pairs[(a << 32) | b] = i
                 for part in (a, b):
-                    one_by_one[part] |= rank[i] <= rank[part]
+                    may_rise[part] |= rank[i] <= rank[part]
     keys = np.array(sorted(pairs), np.int64)
     surfaces, byte_ids = [], np.zeros(256, np.int32)
     for i, (name, kind) in enumerate(zip(names, kinds)):
@@ -72,7 +77,7 @@ def load(path: str) -> dict:
     return {
         "rank": rank, "chars": chars, "bigrams": np.array(sorted(bigrams), np.int64),
         "keys": keys, "merged": np.array([pairs[k] for k in keys.tolist()], np.int32),
-        "one_by_one": one_by_one, "byte_ids": byte_ids,
+        "may_rise": may_rise, "byte_ids": byte_ids,
         "blob": np.frombuffer(b"".join(surfaces), np.uint8), "sizes": sizes,
         "starts": np.cumsum(sizes) - sizes,
         "spaced": np.array([k == 1 and n.startswith(SPACE) for n, k in zip(names, kinds)]),
@@ -92,15 +97,84 @@ def _pair_of(model: dict, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.where(known & (left >= 0) & (right >= 0), model["merged"][at], np.int32(-1))
 
 
+def _before_rise(model: dict, symbols, pair, first, hits: np.ndarray) -> np.ndarray:
+    """Which of the chosen occurrences a round may merge: in each word those up to the first whose piece
+    at once forms a pair of the same or a better rank, with the piece before or the symbol after it."""
+    rises = np.zeros(len(hits), bool)
+    able = np.flatnonzero(model["may_rise"][pair[hits]])
+    if not len(able):
+        return ~rises
+    at = hits[able]
+    piece = pair[at]
+    left = symbols[np.maximum(at - 1, 0)]
+    follows = np.zeros(len(hits), bool)
+    follows[1:] = np.diff(hits) == 2
+    # The occurrence before lies next to this one and is a piece by then.
+    left = np.where(follows[able], pair[np.maximum(at - 2, 0)], left)
+    left[first[at]] = -1
+    after = np.minimum(at + 2, len(symbols) - 1)
+    right = np.where((at + 2 < len(symbols)) & ~first[after], symbols[after], np.int32(-1))
+    rank = model["rank"]
+    best = np.minimum(rank[_pair_of(model, left, piece)], rank[_pair_of(model, piece, right)])
+    rises[able] = best <= rank[piece]
+    word = np.cumsum(first)[hits]
+    earlier = np.cumsum(rises) - rises
+    lead = np.ones(len(hits), bool)
+    lead[1:] = np.diff(word) != 0
+    return earlier == earlier[np.maximum.accumulate(np.where(lead, np.arange(len(hits)), 0))]
+
+
+def _finish(model: dict, symbols: list[int], pair: np.ndarray) -> tuple[list[int], list[int]]:
+    """(ids, places) of one word, merged pair by pair: the best rank first, ties from the left."""
+    if "lookup" not in model:
+        model["lookup"] = dict(zip(model["keys"].tolist(), model["merged"].tolist()))
+    lookup, rank = model["lookup"], model["rank"]
+    n = len(symbols)
+    known = np.flatnonzero(pair >= 0)
+    queue = np.sort((rank[pair[known]].astype(np.int64) << 32) | known).tolist()  # sorted is a heap
+    pair = pair.tolist()
+    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+    rank = rank.tolist() if len(queue) > 1000 else rank
+
+    def renew(at: int) -> None:
+        right = after[at]
+        made = -1
+        if right < n and symbols[at] >= 0 and symbols[right] >= 0:
+            made = lookup.get((symbols[at] << 32) | symbols[right], -1)
+        pair[at] = made
+        if made >= 0:
+            heappush(queue, (int(rank[made]) << 32) | at)
+
+    while queue:
+        entry = heappop(queue)
+        at = entry & 0xFFFFFFFF
+        if pair[at] < 0 or rank[pair[at]] != entry >> 32:
+            continue  # the pair is gone
+        symbols[at] = pair[at]
+        gone = after[at]
+        after[at] = after[gone]
+        if after[at] < n:
+            before[after[at]] = at
+        pair[gone] = -1
+        renew(at)
+        if before[at] >= 0:
+            renew(before[at])
+    places, at = [], 0
+    while at < n:
+        places.append(at)
+        at = after[at]
+    return [symbols[p] for p in places], places
+
+
 def _merge_all(model: dict, symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ids, places) after all merges; ``first`` marks where words begin, places are old indices."""
-    rank, one_by_one = model["rank"], model["one_by_one"]
+    rank = model["rank"]
     done = np.full(len(symbols), np.int32(-2))
     place = np.arange(len(symbols))
     pair = np.full(len(symbols), np.int32(-1))
     inner = np.flatnonzero(~first[1:])
     pair[inner] = _pair_of(model, symbols[inner], symbols[inner + 1])
-    while len(symbols):
+    for _ in range(ROUNDS):
         starts = np.flatnonzero(first)
         lengths = np.diff(starts, append=len(symbols))
         cost = rank[pair]
@@ -114,14 +188,12 @@ def _merge_all(model: dict, symbols: np.ndarray, first: np.ndarray) -> tuple[np.
         if not len(symbols):
             break
         hits = np.flatnonzero(cost == best)
-        word = np.cumsum(first)[hits]
         # In a run of overlapping occurrences every second one is merged, from the left.
         fresh = np.ones(len(hits), bool)
         fresh[1:] = np.diff(hits) != 1
         run = np.maximum.accumulate(np.where(fresh, np.arange(len(hits)), 0))
-        leads = np.ones(len(hits), bool)
-        leads[1:] = np.diff(word) != 0
-        hits = hits[((np.arange(len(hits)) - run) % 2 == 0) & (leads | ~one_by_one[pair[hits]])]
+        hits = hits[(np.arange(len(hits)) - run) % 2 == 0]
+        hits = hits[_before_rise(model, symbols, pair, first, hits)]
         symbols[hits] = pair[hits]
         keep = np.ones(len(symbols), bool)
         keep[hits + 1] = False
@@ -137,6 +209,10 @@ def _merge_all(model: dict, symbols: np.ndarray, first: np.ndarray) -> tuple[np.
         pair[ends] = -1
         anew = np.flatnonzero(changed & ~ends)
         pair[anew] = _pair_of(model, symbols[anew], symbols[anew + 1])
+    starts = np.flatnonzero(first).tolist()
+    for a, b in zip(starts, [*starts[1:], len(symbols)]):
+        ids, at = _finish(model, symbols[a:b].tolist(), pair[a:b])
+        done[place[a:b][at]] = ids
     places = np.flatnonzero(done != -2)
     return done[places], places
 
