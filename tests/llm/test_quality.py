@@ -55,6 +55,20 @@ def test_odd_rows(spark):
     assert quality.with_statistics(empty).count() == 0
 
 
+def test_a_sample_does_not_depend_on_the_partitions(spark):
+    rng = np.random.default_rng(5)
+    names = [f"stat_{s}" for s in quality.STATISTICS]
+    x = pd.DataFrame(rng.random((3000, len(names))), columns=names).assign(doc_id=np.arange(3000))
+    x = pd.concat([x, x[x.doc_id == 7].sample(1500, replace=True)])  # one row has a third of all copies
+    y = pd.DataFrame({"doc_id": np.arange(3000), "quality": (x[names[2]][:3000] > 0.5).astype(int)})
+    docs, labels = spark.createDataFrame(x), spark.createDataFrame(y)
+    models = [quality.train(docs.repartition(n), labels.repartition(n + 1), 500) for n in (1, 7)]
+    assert models[0] == models[1] and models[0].rules
+    sample = quality.lowest_hashes(docs, 500).toPandas()
+    assert len(sample) == 500 and sample.doc_id.is_unique
+    assert quality.lowest_hashes(docs, 5000).count() == 3000
+
+
 def test_null_and_foreign_labels_are_left_out(spark):
     described = quality.with_statistics(odd_documents(spark).select("doc_id", "text"))
     labels = spark.createDataFrame([(1, None), (2, 5), (None, 1)], "doc_id long, quality int")

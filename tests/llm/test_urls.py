@@ -2,7 +2,9 @@
 
 import re
 
+import numpy as np
 import pandas as pd
+from llm.plain import auc
 from pyspark.sql import functions as F
 
 from ticketmill.llm import urls
@@ -100,6 +102,35 @@ def test_a_url_has_no_say_in_the_shares_it_is_trained_with(spark):
     assert (got.suffix_share - 0.5).abs().max() < 0.2 and got.suffix_share.nunique() <= urls.FOLDS
 
 
+def test_labelled_urls_held_out(spark):
+    """A fifth of the labelled hosts is held out; the README states these figures."""
+    pages = spark.read.parquet(f"{TABLES}/pages.parquet").select("page_id", "url")
+    rows = urls.described(pages, "url").withColumn("block", (F.col("rule_verdict") == "block").cast("int"))
+    rows = rows.withColumn("held", F.pmod(F.xxhash64("host"), F.lit(5)) == 0)
+    model = urls.train(rows.filter("rule IS NOT NULL AND NOT held").drop("page_id", "url", "held"))
+    chance = 1 / (1 + F.exp(-model.log_odds()))
+    got = model.with_shares(rows).withColumn("chance", chance).select("rule", "held", "block", "chance").toPandas()
+    held = got[got.held & got.rule.notna()]
+    free = got[got.rule.isna()]
+    figures = auc(held.chance, held.block), (held.chance >= 0.5).mean(), held.block.mean(), (free.chance >= 0.5).mean()
+    assert len(held) > 100 and figures[0] > 0.65 and abs(figures[1] - figures[2]) < 0.25
+
+
+def test_a_hot_url_counts_once_and_partitions_do_not_matter(spark):
+    rules = [("a.example", "/bad/", "block"), ("a.example", "/good/", "allow")]
+    tail = "".join(f"&k{j}={j}77" for j in range(6))
+    rows = [(i, f"http://a.example/{'bad' if i % 2 else 'good'}/{i}{('?' + tail) * (i % 2)}") for i in range(300)]
+    rows += [(1000 + i, "http://a.example/good/hot") for i in range(500)]
+    rows += [(2000 + i, f"http://b.test/{i}{('?' + tail) * (i % 2)}") for i in range(100)]
+    pages = spark.createDataFrame(rows, "page_id int, url string")
+    few, many = (
+        urls.judge(pages.repartition(n), rules=rules, sample=100).toPandas().sort_values("page_id") for n in (1, 6)
+    )
+    assert np.allclose(few.block_chance, many.block_chance)
+    free = few[few.page_id >= 2000]
+    assert ((free.verdict == "block") == (free.page_id % 2 == 1)).mean() > 0.95
+
+
 def test_one_label_only(spark):
     pages = spark.createDataFrame([(1, "http://x.org/"), (2, "http://y.net/")], "page_id int, url string")
     assert set(urls.judge(pages).toPandas().verdict) == {"allow"}

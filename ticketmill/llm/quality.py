@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_GAP, Words, distinct_per_text, prepare, staged, text_chunks
+from .common import IS_GAP, Words, distinct_per_text, lowest_hashes, prepare, staged, text_chunks
 
 #: Labelled documents that a model is fitted on at most.
 SAMPLE_ROWS = 20_000
@@ -226,17 +226,13 @@ def _holds(rule: tuple[Condition, ...], x: np.ndarray) -> np.ndarray:
 def train(described: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> RuleModel:
     """A model from ``described`` (doc_id and statistics) and ``labels`` (doc_id, quality).
 
-    Labels other than 0 and 1 are left out. At most ``sample`` labelled rows are used, chosen by a
-    hash of their id, so the choice is the same in every run.
+    Labels other than 0 and 1 are left out. At most ``sample`` labelled rows are used, those with the
+    lowest hashes; partitions and the order of rows have no say in the choice.
     """
     known = described.join(
         labels.select("doc_id", "quality").filter("quality IN (0, 1)"), "doc_id"
     ).select("doc_id", "quality", *[f"stat_{s}" for s in STATISTICS])
-    known = staged(known, "labelled")
-    total = known.count()
-    share = min(1.0, sample / max(total, 1))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    rows = known.filter(place < share).limit(sample).drop("doc_id").collect()
+    rows = lowest_hashes(staged(known, "labelled"), sample).drop("doc_id").collect()
     data = np.array([tuple(r) for r in rows], float).reshape(-1, 1 + len(STATISTICS))
     data = data[np.lexsort(data.T[::-1])]  # the fit does not depend on the order of the rows
     return fit(data[:, 1:], data[:, 0])

@@ -15,7 +15,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, staged
+from .common import lowest_hashes, prepare, staged
 
 #: (host, path, verdict): a rule fits its host and all subdomains where the path starts like its own.
 RULES = [
@@ -249,13 +249,11 @@ def _grow(sample: DataFrame, model: UrlModel, cuts: dict[str, list[float]]) -> S
 def train(labelled: DataFrame, sample: int = SAMPLE_ROWS) -> UrlModel:
     """A model from described rows with ``block`` (0 or 1), at most ``sample`` of them.
 
-    The sample is taken by a hash of the url's parts and is the same in every run. Without rows the
-    model allows everything; with one label only it says that label.
+    The sample are the distinct rows with the lowest hashes, the same in every run; copies of a url count
+    once, however many there are. Without rows the model allows everything; with one label only it says
+    that label.
     """
-    total = labelled.count()
-    share = min(1.0, sample / max(total, 1))
-    place = F.pmod(F.xxhash64("host", "path", "length"), F.lit(1 << 20)) / float(1 << 20)
-    chosen = staged(labelled.filter(place < share).limit(sample), "urls")
+    chosen = staged(lowest_hashes(labelled, sample), "urls")
     n, blocked = chosen.agg(F.count("*"), F.coalesce(F.sum("block"), F.lit(0))).first()
     if not n:
         return UrlModel(-1.0)
