@@ -31,6 +31,23 @@ def test_no_gram_is_missed_and_few_are_made_up():
     assert np.abs(np.array(rate) - filters.chance).max() < 0.01
 
 
+def test_more_languages_than_a_group(spark):
+    """A language per row; n-grams of one group are collected at a time and nothing is left out."""
+    word = lambda i: "".join(chr(97 + (i // 26**k) % 26) for k in range(3))
+    rows = [(f"{word(i)}q {word(i)}xv {word(i)}zz", f"l{i:04}") for i in range(1100)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    filters = langid.learn(docs)
+    assert len(filters.names) == 1100
+    whole = langid.Filters(langid._by_language(_grams(docs)), dict.fromkeys(filters.names, 1))
+    assert (whole.cells == filters.cells).all() and (whole.chance == filters.chance).all()
+    got = langid.identify(docs, filters).toPandas()
+    assert (got.lang_pred == got.lang).all()
+
+
+def _grams(docs):
+    return docs.mapInArrow(langid._count, "lang string, gram bigint, n bigint").select("lang", "gram")
+
+
 def test_ngrams_stay_in_their_text_and_fold_letters():
     data = "Été la".encode() + b"VILLE" + b"9"
     a, text = langid.ngrams(np.frombuffer(data, np.uint8), np.array([0, 8, 13, 14]))

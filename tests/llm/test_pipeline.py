@@ -34,6 +34,21 @@ def test_language_rejects_texts_without_letters(stages):
     assert set(after.doc_id) == kept
 
 
+def test_language_rejects_scripts_and_codes_it_has_not_learned(spark):
+    docs = spark.read.parquet(f"{TABLES}/documents.parquet")
+    russian = "сегодня утром мы идем в магазин за хлебом и молоком "
+    strange = [
+        russian * 4, "今天我们去商店买面包和牛奶" * 9, "qzx wvk jjq xzz kqv vvq " * 12,
+        "aGVsbG8gd29ybGQgaGVsbG8gd29ybGQ" * 20, russian * 5000,
+    ]
+    short = ["αβγ", russian, "zzq"]  # too short to judge: they stay
+    rows = [(-1 - i, t, None, "planted", len(t)) for i, t in enumerate(strange + short)]
+    planted = spark.createDataFrame(rows, docs.schema)
+    kept = P.identified(spark, docs.unionByName(planted), TABLES).select("doc_id").toPandas().doc_id
+    assert {i for i in kept if i < 0} == {-6, -7, -8}
+    assert (kept >= 0).sum() == docs.filter(r"text RLIKE '\\p{L}'").count()
+
+
 def test_quality_keeps_good_and_rejects_poor(stages):
     import pandas as pd
 

@@ -29,8 +29,8 @@ CELLS_PER_GRAM = 10
 #: Distinct (language, n-gram) pairs that a task gathers before it hands them on.
 GATHERED = 1 << 20
 UNDETERMINED = "und"
-#: Learned languages at most: the collected model has MAX_LANGUAGES / MIN_SHARE n-grams at most.
-MAX_LANGUAGES = 1024
+#: Languages whose n-grams are collected at a time, those of one word of the bitmask.
+GROUP = 64
 
 _BYTES = np.arange(256)
 _IS_SMALL = (_BYTES >= 0x61) & (_BYTES <= 0x7A)
@@ -95,16 +95,23 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Filters:
     """The bit-sliced filter of all languages, and each slice's rate of chance hits."""
 
-    def __init__(self, grams: dict[str, np.ndarray], docs: dict[str, int]):
+    def __init__(self, grams: dict[str, np.ndarray], docs: dict[str, int], largest: int = 0):
+        """``largest``: the most n-grams of a language, also of those that ``fill`` brings later."""
         self.names = sorted(docs)
         self.usual = min(self.names, key=lambda x: (-docs[x], x), default=UNDETERMINED)
-        largest = max(map(len, grams.values()), default=1)
+        largest = max(largest, *map(len, grams.values()), 1)
         self.size = 1 << max(6, int(np.ceil(np.log2(max(1, CELLS_PER_GRAM * largest)))))
         self.cells = np.zeros(((len(self.names) + 63) // 64, self.size), U64)
         self.chance = np.zeros(len(self.names))
-        for i, name in enumerate(self.names):
+        self.fill(grams)
+
+    def fill(self, grams: dict[str, np.ndarray]) -> None:
+        """Set the languages' bits in the cells of their n-grams."""
+        places = {name: i for i, name in enumerate(self.names)}
+        for name, codes in grams.items():
+            i = places[name]
             bit = U64(1) << U64(i % 64)
-            for at in self.places(grams.get(name, np.zeros(0, np.uint32))):
+            for at in self.places(codes):
                 self.cells[i // 64][at] |= bit
             self.chance[i] = ((self.cells[i // 64] & bit) > 0).mean() ** HASHES
 
@@ -148,25 +155,35 @@ class Filters:
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Filters:
     """Filters from all rows of ``docs`` that have a language; texts may be null or empty.
 
-    What is collected has MAX_LANGUAGES / MIN_SHARE rows at most; the counting covers every row.
+    The counting covers every row. N-grams are collected by groups of 64 languages, 64 / MIN_SHARE rows
+    at most; the filters take 32 KB per language on the driver and in a worker, for any number of them.
     """
     prepare(docs.sparkSession)
     rows = docs.selectExpr(f"`{text}` AS text", f"`{lang}` AS lang").filter("lang IS NOT NULL")
-    languages = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    languages = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     counts = staged(
         rows.mapInArrow(_count, "lang string, gram bigint, n bigint")
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n")),
         "grams",
     )
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))  # a row per language
     frequent = counts.join(F.broadcast(totals), "lang").filter(F.col("n") >= MIN_SHARE * F.col("total"))
-    found: dict[str, list[int]] = {}
-    for r in frequent.select("lang", "gram").collect():
-        found.setdefault(r.lang, []).append(r.gram)
-    return Filters({k: np.array(v, np.uint32) for k, v in found.items()}, languages)
+    frequent = frequent.select("lang", "gram")
+    if len(languages) > GROUP:
+        frequent = staged(frequent, "frequent")
+        sizes = frequent.groupBy("lang").count().agg(F.max("count")).first()[0] or 0
+        filters = Filters({}, languages, sizes)
+        for first in range(0, len(filters.names), GROUP):
+            names = filters.names[first : first + GROUP]
+            filters.fill(_by_language(frequent.filter(F.col("lang").isin(names))))
+        return filters
+    return Filters(_by_language(frequent), languages)
+
+
+def _by_language(grams: DataFrame) -> dict[str, np.ndarray]:
+    rows = grams.toPandas()
+    return {name: own.to_numpy().astype(np.uint32) for name, own in rows.groupby("lang").gram}
 
 
 def identify(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
