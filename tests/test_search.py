@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -407,3 +408,40 @@ def test_plain_files_are_split(spark):
         assert split.count() == whole.count() == 20_000
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+# --- bounds of workers and of what is moved
+
+
+def test_sets_are_made_some_words_at_a_time(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, 50, n) for n in (0, 1, 2, 3, 70, 0, 5, 12, 40, 0)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(len(texts)), pa.int64()), pa.array([t.tolist() for t in texts], pa.list_(pa.int64()))], ["id", "hashed"]
+    )
+    whole = list(N._described(iter([batch])))
+    monkeypatch.setattr(N, "WORDS_AT_A_TIME", 20)
+    parts = list(N._described(iter([batch])))
+    assert len(whole) == 1 and len(parts) >= 4
+    assert pa.Table.from_batches(parts).to_pylist() == whole[0].to_pylist()
+    assert [r["id"] for r in whole[0].to_pylist()] == [1, 2, 3, 4, 6, 7, 8]
+
+
+def test_shingles_are_moved_once_and_sets_are_not(spark, documents):
+    df = spark.createDataFrame(documents, "id int, text string")
+    unique, _ = N.collapse_copies(N.shingle_sets(df, "id", "text"))
+    assert "Exchange hashpartitioning(digest" not in unique._jdf.queryExecution().executedPlan().toString()
+    lists = N.prefix_postings(unique, 0.92)
+    lists.collect()
+    final = lists._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert re.search(r"ReusedExchange .*REPARTITION_BY_COL", final)
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_repeated_rows_and_missing_ids_of_copies(spark, monkeypatch, few):
+    monkeypatch.setattr(N, "FEW_COPIES", few)
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, text), (5, text), (5, text), (9, text), (9, text), (7, text + " w40"), (7, text + " w40"), (3, "alone in this")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    assert {(r["id"], r["cluster"]) for r in N.near_clusters(df, "id", "text").collect()} == {(5, 5), (7, 5), (9, 5)}
+    assert N.collapse_copies(N.shingle_sets(df, "id", "text"))[0].count() == 3
