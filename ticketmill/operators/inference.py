@@ -20,7 +20,7 @@ from ..functions.text import (
     render_prompt_format,
     strip_prefixes,
 )
-from ..session import cut_lineage
+from ..session import bound_batches, cut_lineage
 from . import prompts as P
 from . import rules as R
 from .curate import dedup_exact, filter_min_length, select_columns_by_rule
@@ -45,7 +45,8 @@ def batch_complete(
     The answers are written before they are handed on, so a prompt is sent once, however often and
     under whatever filter they are read; only a task that is run again asks again. ``make_client`` runs once per task. Only the prompts travel to the Python workers, all of them
     in one stage. A failing batch is tried again, then prompt by prompt, so that one bad prompt
-    costs its own row only. A null prompt gets a null answer. ``tasks`` spreads a small table over
+    costs its own row only. A null prompt gets a null answer. A worker holds one Arrow batch of prompts,
+    bounded by its bytes; a call has prompts of one such batch. ``tasks`` spreads a small table over
     more tasks than it has partitions, since a model call takes longer than reading its row.
     ``share_answers`` asks once for equal prompts and joins the answers back, which pays when a
     large part of the table are copies and the model answers equal prompts equally.
@@ -91,6 +92,7 @@ def _answered(
     tasks: int | None = None,
 ) -> DataFrame:
     """The plan behind :func:`batch_complete`: one Python stage, not yet run."""
+    bound_batches(df.sparkSession)
     names = list(prompts)
     fields = ", ".join(f"`{n}` string" for n in names) + ", `errors` string"
 
