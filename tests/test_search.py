@@ -445,3 +445,42 @@ def test_repeated_rows_and_missing_ids_of_copies(spark, monkeypatch, few):
     df = spark.createDataFrame(rows, "id int, text string")
     assert {(r["id"], r["cluster"]) for r in N.near_clusters(df, "id", "text").collect()} == {(5, 5), (7, 5), (9, 5)}
     assert N.collapse_copies(N.shingle_sets(df, "id", "text"))[0].count() == 3
+
+
+def test_a_call_has_prompts_of_a_bounded_batch(spark):
+    def make_client():
+        return lambda prompts: [str(len(prompts))] * len(prompts)
+
+    df = spark.range(0, 200, 1, 1).withColumn("text", F.repeat(F.lit("x"), 200_000))
+    sizes = [int(r["a"]) for r in I.batch_complete(df, {"a": F.col("text")}, make_client).select("a").collect()]
+    assert len(sizes) == 200 and max(sizes) <= 22
+
+
+def test_embedding_gets_bounded_batches(spark, monkeypatch):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    texts = spark.range(0, 60, 1, 1).withColumn("text", F.repeat(F.lit("word "), 50_000))
+    assert R.embed(texts, "text").filter("abs(embedding[%d] - 1) < 1e-12" % R.word_bucket("word")).count() == 60
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+
+
+@pytest.mark.parametrize("n,asked", [(0, 3), (1, 3), (300, 40), (5000, 130)])
+def test_tiles_find_what_single_products_find(monkeypatch, n, asked):
+    monkeypatch.setattr(R, "TILE_SCORES", 40_000)
+    rng = np.random.default_rng(n)
+    block = rng.random((n, 16)) ** 2
+    block[n // 2 :] = block[: n - n // 2]  # ties, in order of the id
+    ids, queries = rng.permutation(n), rng.random((asked, 16))
+    found = R._nearest(ids, block, queries, 8)
+    plain = [R._best(ids, block @ q, 8) for q in queries]
+    assert [(a.tolist(), s.tolist()) for a, s in found] == [(a.tolist(), s.tolist()) for a, s in plain]
+
+
+def test_tasks_of_a_search_follow_the_pairs(spark):
+    schema = "_cell bigint, _shards bigint, _rows bigint, _stripes bigint, _asked bigint"
+    rows = R.BLOCK_BYTES // (8 * 64)
+
+    def tasks(shards, stripes):
+        row = (1, shards, shards * rows, stripes, stripes * rows)
+        return R._tasks(spark.createDataFrame([row], schema), 64)
+
+    assert tasks(1, 1) == 1 and tasks(2, 3) == 6 and tasks(100, 50) == 5000

@@ -15,12 +15,16 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.text import words
-from ..session import cut_lineage
+from ..session import bound_batches, cut_lineage
 from .curate import text_digest
 
 DIMS = 64
 #: Bytes of vectors on either side of a block, whatever their length.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
+#: Scores that a task holds at a time, and rows in a group of which only the best one is ranked.
+TILE_SCORES, GROUPS = 1 << 19, 32
+#: What two ways of adding up, and rounding to ``SCORE_DIGITS``, may change in a score.
+SCORE_SLACK = 2e-9
 SCORE_DIGITS = 9
 #: Vectors that cells are fitted on at most; a cell should have some of them, so cells are bounded too.
 SAMPLE_ROWS = 20_000
@@ -51,8 +55,9 @@ def embed(df: DataFrame, text: str, out: str = "embedding", dims: int = DIMS) ->
     """Add hashed word counts scaled to length 1, the stand-in for a hosted embedding model.
 
     A text without words gets a zero vector. Lists of words are read as flat Arrow values, a distinct
-    word of a batch is hashed once, and nothing is exploded or shuffled.
+    word of a batch is hashed once, and nothing is exploded or shuffled. Batches are bounded by bytes.
     """
+    bound_batches(df.sparkSession)
     known: dict[str, int] = {}
 
     @F.arrow_udf("array<double>")
@@ -130,6 +135,31 @@ def _score_rows(queries: np.ndarray, found: list[tuple], compared: list[int]) ->
     )
 
 
+def _nearest(ids: np.ndarray, block: np.ndarray, queries: np.ndarray, k: int) -> list[tuple]:
+    """(ids, scores) of the k best rows of a block for each query.
+
+    Some queries meet all rows in one matrix product. The k-th best among the best of groups of ``GROUPS``
+    rows is a score that k rows reach; the few rows that reach it are scored again by themselves.
+    """
+    out, step = [], max(1, TILE_SCORES // max(len(block), 1))
+    cut = len(block) // GROUPS * GROUPS
+    for first in range(0, len(queries), step):
+        asked = queries[first : first + step]
+        scores = asked @ block.T
+        if cut >= GROUPS * k:
+            tops = scores[:, :cut].reshape(len(asked), GROUPS, -1).max(axis=1)
+            floor = np.partition(tops, -k, axis=1)[:, -k] - SCORE_SLACK
+        else:
+            floor = np.full(len(asked), -np.inf)
+        at = np.flatnonzero((scores >= floor[:, None]).ravel())
+        owner, row = np.divmod(at, max(len(block), 1))
+        ends = np.searchsorted(owner, np.arange(len(asked) + 1))
+        for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+            own = row[a:b]
+            out.append(_best(ids[own], np.einsum("ij,j->i", block[own], asked[i]), k))
+    return out
+
+
 def _block_scores(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """Best k rows of one block of the corpus for each query."""
 
@@ -138,7 +168,7 @@ def _block_scores(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         asked = queries.column("query_id").to_numpy()
         if not len(ids):
             asked = asked[:0]
-        found = [_best(ids, block @ q, k) for q in _matrix(queries.column("embedding"))[: len(asked)]]
+        found = _nearest(ids, block, _matrix(queries.column("embedding"))[: len(asked)], k)
         return _score_rows(asked, found, [len(ids)] * len(asked))
 
     return score
@@ -155,13 +185,33 @@ def _width(df: DataFrame) -> int:
     return max(row[0], 1) if row else 1
 
 
-def _in_grid(corpus: DataFrame, queries: DataFrame, grid: DataFrame, key: list[str]):
+def _grid(rows: DataFrame, queries: DataFrame, key: list[str], width: int) -> DataFrame:
+    """Shards of the rows and stripes of the queries of each key, and the pairs that meet there."""
+    many = F.count("*")
+    shards = rows.groupBy(*key).agg(_blocks(many, width).alias("_shards"), many.alias("_rows"))
+    stripes = queries.groupBy(*key).agg(_blocks(many, width).alias("_stripes"), many.alias("_asked"))
+    return cut_lineage(shards.join(stripes, key), "grid")
+
+
+def _tasks(grid: DataFrame, width: int) -> int:
+    """Tasks for the blocks of a grid: by the pairs to compare, not by the bytes that are moved."""
+    block = BLOCK_BYTES / (8 * width)
+    pairs = F.col("_rows").cast("double") * F.col("_asked")
+    blocks, work = grid.agg(
+        F.sum(F.col("_shards") * F.col("_stripes")), F.sum(pairs) / (block * block)
+    ).first()
+    least = int(grid.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(blocks or 1, max(least, 2 * int(work or 0))))
+
+
+def _in_grid(corpus: DataFrame, queries: DataFrame, key: list[str], width: int):
     """Both sides cut into blocks that meet: the rows by shard, the queries by stripe.
 
-    ``grid`` has the number of shards and stripes of each key. A key may hold any part of either table;
-    a task gets one shard and one stripe.
+    A key may hold any part of either table; a group is one shard and one stripe. The number of tasks
+    follows from the pairs to compare, which grow faster than the rows.
     """
-    zero = F.lit(0).cast("bigint")
+    grid = _grid(corpus, queries, key, width)
+    tasks, zero = _tasks(grid, width), F.lit(0).cast("bigint")
     left = corpus.join(grid, key).select(
         *corpus.columns,
         F.pmod(F.xxhash64("corpus_id"), F.col("_shards")).alias("_shard"),
@@ -173,7 +223,8 @@ def _in_grid(corpus: DataFrame, queries: DataFrame, grid: DataFrame, key: list[s
         F.pmod(F.xxhash64("query_id"), F.col("_stripes")).alias("_stripe"),
     )
     block = [*key, "_shard", "_stripe"]
-    return left.groupBy(*block).cogroup(right.groupBy(*block))
+    sides = [side.repartition(tasks, *block).groupBy(*block) for side in (left, right)]
+    return sides[0].cogroup(sides[1])
 
 
 def _asking(queries: DataFrame, *keep: str | Column) -> DataFrame:
@@ -212,11 +263,7 @@ def block_scores(
     )
     # Counting the rows needs no vectors, so the corpus is embedded once only.
     asked = _asking(queries.filter(_known(names)), cell("query_id"))
-    width = _width(asked)
-    many = F.count("*")
-    shards = rows.groupBy("_cell").agg(_blocks(many, width).alias("_shards"))
-    stripes = asked.groupBy("_cell").agg(_blocks(many, width).alias("_stripes"))
-    met = _in_grid(rows, asked, shards.join(stripes, "_cell"), ["_cell"])
+    met = _in_grid(rows, asked, ["_cell"], _width(asked))
     return met.applyInArrow(_block_scores(k), SCORES_SCHEMA)
 
 
@@ -435,10 +482,7 @@ class CellIndex:
 
     def _partial(self, asked: DataFrame, k: int) -> DataFrame:
         """Best k rows of the cells asked for: ``asked`` is (query_id, embedding, floor, _cell, _theta)."""
-        width = self.centres.shape[1]
         key = ["_cell", *self.attributes]
-        stripes = asked.groupBy(*key).agg(_blocks(F.count("*"), width).alias("_stripes"))
-        shards = self.rows.groupBy(*key).agg(_blocks(F.count("*"), width).alias("_shards"))
 
         def score(corpus: pa.Table, queries: pa.Table) -> pa.Table:
             asked = queries.column("query_id").to_numpy()
@@ -453,14 +497,17 @@ class CellIndex:
             reach = _angle(floors - 10.0**-SCORE_DIGITS) + SLACK
             low = np.searchsorted(angles, thetas - reach, "left")
             high = np.searchsorted(angles, thetas + reach, "right")
+            # Queries that look at the whole block do so together.
+            whole = np.flatnonzero(high - low == len(ids))
+            together = dict(zip(whole.tolist(), _nearest(ids, block, vectors[whole], k)))
             found = []
-            for q, a, b, floor in zip(vectors, low, high, floors):
-                own, scores = _best(ids[a:b], block[a:b] @ q, k)
+            for i, (q, a, b, floor) in enumerate(zip(vectors, low, high, floors)):
+                own, scores = together[i] if i in together else _best(ids[a:b], block[a:b] @ q, k)
                 better = scores >= floor - 10.0**-SCORE_DIGITS
                 found.append((own[better], scores[better]))
             return _score_rows(asked, found, (high - low).tolist())
 
-        met = _in_grid(self.rows, asked, shards.join(stripes, key), key)
+        met = _in_grid(self.rows, asked, key, self.centres.shape[1])
         return met.applyInArrow(score, SCORES_SCHEMA)
 
     def compare(self, queries: DataFrame, k: int = V.TOP_K, recall: float = 0.95) -> DataFrame:
