@@ -298,3 +298,16 @@ def test_a_late_row_makes_one_session_of_two(spark):
         ("b", day(5, 0), day(5, 30), 1),
         ("c", day(5, 45), dt.datetime(2024, 1, 5, 1, 29), 2),
     ]
+
+
+def test_a_large_delivery_finds_buckets_for_its_rows(spark, database):
+    table, seen = f"{database}.large", []
+
+    def merge(old, new):
+        seen.append(int(D._facts(spark, table)["buckets"]))
+        return add(old, new)
+
+    D.create_keyed_table(spark.createDataFrame([(1, 5)], "id bigint, n bigint"), table, ["id"], 5)
+    D.replace_keys(table, spark.range(400).withColumn("n", F.lit(1).cast("bigint")), merge)
+    assert seen == [D.shape(401, 5)[1]] and seen[0] >= 16
+    assert counts(spark, table) == {**{i: 1 for i in range(400)}, 1: 6}

@@ -19,7 +19,7 @@ from ..session import cut_lineage, scratch_path
 
 FOLDER = "_folder"
 #: Rows that a file of a bucket in a folder should have, and files that the smallest table has.
-FILE_ROWS = 1_000_000
+FILE_ROWS = 250_000
 LEAST_FILES = 4
 #: A table is written anew once its files hold so many times the rows they should.
 OUTGROWN = 4
@@ -43,10 +43,10 @@ def _placed(rows: DataFrame, keys: list[str], folders: int) -> DataFrame:
     return rows.withColumn(FOLDER, F.when(whole, at).otherwise(F.raise_error(F.lit("a key is null"))))
 
 
-def _write(rows: DataFrame, table: str, keys: list[str], file_rows: int, n: int) -> None:
-    """Files for the rows, then the view over them."""
+def _write(rows: DataFrame, table: str, keys: list[str], file_rows: int, n: int, room: int = 0) -> None:
+    """Files for the rows, and for ``room`` more, then the view over them."""
     spark = rows.sparkSession
-    folders, buckets = shape(n, file_rows)
+    folders, buckets = shape(n + room, file_rows)
     base = f"{table}__{uuid.uuid4().hex[:8]}"
     columns = rows.columns
     (
@@ -113,6 +113,14 @@ def replace_keys(table: str, changes: DataFrame, merge: Merge) -> None:
     base, keys, folders = facts["base"], facts["keys"].split(","), int(facts["folders"])
     spark.catalog.refreshTable(base)
     changes = cut_lineage(changes, "changes")
+    shaped = folders * int(facts["buckets"]) * int(facts["file_rows"])
+    arriving = changes.count()
+    if arriving > shaped:
+        # More than the table was made for: a merge has one task per bucket, so the buckets come first.
+        whole = spark.table(base).drop(FOLDER)
+        _write(whole, table, keys, int(facts["file_rows"]), int(facts["rows"]), room=arriving)
+        facts = _facts(spark, table)
+        base, folders = facts["base"], int(facts["folders"])
     n, merged = _merged(facts, changes, merge)
     if not n:
         return
