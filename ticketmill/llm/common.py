@@ -14,11 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, shared_dir
+from ..session import bound_batches, cut_lineage, shared_dir
 
-#: Bytes of text that are worked on at a time, and bytes in an Arrow batch.
-CHUNK_BYTES = 2 << 20
-BATCH_BYTES = 16 << 20
+#: Bytes of text that are worked on at a time.
+CHUNK_BYTES = 1 << 20
 
 ODD = 0x9E3779B97F4A7C15
 U64 = np.uint64
@@ -26,9 +25,8 @@ U64 = np.uint64
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Bound Arrow batches by bytes, and have the shared folder set."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     shared_dir(spark)
-    return spark
+    return bound_batches(spark)
 
 
 def table(spark: SparkSession, tables: str, name: str) -> DataFrame:
