@@ -9,9 +9,12 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from ticketmill.functions import fixed_values as V
+from ticketmill.operators import evaluate as E
 from ticketmill.operators import inference as I
 from ticketmill.operators import neardup as N
 from ticketmill.operators import retrieval as R
+from ticketmill.operators.profile import METRICS
 from ticketmill.session import scratch_path
 from ticketmill.sources.readers import scan_csv_tickets
 
@@ -456,6 +459,36 @@ def test_a_call_has_prompts_of_a_bounded_batch(spark):
     assert len(sizes) == 200 and max(sizes) <= 22
 
 
+def test_the_four_prompts_of_a_row_share_a_bounded_batch(spark):
+    """Also where calls fail: a failing prompt has the prompts of its call asked one by one."""
+
+    def make_judge():
+        def judge(prompts):
+            if any("!!" in p for p in prompts):
+                raise TimeoutError("no answer")
+            return [f'{{"score": 1, "explanation": "{len(prompts)}"}}'] * len(prompts)
+
+        return judge
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    df = spark.range(0, 100, 1, 1).select(
+        F.col("id").alias("ticket_id"),
+        F.lit("why").alias("query"),
+        F.lit("so").alias("ground_truth"),
+        F.when(F.col("id") == 50, "so!!").otherwise("so").alias("agent_answer"),
+        F.repeat(F.lit("x "), 50_000).alias("context"),
+    )
+    found = {r["ticket_id"]: r for r in E.score_batch(df, make_judge).collect()}
+    # Three prompts of a row hold 100 kB of context: 4 MB are 14 rows.
+    assert len(found) == 100
+    asked = [r[f"{m}_explanation"] for r in found.values() for m in METRICS if r[f"{m}_parse_ok"]]
+    assert len(asked) == 398 and max(map(int, asked)) <= 14
+    bad = found.pop(50)
+    assert bad["judge_error"] == "TimeoutError: no answer" and not bad["faithfulness_parse_ok"]
+    assert bad["faithfulness_explanation"] == V.INVALID_RESPONSE and bad["context_recall_parse_ok"]
+    assert all(r["judge_error"] is None and r["average_score"] == 1 for r in found.values())
+
+
 def test_embedding_gets_bounded_batches(spark, monkeypatch):
     spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
     texts = spark.range(0, 60, 1, 1).withColumn("text", F.repeat(F.lit("word "), 50_000))
