@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ticketmill.functions import fixed_values as V
+from ticketmill.functions.text import words
 from ticketmill.operators import evaluate as E
 from ticketmill.operators import inference as I
 from ticketmill.operators import neardup as N
@@ -517,3 +518,75 @@ def test_tasks_of_a_search_follow_the_pairs(spark):
         return R._tasks(spark.createDataFrame([row], schema), 64)
 
     assert tasks(1, 1) == 1 and tasks(2, 3) == 6 and tasks(100, 50) == 5000
+
+
+def test_texts_are_cut_and_hashed_as_words_are(spark):
+    rng = random.Random(4)
+    texts = [None, "", " ", "Ünd ÜND und", "a\x0bb\x00c", "x" * 55 + " " + "y" * 56 + " " + "ß" * 300, "end ", "日本語 テキスト,a-b_c"]
+    texts += ["".join(rng.choices("aB .é日-\n", k=rng.randrange(150))) for _ in range(300)]
+    texts += [" ".join("w" * n for n in range(70))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(3)
+    got = R.embed(df, "text").withColumn("words", words(F.col("text"))).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        counted = np.zeros(R.DIMS)
+        for w in r["words"] or []:
+            counted[R.word_bucket(w)] += 1
+        assert r["embedding"] == (counted / max(np.sqrt((counted**2).sum()), 1)).tolist(), r["text"]
+    # Lists of words are neither made by a pattern nor sent.
+    assert "split(" not in R.embed(df, "text")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_near_ties_and_copies_are_told_apart():
+    """Scores nearer to each other than 32-bit products can tell, and vectors that come many times."""
+    rng = np.random.default_rng(8)
+    middle = np.abs(rng.normal(size=64))
+    block = middle + rng.normal(size=(3000, 64)) * 1e-6
+    block[500:1500] = block[0]
+    block[2000:2300] = block[1]
+    block[40:44] = 0
+    block /= np.maximum(np.linalg.norm(block, axis=1, keepdims=True), 1e-300)
+    ids = rng.permutation(3000)
+    ids[600:700] = 5  # rows that repeat an id
+    queries = np.concatenate([block[[0, 1, 3]], np.abs(rng.normal(size=(600, 64)))])
+    queries /= np.linalg.norm(queries, axis=1, keepdims=True)
+    plain = [R._best(ids, block @ q, 8) for q in queries]
+    for floors in (None, np.array([s[-1] for _, s in plain])):
+        owner, own, scores = R._hits(ids, block, queries, 8, floors)
+        assert owner.tolist() == np.repeat(np.arange(603), 8).tolist()
+        assert own.tolist() == np.concatenate([i for i, _ in plain]).tolist()
+        assert np.abs(scores - np.concatenate([s for _, s in plain])).max() < 2e-9
+    assert len(R._without_more_copies(ids, block, 8)) == 3000 - 1001 + 8 - 301 + 8
+
+
+def test_blocks_leave_out_what_k_rows_are_known_to_beat(spark):
+    rows, asked = gathered(400, 16, 20, 0.5), gathered(410, 16, 20, 0.5)[400:]
+    docs, queries = frame_of(spark, range(400), rows, "corpus_id"), frame_of(spark, range(10), asked, "query_id")
+    floors = np.sort(asked @ rows.T, axis=1)[:, -3]
+    known = spark.createDataFrame(list(enumerate(floors.tolist())), "query_id bigint, _floor double")
+    got = R.block_scores(docs, queries.join(known, "query_id"), 8)
+    assert got.filter("corpus_id IS NOT NULL").count() == 30
+    assert got.agg(F.sum("compared")).first()[0] == 4000
+
+
+def test_a_few_large_blocks_are_cut_for_all_cores(spark, monkeypatch):
+    monkeypatch.setattr(R, "LEAST_PAIRS", 1 << 10, raising=False)
+    rows = spark.range(1000).selectExpr("id AS corpus_id", "IF(id < 900, 'en', 'de') AS lang")
+    asked = spark.range(200).selectExpr("id AS query_id", "IF(id < 150, 'en', 'de') AS lang")
+    grid = {r["lang"]: r for r in R._grid(rows, asked, ["lang"], 64).collect()}
+    assert grid["en"]["_shards"] * grid["en"]["_stripes"] >= spark.sparkContext.defaultParallelism
+    assert grid["en"]["_rows"] * grid["en"]["_asked"] + grid["de"]["_rows"] * grid["de"]["_asked"] == 140_000
+    assert grid["en"]["_shards"] * grid["en"]["_stripes"] <= 8 * R.BLOCKS_PER_CORE * 2
+    assert (grid["de"]["_shards"], grid["de"]["_stripes"]) <= (3, 3)
+
+
+def test_cells_are_chosen_together_as_one_by_one(spark, monkeypatch):
+    """Few queries at a time, cells with fewer rows than hits wanted, bounds that help some queries only."""
+    monkeypatch.setattr(R, "ASKED", 7)
+    rows, asked = gathered(3000, 8, 40, 0.1), gathered(3050, 8, 40, 0.1)[3000:]
+    asked[::5] = np.abs(np.random.default_rng(2).normal(size=(10, 8)))
+    docs, queries = frame_of(spark, range(3000), rows, "corpus_id"), frame_of(spark, range(50), asked, "query_id")
+    exact = sorted(map(tuple, R.vector_topk(docs, queries, 60).collect()))
+    index = R.build_cells(docs, cells=90)
+    assert sorted(map(tuple, index.search(queries, 60, 1.0).collect())) == exact
+    assert index.compare(queries, 60).agg(F.sum("compared")).first()[0] < 3000 * 50
